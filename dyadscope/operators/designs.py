@@ -60,29 +60,11 @@ class DesignSet:
         return F.from_json(F.lit(json.dumps(rows)), DESIGN_SCHEMA)
 
 
-def _row_values(designs: DesignSet, order: str | None) -> Column:
-    ys = F.array(*[F.coalesce(as_number(y), F.lit(0.0)) for y in designs.y_cols])
-    xs = F.array(*[as_number(x) for x in designs.x_cols])
-    place = F.col(order).cast("bigint") if order else F.lit(0).cast("bigint")
-    return F.struct(ys.alias("ys"), xs.alias("xs"), place.alias("place"))
-
-
-def _two_rows(df: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Count, and the smallest and largest row, per group.
-
-    When the group has exactly two rows these are the two rows. The buffer holds two rows
-    whatever the group size, and it combines before the shuffle, so a huge event costs nothing
-    extra and no list is ever collected.
-    """
-    return df.groupBy(*group).agg(
-        F.sum("n").alias("n"),
-        F.sum("n_full").alias("n_full"),
-        F.min("doc").alias("doc"),
-        F.min("boot").alias("boot"),
-        F.min("pair").alias("pair"),
-        F.min("lo").alias("lo"),
-        F.max("hi").alias("hi"),
-    )
+def _value_names(designs: DesignSet) -> list[str]:
+    """Flat value columns of a row: outcomes, regressors, and the input position."""
+    ys = [f"y{i}" for i in range(len(designs.y_cols))]
+    xs = [f"x{i}" for i in range(len(designs.x_cols))]
+    return [*ys, *xs, "place"]
 
 
 def row_table(
@@ -95,50 +77,96 @@ def row_table(
     cluster: str = DOC,
     order: str | None = None,
 ) -> DataFrame:
-    """One narrow row per input row: event key, clusters, packed outcomes and regressors."""
+    """One narrow row per input row: event, its clusters, outcomes and regressors as doubles.
+
+    Document, pair and bootstrap cluster are attributes of the event (the event key contains
+    them), so they are grouping columns below, not aggregates.
+    """
+    ys = {f"y{i}": F.coalesce(as_number(c), F.lit(0.0)) for i, c in enumerate(designs.y_cols)}
+    xs = {f"x{i}": as_number(c) for i, c in enumerate(designs.x_cols)}
+    place = F.col(order).cast("double") if order else F.lit(0.0)
     packed = df.select(
         *keys,
         F.col(event).alias("event_id"),
         F.col(doc).cast("string").alias("doc"),
         F.col(cluster).cast("string").alias("boot"),
         (F.col("pair_id") if "pair_id" in df.columns else F.col(event)).cast("string").alias("pair"),
-        _row_values(designs, order).alias("lo"),
+        *[c.alias(n) for n, c in {**ys, **xs, "place": place}.items()],
     )
-    full = ~F.exists("lo.xs", lambda x: x.isNull())
-    return packed.withColumns({"hi": F.col("lo"), "n": F.lit(1), "n_full": full.cast("int")})
+    full = F.lit(True)
+    for name in xs:
+        full = full & F.col(name).isNotNull()
+    tag = F.xxhash64(*_value_names(designs))
+    return packed.withColumns({"n": F.lit(1), "n_full": full.cast("int"), "tag_lo": tag, "tag_hi": tag})
 
 
-def event_table(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def _two_rows(df: DataFrame, group: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Row count, and the rows with the smallest and largest content hash, per group.
+
+    When the group has exactly two rows these are the two rows. The buffer has a fixed width
+    whatever the group size, so this is a hash aggregate combined before the shuffle: a huge
+    event costs nothing extra and no list is ever collected.
+    """
+
+    def side(c: str, which: str) -> str:
+        return f"{c}_{which}" if f"{c}_{which}" in df.columns else c
+
+    return df.groupBy(*group).agg(
+        F.sum("n").alias("n"),
+        F.sum("n_full").alias("n_full"),
+        F.min("tag_lo").alias("tag_lo"),
+        F.max("tag_hi").alias("tag_hi"),
+        *[F.min_by(side(c, "lo"), "tag_lo").alias(f"{c}_lo") for c in names],
+        *[F.max_by(side(c, "hi"), "tag_hi").alias(f"{c}_hi") for c in names],
+    )
+
+
+def _pack(names: Sequence[str], which: str) -> Column:
+    ys = F.array(*[F.col(f"{c}_{which}") for c in names if c.startswith("y")])
+    xs = F.array(*[F.col(f"{c}_{which}") for c in names if c.startswith("x")])
+    return F.struct(ys.alias("ys"), xs.alias("xs"), F.col(f"place_{which}").alias("place"))
+
+
+ATTRIBUTES = ("doc", "boot", "pair")
+
+
+def event_table(rows: DataFrame, designs: DesignSet, keys: Sequence[str] = KEYS) -> DataFrame:
     """Every event once: its row counts and clusters, and its two rows where a design may use them.
 
     An event with three or more complete rows is unusable for every design, so its rows are not
     carried along. All later steps read this table; the input is scanned and shuffled once.
     """
+    names = _value_names(designs)
     usable = F.expr(USABLE_EVENT)
-    return _two_rows(rows, [*keys, "event_id"]).withColumns(
-        {"lo": F.when(usable, F.col("lo")), "hi": F.when(usable, F.col("hi"))}
+    return _two_rows(rows, [*keys, "event_id", *ATTRIBUTES], names).select(
+        *keys,
+        "event_id",
+        *ATTRIBUTES,
+        "n",
+        "n_full",
+        *[F.when(usable, _pack(names, which)).alias(which) for which in ("lo", "hi")],
     )
 
 
-def _usable(row: str, exog: Column) -> Column:
-    return F.forall(exog, lambda i: F.col(f"{row}.xs")[i].isNotNull())
-
-
-def _sparse_pairs(rows: DataFrame, events: DataFrame, designs: Column, keys: Sequence[str]) -> DataFrame:
+def _sparse_pairs(rows: DataFrame, events: DataFrame, designs: DesignSet, plan: Column, keys: Sequence[str]) -> DataFrame:
     """Two usable rows per (event, design) for events with more than two rows.
 
     Rows are first folded per null pattern, then per design over the patterns it tolerates. Both
     folds keep two rows per group.
     """
+    names = _value_names(designs)
+    xs = [c for c in names if c.startswith("x")]
     wanted = events.where("n > 2 and n_full <= 2").select(*keys, "event_id")
-    pattern = F.transform("lo.xs", lambda x: x.isNull())
-    folded = _two_rows(
-        rows.withColumn("pattern", pattern), [*keys, "event_id", "pattern"]
-    ).join(wanted, [*keys, "event_id"], "left_semi")
-    per_design = folded.withColumn("design", F.explode(designs)).where(
-        _usable("lo", F.col("design.exog"))
+    known = F.array(*[F.col(c).isNotNull() for c in xs])
+    group = [*keys, "event_id", *ATTRIBUTES]
+    folded = _two_rows(rows.withColumn("known", known), [*group, "known"], names).join(
+        wanted, [*keys, "event_id"], "left_semi"
+    )
+    per_design = folded.withColumn("design", F.explode(plan)).where(
+        F.forall("design.exog", lambda i: F.col("known")[i])
     )
-    return _two_rows(per_design, [*keys, "event_id", "design"]).where("n = 2")
+    out = _two_rows(per_design, [*group, "design"], names).where("n = 2")
+    return out.withColumns({which: _pack(names, which) for which in ("lo", "hi")})
 
 
 def has_sparse_events(events: DataFrame) -> bool:
@@ -167,7 +195,7 @@ def design_pairs(
     columns = [*keys, "event_id", *PAIR_COLUMNS, "design"]
     both = events.where("n = 2").withColumn("design", F.explode(plan)).select(columns)
     if sparse:
-        both = both.unionByName(_sparse_pairs(rows, events, plan, keys).select(columns))
+        both = both.unionByName(_sparse_pairs(rows, events, designs, plan, keys).select(columns))
 
     y_lo, y_hi = (F.col(f"{s}.ys")[F.col("design.y")] for s in ("lo", "hi"))
     key = F.col("design.exog")[0]

@@ -53,7 +53,6 @@ class DesignState:
     tasks: list[tuple[int, int]]  # (fit_id, seed)
     n_boot: int
     scale: np.ndarray
-    n_events: int = 0
     beta: np.ndarray = field(init=False)
     llf: np.ndarray = field(init=False)
     step: np.ndarray = field(init=False)
@@ -61,6 +60,8 @@ class DesignState:
     active: np.ndarray = field(init=False)
     moments: tuple[np.ndarray, np.ndarray] = field(init=False)
     halvings: np.ndarray = field(init=False)
+    weight: np.ndarray = field(init=False)
+    hits: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         slots = 1 + self.n_boot * len(self.tasks)
@@ -71,6 +72,7 @@ class DesignState:
         self.active = np.ones(slots, dtype=bool)
         self.moments = (np.zeros((slots, self.k)), np.zeros((slots, self.k)))
         self.halvings = np.zeros(slots, dtype=int)
+        self.weight, self.hits = np.ones(slots), np.zeros(slots)
 
     def weights(self, cluster_hash: np.ndarray, slots: np.ndarray) -> np.ndarray:
         out = np.ones((len(cluster_hash), len(slots)))
@@ -83,7 +85,7 @@ class DesignState:
 
 
 def _sums_per_batch(states: dict[tuple, DesignState], curvature: bool):
-    """mapInPandas function: partition sums of (weight, log-likelihood, gradient, curvature)."""
+    """mapInPandas function: partition sums of (weight, log-likelihood, hits, gradient, curvature)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[tuple, np.ndarray] = {}
@@ -95,7 +97,8 @@ def _sums_per_batch(states: dict[tuple, DesignState], curvature: bool):
                 slots = np.flatnonzero(state.active)
                 d = np.vstack(rows["d"].to_numpy()) / state.scale
                 h = rows["cluster_hash"].to_numpy(dtype=np.int64)
-                width = 2 + state.k + (state.k * state.k if curvature else 0)
+                first = rows["chosen_first"].to_numpy(dtype=bool)
+                width = 3 + state.k + (state.k * state.k if curvature else 0)
                 acc = totals.setdefault(tuple(key), np.zeros((len(slots), width)))
                 pairs = np.einsum("ni,nj->nij", d, d).reshape(len(d), -1)
                 block = max(1, kernel.CELLS_PER_BLOCK // max(len(d), 1))
@@ -104,7 +107,8 @@ def _sums_per_batch(states: dict[tuple, DesignState], curvature: bool):
                     w = state.weights(h, part)
                     ll = kernel.log_sigmoid(d @ state.beta[part].T)
                     p = np.exp(ll)
-                    sums = [w.sum(axis=0)[:, None], (w * ll).sum(axis=0)[:, None], (w * (1 - p)).T @ d]
+                    hit = np.where(p == 0.5, first[:, None], p > 0.5)
+                    sums = [a.sum(axis=0)[:, None] for a in (w, w * ll, w * hit)] + [(w * (1 - p)).T @ d]
                     if curvature:
                         sums.append((w * p * (1 - p)).T @ pairs)
                     acc[s : s + len(part)] += np.hstack(sums)
@@ -143,7 +147,7 @@ def _reduce(rows: DataFrame, states: dict[tuple, DesignState], curvature: bool)
 
 def _newton_update(state: DesignState, sums: np.ndarray) -> None:
     k, slots = state.k, np.flatnonzero(state.active)
-    weight, llf, grad = sums[:, 0], sums[:, 1], sums[:, 2 : 2 + k]
+    weight, llf, grad = sums[:, 0], sums[:, 1], sums[:, 3 : 3 + k]
     # A step that lowered the likelihood is taken back half-way.
     worse = (llf < state.llf[slots] - 1e-12 * np.abs(state.llf[slots])) & (state.halvings[slots] < 30)
     back = slots[worse]
@@ -155,11 +159,12 @@ def _newton_update(state: DesignState, sums: np.ndarray) -> None:
     mean_grad = np.abs(grad[go]).max(axis=1) / np.maximum(weight[go], 1.0)
     gain = llf[go] - state.llf[idx]
     state.llf[idx], state.mean_grad[idx], state.halvings[idx] = llf[go], mean_grad, 0
+    state.weight[idx], state.hits[idx] = weight[go], sums[go][:, 2]
     done = (mean_grad <= kernel.GRAD_TOL) | ((gain <= 0) & (mean_grad <= kernel.ACCEPT_TOL))
     state.active[idx[done]] = False
     idx, keep = idx[~done], ~done
     if len(idx):
-        gram = sums[go][keep][:, 2 + k :].reshape(-1, k, k)
+        gram = sums[go][keep][:, 3 + k :].reshape(-1, k, k)
         state.step[idx] = kernel.solve_newton(gram, grad[go][keep])
         state.beta[idx] += state.step[idx]
 
@@ -167,7 +172,7 @@ def _newton_update(state: DesignState, sums: np.ndarray) -> None:
 def _adam_update(state: DesignState, sums: np.ndarray, t: int, opts: AdamSettings) -> None:
     k, slots = state.k, np.flatnonzero(state.active)
     m, v = state.moments
-    grad = opts.l2 * state.beta[slots] - sums[:, 2 : 2 + k]
+    grad = opts.l2 * state.beta[slots] - sums[:, 3 : 3 + k]
     m[slots] = opts.beta1 * m[slots] + (1 - opts.beta1) * grad
     v[slots] = opts.beta2 * v[slots] + (1 - opts.beta2) * grad**2
     step = opts.learning_rate * (m[slots] / (1 - opts.beta1**t)) / (np.sqrt(v[slots] / (1 - opts.beta2**t)) + opts.eps)
@@ -236,6 +241,28 @@ def gram_rank(gram: np.ndarray) -> int:
     return int((values > tol).sum())
 
 
+def _iterate(rows: DataFrame, states: dict[tuple, DesignState], adam: AdamSettings | None = None) -> None:
+    """Passes over the data until every replicate of every sample has settled."""
+    for t in range(1, (adam.max_iter if adam else kernel.MAX_NEWTON) + 1):
+        if not any(s.active.any() for s in states.values()):
+            return
+        for key, sums in _reduce(rows, states, curvature=adam is None).items():
+            if adam:
+                _adam_update(states[key], sums, t, adam)
+            else:
+                _newton_update(states[key], sums)
+
+
+def _difference_rows(long: DataFrame) -> DataFrame:
+    first = F.col("chosen_first") if "chosen_first" in long.columns else F.lit(False)
+    return long.select(
+        *KEY,
+        F.zip_with("chosen", "other", lambda a, b: a - b).alias("d"),
+        F.xxhash64("boot").alias("cluster_hash"),
+        first.alias("chosen_first"),
+    )
+
+
 def distributed_fit(
     long: DataFrame,
     tasks: dict[tuple, list[tuple[int, int]]],
@@ -249,7 +276,7 @@ def distributed_fit(
     """
     moments = sample_moments(long)
     grams = sample_gram(long, moments)
-    rows = long.select(*KEY, F.zip_with("chosen", "other", lambda a, b: a - b).alias("d"), F.xxhash64("boot").alias("cluster_hash"))
+    rows = _difference_rows(long)
     clusters = {
         tuple(r[c] for c in KEY): r["n"]
         for r in long.groupBy(*KEY).agg(F.count_distinct("boot").alias("n")).collect()
@@ -263,17 +290,10 @@ def distributed_fit(
         if rank < len(g):
             results += [_result(key, i, rank=rank) for i, _ in tasks[key]]
             continue
-        states[key] = DesignState(len(g), list(tasks[key]), n_boot, scale, int(g["n"].iloc[0]) // 2)
+        states[key] = DesignState(len(g), list(tasks[key]), n_boot, scale)
 
     use_adam = (mode or "").strip().lower() == "adam_lite"
-    for t in range(1, (opts.max_iter if use_adam else kernel.MAX_NEWTON) + 1):
-        if not any(s.active.any() for s in states.values()):
-            break
-        for key, sums in _reduce(rows, states, curvature=not use_adam).items():
-            if use_adam:
-                _adam_update(states[key], sums, t, opts)
-            else:
-                _newton_update(states[key], sums)
+    _iterate(rows, states, opts if use_adam else None)
     if use_adam:
         for s in states.values():
             s.active[:] = False
@@ -302,3 +322,23 @@ def _result(key, fit_id, *, rank, beta=None, llf=None, error=None, betas=(), att
         "beta": beta, "llf": llf, "design_rank": int(rank), "fit_error": error,
         "boot_betas": list(betas), "boot_attempted": int(attempted), "boot_clusters": int(clusters),
     }
+
+
+def distributed_metrics(long: DataFrame, seeds: dict[int, int], n_boot: int) -> list[tuple]:
+    """(design, replicate, status, accuracy, log-likelihood per event) for steps over the size bound."""
+    tagged = long.select(F.lit("").alias("track"), F.lit("").alias("split_role"), "design_id", "boot", "chosen", "other", "chosen_first")
+    states: dict[tuple, DesignState] = {}
+    for key, g in sample_moments(tagged).groupby(list(KEY), sort=False):
+        scale = np.where((g["more"] > 0) & (g["sd"] > 0), g["sd"], 1.0)
+        design_id = int(key[2])
+        states[("", "", design_id)] = DesignState(len(g), [(design_id, seeds[design_id])], n_boot, scale)
+    _iterate(_difference_rows(tagged), states)
+    out = []
+    for (_, _, design_id), s in states.items():
+        ok = np.isfinite(s.beta).all(axis=1) & (s.mean_grad <= kernel.ACCEPT_TOL)
+        for slot in range(len(ok)):
+            if ok[slot]:
+                out.append((design_id, slot - 1, "ok", float(s.hits[slot] / s.weight[slot]), float(s.llf[slot] / s.weight[slot])))
+            else:
+                out.append((design_id, slot - 1, "fit_failed", None, None))
+    return out

@@ -197,7 +197,7 @@ def run_scan(df: DataFrame, features: Sequence[str], settings: ScanSettings, *,
         raise ValueError("no features available for scan")
     everything = DesignSet(tuple(Design(i, y, tuple(columns)) for i, y in enumerate(dict.fromkeys(y for _, y in contexts))))
     rows = row_table(df, everything, cluster=settings.bootstrap_cluster_unit)
-    events = cut_lineage(event_table(rows))
+    events = cut_lineage(event_table(rows, everything))
 
     tracks = spark.createDataFrame([(r[0],) for r in events.select("track").distinct().collect()], "track string")
     candidates, skipped = plan_candidates(df, features, settings, tracks.where("track is not null"))

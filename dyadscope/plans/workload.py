@@ -48,9 +48,12 @@ def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     located = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(
         "c_custkey",
         F.when(F.col("n_regionkey") <= 2, "primary_strict").otherwise("sensitivity_broad").alias("track"),
+        F.col("c_custkey").cast("string").alias("policy_document_id"),
+        # The role belongs to the cluster: hashed once per customer, not once per line.
+        split_role(F.col("c_custkey").cast("string")).alias("split_role"),
     )
     placed = orders.join(located, F.col("o_custkey") == F.col("c_custkey")).select(
-        "o_orderkey", "o_orderdate", "track", F.col("o_custkey").cast("string").alias("policy_document_id")
+        "o_orderkey", "o_orderdate", "track", "policy_document_id", "split_role"
     )
     return (
         lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -61,7 +64,7 @@ def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("l_orderkey").cast("string").alias("event_id"),
             F.col("l_orderkey").cast("string").alias("pair_id"),
             "policy_document_id",
-            split_role(F.col("policy_document_id")).alias("split_role"),
+            "split_role",
             (F.col("l_returnflag") == "R").cast("int").alias("y_all"),
             (F.datediff("l_shipdate", "o_orderdate") / F.lit(365.25)).alias("recency_years_alt"),
             "l_quantity",
