@@ -25,15 +25,16 @@ def _distinct_head(eligible: DataFrame, order: Sequence[Column], n: int, payload
         F.min("_key").alias("_key"), F.min_by(F.struct(*payload), "_key").alias("_row")
     )
     head = best.orderBy("_key").limit(n)
-    cuts = head.agg(F.sort_array(F.collect_list("_key"))).scalar()  # at most n keys
-    slot = F.coalesce(F.size(F.filter(cuts, lambda c: c <= F.col("_key"))), F.lit(0))
-    counts = keyed.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    ahead = counts.agg(F.collect_list(F.struct("slot", "n"))).scalar()  # at most n + 1 entries
-    place = F.size(F.filter(cuts, lambda c: c <= F.col("_key")))
+    # Scalars of at most n keys and n + 1 counts.
+    cuts = head.agg(F.sort_array(F.collect_list("_key"))).scalar()
+    slot = F.size(F.filter("_cuts", lambda c: c <= F.col("_key")))
+    counts = keyed.withColumn("_cuts", cuts).groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    ahead = counts.agg(F.collect_list(F.struct("slot", "n"))).scalar()
     before = F.aggregate(
-        F.filter(ahead, lambda e: e["slot"] < place), F.lit(0).cast("bigint"), lambda acc, e: acc + e["n"]
+        F.filter("_ahead", lambda e: e["slot"] < F.col("_place")), F.lit(0).cast("bigint"), lambda acc, e: acc + e["n"]
     )
-    return head.select((before + 1).alias("shortlist_rank"), F.col("signature").alias("shortlist_signature"), "_row.*")
+    placed = head.withColumns({"_cuts": cuts, "_ahead": ahead}).withColumn("_place", slot)
+    return placed.select((before + 1).alias("shortlist_rank"), F.col("signature").alias("shortlist_signature"), "_row.*")
 
 
 def _inf(c: str) -> Column:

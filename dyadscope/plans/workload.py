@@ -78,3 +78,120 @@ def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("s_acctbal").alias("ext__s_acctbal"),
         )
     )
+
+
+def wide_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Choices with outcome windows beside the base outcome."""
+    from dyadscope.operators.prepare import add_window_outcomes
+
+    return add_window_outcomes(choices(spark, sf_dir), (1, 3, 5))[0]
+
+
+def _located_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax", "l_returnflag", "l_linestatus"
+    )
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
+    located = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "c_custkey",
+        F.when(F.col("n_regionkey") <= 2, "primary_strict").otherwise("sensitivity_broad").alias("track"),
+        split_role(F.col("c_custkey").cast("string")).alias("split_role"),
+    )
+    placed = orders.join(located, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "track", "split_role")
+    kind = F.lower("p_type")
+    brand = F.lower(F.replace("p_brand", F.lit("#"), F.lit("_")))
+    factor = (
+        F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("pa__"), kind))
+        .when(F.col("p_size") % 4 == 1, F.concat(F.lit("ext__"), brand))
+        .when(F.col("p_size") % 4 == 2, F.concat(F.lit("expr__sq__pa__"), kind))
+        .otherwise(F.concat(F.lit("expr__ratio__pa__"), kind, F.lit("__over__ext__"), brand))
+    )
+    return (
+        lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .withColumns(
+            {
+                "context_scope": F.when(F.col("l_linestatus") == "O", "all_contexts").otherwise("within_window"),
+                "y_col": F.when(F.col("l_linestatus") == "O", "y_all").otherwise("y_5y"),
+                "spec_id": F.concat(F.lit("spec_"), F.lower("l_returnflag")),
+                "key_factor": factor,
+            }
+        )
+    )
+
+
+def scan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in for stored scan rows: one per candidate, split and restart, folded from all lines."""
+    keys = ["track", "split_role", "restart_id", "context_scope", "y_col", "spec_id", "key_factor"]
+    lines = _located_lines(spark, sf_dir).withColumn("restart_id", (F.col("l_suppkey") % 5 + 1).cast("int"))
+    folded = lines.groupBy(*keys).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("s"), F.count(F.lit(1)).alias("n"))
+    s = F.col("s")
+    ok = s % 7 != 0
+    family = F.concat_ws("|", "track", "context_scope", "y_col", "spec_id")
+    return folded.select(
+        *keys,
+        F.col("key_factor").alias("control_set"),
+        family.alias("fdr_family_id"),
+        F.concat_ws("|", family, "key_factor").alias("candidate_id"),
+        F.when(ok, "ok").otherwise("not_estimable_low_events").alias("status"),
+        F.when(ok, ((s % 97) * (s % 97) + 1) / F.lit(9500.0)).alias("p_boot"),
+        F.when(ok, (s % 201 - 100) / F.lit(50.0)).alias("beta"),
+        F.when(ok, -(s % 1000) / F.lit(10.0)).alias("score"),
+        F.col("n").cast("int").alias("bootstrap_success"),
+        F.col("n").cast("int").alias("candidate_eval_order"),
+    )
+
+
+def top_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan rows with q, both splits side by side, and tiers."""
+    from dyadscope.operators.inference import assign_tiers, attach_validation_q, pair_splits
+
+    identity = ("track", "context_scope", "y_col", "spec_id", "key_factor", "control_set", "fdr_family_id")
+    scan = attach_validation_q(scan_rows(spark, sf_dir), keys=("restart_id",))
+    return assign_tiers(pair_splits(scan, ("restart_id", "candidate_id"), identity, ("status", "p_boot", "beta", "score")))
+
+
+def inference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in for the inference outputs of many runs: one row per line, the supplier is the run."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    a, b = cents % 97, (cents + F.col("l_partkey")) % 97
+    n = F.col("l_linenumber")
+    branch = F.element_at(
+        F.array(*[F.lit(x) for x in ("__nooption_baseline", "__singlex", "__nooption_hypothesis_panel", "__openexplore")]),
+        (F.col("l_suppkey") % 4 + 1).cast("int"),
+    )
+    return _located_lines(spark, sf_dir).select(
+        F.concat(F.lit("r"), F.floor(F.col("l_suppkey") / 4).cast("bigint").cast("string"), branch).alias("run_id"),
+        F.when(F.col("l_suppkey") % 4 == 0, "nooption_baseline")
+        .when(F.col("l_suppkey") % 4 == 1, "singlex_baseline")
+        .when(F.col("l_suppkey") % 4 == 2, "nooption_hypothesis_panel")
+        .otherwise("openexplore")
+        .alias("mode"),
+        F.concat_ws("|", "track", "context_scope", "y_col", "spec_id", "key_factor").alias("candidate_id"),
+        "track", "context_scope", "y_col", "spec_id", "key_factor",
+        F.when(n == 1, "").when(n == 2, "not_estimable_low_events").when(n == 3, " Passed").otherwise("ok").alias("status_validation"),
+        F.when(F.col("l_quantity").cast("bigint") % 3 == 0, "validated_candidate")
+        .when(F.col("l_quantity").cast("bigint") % 3 == 1, "support_candidate")
+        .otherwise("exploratory")
+        .alias("candidate_tier"),
+        F.when(n != 7, (a * a + 1) / F.lit(9500.0)).alias("p_boot_validation"),
+        F.when(n != 6, (b * b + 1) / F.lit(9500.0)).alias("q_value_validation"),
+        (F.col("l_tax") * 10).alias("validated_rate_restart"),
+    )
+
+
+def run_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in for run entries: one per event row, the user is the run, the event type its state."""
+    e = table(spark, sf_dir, "events")
+    kind = F.col("event_type")
+    suffix = F.when(F.col("user_id") % 3 == 0, "__nooption_baseline").when(F.col("user_id") % 3 == 1, "__singlex").otherwise("_openexplore")
+    return e.select(
+        F.concat(F.lit("run"), F.col("user_id").cast("string"), suffix).alias("run_id"),
+        F.when(kind == "view", "queued").when(kind == "click", "running").when(kind == "purchase", "ok").when(kind == "error", "error").otherwise("canceled").alias("status"),
+        F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated_at"),
+        F.col("event_id").alias("source_order"),
+        (F.col("value") > 20).cast("int").alias("has_result"),
+    )

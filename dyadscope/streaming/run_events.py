@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -34,11 +34,16 @@ def is_legal(before: Column, after: Column) -> Column:
     return ok
 
 
-def _versions(folder: str) -> list[int]:
-    if not os.path.isdir(folder):
-        return []
-    done = [d for d in os.listdir(folder) if d.startswith("v=") and os.path.exists(os.path.join(folder, d, "_SUCCESS"))]
-    return sorted(int(d[2:]) for d in done)
+def _newest_version(spark: SparkSession, table: str, below: int | None = None) -> DataFrame | None:
+    """The newest stored version of the status table, or the newest before a batch number."""
+    try:
+        stored = spark.read.option("basePath", table).parquet(table)
+    except AnalysisException:  # nothing written yet
+        return None
+    if below is not None:
+        stored = stored.where(F.col("v") < below)
+    newest = stored.agg(F.max("v")).first()[0]
+    return None if newest is None else stored.where(F.col("v") == newest).drop("v")
 
 
 def latest_status(events: DataFrame) -> DataFrame:
@@ -96,17 +101,16 @@ def maintain_status(events: DataFrame, table: str, checkpoint: str) -> Streaming
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        older = [v for v in _versions(table) if v < batch_id]
-        current = spark.read.parquet(os.path.join(table, f"v={older[-1]}")) if older else None
-        fold_status(current, batch).write.mode("overwrite").parquet(os.path.join(table, f"v={batch_id}"))
+        current = _newest_version(spark, table, below=batch_id)
+        fold_status(current, batch).write.mode("overwrite").parquet(f"{table}/v={batch_id}")
 
     return (
         events.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def read_status(spark: SparkSession, table: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(table, f"v={_versions(table)[-1]}"))
+def read_status(spark: SparkSession, table: str) -> DataFrame | None:
+    return _newest_version(spark, table)
 
 
 def maintain_explorer(inference: DataFrame, store: str, checkpoint: str, publish: Callable[[DataFrame, DataFrame], None], *, q_threshold: float = 0.10) -> StreamingQuery:
@@ -118,7 +122,7 @@ def maintain_explorer(inference: DataFrame, store: str, checkpoint: str, publish
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(os.path.join(store, f"batch={batch_id}"))
+        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
         rows = explore.usable_rows(spark.read.option("basePath", store).parquet(store), q_threshold=q_threshold)
         publish(explore.combinations(rows), explore.factors(rows))
 
