@@ -51,37 +51,56 @@ def usable_rows(rows: DataFrame, *, q_threshold: float = 0.10) -> DataFrame:
     )
 
 
-def _share(flag: Column) -> Column:
-    return F.count_if(flag) / F.count(F.lit(1))
+def _evidence(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Counts, distinct runs, best values, means and medians per key.
+
+    Rows are folded to one per (key, run) first, so distinct runs are a plain count and a key that
+    most rows share is spread over its runs. Medians come from counted distinct values.
+    """
+    per_run = rows.groupBy(*keys, "run_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("q").alias("q"),
+        F.min("p").alias("p"),
+        F.sum("restart_rate").alias("rate"),
+        F.count("restart_rate").alias("rated"),
+        F.count_if("strong").alias("strong"),
+        F.count_if(F.col("tier") == VALIDATED).alias("validated"),
+        F.count_if(F.col("tier").isin(VALIDATED, SUPPORT)).alias("supported"),
+    )
+    n = F.sum("n")
+    stats = per_run.groupBy(*keys).agg(
+        n.alias("n_rows"),
+        F.count(F.lit(1)).alias("n_runs"),
+        F.min("q").alias("q_best"),
+        F.min("p").alias("p_best"),
+        (F.sum("rate") / F.nullif(F.sum("rated"), F.lit(0))).alias("restart_mean"),
+        (F.sum("strong") / n).alias("strong_share_q"),
+        (F.sum("validated") / n).alias("validated_share"),
+        (F.sum("supported") / n).alias("support_or_better_share"),
+    )
+    values = rows.select(*keys, F.inline(F.array(*[F.struct(F.lit(i).alias("which"), F.col(c).alias("v")) for i, c in enumerate("qp")])))
+    counted = values.where("v is not null").groupBy(*keys, "which", "v").agg(F.count(F.lit(1)).alias("n"))
+    medians = counted.groupBy(*keys).agg(
+        *[
+            F.percentile(F.when(F.col("which") == i, F.col("v")), F.lit(0.5), F.when(F.col("which") == i, F.col("n")).otherwise(0)).alias(f"{c}_median")
+            for i, c in enumerate("qp")
+        ]
+    )
+    return stats.join(medians, list(keys), "left")
 
 
 def combinations(rows: DataFrame) -> DataFrame:
     """Evidence per (track, context, outcome, spec, factor) over all runs."""
     dashed = rows.withColumns({c: F.when(F.col(c) == "", "-").otherwise(F.col(c)) for c in COMBO})
-    stats = dashed.groupBy(*COMBO).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_distinct("run_id").alias("n_runs"),
-        F.min("q").alias("q_best"),
-        F.median("q").alias("q_median"),
-        F.min("p").alias("p_best"),
-        F.median("p").alias("p_median"),
-        F.avg("restart_rate").alias("restart_mean"),
-        _share(F.col("strong")).alias("strong_share_q"),
-        _share(F.col("tier") == VALIDATED).alias("validated_share"),
-        _share(F.col("tier").isin(VALIDATED, SUPPORT)).alias("support_or_better_share"),
+    return _evidence(dashed, COMBO).select(
+        F.concat_ws("|", *COMBO).alias("combo_id"), *COMBO, "n_rows", "n_runs", "q_best", "q_median", "p_best", "p_median", "restart_mean",
+        "strong_share_q", "validated_share", "support_or_better_share",
     )
-    return stats.select(F.concat_ws("|", *COMBO).alias("combo_id"), "*")
 
 
 def factors(rows: DataFrame) -> DataFrame:
-    return rows.where("key_factor <> ''").groupBy("key_factor").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_distinct("run_id").alias("n_runs"),
-        F.min("q").alias("q_best"),
-        F.median("q").alias("q_median"),
-        F.min("p").alias("p_best"),
-        _share(F.col("strong")).alias("strong_share_q"),
-        _share(F.col("tier") == VALIDATED).alias("validated_share"),
+    return _evidence(rows.where("key_factor <> ''"), ("key_factor",)).select(
+        "key_factor", "n_rows", "n_runs", "q_best", "q_median", "p_best", "strong_share_q", "validated_share"
     )
 
 

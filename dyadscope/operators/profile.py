@@ -57,15 +57,18 @@ def _time(col: Column) -> Column:
 def column_profile(df: DataFrame) -> DataFrame:
     """One row per column: fill, distinct values, kind, and for numbers range, moments and flags.
 
-    Everything comes from one aggregate over the whole table. Distinct counts are exact.
+    One aggregate over the whole table, and one over (column, value) for the exact distinct counts;
+    values repeated within a task are combined before they are shuffled.
     """
     fields = [f for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
     aggs: list[Column] = [F.count(F.lit(1)).alias("n_rows")]
+    cells: list[Column] = []
     for i, f in enumerate(fields):
         col = F.col(f"`{f.name}`")
         kind = _kind(f.dataType)
         known = F.when(~F.isnan(col), col) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else col
-        aggs += [F.count(known).alias(f"k{i}"), F.count_distinct(known).alias(f"u{i}")]
+        aggs.append(F.count(known).alias(f"k{i}"))
+        cells.append(F.struct(F.lit(i).alias("i"), F.when(known == 0, F.lit("0")).otherwise(known.cast("string")).alias("v") if kind == "numeric" else known.cast("string").alias("v")))
         if kind in ("numeric", "bool"):
             x = _number(f)
             aggs += [
@@ -77,11 +80,15 @@ def column_profile(df: DataFrame) -> DataFrame:
         elif kind == "string":
             dated = col.rlike(r"\d{4}[-/]\d{1,2}[-/]\d{1,2}") | (F.contains(col, F.lit("T")) & F.contains(col, F.lit(":")))
             aggs += [F.count(F.when(dated, _time(col))).alias(f"time{i}")]
-    wide = df.agg(*aggs)
+    values = df.select(F.inline(F.array(*cells))).where("v is not null").groupBy("i", "v").agg(F.lit(1).alias("_"))
+    distinct = values.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    unique_of = distinct.agg(F.map_from_entries(F.collect_list(F.struct("i", "n")))).scalar()  # one entry per column
+    wide = df.agg(*aggs).withColumn("uniques", unique_of)
 
     def entry(i: int, f: T.StructField) -> Column:
         kind = _kind(f.dataType)
-        known, unique = F.col(f"k{i}"), F.col(f"u{i}")
+        known = F.col(f"k{i}")
+        unique = F.coalesce(F.try_element_at("uniques", F.lit(i)), F.lit(0).cast("bigint"))
         group = F.lit(kind)
         if kind == "string":
             group = F.when((known > 0) & (F.col(f"time{i}") / known >= 0.95), "datetime_like").otherwise("string")

@@ -103,6 +103,47 @@ def value_extent(df: DataFrame, features: dict[str, Column]) -> DataFrame:
     return _union(parts)
 
 
+def column_metrics(df: DataFrame, columns: Sequence[str], event: str = "event_id") -> DataFrame:
+    """Variation metrics and value extent together, in two passes over the table.
+
+    The first pass folds rows per event and events to one row of numbers; the second looks for
+    a value strictly between the extremes found. What comes back is one row per column.
+    """
+    rows = []
+    for chunk in _chunks(list(columns)):
+        span = range(len(chunk))
+        cells = df.select(event, *[as_number(F.col(c)).alias(f"x{i}") for i, c in enumerate(chunk)])
+        per_event = cells.groupBy(event).agg(
+            F.count(F.lit(1)).alias("n"),
+            *[f(f"x{i}").alias(f"{name}{i}") for i in span for name, f in (("k", F.count), ("lo", F.min), ("hi", F.max))],
+        )
+        two = F.col("n") == 2
+        first = per_event.agg(
+            F.count_if(two).alias("n_two"),
+            *[F.count_if(two & (F.col(f"k{i}") == 2)).alias(f"known{i}") for i in span],
+            *[F.count_if(two & (F.col(f"k{i}") == 2) & (F.col(f"lo{i}") != F.col(f"hi{i}"))).alias(f"vary{i}") for i in span],
+            *[F.sum(f"k{i}").alias(f"count{i}") for i in span],
+            *[F.min(f"lo{i}").alias(f"min{i}") for i in span],
+            *[F.max(f"hi{i}").alias(f"max{i}") for i in span],
+        ).first()
+        spread = [i for i in span if first[f"min{i}"] is not None and first[f"min{i}"] < first[f"max{i}"]]
+        inside = [F.count_if((F.col(f"x{i}") > first[f"min{i}"]) & (F.col(f"x{i}") < first[f"max{i}"])).alias(f"m{i}") for i in spread]
+        between = cells.agg(*inside).first() if inside else {}
+        for i, c in enumerate(chunk):
+            known, vary, two_alt = first[f"known{i}"], first[f"vary{i}"], first["n_two"]
+            rows.append(
+                (
+                    c, first[f"count{i}"] or 0, first[f"min{i}"], first[f"max{i}"], int(i in spread and between[f"m{i}"] > 0),
+                    two_alt, known, vary, vary / known if known else 0.0, known / two_alt if two_alt else 0.0,
+                )
+            )
+    return df.sparkSession.createDataFrame(
+        rows,
+        "feature_name string, nonmissing_count bigint, min_value double, max_value double, more_than_two int, n_two_alt_events bigint, "
+        "n_events_nonmissing bigint, n_events_with_variation bigint, share_variation double, share_nonmissing double",
+    )
+
+
 def build_registry(
     df: DataFrame,
     *,
@@ -115,12 +156,9 @@ def build_registry(
     """Registry rows for every numeric column that could be a key factor, with block reasons."""
     wanted = [c for c in sorted(columns if columns is not None else df.columns) if c not in skip]
     wanted = [c for c in wanted if not any(t in c.lower() for t in names.OUTCOME_TOKENS)]
-    cols = {c: F.col(c) for c in wanted}
-    extent = value_extent(df, cols).where(
+    rows = column_metrics(df, wanted).where(
         (F.col("nonmissing_count") >= MIN_NONMISSING) & (F.col("min_value") < F.col("max_value"))
     )
-    # Both sides have one row per column of the table.
-    rows = extent.join(variation_metrics(df, cols), "feature_name")
     name = F.col("feature_name")
     label = timing(name)
     reasons = F.array_compact(

@@ -78,9 +78,7 @@ def plan_candidates(
     `tracks` gives the distinct tracks where they are known already.
     """
     spark = df.sparkSession
-    missing = [c for c in settings.fixed_regressors if c not in df.columns]
-    if missing:
-        raise ValueError(f"fixed regressors missing in data: {missing}")
+    _require_fixed(df, settings)
     contexts = spark.createDataFrame(
         [(i, s, y) for i, (s, y) in enumerate(settings.contexts)], "position int, context_scope string, y_col string"
     )
@@ -130,6 +128,12 @@ def plan_candidates(
     return marked, skipped.unionByName(duplicates, allowMissingColumns=True)
 
 
+def _require_fixed(df: DataFrame, settings: ScanSettings) -> None:
+    missing = [c for c in settings.fixed_regressors if c not in df.columns]
+    if missing:
+        raise ValueError(f"fixed regressors missing in data: {missing}")
+
+
 def _valid_contexts(df: DataFrame, settings: ScanSettings) -> list[tuple[str, str]]:
     named = dict.fromkeys((s.strip(), y.strip()) for s, y in settings.contexts)
     return [(s, y) for s, y in named if s and y in df.columns]
@@ -187,6 +191,7 @@ def run_scan(df: DataFrame, features: Sequence[str], settings: ScanSettings, *,
     settings = settings.checked()
     spark: SparkSession = df.sparkSession
     ship_package(spark)
+    _require_fixed(df, settings)
     contexts = _valid_contexts(df, settings)
     used = list(dict.fromkeys(f for f in features if f in df.columns))
     controls = [c for _, cs in cand.control_specs(settings, df.columns) for c in cs]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dyadscope.functions.hashing import unit_score
 from dyadscope.operators.split import DEFAULT_SEED, role_by_score
+from dyadscope.session import cut_lineage
 
 FEATURES = (
     "recency_years_alt",
@@ -56,7 +57,9 @@ def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", "o_orderdate", "track", "policy_document_id", "split_role"
     )
     return (
-        lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
+        # Both sides are fact-sized: a sort-merge join, or small files would make one side a broadcast
+        # that is probed by a single task.
+        lines.hint("merge").join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
         .select(
@@ -110,7 +113,7 @@ def _located_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("expr__ratio__pa__"), kind, F.lit("__over__ext__"), brand))
     )
     return (
-        lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
+        lines.hint("merge").join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .withColumns(
             {
@@ -127,7 +130,7 @@ def scan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in for stored scan rows: one per candidate, split and restart, folded from all lines."""
     keys = ["track", "split_role", "restart_id", "context_scope", "y_col", "spec_id", "key_factor"]
     lines = _located_lines(spark, sf_dir).withColumn("restart_id", (F.col("l_suppkey") % 5 + 1).cast("int"))
-    folded = lines.groupBy(*keys).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("s"), F.count(F.lit(1)).alias("n"))
+    folded = lines.groupBy(*keys).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("s"))
     s = F.col("s")
     ok = s % 7 != 0
     family = F.concat_ws("|", "track", "context_scope", "y_col", "spec_id")
@@ -140,8 +143,6 @@ def scan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(ok, ((s % 97) * (s % 97) + 1) / F.lit(9500.0)).alias("p_boot"),
         F.when(ok, (s % 201 - 100) / F.lit(50.0)).alias("beta"),
         F.when(ok, -(s % 1000) / F.lit(10.0)).alias("score"),
-        F.col("n").cast("int").alias("bootstrap_success"),
-        F.col("n").cast("int").alias("candidate_eval_order"),
     )
 
 
@@ -150,7 +151,8 @@ def top_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dyadscope.operators.inference import assign_tiers, attach_validation_q, pair_splits
 
     identity = ("track", "context_scope", "y_col", "spec_id", "key_factor", "control_set", "fdr_family_id")
-    scan = attach_validation_q(scan_rows(spark, sf_dir), keys=("restart_id",))
+    # Stored results are a table on disk; here the fold over the lines is written out once.
+    scan = attach_validation_q(cut_lineage(scan_rows(spark, sf_dir)), keys=("restart_id",))
     return assign_tiers(pair_splits(scan, ("restart_id", "candidate_id"), identity, ("status", "p_boot", "beta", "score")))
 
 
