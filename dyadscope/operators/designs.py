@@ -8,7 +8,7 @@ rows becomes usable when nulls leave exactly two.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -49,13 +49,17 @@ class DesignSet:
     def x_cols(self) -> list[str]:
         return list(self.regressors or dict.fromkeys(c for d in self.designs for c in d.exog))
 
-    def as_column(self, keep: Sequence[int] | None = None) -> Column:
-        """Constant array column of the designs; its size is set by the plan, not the data."""
+    def indexed(self) -> dict[int, tuple[int, list[int]]]:
+        """design_id -> (outcome index, regressor indices)."""
         ys, xs = self.y_cols, self.x_cols
+        return {d.design_id: (ys.index(d.y_col), [xs.index(c) for c in d.exog]) for d in self.designs}
+
+    def as_column(self, keep: Collection[int] | None = None) -> Column:
+        """Constant array column of the designs; its size is set by the plan, not the data."""
         rows = [
-            {"design_id": d.design_id, "y": ys.index(d.y_col), "exog": [xs.index(c) for c in d.exog]}
-            for d in self.designs
-            if keep is None or d.design_id in keep
+            {"design_id": i, "y": y, "exog": exog}
+            for i, (y, exog) in self.indexed().items()
+            if keep is None or i in keep
         ]
         return F.from_json(F.lit(json.dumps(rows)), DESIGN_SCHEMA)
 
@@ -148,7 +152,7 @@ def event_table(rows: DataFrame, designs: DesignSet, keys: Sequence[str] = KEYS)
     )
 
 
-def _sparse_pairs(rows: DataFrame, events: DataFrame, designs: DesignSet, plan: Column, keys: Sequence[str]) -> DataFrame:
+def sparse_pairs(rows: DataFrame, events: DataFrame, designs: DesignSet, plan: Column, keys: Sequence[str]) -> DataFrame:
     """Two usable rows per (event, design) for events with more than two rows.
 
     Rows are first folded per null pattern, then per design over the patterns it tolerates. Both
@@ -181,7 +185,7 @@ def design_pairs(
     *,
     keys: Sequence[str] = KEYS,
     require_variation: bool = True,
-    keep: Sequence[int] | None = None,
+    keep: Collection[int] | None = None,
     sparse: bool | None = None,
 ) -> DataFrame:
     """Long table, one row per (event, design) usable for the design: chosen and other vectors.
@@ -195,7 +199,7 @@ def design_pairs(
     columns = [*keys, "event_id", *PAIR_COLUMNS, "design"]
     both = events.where("n = 2").withColumn("design", F.explode(plan)).select(columns)
     if sparse:
-        both = both.unionByName(_sparse_pairs(rows, events, designs, plan, keys).select(columns))
+        both = both.unionByName(sparse_pairs(rows, events, designs, plan, keys).select(columns))
 
     y_lo, y_hi = (F.col(f"{s}.ys")[F.col("design.y")] for s in ("lo", "hi"))
     key = F.col("design.exog")[0]

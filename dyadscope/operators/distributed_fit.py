@@ -1,6 +1,7 @@
 """Conditional logit and bootstrap for samples too large for one task.
 
-The data stay partitioned as they are. Every pass sends the current coefficients out (designs x
+The event table stays partitioned as it is, and is never multiplied by designs: a task derives the
+differences of each design from the two rows of its events, batch by batch. Every pass sends the current coefficients out (designs x
 replicates x regressors numbers, set by the plan) and brings back summed gradients and curvatures
 of the same size; rows never move. Replicate weights are Poisson(1) draws computed from
 (seed, replicate, cluster hash) wherever the row happens to be, so clusters need no shuffle and a
@@ -10,12 +11,12 @@ this size the Poisson and the fixed-size cluster bootstrap agree to O(1/clusters
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dyadscope.operators import fit as kernel
@@ -23,6 +24,69 @@ from dyadscope.settings import AdamSettings
 
 KEY = ("track", "split_role", "design_id")
 PARTIAL_SCHEMA = "track string, split_role string, design_id int, slot int, pos int, value double"
+ALL_DESIGNS = -1
+
+
+def fit_rows(events: DataFrame, sparse_pairs: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """Narrow numeric rows of the events: packed outcomes, regressors, cluster hash.
+
+    `keys` are the one or two columns that separate samples. Rows of `sparse_pairs` hold for one
+    design only.
+    """
+
+    def narrow(df: DataFrame, only: Column) -> DataFrame:
+        names = [F.col(k) for k in keys] + [F.lit("")] * (2 - len(keys))
+        return df.select(
+            names[0].alias("track"), names[1].alias("split_role"), only.cast("int").alias("only"), F.xxhash64("boot").alias("cluster_hash"),
+            *[F.col(f"{side}.{part}").alias(f"{side}_{part}") for side in ("lo", "hi") for part in ("ys", "xs", "place")],
+        )
+
+    rows = narrow(events.where("n = 2"), F.lit(ALL_DESIGNS))
+    return rows if sparse_pairs is None else rows.unionByName(narrow(sparse_pairs, F.col("design.design_id")))
+
+
+@dataclass(frozen=True)
+class Pairs:
+    """One design's usable events in a batch."""
+
+    chosen: np.ndarray
+    other: np.ndarray
+    cluster_hash: np.ndarray
+    chosen_first: np.ndarray
+
+    @property
+    def d(self) -> np.ndarray:
+        return self.chosen - self.other
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.vstack(column.to_numpy()).astype(float)
+
+
+def batch_pairs(batch: pd.DataFrame, plan: dict[tuple, list[tuple[int, int, list[int]]]], vary: bool) -> Iterator[tuple[tuple, Pairs]]:
+    """(sample key, usable events) for each sample in a batch; plan: (track, split) -> [(design, y, regressors)]."""
+    for (track, role), rows in batch.groupby(["track", "split_role"], sort=False):
+        designs = plan.get((track, role), [])
+        if not designs:
+            continue
+        lo_y, hi_y, lo_x, hi_x = (_matrix(rows[c]) for c in ("lo_ys", "hi_ys", "lo_xs", "hi_xs"))
+        only, h = rows["only"].to_numpy(), rows["cluster_hash"].to_numpy(dtype=np.int64)
+        order = rows["lo_place"].to_numpy(dtype=float) - rows["hi_place"].to_numpy(dtype=float)
+        for design_id, y, exog in designs:
+            a, b = lo_x[:, exog], hi_x[:, exog]
+            use = (only == ALL_DESIGNS) | (only == design_id)
+            use &= np.trunc(lo_y[:, y] + hi_y[:, y]) == 1
+            use &= np.isfinite(a).all(axis=1) & np.isfinite(b).all(axis=1)
+            if vary:
+                use &= a[:, 0] != b[:, 0]
+            if not use.any():
+                continue
+            high = (hi_y[:, y] > lo_y[:, y])[use]
+            pos, neg = np.where(high[:, None], b[use], a[use]), np.where(high[:, None], a[use], b[use])
+            gap = order[use]
+            yield (track, role, design_id), Pairs(pos, neg, h[use], np.where(high, gap >= 0, gap <= 0))
+
+
 # Cumulative Poisson(1) probabilities for 0..11 events; the tail beyond is below 1e-9.
 _TERMS = np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1.0, 12.0)]))
 POISSON_CDF = np.cumsum(_TERMS)
@@ -84,65 +148,72 @@ class DesignState:
         return out
 
 
-def _sums_per_batch(states: dict[tuple, DesignState], curvature: bool):
-    """mapInPandas function: partition sums of (weight, log-likelihood, hits, gradient, curvature)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[tuple, np.ndarray] = {}
-        for batch in batches:
-            for key, rows in batch.groupby(list(KEY), sort=False):
-                state = states.get(tuple(key))
-                if state is None or not state.active.any():
-                    continue
-                slots = np.flatnonzero(state.active)
-                d = np.vstack(rows["d"].to_numpy()) / state.scale
-                h = rows["cluster_hash"].to_numpy(dtype=np.int64)
-                first = rows["chosen_first"].to_numpy(dtype=bool)
-                width = 3 + state.k + (state.k * state.k if curvature else 0)
-                acc = totals.setdefault(tuple(key), np.zeros((len(slots), width)))
-                pairs = np.einsum("ni,nj->nij", d, d).reshape(len(d), -1)
-                block = max(1, kernel.CELLS_PER_BLOCK // max(len(d), 1))
-                for s in range(0, len(slots), block):
-                    part = slots[s : s + block]
-                    w = state.weights(h, part)
-                    ll = kernel.log_sigmoid(d @ state.beta[part].T)
-                    p = np.exp(ll)
-                    hit = np.where(p == 0.5, first[:, None], p > 0.5)
-                    sums = [a.sum(axis=0)[:, None] for a in (w, w * ll, w * hit)] + [(w * (1 - p)).T @ d]
-                    if curvature:
-                        sums.append((w * p * (1 - p)).T @ pairs)
-                    acc[s : s + len(part)] += np.hstack(sums)
-        for key, acc in totals.items():
-            slots = np.flatnonzero(states[key].active)
-            n, width = acc.shape
-            yield pd.DataFrame(
-                {
-                    "track": key[0],
-                    "split_role": key[1],
-                    "design_id": key[2],
-                    "slot": np.repeat(slots, width),
-                    "pos": np.tile(np.arange(width), n),
-                    "value": acc.ravel(),
-                }
-            )
-
-    return run
-
-
-def _reduce(rows: DataFrame, states: dict[tuple, DesignState], curvature: bool) -> dict[tuple, np.ndarray]:
-    """Total sums per active slot; the result has the size of the plan, not of the data."""
-    partial = rows.mapInPandas(_sums_per_batch(states, curvature), PARTIAL_SCHEMA)
-    total = partial.groupBy(*KEY, "slot", "pos").agg(F.sum("value").alias("value")).toPandas()
-    out: dict[tuple, np.ndarray] = {}
-    for key, part in total.groupby(list(KEY), sort=False):
-        state = states[tuple(key)]
-        index = np.full(len(state.active), -1)
+@dataclass(frozen=True)
+class Sample:
+    """Where the rows are and which designs each (track, split) has."""
+
+    rows: DataFrame
+    plan: dict[tuple, list[tuple[int, int, list[int]]]]
+    vary: bool = True
+
+    def totals(self, kernel_sums: Callable[[tuple, Pairs], np.ndarray | None], how: str = "sum") -> dict[tuple, np.ndarray]:
+        """Reduce per-batch arrays (slots x positions) over the whole table, per sample key.
+
+        Partitions add up their batches first; what is shuffled and read back has the size of
+        the plan.
+        """
+        plan, vary = self.plan, self.vary
+        combine = {"sum": np.add, "min": np.minimum, "max": np.maximum}[how]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            acc: dict[tuple, np.ndarray] = {}
+            for batch in batches:
+                for key, pairs in batch_pairs(batch, plan, vary):
+                    part = kernel_sums(key, pairs)
+                    if part is not None:
+                        acc[key] = combine(acc[key], part) if key in acc else part
+            for (track, role, design_id), arr in acc.items():
+                n, width = arr.shape
+                yield pd.DataFrame(
+                    {"track": track, "split_role": role, "design_id": design_id, "slot": np.repeat(np.arange(n), width),
+                     "pos": np.tile(np.arange(width), n), "value": arr.ravel()}
+                )
+
+        fold = {"sum": F.sum, "min": F.min, "max": F.max}[how]
+        total = self.rows.mapInPandas(run, PARTIAL_SCHEMA).groupBy(*KEY, "slot", "pos").agg(fold("value").alias("value")).toPandas()
+        out: dict[tuple, np.ndarray] = {}
+        for key, part in total.groupby(list(KEY), sort=False):
+            arr = np.zeros((int(part["slot"].max()) + 1, int(part["pos"].max()) + 1))
+            arr[part["slot"].to_numpy(), part["pos"].to_numpy()] = part["value"].to_numpy()
+            out[(key[0], key[1], int(key[2]))] = arr
+        return out
+
+
+def _replicate_sums(states: dict[tuple, DesignState], curvature: bool) -> Callable[[tuple, Pairs], np.ndarray | None]:
+    """Per active replicate: weight, log-likelihood, hits, gradient, and the curvature when asked for."""
+
+    def sums(key: tuple, pairs: Pairs) -> np.ndarray | None:
+        state = states.get(key)
+        if state is None or not state.active.any():
+            return None
         slots = np.flatnonzero(state.active)
-        index[slots] = np.arange(len(slots))
-        arr = np.zeros((len(slots), int(part["pos"].max()) + 1))
-        arr[index[part["slot"].to_numpy()], part["pos"].to_numpy()] = part["value"].to_numpy()
-        out[tuple(key)] = arr
-    return out
+        d = pairs.d / state.scale
+        products = np.einsum("ni,nj->nij", d, d).reshape(len(d), -1)
+        block = max(1, kernel.CELLS_PER_BLOCK // max(len(d), 1))
+        parts = []
+        for s in range(0, len(slots), block):
+            part = slots[s : s + block]
+            w = state.weights(pairs.cluster_hash, part)
+            ll = kernel.log_sigmoid(d @ state.beta[part].T)
+            p = np.exp(ll)
+            hit = np.where(p == 0.5, pairs.chosen_first[:, None], p > 0.5)
+            cols = [x.sum(axis=0)[:, None] for x in (w, w * ll, w * hit)] + [(w * (1 - p)).T @ d]
+            if curvature:
+                cols.append((w * p * (1 - p)).T @ products)
+            parts.append(np.hstack(cols))
+        return np.vstack(parts)
+
+    return sums
 
 
 def _newton_update(state: DesignState, sums: np.ndarray) -> None:
@@ -182,56 +253,43 @@ def _adam_update(state: DesignState, sums: np.ndarray, t: int, opts: AdamSetting
         state.active[slots[np.linalg.norm(step, axis=1) <= opts.tol]] = False
 
 
-def sample_moments(long: DataFrame) -> pd.DataFrame:
-    """Per sample and regressor, over both alternatives: mean, population sd, more than two values?"""
-    levels = long.select(*KEY, F.explode(F.array("chosen", "other")).alias("x")).select(
-        *KEY, F.posexplode("x").alias("pos", "v")
-    )
-    first = levels.groupBy(*KEY, "pos").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("v").alias("mean"),
-        F.stddev_pop("v").alias("sd"),
-        F.min("v").alias("lo"),
-        F.max("v").alias("hi"),
-    )
-    # One row per sample and regressor: the plan bounds this broadcast.
-    third = (
-        levels.join(F.broadcast(first.select(*KEY, "pos", "lo", "hi")), [*KEY, "pos"])
-        .groupBy(*KEY, "pos")
-        .agg(F.max(((F.col("v") != F.col("lo")) & (F.col("v") != F.col("hi"))).cast("int")).alias("more"))
-    )
-    return first.join(third, [*KEY, "pos"]).orderBy(*KEY, "pos").toPandas()
-
-
-def sample_gram(long: DataFrame, moments: pd.DataFrame) -> dict[tuple, np.ndarray]:
-    """Cross-products of the standardised levels, for the rank check."""
-    shifts = {
-        tuple(key): (
-            np.where(g["more"] > 0, g["mean"], 0.0),
-            np.where((g["more"] > 0) & (g["sd"] > 0), g["sd"], 1.0),
-        )
-        for key, g in moments.groupby(list(KEY), sort=False)
-    }
+@dataclass
+class Moments:
+    """Both alternatives of every usable event: count, shift and scale of the levels, rank of the design."""
+
+    n_events: int
+    shift: np.ndarray
+    scale: np.ndarray
+    rank: int
+
+
+def sample_moments(sample: Sample) -> dict[tuple, Moments]:
+    """Standardisation and rank of every sample, in four plan-sized reductions."""
+
+    def levels(pairs: Pairs) -> np.ndarray:
+        return np.vstack([pairs.chosen, pairs.other])
+
+    sums = sample.totals(lambda _, p: np.hstack([[len(p.chosen)], levels(p).sum(axis=0)])[None, :])
+    low = sample.totals(lambda _, p: levels(p).min(axis=0)[None, :], "min")
+    high = sample.totals(lambda _, p: levels(p).max(axis=0)[None, :], "max")
+    mean = {k: v[0, 1:] / (2 * v[0, 0]) for k, v in sums.items()}
+
+    def centred(key: tuple, pairs: Pairs) -> np.ndarray:
+        x = levels(pairs)
+        inside = ((x != low[key][0]) & (x != high[key][0])).sum(axis=0)
+        c = x - mean[key]
+        return np.vstack([c.T @ c, inside])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[tuple, np.ndarray] = {}
-        for batch in batches:
-            for key, rows in batch.groupby(list(KEY), sort=False):
-                shift, scale = shifts[tuple(key)]
-                x = (np.vstack([*rows["chosen"], *rows["other"]]) - shift) / scale
-                totals[tuple(key)] = totals.get(tuple(key), 0.0) + x.T @ x
-        for key, acc in totals.items():
-            yield pd.DataFrame(
-                {"track": key[0], "split_role": key[1], "design_id": key[2], "slot": 0,
-                 "pos": np.arange(acc.size), "value": acc.ravel()}
-            )
-
-    partial = long.select(*KEY, "chosen", "other").mapInPandas(run, PARTIAL_SCHEMA)
-    total = partial.groupBy(*KEY, "pos").agg(F.sum("value").alias("value")).orderBy("pos").toPandas()
     out = {}
-    for key, g in total.groupby(list(KEY), sort=False):
-        k = int(round(len(g) ** 0.5))
-        out[tuple(key)] = g["value"].to_numpy().reshape(k, k)
+    for key, arr in sample.totals(centred).items():
+        n = 2 * sums[key][0, 0]
+        cross, more = arr[:-1], arr[-1] > 0
+        sd = np.sqrt(np.diag(cross) / n)
+        shift = np.where(more, mean[key], 0.0)
+        scale = np.where(more & (sd > 0), sd, 1.0)
+        offset = mean[key] - shift  # left in by columns that are not centred
+        gram = (cross + n * np.outer(offset, offset)) / np.outer(scale, scale)
+        out[key] = Moments(int(sums[key][0, 0]), shift, scale, gram_rank(gram))
     return out
 
 
@@ -241,64 +299,47 @@ def gram_rank(gram: np.ndarray) -> int:
     return int((values > tol).sum())
 
 
-def _iterate(rows: DataFrame, states: dict[tuple, DesignState], adam: AdamSettings | None = None) -> None:
+def _iterate(sample: Sample, states: dict[tuple, DesignState], adam: AdamSettings | None = None) -> None:
     """Passes over the data until every replicate of every sample has settled."""
     for t in range(1, (adam.max_iter if adam else kernel.MAX_NEWTON) + 1):
         if not any(s.active.any() for s in states.values()):
             return
-        for key, sums in _reduce(rows, states, curvature=adam is None).items():
+        for key, sums in sample.totals(_replicate_sums(states, curvature=adam is None)).items():
             if adam:
                 _adam_update(states[key], sums, t, adam)
             else:
                 _newton_update(states[key], sums)
 
 
-def _difference_rows(long: DataFrame) -> DataFrame:
-    first = F.col("chosen_first") if "chosen_first" in long.columns else F.lit(False)
-    return long.select(
-        *KEY,
-        F.zip_with("chosen", "other", lambda a, b: a - b).alias("d"),
-        F.xxhash64("boot").alias("cluster_hash"),
-        first.alias("chosen_first"),
-    )
-
-
 def distributed_fit(
-    long: DataFrame,
+    sample: Sample,
     tasks: dict[tuple, list[tuple[int, int]]],
     n_boot: int,
     mode: str,
     opts: AdamSettings,
 ) -> list[dict]:
-    """Same result rows as the grouped fit, for every sample in `tasks`.
+    """Same result rows as the grouped fit, for every sample key in `tasks`.
 
-    `long` should be materialised (a checkpoint or a written table): it is read once per pass.
+    The sample's rows should be materialised (a checkpoint or a written table): they are read
+    once per pass.
     """
-    moments = sample_moments(long)
-    grams = sample_gram(long, moments)
-    rows = _difference_rows(long)
-    clusters = {
-        tuple(r[c] for c in KEY): r["n"]
-        for r in long.groupBy(*KEY).agg(F.count_distinct("boot").alias("n")).collect()
-    }
+    moments = sample_moments(sample)
     states: dict[tuple, DesignState] = {}
     results: list[dict] = []
-    for key, g in moments.groupby(list(KEY), sort=False):
-        key = (key[0], key[1], int(key[2]))
-        scale = np.where((g["more"] > 0) & (g["sd"] > 0), g["sd"], 1.0)
-        rank = gram_rank(grams[key])
-        if rank < len(g):
-            results += [_result(key, i, rank=rank) for i, _ in tasks[key]]
-            continue
-        states[key] = DesignState(len(g), list(tasks[key]), n_boot, scale)
+    for key, jobs in tasks.items():
+        m = moments[key]
+        if m.rank < len(m.scale):
+            results += [_result(key, i, rank=m.rank) for i, _ in jobs]
+        else:
+            states[key] = DesignState(len(m.scale), list(jobs), n_boot, m.scale)
 
     use_adam = (mode or "").strip().lower() == "adam_lite"
-    _iterate(rows, states, opts if use_adam else None)
+    _iterate(sample, states, opts if use_adam else None)
     if use_adam:
         for s in states.values():
             s.active[:] = False
             s.active[0] = True
-        for key, sums in _reduce(rows, states, curvature=False).items():
+        for key, sums in sample.totals(_replicate_sums(states, curvature=False)).items():
             states[key].llf[0] = sums[0, 1]
 
     for key, s in states.items():
@@ -309,30 +350,23 @@ def distributed_fit(
                 continue
             span = slice(1 + i * n_boot, 1 + (i + 1) * n_boot)
             betas = s.beta[span, 0][ok[span]].tolist()
-            results.append(
-                _result(key, fit_id, rank=s.k, beta=float(s.beta[0, 0]), llf=float(s.llf[0]),
-                        betas=betas, attempted=n_boot, clusters=clusters[key])
-            )
+            results.append(_result(key, fit_id, rank=s.k, beta=float(s.beta[0, 0]), llf=float(s.llf[0]), betas=betas, attempted=n_boot))
     return results
 
 
-def _result(key, fit_id, *, rank, beta=None, llf=None, error=None, betas=(), attempted=0, clusters=0) -> dict:
+def _result(key, fit_id, *, rank, beta=None, llf=None, error=None, betas=(), attempted=0) -> dict:
     return {
         "track": key[0], "split_role": key[1], "design_id": int(key[2]), "fit_id": int(fit_id),
         "beta": beta, "llf": llf, "design_rank": int(rank), "fit_error": error,
-        "boot_betas": list(betas), "boot_attempted": int(attempted), "boot_clusters": int(clusters),
+        "boot_betas": list(betas), "boot_attempted": int(attempted),
     }
 
 
-def distributed_metrics(long: DataFrame, seeds: dict[int, int], n_boot: int) -> list[tuple]:
+def distributed_metrics(sample: Sample, seeds: dict[tuple, int], n_boot: int) -> list[tuple]:
     """(design, replicate, status, accuracy, log-likelihood per event) for steps over the size bound."""
-    tagged = long.select(F.lit("").alias("track"), F.lit("").alias("split_role"), "design_id", "boot", "chosen", "other", "chosen_first")
-    states: dict[tuple, DesignState] = {}
-    for key, g in sample_moments(tagged).groupby(list(KEY), sort=False):
-        scale = np.where((g["more"] > 0) & (g["sd"] > 0), g["sd"], 1.0)
-        design_id = int(key[2])
-        states[("", "", design_id)] = DesignState(len(g), [(design_id, seeds[design_id])], n_boot, scale)
-    _iterate(_difference_rows(tagged), states)
+    moments = sample_moments(sample)
+    states = {key: DesignState(len(moments[key].scale), [(key[2], seed)], n_boot, moments[key].scale) for key, seed in seeds.items()}
+    _iterate(sample, states)
     out = []
     for (_, _, design_id), s in states.items():
         ok = np.isfinite(s.beta).all(axis=1) & (s.mean_grad <= kernel.ACCEPT_TOL)

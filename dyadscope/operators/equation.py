@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from dyadscope.functions.names import contribution_atoms
 from dyadscope.operators import fit as kernel
 from dyadscope.operators.bootstrap import distribution_summary
-from dyadscope.operators.designs import Design, DesignSet, design_pairs, event_table, has_sparse_events, row_table
-from dyadscope.operators.distributed_fit import distributed_metrics
+from dyadscope.operators.designs import Design, DesignSet, design_pairs, event_table, has_sparse_events, row_table, sparse_pairs
+from dyadscope.operators.distributed_fit import Sample, distributed_metrics, fit_rows
 from dyadscope.operators.events import slice_rows
 from dyadscope.session import cut_lineage, ship_package
 
@@ -99,7 +99,7 @@ def equation_steps(
     seed: int = 20260219,
     cluster: str = "policy_document_id",
     order: str | None = None,
-    grouped_fit_max_events: int = 200_000,
+    grouped_fit_max_events: int = 100_000,
 ) -> DataFrame:
     """One row per step with accuracy and likelihood bands, and deltas against the step before."""
     if y_col not in df.columns:
@@ -113,8 +113,8 @@ def equation_steps(
     keys = ("_all",)
     rows = row_table(data, designs, keys=keys, cluster=cluster, order=order)
     events = cut_lineage(event_table(rows, designs, keys))
-    long = design_pairs(rows, events, designs, keys=keys, require_variation=False, sparse=has_sparse_events(events))
-    long = cut_lineage(long.select("design_id", "event_id", "doc", "boot", "chosen", "other", "chosen_first"))
+    sparse = has_sparse_events(events)
+    long = design_pairs(rows, events, designs, keys=keys, require_variation=False, sparse=sparse)
     per_doc = long.groupBy("design_id", "doc").agg(F.count(F.lit(1)).alias("n"))
     sizes = per_doc.groupBy("design_id").agg(F.sum("n").alias("n_events"), F.count(F.lit(1)).alias("n_docs")).collect()  # one row per step
     if not sizes:
@@ -125,13 +125,18 @@ def equation_steps(
     parts = []
     if small:
         parts.append(
-            long.where(F.col("design_id").isin(small)).repartition(len(small), "design_id").groupBy("design_id").applyInPandas(
+            design_pairs(rows, events, designs, keys=keys, require_variation=False, keep=small, sparse=sparse)
+            .select("design_id", "event_id", "boot", "chosen", "other", "chosen_first")
+            .repartition(len(small), "design_id").groupBy("design_id").applyInPandas(
                 grouped_metrics(n_bootstrap, seed, numbers), METRIC_SCHEMA
             )
         )
     if large:
-        seeds = {i: seed + numbers[i] * STEP_SEED_STRIDE for i in large}
-        parts.append(spark.createDataFrame(distributed_metrics(long.where(F.col("design_id").isin(large)), seeds, n_bootstrap), METRIC_SCHEMA))
+        index = designs.indexed()
+        more = cut_lineage(sparse_pairs(rows, events, designs, designs.as_column(large), keys)) if sparse else None
+        sample = Sample(fit_rows(events, more, keys), {("all", ""): [(i, *index[i]) for i in large]}, vary=False)
+        seeds = {("all", "", i): seed + numbers[i] * STEP_SEED_STRIDE for i in large}
+        parts.append(spark.createDataFrame(distributed_metrics(sample, seeds, n_bootstrap), METRIC_SCHEMA))
     metrics = cut_lineage(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
 
     plan = spark.createDataFrame(

@@ -23,7 +23,7 @@ CELLS_PER_BLOCK = 4_000_000  # events x replicates held at once
 
 FIT_SCHEMA = (
     "track string, split_role string, design_id int, fit_id int, beta double, llf double, "
-    "design_rank int, fit_error string, boot_betas array<double>, boot_attempted int, boot_clusters int"
+    "design_rank int, fit_error string, boot_betas array<double>, boot_attempted int"
 )
 
 
@@ -139,8 +139,8 @@ def draw_multiplicities(codes: np.ndarray, n_clusters: int, n_draws: int, rng: n
     return out
 
 
-def bootstrap_key(d: np.ndarray, clusters: np.ndarray, n_boot: int, seed: int, fit: Callable) -> tuple[list[float], int]:
-    """Key coefficient of every replicate that converged, and the number of clusters."""
+def bootstrap_key(d: np.ndarray, clusters: np.ndarray, n_boot: int, seed: int, fit: Callable) -> list[float]:
+    """Key coefficient of every replicate that converged."""
     ids, codes = np.unique(clusters, return_inverse=True)
     rng = np.random.default_rng(int(seed))
     block = max(1, CELLS_PER_BLOCK // max(len(d), 1))
@@ -149,7 +149,7 @@ def bootstrap_key(d: np.ndarray, clusters: np.ndarray, n_boot: int, seed: int, f
         w = draw_multiplicities(codes, len(ids), min(block, n_boot - start), rng)
         beta, _, ok = fit(d, w)
         betas.extend(beta[ok, 0].tolist())
-    return betas, len(ids)
+    return betas
 
 
 def fit_sample(
@@ -163,7 +163,7 @@ def fit_sample(
 ) -> list[dict]:
     """Point fit once, then one bootstrap per (fit_id, seed) task."""
     k = chosen.shape[1]
-    empty = {"beta": None, "llf": None, "boot_betas": [], "boot_attempted": 0, "boot_clusters": 0}
+    empty = {"beta": None, "llf": None, "boot_betas": [], "boot_attempted": 0}
     levels = np.vstack([chosen, other])
     shift, scale = standardise(levels)
     rank = int(np.linalg.matrix_rank((levels - shift) / scale))
@@ -181,7 +181,7 @@ def fit_sample(
         return [{**base, "fit_id": i, "fit_error": f"fit_failed:{reason}"} for i, _ in tasks]
     out = []
     for fit_id, seed in tasks:
-        betas, n_clusters = bootstrap_key(d, clusters, n_boot, seed, fit)
+        betas = bootstrap_key(d, clusters, n_boot, seed, fit)
         out.append(
             {
                 **base,
@@ -190,7 +190,6 @@ def fit_sample(
                 "llf": float(llf[0]),
                 "boot_betas": betas,
                 "boot_attempted": n_boot if n_boot > 0 else 0,
-                "boot_clusters": n_clusters if n_boot > 0 else 0,
             }
         )
     return out

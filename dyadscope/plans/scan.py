@@ -28,9 +28,10 @@ from dyadscope.operators.designs import (
     has_sparse_events,
     row_table,
     sample_totals,
+    sparse_pairs,
 )
-from dyadscope.operators.distributed_fit import distributed_fit
-from dyadscope.operators.events import DOC, event_outcomes, one_chosen
+from dyadscope.operators.distributed_fit import Sample, distributed_fit, fit_rows
+from dyadscope.operators.events import DOC, KEYS, event_outcomes, one_chosen
 from dyadscope.operators.fit import FIT_SCHEMA, grouped_fit
 from dyadscope.operators.gates import FIT, bootstrap_gate, gate_cascade
 from dyadscope.operators.inference import assign_tiers, attach_validation_q, pair_splits
@@ -176,11 +177,20 @@ def _fits(
             .applyInPandas(grouped_fit(*opts), FIT_SCHEMA)
         )
     if large:
+        # Read from the event table in every pass; the designs are applied inside the tasks.
         by_sample: dict[tuple, list[tuple[int, int]]] = {}
         for t in large:
             by_sample.setdefault(t[:3], []).append(t[4:])
-        long = cut_lineage(samples(large).select(*SAMPLE, "boot", "chosen", "other"))
-        parts.append(spark.createDataFrame(distributed_fit(long, by_sample, *opts), FIT_SCHEMA))
+        index = designs.indexed()
+        plan: dict[tuple, list] = {}
+        for track, role, design_id in by_sample:
+            plan.setdefault((track, role), []).append((design_id, *index[design_id]))
+        more = None
+        if sparse:
+            keep = {key[2] for key in by_sample}
+            more = cut_lineage(sparse_pairs(rows, events, designs, designs.as_column(keep), KEYS))
+        sample = Sample(fit_rows(events, more, KEYS), plan)
+        parts.append(spark.createDataFrame(distributed_fit(sample, by_sample, *opts), FIT_SCHEMA))
     if not parts:
         return spark.createDataFrame([], FIT_SCHEMA)
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
