@@ -20,19 +20,20 @@ PLUS_BASE = "clogit_key_plus_base_controls"
 def validate_contexts(contexts: DataFrame, available: Sequence[str]) -> DataFrame:
     """Contexts (position, context_scope, y_col) with a reason where one must be skipped.
 
-    The list is configuration, a handful of rows.
+    The first of equal pairs is found by a map-side combined minimum, not by sorting the group.
     """
     scope = F.trim(F.coalesce("context_scope", F.lit("")))
     y = F.trim(F.coalesce("y_col", F.lit("")))
     named = contexts.select("position", scope.alias("context_scope"), y.alias("y_col"))
-    turn = F.row_number().over(Window.partitionBy("context_scope", "y_col").orderBy("position"))
+    firsts = named.groupBy("context_scope", "y_col").agg(F.min("position").alias("first_position"))
     reason = (
         F.when((F.col("context_scope") == "") | (F.col("y_col") == ""), "invalid_context_definition")
-        .when(turn > 1, "duplicate_context_definition")
+        .when(F.col("position") > F.col("first_position"), "duplicate_context_definition")
         .when(~F.col("y_col").isin(list(available)), "missing_context_y_column")
         .otherwise("")
     )
-    return named.select("*", reason.alias("skip_reason"))
+    joined = named.join(firsts, ["context_scope", "y_col"])
+    return joined.select("position", "context_scope", "y_col", reason.alias("skip_reason"))
 
 
 def anchor_token(fixed: Sequence[str]) -> str:

@@ -757,3 +757,33 @@ def event_accuracy(spark, sf):
 @query("table_fingerprint")
 def table_fingerprint(spark, sf):
     return hashing.table_fingerprint(w.choices(spark, sf))
+
+
+@query("capped_registry", sql(CHOICES, _variation_sql(LINE_PRETREATMENT) + "SELECT feature_name, n_events_with_variation FROM vm ORDER BY feature_name LIMIT 5"))
+def capped_registry(spark, sf):
+    out = registry.variation_metrics(w.choices(spark, sf), {c: F.col(c) for c in LINE_PRETREATMENT})
+    return registry.cap_features(out, 5).select("feature_name", "n_events_with_variation")
+
+
+@query("distinct_tracks_docs", sql(CHOICES, "SELECT track, count(DISTINCT policy_document_id) AS n_docs FROM choices GROUP BY 1"))
+def distinct_tracks_docs(spark, sf):
+    docs = w.choices(spark, sf).select("track", "policy_document_id").distinct()
+    return docs.groupBy("track").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+@query("frequent_levels", """
+SELECT p_brand AS level, count(*) AS level_count FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 HAVING count(*) >= 20 ORDER BY 2 DESC, 1 LIMIT 7""")
+def frequent_levels(spark, sf):
+    joined = w.table(spark, sf, "lineitem").select("l_partkey").join(w.table(spark, sf, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    return derive.frequent_levels(joined, "p_brand", min_count=20, max_levels=7)
+
+
+@query("restart_seeds", sql(POOL_VIEWS, """
+, r AS (SELECT unnest([1, 2, 3]) AS restart_id)
+SELECT CAST(restart_id AS INTEGER) AS restart_id, family || '|' || feature AS candidate_id,
+   20260219 + (restart_id - 1) * 1009 + CAST(('0x' || substr(sha256(family || '|' || feature || '|validation'), 1, 8))::BIGINT % 1000000 AS BIGINT) AS seed FROM named, r"""))
+def restart_seeds(spark, sf):
+    pairs = ScanSettings(n_restarts=3).restart_seeds()
+    seeds = F.inline(F.array(*[F.struct(F.lit(i).alias("restart_id"), F.lit(b).cast("bigint").alias("base")) for i, b in pairs]))
+    rows = _pool(spark, sf).select("candidate_id", seeds)
+    return rows.select("restart_id", "candidate_id", hashing.stable_seed(F.col("base"), F.concat_ws("|", "candidate_id", F.lit("validation"))).alias("seed"))

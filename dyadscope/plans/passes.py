@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadscope.operators.inference import restart_inference, restart_stability, track_consensus
+from dyadscope.operators.inference import VALIDATED, restart_inference, restart_stability, track_consensus
+from dyadscope.operators.review import ladder_jobs, pending_jobs
 from dyadscope.operators.shortlist import escalation_shortlist, shortlist
 from dyadscope.plans.scan import ScanResult, run_scan
 from dyadscope.settings import ScanSettings
@@ -52,3 +54,47 @@ def escalate(df: DataFrame, top: DataFrame, settings: ScanSettings, *, n_bootstr
 def refine(df: DataFrame, top: DataFrame, settings: ScanSettings, *, n_bootstrap: int = 199, **limits) -> ScanResult | None:
     """Repeat the shortlist of a wide search with more replicates."""
     return _rescan(df, shortlist(top, **limits), settings, n_bootstrap, "refine")
+
+
+def run_ladder(
+    df: DataFrame,
+    features: Sequence[str],
+    settings: ScanSettings,
+    *,
+    seeds: Sequence[int],
+    ladder: Sequence[int],
+    attempts_path: str,
+) -> DataFrame:
+    """One scan per (bootstrap size, seed) that has no finished attempt yet; returns all attempts.
+
+    Every attempt is appended to a table as soon as it ends, with the grid it belongs to, so an
+    interrupted ladder goes on where it stopped. A table written by another run or grid is refused.
+    """
+    spark = df.sparkSession
+    grid = f"seeds={list(seeds)};ladder={list(ladder)}"
+    stored = _attempts(spark, attempts_path)
+    jobs = ladder_jobs(spark, list(seeds), list(ladder))
+    if stored is not None:
+        other = stored.where((F.col("run_id") != settings.run_id) | (F.col("grid") != grid)).select("run_id", "grid").first()
+        if other:
+            raise ValueError(f"resume mismatch: the attempts belong to run {other['run_id']} with {other['grid']}")
+        jobs = pending_jobs(jobs, stored)
+    for job in jobs.orderBy("position").collect():  # the grid is configuration
+        step = replace(settings, run_id=f"{settings.run_id}__{job['job_key']}", bootstrap_seed=job["seed"], n_bootstrap=job["n_bootstrap"])
+        fitted = F.col("status_validation") == "ok"
+        best = run_scan(df, features, step).top.agg(
+            F.min(F.when(fitted, F.col("q_value_validation"))).alias("best_q_validation"),
+            F.min(F.when(fitted, F.col("p_boot_validation"))).alias("best_p_validation"),
+            F.max((F.col("candidate_tier") == VALIDATED).cast("int")).alias("gate_pass"),
+        )
+        labels = {"run_id": settings.run_id, "grid": grid, "job_key": job["job_key"], "status": "ok"}
+        numbers = {"position": job["position"], "seed": job["seed"], "n_bootstrap": job["n_bootstrap"], "returncode": 0}
+        best.select("*", *[F.lit(v).alias(k) for k, v in {**labels, **numbers}.items()]).write.mode("append").parquet(attempts_path)
+    return _attempts(spark, attempts_path)
+
+
+def _attempts(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:  # nothing has been tried yet
+        return None

@@ -500,3 +500,55 @@ def composite_scores(spark, sf):
     no = scored.where(F.endswith("run_id", F.lit("__nooption_baseline"))).select("pair_id", F.col("score").alias("nooption_score"))
     sx = scored.where(F.endswith("run_id", F.lit("__singlex"))).select("pair_id", F.col("score").alias("singlex_score"))
     return no.join(sx, "pair_id").withColumn("winner", review.pick_winner(F.col("nooption_score"), F.col("singlex_score")))
+
+
+@query("ordered_inference", sql(TOP, """
+SELECT candidate_id, restart_id, candidate_tier FROM top WHERE restart_id = 3
+ORDER BY CASE candidate_tier WHEN 'validated_candidate' THEN 0 WHEN 'support_candidate' THEN 1 ELSE 2 END, q_value_validation ASC NULLS LAST, p_boot_validation ASC NULLS LAST, abs(coalesce(beta_validation, 0)) DESC, candidate_id LIMIT 30"""))
+def ordered_inference(spark, sf):
+    top = w.top_rows(spark, sf).where("restart_id = 3")
+    return inference.order_inference(top).limit(30).select("candidate_id", "restart_id", "candidate_tier")
+
+
+@query("ordered_stability", sql(TOP, """
+, a AS (SELECT candidate_id, count(*) FILTER (candidate_tier = 'validated_candidate') AS nv, count(*) FILTER (candidate_tier <> 'exploratory') AS ns, count(DISTINCT restart_id) AS np, count(*) AS n,
+   count(*) FILTER (candidate_tier = 'exploratory') AS ne, count(*) FILTER (beta_validation > 0) AS vp, count(*) FILTER (beta_validation < 0) AS vn, count(*) FILTER (beta_discovery > 0) AS dp, count(*) FILTER (beta_discovery < 0) AS dn FROM top GROUP BY 1),
+r AS (SELECT candidate_id, nv, round(0.35::DOUBLE * (np / 5.0::DOUBLE) + 0.35::DOUBLE * (ns / 5.0::DOUBLE) + 0.20::DOUBLE * (greatest(nv, ns - nv, ne)::DOUBLE / n)
+   + 0.10::DOUBLE * greatest(CASE WHEN vp + vn > 0 THEN greatest(vp, vn)::DOUBLE / (vp + vn) ELSE 1 END, CASE WHEN dp + dn > 0 THEN greatest(dp, dn)::DOUBLE / (dp + dn) ELSE 1 END), 6) AS s, round(ns / 5.0::DOUBLE, 6) AS sr FROM a)
+SELECT candidate_id, s AS stability_score FROM r ORDER BY s DESC, round(nv / 5.0::DOUBLE, 6) DESC, sr DESC, candidate_id LIMIT 20"""))
+def ordered_stability(spark, sf):
+    out = inference.restart_stability(w.top_rows(spark, sf), n_restarts=5)
+    return inference.order_stability(out).limit(20).select("candidate_id", "stability_score")
+
+
+@query("distribution_summary", sql(INFERENCE, """
+SELECT key_factor, count(q) AS n, round(avg(q), 9) AS mean, round(quantile_cont(q, 0.025), 9) AS ci_low, round(quantile_cont(q, 0.975), 9) AS ci_high, round(coalesce(stddev_samp(q), 0), 9) AS std FROM fitted GROUP BY 1"""))
+def distribution_summary(spark, sf):
+    return _round(bootstrap.distribution_summary(_rows(spark, sf), ["key_factor"], "q"), "mean", "ci_low", "ci_high", "std", digits=9)
+
+
+@query("explorer_top_runs", sql(COMBO_SQL, "SELECT run_id, validated_candidate_count FROM runs ORDER BY coalesce(best_q_validation, 9.99), validated_candidate_count DESC, strong_row_count_q DESC, run_id LIMIT 10"))
+def explorer_top_runs(spark, sf):
+    return explore.order_runs(explore.runs(_rows(spark, sf)), 10).select("run_id", "validated_candidate_count")
+
+
+@query("explorer_top_pairs", sql(STRONG, """
+SELECT fa AS key_factor_a, fb AS key_factor_b, co_runs FROM pairs ORDER BY co_runs DESC, jaccard DESC, CAST(co_runs * base AS DOUBLE) / (sa * sb) DESC, fa, fb LIMIT 15"""))
+def explorer_top_pairs(spark, sf):
+    out = explore.affinity_pairs(explore.strong_factors(_rows(spark, sf, 0.0005)))
+    return explore.order_pairs(out, 15).select("key_factor_a", "key_factor_b", "co_runs")
+
+
+@query("cluster_search")
+def cluster_search(spark, sf):
+    strong = explore.strong_factors(_rows(spark, sf, 0.0005))
+    clusters = explore.factor_clusters(strong, explore.affinity_pairs(strong))
+    return explore.search_clusters(clusters, "pa__", min_support=1, sort="factors_desc", n=10)
+
+
+@query("consensus_written_back", sql(CONSENSUS, """
+SELECT s.restart_id, s.candidate_id, s.split_role, c.candidate_tier FROM scan s JOIN consensus c USING (restart_id, candidate_id) WHERE s.restart_id <= 2"""))
+def consensus_written_back(spark, sf):
+    tiers = _consensus(spark, sf).select("restart_id", "candidate_id", "candidate_tier")
+    scan = w.scan_rows(spark, sf).where("restart_id <= 2").select("restart_id", "candidate_id", "split_role")
+    return scan.join(tiers, ["restart_id", "candidate_id"])

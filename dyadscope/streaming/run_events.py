@@ -46,15 +46,34 @@ def _newest_version(spark: SparkSession, table: str, below: int | None = None) -
     return None if newest is None else stored.where(F.col("v") == newest).drop("v")
 
 
-def latest_status(events: DataFrame) -> DataFrame:
-    """Last state per run, how often it moved, and how many moves were not legal."""
-    order = Window.partitionBy("run_id").orderBy("ts", "attempt", "state")
-    moved = events.withColumn("before", F.lag("state").over(order))
-    return moved.groupBy("run_id").agg(
-        F.max_by("state", F.struct("ts", "attempt", "state")).alias("state"),
+def run_moves(events: DataFrame, *, weight: str | None = None, bucket_seconds: int = 600) -> DataFrame:
+    """Per run: last state and time, events, and moves that were not legal.
+
+    Moves are judged inside (run, time bucket) groups and then between the last and first states
+    of neighbouring buckets, so a run that writes most of the log is spread over its buckets.
+    Rows of weight 0 take part in the order but are not counted.
+    """
+    w = F.col(weight) if weight else F.lit(1)
+    cut = F.floor(F.unix_seconds("ts") / bucket_seconds)
+    place = F.struct("ts", "attempt", "state")
+    inside = Window.partitionBy("run_id", "bucket").orderBy("ts", "attempt", "state")
+    rows = events.select("run_id", "ts", "attempt", "state", w.alias("w"), cut.alias("bucket"))
+    judged = rows.withColumn("before", F.lag("state").over(inside))
+    per_bucket = judged.groupBy("run_id", "bucket").agg(
+        F.min_by(F.struct("state", "w"), place).alias("first"),
+        F.max_by("state", place).alias("last"),
+        F.max("ts").alias("ts"),
+        F.sum("w").alias("n"),
+        F.count_if((F.col("w") == 1) & ~is_legal(F.col("before"), F.col("state"))).alias("bad"),
+    )
+    between = Window.partitionBy("run_id").orderBy("bucket")
+    before = F.lag("last").over(between)
+    edge = (F.col("first.w") == 1) & ~is_legal(F.col("before"), F.col("first.state"))
+    return per_bucket.withColumn("before", before).groupBy("run_id").agg(
+        F.max_by("last", "bucket").alias("state"),
         F.max("ts").alias("updated_at"),
-        F.count(F.lit(1)).alias("n_events"),
-        F.count_if(~is_legal(F.col("before"), F.col("state"))).alias("n_illegal"),
+        F.sum("n").alias("n_events"),
+        (F.sum("bad") + F.count_if(edge)).alias("n_illegal"),
     )
 
 
@@ -65,7 +84,7 @@ def fold_status(current: DataFrame | None, batch: DataFrame) -> DataFrame:
     older than the stored state are late: they are counted, but neither move nor judge the run.
     """
     if current is None:
-        return latest_status(batch)
+        return run_moves(batch)
     seen = current.select("run_id", F.col("state").alias("old_state"), F.col("updated_at").alias("old_ts"), "n_events", "n_illegal")
     known = batch.join(seen.select("run_id", "old_ts"), "run_id", "left")
     late = known.where(F.col("ts") < F.col("old_ts")).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_late"))
@@ -73,14 +92,7 @@ def fold_status(current: DataFrame | None, batch: DataFrame) -> DataFrame:
     old = seen.join(batch.select("run_id").distinct(), "run_id", "left_semi").select(
         "run_id", F.col("old_ts").alias("ts"), F.lit(-1).alias("attempt"), F.col("old_state").alias("state"), F.lit(0).alias("w")
     )
-    order = Window.partitionBy("run_id").orderBy("ts", "attempt", "state")
-    moved = fresh.unionByName(old).withColumn("before", F.lag("state").over(order))
-    change = moved.groupBy("run_id").agg(
-        F.max_by("state", F.struct("ts", "attempt", "state")).alias("new_state"),
-        F.max("ts").alias("new_ts"),
-        F.sum("w").alias("added"),
-        F.count_if((F.col("w") == 1) & ~is_legal(F.col("before"), F.col("state"))).alias("bad"),
-    )
+    change = run_moves(fresh.unionByName(old), weight="w").toDF("run_id", "new_state", "new_ts", "added", "bad")
     both = seen.join(change, "run_id", "full").join(late, "run_id", "left")
     zero = F.lit(0).cast("bigint")
     return both.select(
