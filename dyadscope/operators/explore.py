@@ -143,9 +143,10 @@ def totals(all_rows: DataFrame, rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("distinct_combinations"),
         F.count_distinct(F.when(F.col("key_factor") != "", F.col("key_factor"))).alias("distinct_key_factors"),
     )
-    spark = rows.sparkSession
-    one = {**{c: head for c in head.columns}, **{c: seen for c in seen.columns}, **{c: combos for c in combos.columns}}
-    flat = spark.range(1).select(*[src.select(c).scalar().alias(c) for c, src in one.items()])
+    # Three one-row results meet as scalars.
+    flat = rows.sparkSession.range(1).select(
+        *[part.select(F.struct(*part.columns)).scalar().alias(n) for n, part in (("a", head), ("b", seen), ("c", combos))]
+    ).select("a.*", "b.*", "c.*")
     return flat.select(
         "runs_with_inference", "candidate_rows", "validation_ok_rows", "strong_rows_q",
         (F.col("runs_with_inference") - F.col("with_q")).alias("best_q_missing_runs"),

@@ -39,6 +39,46 @@ def logit_fit(spark, sf):
     return scan.select("candidate_id", "split_role", "status", "beta", "score", "n_single_choice_informative")
 
 
+FIT_FEATURES = ("l_quantity", "l_tax", "l_extendedprice", "pa__p_size")
+
+
+def _newton_sql(steps: int = 9) -> str:
+    """Newton steps of the key-only logit, one WITH view per step."""
+    pairs = " UNION ALL ".join(
+        f"SELECT '{f}' AS key_factor, track, split_role, event_id, max({f}) FILTER (y_all = 1) AS xp, max({f}) FILTER (y_all = 0) AS xn "
+        f"FROM choices GROUP BY ALL HAVING count(*) = 2 AND sum(y_all) = 1 AND count({f}) = 2 AND min({f}) <> max({f})"
+        for f in FIT_FEATURES
+    )
+    views = [
+        f"pairs AS ({pairs})",
+        "levels AS (SELECT key_factor, track, split_role, xp AS x FROM pairs UNION ALL SELECT key_factor, track, split_role, xn FROM pairs)",
+        "spread AS (SELECT key_factor, track, split_role, CASE WHEN count(DISTINCT x) > 2 THEN stddev_pop(x) ELSE 1.0::DOUBLE END AS sd FROM levels GROUP BY ALL)",
+        "z AS (SELECT key_factor, track, split_role, (xp - xn) / sd AS d FROM pairs JOIN spread USING (key_factor, track, split_role))",
+        "b0 AS (SELECT DISTINCT key_factor, track, split_role, 0.0::DOUBLE AS beta FROM z)",
+    ]
+    for i in range(steps):
+        views.append(
+            f"b{i + 1} AS (SELECT key_factor, track, split_role, any_value(beta) + sum(d / (1 + exp(beta * d))) / sum(d * d / ((1 + exp(beta * d)) * (1 + exp(-beta * d)))) AS beta "
+            f"FROM z JOIN b{i} USING (key_factor, track, split_role) GROUP BY ALL)"
+        )
+    return CHOICES + ", " + ", ".join(views) + (
+        f" SELECT key_factor, track, split_role, count(*) AS n_events, round(any_value(beta), 6) + 0.0::DOUBLE AS beta, round(sum(-ln(1 + exp(-beta * d))) - 0.01::DOUBLE, 5) AS score "
+        f"FROM z JOIN b{steps} USING (key_factor, track, split_role) GROUP BY ALL"
+    )
+
+
+@query("logit_fit_key_only", "WITH " + _newton_sql().strip())
+def logit_fit_key_only(spark, sf):
+    settings = _settings(
+        n_bootstrap=0, bootstrap_success_min_ratio=0.0, min_events_estimable=1, min_docs_estimable=1, min_events_validated=1, min_docs_validated=1,
+        max_top1_doc_share=1.0,
+    )
+    scan = run_scan(w.choices(spark, sf), FIT_FEATURES, settings).scan
+    return scan.select(
+        "key_factor", "track", "split_role", F.col("n_single_choice_informative").alias("n_events"), (F.round("beta", 6) + F.lit(0.0)).alias("beta"), F.round("score", 5).alias("score")
+    )
+
+
 @query("cluster_bootstrap")
 def cluster_bootstrap(spark, sf):
     scan = run_scan(w.choices(spark, sf), ("l_quantity", "l_tax", "x_nullable"), _settings(n_bootstrap=99)).scan

@@ -180,9 +180,9 @@ def test_gate_and_control_settings():
 
 def test_large_path_handles_null_patterns(spark):
     """Samples with rows dropped by nulls give the same fits on both paths."""
-    rows = random_rows(3, n_events=240)
+    rows = random_rows(3, n_events=400)
     df = spark.createDataFrame(rows, SCHEMA)
-    args = dict(contexts=(("all", "y"),), n_bootstrap=5, fixed_regressors=("b",), bootstrap_success_min_ratio=0.0)
+    args = dict(contexts=(("all", "y"),), n_bootstrap=5, fixed_regressors=("b",), bootstrap_success_min_ratio=0.0, max_top1_doc_share=1.0)
     near = {(r.candidate_id, r.split_role): r for r in run_scan(df, ["a"], small(**args)).scan.collect()}
     far = run_scan(df, ["a"], small(**args, grouped_fit_max_events=0)).scan.collect()
     assert any(r.status == "ok" for r in far)
