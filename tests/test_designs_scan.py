@@ -2,7 +2,6 @@ import itertools
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from dyadscope.operators import candidates as cand
 from dyadscope.operators.designs import Design, DesignSet, design_pairs, design_stats, event_table, row_table
