@@ -40,7 +40,10 @@ BLOCK_BYTES = 8 << 20
 
 _WORD = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
-INDEX = "segment string, docs binary, lengths binary, keys binary, terms binary, ends binary, places binary"
+#: Stands for a null doc_id in the index.
+NO_ID = -(1 << 63)
+
+INDEX = "docs binary, lengths binary, keys binary, terms binary, ends binary, places binary"
 
 
 def words(raw: bytes | None) -> list[bytes]:
@@ -80,11 +83,9 @@ def _segment(batch: pd.DataFrame, vocabulary: dict[bytes, int] | None) -> dict:
     code, place = np.concatenate(terms), np.concatenate(places).astype(np.int64)
     order = np.argsort(code, kind="stable")
     unique, counts = np.unique(code, return_counts=True)
-    key = f"{int(batch['doc_id'].iloc[0] or 0)}-{int(batch['text_key'].iloc[0])}-{len(batch)}"
-    null = batch["doc_id"].isna().to_numpy()
-    docs = np.where(null, np.iinfo(np.int64).min, batch["doc_id"].fillna(0).to_numpy(np.int64))
+    docs = batch["doc_id"].to_numpy(np.int64)
     return {
-        "segment": key, "docs": docs.tobytes(), "lengths": lengths.tobytes(), "keys": batch["text_key"].to_numpy(np.int64).tobytes(),
+        "docs": docs.tobytes(), "lengths": lengths.tobytes(), "keys": batch["text_key"].to_numpy(np.int64).tobytes(),
         "terms": unique.tobytes(), "ends": np.cumsum(counts).astype(np.int64).tobytes(), "places": place[order].astype(np.int64 if start >> 31 else np.int32).tobytes(),
     }
 
@@ -209,10 +210,7 @@ def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for row in batch.to_dict("records"):
             ids, lengths, keys = (np.frombuffer(row[k], np.int64) for k in ("docs", "lengths", "keys"))
-            yield pd.DataFrame({
-                "segment": row["segment"], "number": np.arange(len(ids)), "doc_id": pd.array(np.where(ids == np.iinfo(np.int64).min, 0, ids), "Int64").copy(),
-                "text_key": keys, "n_words": lengths,
-            }).assign(doc_id=lambda x: x["doc_id"].mask(ids == np.iinfo(np.int64).min))
+            yield pd.DataFrame({"segment": row["segment"], "number": np.arange(len(ids)), "doc_id": ids, "text_key": keys, "n_words": lengths})
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -233,8 +231,9 @@ def build_index(docs: DataFrame, benchmark: DataFrame | None = None, max_vocabul
     """The written index of `docs`; with a benchmark, postings only for its terms if they are few enough."""
     ship_package(docs.sparkSession)
     vocabulary = None if benchmark is None else _vocabulary(benchmark, max_vocabulary)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(F.col("text")).alias("text_key"), text_bytes(F.col("text")).alias("raw"))
-    return cut_lineage(rows.mapInPandas(_segment_rows(vocabulary), INDEX).withColumn("segment", F.concat_ws("-", "segment", F.expr("uuid()"))))
+    doc_id = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
+    rows = docs.select(doc_id.alias("doc_id"), text_key(F.col("text")).alias("text_key"), text_bytes(F.col("text")).alias("raw"))
+    return cut_lineage(rows.mapInPandas(_segment_rows(vocabulary), INDEX).withColumn("segment", F.expr("uuid()")))
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int):
@@ -274,7 +273,7 @@ def _of_documents(index: DataFrame, hits: DataFrame) -> DataFrame:
     )
     none = F.array().cast("array<string>")
     return docs.join(hits, ["segment", "number"], "left").select(
-        "doc_id", "text_key", "n_words", F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"), F.coalesce("items", none).alias("items")
+        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "text_key", "n_words", F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"), F.coalesce("items", none).alias("items")
     )
 
 

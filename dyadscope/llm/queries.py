@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadscope.llm import decontam, mixing, quality, sharding, simhash, toxicity
+from dyadscope.llm import decontam, line_dedup, mixing, quality, sharding, simhash, topk, toxicity, url_reputation, warc
 from dyadscope.llm.common import crc_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,7 +30,24 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-@query("op3_decontamination")
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TOKENS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op3_decontamination", f"""
+WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_TOKENS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(list_slice(w, k, k + least(13, len(w)) - 1), ' ') AS gram
+        FROM i, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) AS u(k) WHERE len(w) > 0),
+d AS (SELECT row_number() OVER () AS row, doc_id, {_TOKENS} AS w FROM documents),
+grams AS (SELECT row, k, n, array_to_string(list_slice(w, k, k + n - 1), ' ') AS gram
+       FROM d, (SELECT DISTINCT n FROM win), unnest(generate_series(1, len(w) - n + 1)) AS u(k)),
+hit AS (SELECT row, k, g.n, item FROM grams g JOIN win USING (gram, n)),
+words AS (SELECT row, count(DISTINCT p) AS n_hit FROM hit, unnest(generate_series(k, k + n - 1)) AS u(p) GROUP BY row),
+items AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT row, item FROM hit) GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (row) LEFT JOIN items USING (row)
+""")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -59,3 +76,90 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_mixing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op7_line_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    words = F.aggregate("removed_runs", F.lit(0).cast("bigint"), lambda n, r: n + r["words"])
+    return found.select("doc_id", "text", "removed_lines", words.alias("removed_words"), "removed_runs")
+
+
+URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+def _strength_sql(level: str) -> str:
+    """Prior strength of a level by the method of moments."""
+    return f"""(SELECT (1 - rho) / rho FROM (SELECT least(greatest(coalesce((chi - (g - 1)) / CASE WHEN room > 0 THEN room END, {url_reputation.RHO_LOW}), {url_reputation.RHO_LOW}), {url_reputation.RHO_HIGH}) AS rho
+      FROM (SELECT count(*) AS g, (sum(k * k / n) - sum(n) * m * m) / nullif(m * (1 - m), 0) AS chi, sum(n) - sum(n * n) / nullif(sum(n), 0) - (count(*) - 1) AS room
+            FROM {level}, (SELECT coalesce(sum(k) / nullif(sum(n), 0), {url_reputation.UNKNOWN}) AS m FROM {level}) WHERE n > 0 GROUP BY m)))"""
+
+
+def _rule_sql(then: int) -> str:
+    rules = sorted(URL_RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
+    cases = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{(h + p, v)[then]}'" for v, h, p in rules]
+    return f"CASE {' '.join(cases)} END"
+
+
+_TWO = ", ".join(f"'{x}'" for x in url_reputation.TWO_LABEL_SUFFIXES)
+_OP10 = f"""
+WITH r AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, TRY_CAST(regexp_extract(url, '/([0-9]{{1,18}})', 1) AS BIGINT) AS doc_id, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+             translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM r),
+l AS (SELECT doc_id, avg(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+h0 AS (SELECT host, count(good)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS k, regexp_replace(host, ':[0-9]*$', '') AS name FROM p LEFT JOIN l USING (doc_id) GROUP BY host),
+h1 AS (SELECT *, regexp_matches(name, '^[0-9.]+$') OR starts_with(name, '[') AS address, regexp_extract(name, '([^.]+\\.[^.]+)$', 1) AS two,
+              regexp_extract(name, '([^.]+\\.[^.]+\\.[^.]+)$', 1) AS three FROM h0),
+h AS (SELECT host, n, k, CASE WHEN address THEN '' WHEN two IN ({_TWO}) THEN two ELSE regexp_extract(name, '([^.]*)$', 1) END AS suffix,
+             CASE WHEN address THEN name WHEN two IN ({_TWO}) THEN coalesce(nullif(three, ''), name) ELSE coalesce(nullif(two, ''), name) END AS domain FROM h1),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY domain, suffix),
+s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY suffix),
+m AS (SELECT {_strength_sql('s')} AS ms, {_strength_sql('d')} AS md, {_strength_sql('h')} AS mh, (SELECT coalesce(sum(k) / nullif(sum(n), 0), {url_reputation.UNKNOWN}) FROM s) AS whole),
+sm AS (SELECT suffix, (k + ms * whole) / (n + ms) AS suffix_mean FROM s, m),
+dm AS (SELECT domain, suffix, (k + md * suffix_mean) / (n + md) AS domain_mean FROM d JOIN sm USING (suffix), m),
+hm AS (SELECT host, n, (k + mh * domain_mean) / (n + mh) AS mean, mh FROM h JOIN dm USING (domain, suffix), m),
+known AS (SELECT host, mean - {url_reputation.Z} * sqrt(mean * (1 - mean) / (n + mh + 1)) AS lower FROM hm)
+SELECT page_id, host, path, {_rule_sql(0)} AS rule, coalesce({_rule_sql(1)}, CASE WHEN lower >= {url_reputation.LEAST} THEN 'allow' ELSE 'block' END) AS verdict
+FROM p LEFT JOIN known USING (host)
+"""
+
+
+@query("op10_url_reputation", _OP10)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the quality label of the document that its url names (the number in its path)."""
+    pages = table(spark, sf_dir, "pages")
+    named = pages.select("page_id", F.regexp_extract("url", "/([0-9]{1,18})", 1).try_cast("bigint").alias("doc_id"))
+    marks = table(spark, sf_dir, "labels").where("quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("good"))
+    return url_reputation.judge(pages, named.join(marks, "doc_id").select("page_id", "good"), URL_RULES)
+
+
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, {5 * c + 1}, 5))::BIGINT >> {15 - 5 * i}) & 31) + 1)::INT, 1)"
+    for c in range(8) for i in range(4)
+)
+
+
+@query("op6_warc", f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT body AS b, min(page_id) AS first_id FROM p GROUP BY body)
+SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first_id THEN first_id END AS refers_to
+FROM p JOIN f ON body = b
+""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return warc.lookup(warc.write_archive(pages), warc.keys_of(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_topk", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM v q, v c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors.where("vec_id % 100 = 0"), vectors)

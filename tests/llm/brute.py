@@ -59,3 +59,29 @@ def contamination(docs: list[tuple], items: list[tuple], width: int = 13) -> lis
         digest = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
         out.append((doc_id, len(w), len(hit), len(ids), digest, bool(hit) and 20 * len(hit) >= len(w)))
     return out
+
+
+def repeated_lines(docs: list[tuple], min_words: int = 50) -> dict:
+    """Per doc_id the numbers of the lines with words in runs that occur at an earlier place, by all pairs of equal lines."""
+    docs = sorted(docs, key=lambda d: d[0])
+    seqs = [[(line.strip(" \t\n\r\x0b\x0c"), len(re.findall(SPACE, line)), at) for at, line in enumerate((t or "").split("\n")) if re.findall(SPACE, line)] for _, t in docs]
+    places: dict[str, list[tuple[int, int]]] = {}
+    for d, seq in enumerate(seqs):
+        for i, (line, _, _) in enumerate(seq):
+            places.setdefault(line, []).append((d, i))
+    gone: dict = {d: set() for d, _ in docs}
+    for d, seq in enumerate(seqs):
+        done = set()
+        for i, (line, _, _) in enumerate(seq):
+            for e, j in places[line]:
+                if (e, j) >= (d, i):
+                    break
+                if (e, i - j, i) in done:
+                    continue
+                a = i
+                while a < len(seq) and a - i + j < len(seqs[e]) and seq[a][0] == seqs[e][a - i + j][0]:
+                    done.add((e, i - j, a))
+                    a += 1
+                if sum(x[1] for x in seq[i:a]) >= min_words:
+                    gone[docs[d][0]] |= {x[2] for x in seq[i:a]}
+    return gone
