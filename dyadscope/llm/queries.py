@@ -90,9 +90,8 @@ URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 
 def _strength_sql(level: str) -> str:
     """Prior strength of a level by the method of moments."""
-    return f"""(SELECT (1 - rho) / rho FROM (SELECT least(greatest(coalesce((chi - (g - 1)) / CASE WHEN room > 0 THEN room END, {url_reputation.RHO_LOW}), {url_reputation.RHO_LOW}), {url_reputation.RHO_HIGH}) AS rho
-      FROM (SELECT count(*) AS g, (sum(k * k / n) - sum(n) * m * m) / nullif(m * (1 - m), 0) AS chi, sum(n) - sum(n * n) / nullif(sum(n), 0) - (count(*) - 1) AS room
-            FROM {level}, (SELECT coalesce(sum(k) / nullif(sum(n), 0), {url_reputation.UNKNOWN}) AS m FROM {level}) WHERE n > 0 GROUP BY m)))"""
+    return f"""(SELECT (1 - rho) / rho FROM (SELECT least(greatest(coalesce(CASE WHEN sum(n) > count(*) THEN (sum((k - n * above) ** 2 / (n * above * (1 - above))) - count(*)) / (sum(n) - count(*)) END,
+      {url_reputation.RHO_LOW}), {url_reputation.RHO_LOW}), {url_reputation.RHO_HIGH}) AS rho FROM {level} WHERE n > 0 AND above > 0 AND above < 1))"""
 
 
 def _rule_sql(then: int) -> str:
@@ -112,13 +111,15 @@ h1 AS (SELECT *, regexp_matches(name, '^[0-9.]+$') OR starts_with(name, '[') AS
               regexp_extract(name, '([^.]+\\.[^.]+\\.[^.]+)$', 1) AS three FROM h0),
 h AS (SELECT host, n, k, CASE WHEN address THEN '' WHEN two IN ({_TWO}) THEN two ELSE regexp_extract(name, '([^.]*)$', 1) END AS suffix,
              CASE WHEN address THEN name WHEN two IN ({_TWO}) THEN coalesce(nullif(three, ''), name) ELSE coalesce(nullif(two, ''), name) END AS domain FROM h1),
-d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY domain, suffix),
-s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY suffix),
-m AS (SELECT {_strength_sql('s')} AS ms, {_strength_sql('d')} AS md, {_strength_sql('h')} AS mh, (SELECT coalesce(sum(k) / nullif(sum(n), 0), {url_reputation.UNKNOWN}) FROM s) AS whole),
-sm AS (SELECT suffix, (k + ms * whole) / (n + ms) AS suffix_mean FROM s, m),
-dm AS (SELECT domain, suffix, (k + md * suffix_mean) / (n + md) AS domain_mean FROM d JOIN sm USING (suffix), m),
-hm AS (SELECT host, n, (k + mh * domain_mean) / (n + mh) AS mean, mh FROM h JOIN dm USING (domain, suffix), m),
-known AS (SELECT host, mean - {url_reputation.Z} * sqrt(mean * (1 - mean) / (n + mh + 1)) AS lower FROM hm)
+d0 AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY domain, suffix),
+s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d0 GROUP BY suffix),
+s AS (SELECT *, (SELECT coalesce(sum(k) / nullif(sum(n), 0), {url_reputation.UNKNOWN}) FROM s0) AS above FROM s0),
+sm AS (SELECT suffix, (k + m * above) / (n + m) AS mean FROM s, (SELECT {_strength_sql('s')} AS m)),
+d AS (SELECT domain, suffix, n, k, mean AS above FROM d0 JOIN sm USING (suffix)),
+dm AS (SELECT domain, suffix, (k + m * above) / (n + m) AS mean FROM d, (SELECT {_strength_sql('d')} AS m)),
+hh AS (SELECT host, n, k, mean AS above FROM h JOIN dm USING (domain, suffix)),
+hm AS (SELECT host, n, (k + m * above) / (n + m) AS mean, m FROM hh, (SELECT {_strength_sql('hh')} AS m)),
+known AS (SELECT host, mean - {url_reputation.Z} * sqrt(mean * (1 - mean) / (n + m + 1)) AS lower FROM hm)
 SELECT page_id, host, path, {_rule_sql(0)} AS rule, coalesce({_rule_sql(1)}, CASE WHEN lower >= {url_reputation.LEAST} THEN 'allow' ELSE 'block' END) AS verdict
 FROM p LEFT JOIN known USING (host)
 """

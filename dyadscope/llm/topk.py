@@ -14,7 +14,7 @@ is ever a row, and nothing is approximate.
 Defined cases: vectors that are null or hold a null or non-finite component take no part, as query or
 candidate; shorter vectors count as filled up with zeros; rows with the id of the query are not its
 candidates; equal rows are all candidates; rows with a null id take no part; sums beyond 64 bits
-are computed in Python integers and saturate in the output; empty tables give no rows; other columns
+are computed in Python integers, ordered as doubles and saturate in the output; empty tables give no rows; other columns
 are not read.
 """
 
@@ -151,7 +151,8 @@ def _search(query_ids: np.ndarray, queries: np.ndarray, k: int):
         limit = (1 << 63) - 1
         for qid, b in zip(query_ids, best, strict=True):
             if len(b.ids):
-                yield pd.DataFrame({"query_id": int(qid), "vec_id": b.ids, "score": [max(-limit - 1, min(limit, int(s))) for s in b.scores]})
+                score = [max(-limit - 1, min(limit, int(s))) for s in b.scores]
+                yield pd.DataFrame({"query_id": int(qid), "vec_id": b.ids, "score": score, "beyond": [float(s) for s in b.scores]})
 
     return run
 
@@ -165,7 +166,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = K, pass_queries: int
     index = build_index(vectors)
     queries = cut_lineage(queries)
     passes = max(1, -(-queries.count() // pass_queries))
-    schema = "query_id bigint, vec_id bigint, score bigint"
+    # `beyond` orders scores that saturate at 64 bits.
+    schema = "query_id bigint, vec_id bigint, score bigint, beyond double"
     found = spark.createDataFrame([], schema)
     for p in range(passes):
         rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == p).collect()
@@ -175,5 +177,5 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = K, pass_queries: int
             for i, r in enumerate(rows):
                 matrix[i, : len(r["v"])] = r["v"]
             found = found.union(cut_lineage(index.mapInPandas(_search(np.array([r["vec_id"] for r in rows], np.int64), matrix, k), schema)))
-    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,8 +1,8 @@
 """URL filters: longest fitting rule, else empirical-Bayes reputation of the host.
 
 Labelled page outcomes (1 good, 0 bad) are counted by host, registered domain and public suffix. Each
-level is beta-binomial: its overdispersion is estimated by the method of moments over its groups, which
-gives the strength of the prior, and the mean of the level above is the prior's mean. So a suffix is
+level is beta-binomial around the means of the level above: the method of moments over its groups gives
+its overdispersion and so the strength of the prior, whose mean is the mean above. So a suffix is
 shrunk to the whole, a domain to its suffix, a host to its domain; a host without labels has its
 domain's reputation. A page is allowed if the lower bound of its host's posterior (mean less `z`
 standard deviations) reaches `least`.
@@ -77,19 +77,20 @@ def first_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Colum
     return name, verdict
 
 
-def _strength(groups: DataFrame) -> DataFrame:
-    """One row: mean of all outcomes and prior strength (1 - rho) / rho of a level, from (n, k) of its groups."""
-    g = groups.where("n > 0").agg(
-        F.count(F.lit(1)).cast("double").alias("g"), F.sum("n").cast("double").alias("total"), F.sum("k").cast("double").alias("good"),
-        F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"), F.sum(F.col("k").cast("double") * F.col("k") / F.col("n")).alias("spread"),
-    )
-    mean = F.coalesce(F.col("good") / F.nullif(F.col("total"), F.lit(0.0)), F.lit(UNKNOWN))
-    g = g.withColumn("mean", mean)
-    chi = (F.col("spread") - F.col("total") * F.col("mean") * F.col("mean")) / F.nullif(F.col("mean") * (1 - F.col("mean")), F.lit(0.0))
-    room = F.col("total") - F.col("squares") / F.nullif(F.col("total"), F.lit(0.0)) - (F.col("g") - 1)
-    rho = F.coalesce((chi - (F.col("g") - 1)) / F.when(room > 0, room), F.lit(RHO_LOW))
-    rho = F.least(F.greatest(rho, F.lit(RHO_LOW)), F.lit(RHO_HIGH))
-    return g.select("mean", ((1 - rho) / rho).alias("strength"))
+def _strength(groups: DataFrame) -> float:
+    """Prior strength (1 - rho) / rho of a level, from (n, k, above): its groups around the means above them."""
+    known = groups.where("n > 0 and above > 0 and above < 1")
+    part = (F.col("k") - F.col("n") * F.col("above")) * (F.col("k") - F.col("n") * F.col("above")) / (F.col("n") * F.col("above") * (1 - F.col("above")))
+    row = known.agg(F.sum(part).alias("chi"), F.count(F.lit(1)).alias("g"), F.sum("n").alias("n")).first()
+    rho = (row["chi"] - row["g"]) / (row["n"] - row["g"]) if row["g"] and row["n"] > row["g"] else RHO_LOW
+    rho = min(max(rho, RHO_LOW), RHO_HIGH)
+    return (1 - rho) / rho
+
+
+def _shrink(groups: DataFrame) -> tuple[DataFrame, float]:
+    """The level's posterior means, as column mean, and its prior strength."""
+    strength = _strength(groups)
+    return groups.withColumn("mean", (F.col("k") + strength * F.col("above")) / (F.col("n") + strength)), strength
 
 
 def reputations(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> DataFrame:
@@ -101,17 +102,12 @@ def reputations(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> DataFram
     hosts = cut_lineage(hosts)
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    by_level = [_strength(level).first() for level in (suffixes, domains, hosts)]
-    whole = by_level[0]["mean"]
-    shrunk = lambda prior, strength: (F.col("k") + F.lit(strength) * prior) / (F.col("n") + F.lit(strength))
-    s = suffixes.select("suffix", shrunk(F.lit(whole), by_level[0]["strength"]).alias("suffix_mean"))
-    d = domains.join(s, "suffix").select("domain", "suffix", shrunk(F.col("suffix_mean"), by_level[1]["strength"]).alias("domain_mean"))
-    h = hosts.join(d, ["domain", "suffix"])
-    strength = F.lit(by_level[2]["strength"])
-    mean = shrunk(F.col("domain_mean"), by_level[2]["strength"])
-    h = h.withColumn("mean", mean)
+    whole = suffixes.agg(F.sum("k") / F.nullif(F.sum("n"), F.lit(0).cast("bigint"))).first()[0]
+    suffixes, _ = _shrink(suffixes.withColumn("above", F.lit(UNKNOWN if whole is None else whole)))
+    domains, _ = _shrink(cut_lineage(domains.join(suffixes.select("suffix", F.col("mean").alias("above")), "suffix")))
+    hosts, strength = _shrink(cut_lineage(hosts.join(domains.select("domain", "suffix", F.col("mean").alias("above")), ["domain", "suffix"])))
     deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + strength + 1))
-    return h.select("host", "n", F.col("k").alias("good"), "mean", (F.col("mean") - z * deviation).alias("lower"))
+    return hosts.select("host", "n", F.col("k").alias("good"), "mean", (F.col("mean") - z * deviation).alias("lower"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule] = (), least: float = LEAST, z: float = Z) -> DataFrame:
