@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dyadscope.llm.common import crc_fold, cut_lineage, drop_rows, ship_package, text_bytes, text_key
+from dyadscope.llm.common import crc_fold, cut_lineage, ship_package, text_bytes, text_key
 
 N_FEATURES = 192
 SEED = 20260220
@@ -220,7 +220,13 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out_fold: int
     return measured.mapInArrow(apply, "doc_id bigint, text_key bigint, held_out boolean, score double, predicted int")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """Documents that the classifier does not reject; same columns."""
-    judged = score(docs, labels, **options)
-    return drop_rows(docs, cut_lineage(judged.where("predicted = 0").select("doc_id", "text_key")))
+def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out_fold: int = 1, **options) -> DataFrame:
+    """Documents that the classifier does not reject; same columns. Texts are scored where they are read, none is shuffled."""
+    model = fit(cut_lineage(statistics(docs, folds)), labels, held_out_fold, **options)
+
+    @F.pandas_udf("boolean")
+    def good(raw: pd.Series) -> pd.Series:
+        stats = np.array([text_statistics(x) for x in raw], float).reshape(-1, len(STATISTICS))
+        return pd.Series(model.score(stats) >= 0.5)
+
+    return docs.where(good(text_bytes(F.col("text"))))
