@@ -42,8 +42,8 @@ BLOCK = 128
 SHARDS = 64
 SEED = 11
 BUCKETS = 4096
-#: Slots that one task row expands to.
-CHUNK = 4096
+#: Slots that one row expands to, and that one task makes.
+CHUNK, TASK_SLOTS = 4096, 1 << 18
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -130,7 +130,9 @@ def slots(sources: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: in
     rows = [(known[s][0], k, int(first[k, s]), int(counts[k, s]), blocks[s]) for k in range(shards) for s in range(len(quotas)) if counts[k, s]]
     drawn = spark.createDataFrame(rows, "number bigint, shard int, first bigint, n bigint, blocks bigint")
     step = F.lit(CHUNK).cast("bigint")
-    pieces = drawn.withColumn("at", F.explode(F.expr(f"sequence(0L, n - 1, {CHUNK}L)"))).repartition("number", "shard", "at")
+    # The rows are few but long: a fixed number of tasks, as sizes in bytes would put them all in one.
+    tasks = max(1, -(-int(quotas.sum()) // TASK_SLOTS))
+    pieces = drawn.withColumn("at", F.explode(F.expr(f"sequence(0L, n - 1, {CHUNK}L)"))).repartition(tasks, "number", "shard", "at")
     each = pieces.withColumn("slot", F.explode(F.sequence(F.col("first") + F.col("at"), F.col("first") + F.least(F.col("n"), F.col("at") + step) - 1)))
     each = each.select("number", "shard", "slot", "blocks", F.expr("slot div blocks").alias("pass"))
 
@@ -154,7 +156,9 @@ def _meet(placed: DataFrame, drawn: DataFrame, block: int) -> DataFrame:
 def _plan(docs: DataFrame, weights, share, most, block, shards, seed) -> tuple[DataFrame, DataFrame, DataFrame]:
     sizes = cut_lineage(sized(docs))
     sources = cut_lineage(targets(sizes, weights, share, most))
-    return sizes, sources, _meet(streams(sizes, sources, seed), slots(sources, block, shards, seed), block)
+    # Written out: the planner must see how large the slots are, it would take them for the few rows they are made from.
+    drawn = cut_lineage(slots(sources, block, shards, seed))
+    return sizes, sources, _meet(streams(sizes, sources, seed), drawn, block)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK,
