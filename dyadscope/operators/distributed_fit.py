@@ -5,8 +5,9 @@ differences of each design from the two rows of its events, batch by batch. Ever
 replicates x regressors numbers, set by the plan) and brings back summed gradients and curvatures
 of the same size; rows never move. Replicate weights are Poisson(1) draws computed from
 (seed, replicate, cluster hash) wherever the row happens to be, so clusters need no shuffle and a
-cluster holding a third of the rows is spread over as many tasks as its rows are. For samples of
-this size the Poisson and the fixed-size cluster bootstrap agree to O(1/clusters).
+cluster holding a third of the rows is spread over as many tasks as its rows are. Weights, rank
+rule, mode check and optimiser steps are those of operators.fit: the size of a sample decides where
+its sums run, not what they are.
 """
 
 from __future__ import annotations
@@ -87,28 +88,6 @@ def batch_pairs(batch: pd.DataFrame, plan: dict[tuple, list[tuple[int, int, list
             yield (track, role, design_id), Pairs(pos, neg, h[use], np.where(high, gap >= 0, gap <= 0))
 
 
-# Cumulative Poisson(1) probabilities for 0..11 events; the tail beyond is below 1e-9.
-_TERMS = np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1.0, 12.0)]))
-POISSON_CDF = np.cumsum(_TERMS)
-
-
-def mix64(x: np.ndarray) -> np.ndarray:
-    """Finaliser of the splitmix64 generator."""
-    x = (x + np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def poisson_weights(cluster_hash: np.ndarray, seed: int, replicates: np.ndarray) -> np.ndarray:
-    """Weight of each row's cluster in each replicate; the same wherever it is computed."""
-    with np.errstate(over="ignore"):
-        streams = mix64(mix64(np.array([seed], dtype=np.int64).view(np.uint64)) ^ replicates.astype(np.uint64))
-        bits = mix64(cluster_hash.view(np.uint64)[:, None] ^ streams[None, :])
-    u = (bits >> np.uint64(11)).astype(np.float64) * (1.0 / (1 << 53))
-    return np.searchsorted(POISSON_CDF, u.ravel(), side="right").reshape(u.shape).astype(np.float64)
-
-
 @dataclass
 class DesignState:
     """Coefficients and progress of one sample: slot 0 is the point fit, then the replicates."""
@@ -126,6 +105,7 @@ class DesignState:
     halvings: np.ndarray = field(init=False)
     weight: np.ndarray = field(init=False)
     hits: np.ndarray = field(init=False)
+    steps: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         slots = 1 + self.n_boot * len(self.tasks)
@@ -137,6 +117,12 @@ class DesignState:
         self.moments = (np.zeros((slots, self.k)), np.zeros((slots, self.k)))
         self.halvings = np.zeros(slots, dtype=int)
         self.weight, self.hits = np.ones(slots), np.zeros(slots)
+        self.steps = np.zeros(slots, dtype=int)
+
+    def settled(self) -> np.ndarray:
+        """Slots with a finite, converged fit on a sample that has any weight."""
+        finite = np.isfinite(self.beta).all(axis=1) & np.isfinite(self.llf)
+        return finite & (self.mean_grad <= kernel.ACCEPT_TOL) & (self.weight > 0)
 
     def weights(self, cluster_hash: np.ndarray, slots: np.ndarray) -> np.ndarray:
         out = np.ones((len(cluster_hash), len(slots)))
@@ -144,7 +130,7 @@ class DesignState:
             first = 1 + t * self.n_boot
             here = np.flatnonzero((slots >= first) & (slots < first + self.n_boot))
             if len(here):
-                out[:, here] = poisson_weights(cluster_hash, seed, slots[here] - first)
+                out[:, here] = kernel.poisson_weights(cluster_hash, seed, slots[here] - first)
         return out
 
 
@@ -238,19 +224,21 @@ def _newton_update(state: DesignState, sums: np.ndarray) -> None:
         gram = sums[go][keep][:, 3 + k :].reshape(-1, k, k)
         state.step[idx] = kernel.solve_newton(gram, grad[go][keep])
         state.beta[idx] += state.step[idx]
+        state.steps[idx] += 1
+        state.active[idx[state.steps[idx] > kernel.MAX_NEWTON]] = False
 
 
 def _adam_update(state: DesignState, sums: np.ndarray, t: int, opts: AdamSettings) -> None:
     k, slots = state.k, np.flatnonzero(state.active)
     m, v = state.moments
     grad = opts.l2 * state.beta[slots] - sums[:, 3 : 3 + k]
-    m[slots] = opts.beta1 * m[slots] + (1 - opts.beta1) * grad
-    v[slots] = opts.beta2 * v[slots] + (1 - opts.beta2) * grad**2
-    step = opts.learning_rate * (m[slots] / (1 - opts.beta1**t)) / (np.sqrt(v[slots] / (1 - opts.beta2**t)) + opts.eps)
+    m[slots], v[slots], step = kernel.adam_step(m[slots], v[slots], grad, t, opts)
     state.beta[slots] -= step
-    state.mean_grad[slots] = 0.0
+    state.weight[slots] = sums[:, 0]
+    norm = np.linalg.norm(step, axis=1)
+    state.mean_grad[slots] = np.where(np.isfinite(norm), 0.0, np.inf)
     if t >= opts.min_iter:
-        state.active[slots[np.linalg.norm(step, axis=1) <= opts.tol]] = False
+        state.active[slots[norm <= opts.tol]] = False
 
 
 @dataclass
@@ -289,21 +277,18 @@ def sample_moments(sample: Sample) -> dict[tuple, Moments]:
         scale = np.where(more & (sd > 0), sd, 1.0)
         offset = mean[key] - shift  # left in by columns that are not centred
         gram = (cross + n * np.outer(offset, offset)) / np.outer(scale, scale)
-        out[key] = Moments(int(sums[key][0, 0]), shift, scale, gram_rank(gram))
+        out[key] = Moments(int(sums[key][0, 0]), shift, scale, kernel.gram_rank(gram))
     return out
 
 
-def gram_rank(gram: np.ndarray) -> int:
-    values = np.linalg.eigvalsh(gram)
-    tol = max(values.max(), 0.0) * max(gram.shape) * 1e-13
-    return int((values > tol).sum())
-
-
 def _iterate(sample: Sample, states: dict[tuple, DesignState], adam: AdamSettings | None = None) -> None:
-    """Passes over the data until every replicate of every sample has settled."""
-    for t in range(1, (adam.max_iter if adam else kernel.MAX_NEWTON) + 1):
-        if not any(s.active.any() for s in states.values()):
-            return
+    """Passes over the data until every replicate of every sample has settled.
+
+    A Newton step that is taken back costs a pass of its own but no step of the replicate's budget.
+    """
+    t = 0
+    while any(s.active.any() for s in states.values()) and (adam is None or t < adam.max_iter):
+        t += 1
         for key, sums in sample.totals(_replicate_sums(states, curvature=adam is None)).items():
             if adam:
                 _adam_update(states[key], sums, t, adam)
@@ -330,27 +315,31 @@ def distributed_fit(
         m = moments[key]
         if m.rank < len(m.scale):
             results += [_result(key, i, rank=m.rank) for i, _ in jobs]
+        elif kernel.optimizer(mode) is None:
+            results += [_result(key, i, rank=m.rank, error=kernel.unsupported(mode)) for i, _ in jobs]
         else:
             states[key] = DesignState(len(m.scale), list(jobs), n_boot, m.scale)
 
-    use_adam = (mode or "").strip().lower() == "adam_lite"
-    _iterate(sample, states, opts if use_adam else None)
+    use_adam = kernel.optimizer(mode) == "adam"
+    _iterate(sample, states, kernel.clamped(opts) if use_adam else None)
     if use_adam:
         for s in states.values():
             s.active[:] = False
             s.active[0] = True
+            s.llf[1:] = 0.0  # only the point fit's likelihood is asked for
         for key, sums in sample.totals(_replicate_sums(states, curvature=False)).items():
             states[key].llf[0] = sums[0, 1]
 
     for key, s in states.items():
-        ok = np.isfinite(s.beta).all(axis=1) & (s.mean_grad <= kernel.ACCEPT_TOL)
+        ok = s.settled()
         for i, (fit_id, _) in enumerate(s.tasks):
             if not ok[0]:
-                results.append(_result(key, fit_id, rank=s.k, error="fit_failed:non_converged"))
+                finite = np.isfinite(s.beta[0]).all() and np.isfinite(s.llf[0])
+                results.append(_result(key, fit_id, rank=s.k, error=f"fit_failed:{'non_converged' if finite else 'non_finite_estimate'}"))
                 continue
             span = slice(1 + i * n_boot, 1 + (i + 1) * n_boot)
             betas = s.beta[span, 0][ok[span]].tolist()
-            results.append(_result(key, fit_id, rank=s.k, beta=float(s.beta[0, 0]), llf=float(s.llf[0]), betas=betas, attempted=n_boot))
+            results.append(_result(key, fit_id, rank=s.k, beta=float(s.beta[0, 0]), llf=float(s.llf[0]), betas=betas, attempted=max(n_boot, 0)))
     return results
 
 
@@ -369,7 +358,7 @@ def distributed_metrics(sample: Sample, seeds: dict[tuple, int], n_boot: int) ->
     _iterate(sample, states)
     out = []
     for (_, _, design_id), s in states.items():
-        ok = np.isfinite(s.beta).all(axis=1) & (s.mean_grad <= kernel.ACCEPT_TOL)
+        ok = s.settled()
         for slot in range(len(ok)):
             if ok[slot]:
                 out.append((design_id, slot - 1, "ok", float(s.hits[slot] / s.weight[slot]), float(s.llf[slot] / s.weight[slot])))

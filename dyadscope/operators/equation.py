@@ -35,7 +35,7 @@ def step_metrics(d: np.ndarray, w: np.ndarray, chosen_first: np.ndarray) -> tupl
     return ok, (w * hit).sum(axis=0) / total, llf / total
 
 
-def grouped_metrics(n_boot: int, seed: int, steps: dict[int, int]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def grouped_metrics(n_boot: int, seed: int, steps: dict[int, int], resampling: str = "poisson") -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Function for one step's sample: replicate -1 is the point fit, 0.. are bootstrap draws."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -45,13 +45,11 @@ def grouped_metrics(n_boot: int, seed: int, steps: dict[int, int]) -> Callable[[
         other = np.vstack(rows["other"].to_numpy()).astype(float)
         _, scale = kernel.standardise(np.vstack([chosen, other]))
         d, first = (chosen - other) / scale, rows["chosen_first"].to_numpy(dtype=bool)
-        ids, codes = np.unique(rows["boot"].to_numpy().astype(str), return_inverse=True)
-        rng = np.random.default_rng(seed + steps[design_id] * STEP_SEED_STRIDE)
+        own_seed = seed + steps[design_id] * STEP_SEED_STRIDE
         out = [(-1, *step_metrics(d, np.ones((len(d), 1)), first))]
         block = max(1, kernel.CELLS_PER_BLOCK // max(len(d), 1))
-        for start in range(0, n_boot, block):
-            w = kernel.draw_multiplicities(codes, len(ids), min(block, n_boot - start), rng)
-            out.append((start, *step_metrics(d, w, first)))
+        weights = kernel.replicate_weights(rows["boot"].to_numpy(), n_boot, own_seed, resampling, block)
+        out += [(at * block, *step_metrics(d, w, first)) for at, w in enumerate(weights)]
         parts = [
             pd.DataFrame(
                 {
@@ -69,7 +67,7 @@ def grouped_metrics(n_boot: int, seed: int, steps: dict[int, int]) -> Callable[[
     return run
 
 
-def plan_steps(factors: Sequence[str], controls: Sequence[str], available: Sequence[str], *, baseline: bool = True, max_steps: int = 6) -> list[tuple[int, str, list[str]]]:
+def plan_steps(factors: Sequence[str], controls: Sequence[str], available: Sequence[str], *, baseline: bool = True, max_steps: int | None = None) -> list[tuple[int, str, list[str]]]:
     """(step, added factor, regressors): controls alone first, then one more factor per step."""
     wanted = list(dict.fromkeys(f.strip() for f in factors if f.strip()))
     if not wanted:
@@ -78,7 +76,7 @@ def plan_steps(factors: Sequence[str], controls: Sequence[str], available: Seque
     if not present:
         raise ValueError("none of the requested factors were found in the data")
     base = [c for c in dict.fromkeys(controls) if c in available]
-    chosen = present[: max(1, min(max_steps, len(present)))]
+    chosen = present if max_steps is None else present[: max(1, max_steps)]
     steps = [(0, BASELINE, base)] if baseline and base else []
     for i, f in enumerate(chosen, start=1):
         steps.append((i, f, list(dict.fromkeys([*base, *chosen[:i]]))))
@@ -94,12 +92,13 @@ def equation_steps(
     track: str = "primary_strict",
     split_role: str = "validation",
     baseline: bool = True,
-    max_steps: int = 6,
+    max_steps: int | None = None,
     n_bootstrap: int = 49,
     seed: int = 20260219,
     cluster: str = "policy_document_id",
     order: str | None = None,
     grouped_fit_max_events: int = 100_000,
+    resampling: str = "poisson",
 ) -> DataFrame:
     """One row per step with accuracy and likelihood bands, and deltas against the step before."""
     if y_col not in df.columns:
@@ -122,13 +121,15 @@ def equation_steps(
     numbers = {i: s for i, (s, _, _) in enumerate(steps)}
     small = [r["design_id"] for r in sizes if r["n_events"] <= grouped_fit_max_events]
     large = [r["design_id"] for r in sizes if r["n_events"] > grouped_fit_max_events]
+    if large and resampling != "poisson":
+        raise ValueError("fixed_size resampling needs samples of at most grouped_fit_max_events events")
     parts = []
     if small:
         parts.append(
             design_pairs(rows, events, designs, keys=keys, require_variation=False, keep=small, sparse=sparse)
             .select("design_id", "event_id", "boot", "chosen", "other", "chosen_first")
             .repartition(len(small), "design_id").groupBy("design_id").applyInPandas(
-                grouped_metrics(n_bootstrap, seed, numbers), METRIC_SCHEMA
+                grouped_metrics(n_bootstrap, seed, numbers, resampling), METRIC_SCHEMA
             )
         )
     if large:

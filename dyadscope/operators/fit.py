@@ -3,16 +3,18 @@
 With two alternatives and one chosen, the likelihood depends on d = chosen - other only:
 sum of log sigmoid(d . beta). The functions here are the small numpy kernels that run inside a
 task on one (track, split, design) sample; samples over the size bound go through
-operators.distributed_fit, which uses the same formulas on distributed sums.
+operators.distributed_fit, which takes the same replicate weights, rank rule, mode check and
+optimiser steps from here and only sums elsewhere.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import xxhash
 
 from dyadscope.settings import AdamSettings
 
@@ -92,42 +94,97 @@ def newton(d: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
         # No gain in double precision: the optimum is reached as far as it can be resolved.
         active[idx[still & (mean_grad[idx] <= ACCEPT_TOL)]] = False
     finite = np.isfinite(beta).all(axis=1) & np.isfinite(llf)
-    return beta, llf, finite & (mean_grad <= ACCEPT_TOL)
+    return beta, llf, finite & (mean_grad <= ACCEPT_TOL) & (w.sum(axis=0) > 0)
+
+
+def clamped(opts: AdamSettings) -> AdamSettings:
+    """Adam settings inside the limits that the optimiser accepts."""
+    # Limits of the rates.
+    return AdamSettings(
+        max_iter=max(int(opts.max_iter), 1), learning_rate=max(opts.learning_rate, 1e-6), beta1=min(max(opts.beta1, 0.0), 0.9999),
+        beta2=min(max(opts.beta2, 0.0), 0.999999), eps=max(opts.eps, 1e-12), l2=max(opts.l2, 0.0), min_iter=max(int(opts.min_iter), 0), tol=max(opts.tol, 0.0),
+    )
+
+
+def adam_step(m: np.ndarray, v: np.ndarray, grad: np.ndarray, t: int, opts: AdamSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(new first moment, new second moment, step to subtract) of clamped settings at iteration t."""
+    m = opts.beta1 * m + (1.0 - opts.beta1) * grad
+    v = opts.beta2 * v + (1.0 - opts.beta2) * grad * grad
+    return m, v, opts.learning_rate * (m / (1.0 - opts.beta1**t)) / (np.sqrt(v / (1.0 - opts.beta2**t)) + opts.eps)
 
 
 def adam(d: np.ndarray, w: np.ndarray, opts: AdamSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Adam ascent with an L2 pull, each replicate stopped on its own step norm."""
+    opts = clamped(opts)
     k, r = d.shape[1], w.shape[1]
-    b1 = min(max(opts.beta1, 0.0), 0.9999)
-    b2 = min(max(opts.beta2, 0.0), 0.999999)
-    rate, eps = max(opts.learning_rate, 1e-6), max(opts.eps, 1e-12)
     beta, m, v = np.zeros((r, k)), np.zeros((r, k)), np.zeros((r, k))
     live = np.ones(r, dtype=bool)
     norm = np.full(r, np.inf)
-    for t in range(1, max(opts.max_iter, 1) + 1):
+    for t in range(1, opts.max_iter + 1):
         idx = np.flatnonzero(live)
         if not len(idx):
             break
         p = sigmoid(d @ beta[idx].T)
-        grad = max(opts.l2, 0.0) * beta[idx] - (w[:, idx] * (1.0 - p)).T @ d
-        m[idx] = b1 * m[idx] + (1.0 - b1) * grad
-        v[idx] = b2 * v[idx] + (1.0 - b2) * grad * grad
-        step = rate * (m[idx] / (1.0 - b1**t)) / (np.sqrt(v[idx] / (1.0 - b2**t)) + eps)
+        grad = opts.l2 * beta[idx] - (w[:, idx] * (1.0 - p)).T @ d
+        m[idx], v[idx], step = adam_step(m[idx], v[idx], grad, t, opts)
         beta[idx] -= step
         norm[idx] = np.linalg.norm(step, axis=1)
-        if t >= max(opts.min_iter, 0):
-            live[idx[norm[idx] <= max(opts.tol, 0.0)]] = False
+        if t >= opts.min_iter:
+            live[idx[norm[idx] <= opts.tol]] = False
     llf = (w * log_sigmoid(d @ beta.T)).sum(axis=0)
-    return beta, llf, np.isfinite(beta).all(axis=1) & np.isfinite(llf) & np.isfinite(norm)
+    return beta, llf, np.isfinite(beta).all(axis=1) & np.isfinite(llf) & np.isfinite(norm) & (w.sum(axis=0) > 0)
 
 
-def solver(mode: str, opts: AdamSettings) -> Callable[[np.ndarray, np.ndarray], tuple] | None:
+def gram_rank(gram: np.ndarray) -> int:
+    """Rank of a design from the cross products of its standardised levels."""
+    values = np.linalg.eigvalsh(gram)
+    tol = max(values.max(), 0.0) * max(gram.shape) * 1e-13
+    return int((values > tol).sum())
+
+
+def optimizer(mode: str) -> str | None:
+    """newton or adam; null for a mode that is not supported."""
     mode = (mode or "none").strip().lower()
-    if mode in ("none", "statsmodels"):
-        return newton
-    if mode == "adam_lite":
-        return lambda d, w: adam(d, w, opts)
-    return None
+    return {"none": "newton", "statsmodels": "newton", "adam_lite": "adam"}.get(mode)
+
+
+def unsupported(mode: str) -> str:
+    return f"fit_failed:unsupported_optimizer_mode:{(mode or 'none').strip().lower()}"
+
+
+def solver(mode: str, opts: AdamSettings) -> Callable[[np.ndarray, np.ndarray], tuple] | None:
+    known = optimizer(mode)
+    return None if known is None else newton if known == "newton" else lambda d, w: adam(d, w, opts)
+
+
+# Cumulative Poisson(1) probabilities for 0, 1, ...: beyond the last the tail is below the resolution of a double.
+_TERMS = np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1.0, 22.0)]))
+POISSON_CDF = np.cumsum(_TERMS)
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """Finaliser of the splitmix64 generator."""
+    x = (x + np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def poisson_weights(cluster_hash: np.ndarray, seed: int, replicates: np.ndarray) -> np.ndarray:
+    """Weight of each row's cluster in each replicate; the same wherever it is computed."""
+    with np.errstate(over="ignore"):
+        streams = mix64(mix64(np.array([seed], dtype=np.int64).view(np.uint64)) ^ replicates.astype(np.uint64))
+        bits = mix64(cluster_hash.view(np.uint64)[:, None] ^ streams[None, :])
+    u = (bits >> np.uint64(11)).astype(np.float64) * (1.0 / (1 << 53))
+    return np.searchsorted(POISSON_CDF, u.ravel(), side="right").reshape(u.shape).astype(np.float64)
+
+
+def cluster_hashes(clusters: np.ndarray) -> np.ndarray:
+    """xxhash64 of each cluster id, as Spark gives it for the same text; each different id is hashed once."""
+    ids, codes = np.unique(np.array(["" if c is None else str(c) for c in clusters], dtype=str), return_inverse=True)
+    found = np.array([xxhash.xxh64_intdigest(str(i).encode(), 42) for i in ids], dtype=np.uint64).view(np.int64)[codes]
+    found[[c is None for c in clusters]] = 42  # what Spark returns for a null
+    return found
 
 
 def draw_multiplicities(codes: np.ndarray, n_clusters: int, n_draws: int, rng: np.random.Generator) -> np.ndarray:
@@ -139,14 +196,27 @@ def draw_multiplicities(codes: np.ndarray, n_clusters: int, n_draws: int, rng: n
     return out
 
 
-def bootstrap_key(d: np.ndarray, clusters: np.ndarray, n_boot: int, seed: int, fit: Callable) -> list[float]:
-    """Key coefficient of every replicate that converged."""
-    ids, codes = np.unique(clusters, return_inverse=True)
+def replicate_weights(clusters: np.ndarray, n_boot: int, seed: int, resampling: str, block: int) -> Iterator[np.ndarray]:
+    """Event weights of the replicates, `block` columns at a time.
+
+    poisson: hash draws per cluster, equal at every sample size. fixed_size: as many clusters as
+    there are, drawn in sequence from a seeded generator; for samples that fit one task only.
+    """
+    if resampling == "poisson":
+        hashes = cluster_hashes(clusters)
+        for start in range(0, n_boot, block):
+            yield poisson_weights(hashes, int(seed), np.arange(start, min(start + block, n_boot)))
+        return
+    ids, codes = np.unique(clusters.astype(str), return_inverse=True)
     rng = np.random.default_rng(int(seed))
-    block = max(1, CELLS_PER_BLOCK // max(len(d), 1))
-    betas: list[float] = []
     for start in range(0, n_boot, block):
-        w = draw_multiplicities(codes, len(ids), min(block, n_boot - start), rng)
+        yield draw_multiplicities(codes, len(ids), min(block, n_boot - start), rng)
+
+
+def bootstrap_key(d: np.ndarray, clusters: np.ndarray, n_boot: int, seed: int, fit: Callable, resampling: str = "poisson") -> list[float]:
+    """Key coefficient of every replicate that converged."""
+    betas: list[float] = []
+    for w in replicate_weights(clusters, n_boot, seed, resampling, max(1, CELLS_PER_BLOCK // max(len(d), 1))):
         beta, _, ok = fit(d, w)
         betas.extend(beta[ok, 0].tolist())
     return betas
@@ -160,19 +230,21 @@ def fit_sample(
     n_boot: int,
     mode: str,
     opts: AdamSettings,
+    resampling: str = "poisson",
 ) -> list[dict]:
     """Point fit once, then one bootstrap per (fit_id, seed) task."""
     k = chosen.shape[1]
     empty = {"beta": None, "llf": None, "boot_betas": [], "boot_attempted": 0}
     levels = np.vstack([chosen, other])
     shift, scale = standardise(levels)
-    rank = int(np.linalg.matrix_rank((levels - shift) / scale))
+    centred = (levels - shift) / scale
+    rank = gram_rank(centred.T @ centred)
     base = {**empty, "design_rank": rank, "fit_error": None}
     if rank < k:
         return [{**base, "fit_id": i} for i, _ in tasks]
     fit = solver(mode, opts)
     if fit is None:
-        return [{**base, "fit_id": i, "fit_error": f"fit_failed:unsupported_optimizer_mode:{mode}"} for i, _ in tasks]
+        return [{**base, "fit_id": i, "fit_error": unsupported(mode)} for i, _ in tasks]
     d = (chosen - other) / scale
     beta, llf, ok = fit(d, np.ones((len(d), 1)))
     if not ok[0]:
@@ -181,7 +253,7 @@ def fit_sample(
         return [{**base, "fit_id": i, "fit_error": f"fit_failed:{reason}"} for i, _ in tasks]
     out = []
     for fit_id, seed in tasks:
-        betas = bootstrap_key(d, clusters, n_boot, seed, fit)
+        betas = bootstrap_key(d, clusters, n_boot, seed, fit, resampling)
         out.append(
             {
                 **base,
@@ -195,7 +267,7 @@ def fit_sample(
     return out
 
 
-def grouped_fit(n_boot: int, mode: str, opts: AdamSettings) -> Callable:
+def grouped_fit(n_boot: int, mode: str, opts: AdamSettings, resampling: str = "poisson") -> Callable:
     """Function for cogroup: the long design rows of one sample with its (fit_id, seed) tasks."""
 
     def run(rows: pd.DataFrame, tasks: pd.DataFrame) -> pd.DataFrame:
@@ -206,11 +278,12 @@ def grouped_fit(n_boot: int, mode: str, opts: AdamSettings) -> Callable:
         results = fit_sample(
             np.vstack(rows["chosen"].to_numpy()).astype(float),
             np.vstack(rows["other"].to_numpy()).astype(float),
-            rows["boot"].to_numpy().astype(str),
+            rows["boot"].to_numpy(),
             list(tasks[["fit_id", "seed"]].itertuples(index=False, name=None)),
             n_boot,
             mode,
             opts,
+            resampling,
         )
         out = pd.DataFrame(results)
         for c in ("track", "split_role", "design_id"):

@@ -154,6 +154,8 @@ def _fits(
     limit = settings.grouped_fit_max_events
     small = [t for t in tasks if t[3] <= limit]
     large = [t for t in tasks if t[3] > limit]
+    if large and settings.resampling != "poisson":
+        raise ValueError("fixed_size resampling needs samples of at most grouped_fit_max_events events")
     keys_schema = "track string, split_role string, design_id int"
     opts = (settings.n_bootstrap, settings.optimizer_mode, settings.adam)
     parts: list[DataFrame] = []
@@ -174,7 +176,7 @@ def _fits(
             .repartition(n, *SAMPLE)
             .groupBy(*SAMPLE)
             .cogroup(jobs.repartition(n, *SAMPLE).groupBy(*SAMPLE))
-            .applyInPandas(grouped_fit(*opts), FIT_SCHEMA)
+            .applyInPandas(grouped_fit(*opts, settings.resampling), FIT_SCHEMA)
         )
     if large:
         # Read from the event table in every pass; the designs are applied inside the tasks.

@@ -7,7 +7,7 @@ from dyadscope.operators import candidates as cand
 from dyadscope.operators.designs import Design, DesignSet, design_pairs, design_stats, event_table, row_table
 from dyadscope.plans import passes
 from dyadscope.plans.scan import plan_candidates, run_scan
-from dyadscope.settings import ScanSettings, resolve_base_controls, resolve_stage_gates
+from dyadscope.settings import AdamSettings, ScanSettings, resolve_base_controls, resolve_stage_gates
 
 SCHEMA = "track string, split_role string, event_id string, pair_id string, policy_document_id string, y int, a double, b double"
 
@@ -139,13 +139,28 @@ def test_pool_size_is_the_product_minus_skips(spark):
     assert pool.where("duplicate_of is not null").count() == 2 == skipped.where("status = 'skipped_equivalent_spec'").count()
 
 
-def test_small_and_large_paths_agree(spark):
+@pytest.mark.parametrize("mode", ["none", "adam_lite", "sgd"])
+def test_the_answer_does_not_depend_on_where_a_sample_is_fitted(spark, mode):
     df = choice_frame(spark)
-    settings = small(contexts=(("all_contexts", "y_all"),), n_bootstrap=15)
-    near = {(r.candidate_id, r.split_role): r for r in run_scan(df, ["x_feat", "anchor"], settings).scan.collect()}
-    far = run_scan(df, ["x_feat", "anchor"], small(contexts=(("all_contexts", "y_all"),), n_bootstrap=15, grouped_fit_max_events=0)).scan.collect()
-    for r in far:
-        assert r.status == "ok" and r.beta == pytest.approx(near[(r.candidate_id, r.split_role)].beta, abs=1e-6)
+    args = dict(contexts=(("all_contexts", "y_all"),), n_bootstrap=9, optimizer_mode=mode, adam=AdamSettings(max_iter=30, min_iter=10))
+    names = ("status", "reason_code", "beta", "se_boot", "p_boot", "q_value", "candidate_tier", "bootstrap_success")
+    near, far = (
+        {(r.candidate_id, r.split_role): tuple(r[n] for n in names) for r in run_scan(df, ["x_feat", "anchor"], small(**args, grouped_fit_max_events=m)).scan.collect()}
+        for m in (100_000, 0)
+    )
+    assert near.keys() == far.keys() and {v[0] for v in near.values()} == ({"fit_failed"} if mode == "sgd" else {"ok"})
+    for key, row in near.items():
+        assert all(a == b if not isinstance(a, float) else a == pytest.approx(b, abs=1e-6) for a, b in zip(row, far[key])), (key, row, far[key])
+
+
+def test_fixed_size_resampling_is_a_choice_and_refused_over_the_bound(spark):
+    df = choice_frame(spark)
+    args = dict(contexts=(("all_contexts", "y_all"),), n_bootstrap=9, resampling="fixed_size")
+    assert {r.status for r in run_scan(df, ["x_feat"], small(**args)).scan.collect()} == {"ok"}
+    with pytest.raises(ValueError, match="fixed_size"):
+        run_scan(df, ["x_feat"], small(**args, grouped_fit_max_events=0))
+    with pytest.raises(ValueError, match="unsupported resampling"):
+        run_scan(df, ["x_feat"], small(resampling="other"))
 
 
 def test_restarts_share_fits_and_differ_in_draws(spark):

@@ -132,7 +132,7 @@ def test_equation_path_gains_from_the_right_factor(spark):
     assert steps[1].delta_accuracy_mean > 0 and steps[1].n_events == 90 and steps[1].equation == "y_all ~ anchor + x_feat"
     assert steps[0].delta_accuracy_mean is None and steps[1].bootstrap_success == 15
     far = equation.equation_steps(df, ["x_feat"], grouped_fit_max_events=0, **args).orderBy("step").collect()
-    assert far[1].accuracy_mean == pytest.approx(steps[1].accuracy_mean, abs=0.05)
+    assert far[1].accuracy_mean == pytest.approx(steps[1].accuracy_mean, abs=1e-6)
     summary = equation.path_summary(equation.equation_steps(df, ["x_feat"], **args)).first()
     assert summary.best_step == 1 and summary.top_positive_contributor == "x_feat"
     with pytest.raises(ValueError, match="none of the requested factors"):
