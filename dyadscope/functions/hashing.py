@@ -39,5 +39,6 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.bit_xor(row_hash).alias("hash_xor"),
-        F.sum(F.pmod(row_hash, F.lit(1 << 31))).alias("hash_sum"),
+        # A decimal sum: a long would overflow at some billion rows.
+        F.sum(F.pmod(row_hash, F.lit(1 << 31)).cast("decimal(38,0)")).alias("hash_sum"),
     )

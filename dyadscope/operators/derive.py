@@ -92,7 +92,7 @@ def vector_stats(df: DataFrame, columns: dict[str, Column], row_id: Column) -> D
             h = F.xxhash64("rid", F.when(x == 0, F.lit(0.0)).otherwise(x))
             aggs += [
                 F.count(x).alias(f"k{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-                F.bit_xor(h).alias(f"s{i}"), F.sum(F.pmod(h, F.lit(1 << 31))).alias(f"t{i}"),
+                F.bit_xor(h).alias(f"s{i}"), F.sum(F.pmod(h, F.lit(1 << 31)).cast("decimal(38,0)")).alias(f"t{i}"),
             ]
         wide = cells.agg(*aggs)
         rows = F.array(
@@ -199,7 +199,7 @@ def onehot_registry(
     source: str,
     *,
     min_level_count: int = 20,
-    max_levels: int = 10,
+    max_levels: int = 0,
     min_variation_share: float = 0.10,
     min_nonmissing_share: float = 0.80,
     event: str = "event_id",
@@ -209,7 +209,7 @@ def onehot_registry(
     Levels are chosen on the build scope; the positive count is checked on the full table. The
     number of levels is a setting, so reading their names back is bounded by it.
     """
-    top = [(r["level"], r["level_count"]) for r in frequent_levels(build, source, min_count=min_level_count, max_levels=max(max_levels, 1)).collect()]
+    top = [(r["level"], r["level_count"]) for r in frequent_levels(build, source, min_count=min_level_count, max_levels=max_levels).collect()]
     shape = (
         "feature_name string, categorical_source_feature string, categorical_level_value string, "
         "categorical_level_count bigint"

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from dyadscope.functions.names import tier_order
 
+#: Ways in which rows with one p value are dealt out to meet their q.
+JOIN_SALTS = 16
 VALIDATED, SUPPORT, EXPLORATORY = "validated_candidate", "support_candidate", "exploratory"
 SCAN_VALUES = ("status", "p_boot", "beta", "score", "bootstrap_success", "candidate_eval_order")
 
@@ -29,7 +31,14 @@ def bh_qvalues(df: DataFrame, p: str, family: str, out: str = "q_value", keys: S
     raw = steps.withColumn("_raw", F.col(p) * total / F.sum("_n").over(up))
     q = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.min("_raw").over(down)))
     table = raw.select(*groups, p, q.alias(out))
-    return df.join(table, [*groups, p], "left")
+    # Rows without q do not enter the join: all of a family's null p would meet under one key. The
+    # rest can crowd on few p values too, so they are spread over salts that the small table repeats.
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(JOIN_SALTS)).cast("int")
+    fits = F.col(p).isNotNull() & (F.trim(F.coalesce(F.col(family), F.lit(""))) != "")
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
+    columns = [*groups, p, *[c for c in df.columns if c not in (*groups, p)]]
+    with_q = df.where(fits).withColumn("_salt", salt).join(salted, [*groups, p, "_salt"], "left").select(*columns, out)
+    return with_q.unionByName(df.where(~fits).select(*columns, F.lit(None).cast("double").alias(out)))
 
 
 def attach_validation_q(scan: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -66,14 +75,13 @@ def assign_tiers(paired: DataFrame, *, p_threshold: float = 0.05, q_threshold: f
     )
 
 
-def rank_candidates(top: DataFrame) -> DataFrame:
+def rank_order() -> list[Column]:
     """Tier, then q (missing last), then score descending (missing last), then id."""
-    return top.orderBy(
-        tier_order(F.col("candidate_tier")),
-        F.asc_nulls_last("q_value_validation"),
-        F.desc_nulls_last("score_validation"),
-        "candidate_id",
-    )
+    return [tier_order(F.col("candidate_tier")), F.asc_nulls_last("q_value_validation"), F.desc_nulls_last("score_validation"), F.col("candidate_id").asc()]
+
+
+def rank_candidates(top: DataFrame) -> DataFrame:
+    return top.orderBy(*rank_order())
 
 
 def tier_rank(tier: Column) -> Column:
@@ -233,14 +241,15 @@ def restart_inference(
     )
 
 
+def inference_order() -> list[Column]:
+    """Tier, then q and p (missing last), then the size of the coefficient, then id."""
+    size = F.abs(F.coalesce("beta_validation", F.lit(0.0)))
+    tier = tier_order(F.col("candidate_tier"))
+    return [tier, F.asc_nulls_last("q_value_validation"), F.asc_nulls_last("p_boot_validation"), F.desc(size), F.col("candidate_id").asc()]
+
+
 def order_inference(rows: DataFrame) -> DataFrame:
-    return rows.orderBy(
-        tier_order(F.col("candidate_tier")),
-        F.asc_nulls_last("q_value_validation"),
-        F.asc_nulls_last("p_boot_validation"),
-        F.desc(F.abs(F.coalesce("beta_validation", F.lit(0.0)))),
-        "candidate_id",
-    )
+    return rows.orderBy(*inference_order())
 
 
 def _sign_consistency(c: str) -> Column:
@@ -290,8 +299,12 @@ def restart_stability(top: DataFrame, *, n_restarts: int) -> DataFrame:
     )
 
 
+def stability_order() -> list[Column]:
+    return [F.desc("stability_score"), F.desc("validated_rate"), F.desc("support_or_better_rate"), F.col("candidate_id").asc()]
+
+
 def order_stability(rows: DataFrame) -> DataFrame:
-    return rows.orderBy(F.desc("stability_score"), F.desc("validated_rate"), F.desc("support_or_better_rate"), "candidate_id")
+    return rows.orderBy(*stability_order())
 
 
 def restart_summary(top: DataFrame, *, n_restarts: int) -> DataFrame:
@@ -311,11 +324,9 @@ def restart_summary(top: DataFrame, *, n_restarts: int) -> DataFrame:
 
 
 def top_validated(rows: DataFrame, n: int) -> DataFrame:
-    return (
-        rows.where(F.col("candidate_tier") == VALIDATED)
-        .orderBy(F.asc_nulls_last("q_value_validation"), F.asc_nulls_last("p_boot_validation"), "candidate_id")
-        .limit(max(int(n), 1))
-    )
+    order = [F.asc_nulls_last("q_value_validation"), F.asc_nulls_last("p_boot_validation"), "candidate_id"]
+    order += ["restart_id"] if "restart_id" in rows.columns else []
+    return rows.where(F.col("candidate_tier") == VALIDATED).orderBy(*order).limit(max(int(n), 1))
 
 
 def count_by(df: DataFrame, key: str) -> DataFrame:

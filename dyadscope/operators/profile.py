@@ -27,8 +27,6 @@ OUTCOME_TOKENS = (
 POST_TREATMENT_TOKENS = (
     "post_", "_post", "after_", "_after", "future", "lead", "delta", "change", "growth", "next_",
 )
-MAX_TARGETS, MAX_REGRESSORS = 12, 40
-SEED_TARGETS, SEED_REGRESSORS = 8, 24
 
 
 def _kind(dtype: T.DataType) -> str:
@@ -135,7 +133,7 @@ def is_id_like(name: Column, unique_share: Column) -> Column:
     return ((unique_share >= 0.98) & any_token(n, ("id", "uuid", "doi", "key"))) | F.endswith(n, F.lit("_id")) | F.startswith(n, F.lit("id_"))
 
 
-def target_candidates(profile: DataFrame, n: int = MAX_TARGETS) -> DataFrame:
+def target_candidates(profile: DataFrame, n: int | None = None) -> DataFrame:
     """Columns that can be an outcome: binary first, then counts, then continuous."""
     number = F.col("dtype_group").isin("numeric", "bool")
     kind = (
@@ -148,11 +146,12 @@ def target_candidates(profile: DataFrame, n: int = MAX_TARGETS) -> DataFrame:
     rows = profile.where(
         ~is_technical(name) & (F.col("nonmissing_share") >= 0.60) & ~is_id_like(name, F.col("unique_share")) & kind.isNotNull()
     ).select("position", "name", kind.alias("y_type"), "nonmissing_share", "unique_count", (base + F.col("nonmissing_share")).alias("priority"))
-    return rows.orderBy(F.desc("priority"), F.desc("unique_count"), "position").limit(n)
+    found = rows.orderBy(F.desc("priority"), F.desc("unique_count"), "position")
+    return found if n is None else found.limit(n)
 
 
 def regressor_candidates(
-    profile: DataFrame, *, targets: Sequence[str] = (), exclude: Sequence[str] = (), research_mode: bool = True, n: int = MAX_REGRESSORS
+    profile: DataFrame, *, targets: Sequence[str] = (), exclude: Sequence[str] = (), research_mode: bool = True, n: int | None = None
 ) -> DataFrame:
     """Columns that can explain: numbers that vary, times, and texts with few levels."""
     name = F.col("name")
@@ -172,7 +171,8 @@ def regressor_candidates(
     rows = profile.where(keep).select(
         "position", "name", kind.alias("x_type"), "nonmissing_share", "unique_count", (base + F.col("nonmissing_share")).alias("priority")
     )
-    return rows.orderBy(F.desc("priority"), "unique_count", "position").limit(n)
+    found = rows.orderBy(F.desc("priority"), "unique_count", "position")
+    return found if n is None else found.limit(n)
 
 
 def seed_risk(y: Column, x: Column, y_type: Column, x_type: Column) -> Column:
@@ -350,8 +350,8 @@ def profile_table(
     regressors = regressor_candidates(profile, targets=[y for y, _ in ys], exclude=exclude, research_mode=research_mode)
     xs = [(r["name"], r["x_type"]) for r in regressors.collect()]
     out = {"columns": profile, "targets": targets, "regressors": regressors}
-    if ys[:SEED_TARGETS] and xs[:SEED_REGRESSORS]:
-        out["question_seeds"] = question_seeds(pair_scores(df, ys[:SEED_TARGETS], xs[:SEED_REGRESSORS]), top_n)
+    if ys and xs:
+        out["question_seeds"] = question_seeds(pair_scores(df, ys, xs), top_n)
     return out
 
 

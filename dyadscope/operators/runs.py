@@ -84,13 +84,14 @@ def latest_result(rows: DataFrame) -> DataFrame:
     return rows.agg(F.max_by("run_id", F.struct(rank.alias("r"), F.col("updated_at"), F.col("run_id").alias("t"))).alias("run_id"))
 
 
-def actionable(rows: DataFrame, limit: int = 20) -> DataFrame:
+def actionable(rows: DataFrame, limit: int | None = None) -> DataFrame:
     """Runs that failed, were cancelled or are still open; when there are none, the latest result."""
     open_state = _text(F.col("state")).isin("failed", "cancelled", "running", "queued")
     any_open = rows.agg(F.max(open_state.cast("int"))).scalar()
     latest = latest_result(rows).scalar()
     keep = F.when(any_open == 1, open_state).otherwise(F.col("run_id") == latest)
-    return rows.where(keep).orderBy(F.desc("updated_at"), "run_id").limit(limit)
+    found = rows.where(keep).orderBy(F.desc("updated_at"), "run_id")
+    return found if limit is None else found.limit(limit)
 
 
 def paired_ids(run_id: Column, hypothesis_mode: bool = False) -> Column:
@@ -134,7 +135,7 @@ def governance_flags(doc: DataFrame) -> DataFrame:
     )
 
 
-def dataset_candidates(entries: DataFrame, files: DataFrame, limit: int = 30) -> DataFrame:
+def dataset_candidates(entries: DataFrame, files: DataFrame, limit: int | None = None) -> DataFrame:
     """First existing artifact per run (scan rows, inference rows, top rows), newest runs first.
 
     `entries` has run_id, updated_at and one path column per artifact; `files` lists paths.
@@ -147,6 +148,7 @@ def dataset_candidates(entries: DataFrame, files: DataFrame, limit: int = 30) ->
     best = known.groupBy("run_id", "updated_at").agg(
         F.min_by(F.struct("artifact_key", "path", "found"), F.struct((-F.coalesce("found", F.lit(0))).alias("f"), "k")).alias("b")
     )
-    return best.select("run_id", "updated_at", "b.artifact_key", "b.path", F.coalesce("b.found", F.lit(0)).alias("exists")).orderBy(
+    found = best.select("run_id", "updated_at", "b.artifact_key", "b.path", F.coalesce("b.found", F.lit(0)).alias("exists")).orderBy(
         F.desc("updated_at"), "run_id"
-    ).limit(limit)
+    )
+    return found if limit is None else found.limit(limit)

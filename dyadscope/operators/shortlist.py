@@ -45,7 +45,7 @@ def shortlist(
     top: DataFrame,
     *,
     tier_mode: str = "validated_or_support",
-    max_features: int = 8,
+    max_features: int,
     dedupe_mode: str = "atom",
     tie_break: Sequence[str] = (),
 ) -> DataFrame:
@@ -113,7 +113,7 @@ def escalation_shortlist(
     q_threshold: float = 0.10,
     p_margin: float = 0.05,
     q_margin: float = 0.10,
-    max_candidates: int = 8,
+    max_candidates: int,
     dedupe_mode: str = "atom",
     tie_break: Sequence[str] = (),
 ) -> DataFrame:

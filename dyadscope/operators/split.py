@@ -27,6 +27,10 @@ def _check_ratio(ratio: float) -> None:
         raise ValueError("discovery_ratio must be in (0, 1)")
 
 
+def _too_few() -> Column:
+    return F.raise_error(F.lit("need at least two clusters to create a holdout split")).cast("string")
+
+
 def hash_holdout(df: DataFrame, *, seed: int = DEFAULT_SEED, ratio: float = 0.80, cluster: str = CLUSTER) -> DataFrame:
     """Role by hash score; neither side is ever left empty.
 
@@ -49,7 +53,8 @@ def hash_holdout(df: DataFrame, *, seed: int = DEFAULT_SEED, ratio: float = 0.80
         .when((extremes.getField("hi") < ratio) & (cid == extremes.getField("last_id")), "validation")
         .otherwise(role_by_score(score, ratio))
     )
-    return df.withColumns({"split_id": F.lit(split_name(seed, ratio)), "split_role": role})
+    one = extremes.getField("first_id").eqNullSafe(extremes.getField("last_id"))
+    return df.withColumns({"split_id": F.lit(split_name(seed, ratio)), "split_role": F.when(one, _too_few()).otherwise(role)})
 
 
 def random_holdout_roles(df: DataFrame, *, seed: int = DEFAULT_SEED, ratio: float = 0.80, cluster: str = CLUSTER) -> DataFrame:
@@ -80,7 +85,7 @@ def random_holdout_roles(df: DataFrame, *, seed: int = DEFAULT_SEED, ratio: floa
     return (
         ids.join(F.broadcast(offsets), "_bucket")  # at most RANK_BUCKETS rows
         .withColumn("_rank", F.col("_before") + F.row_number().over(inside))
-        .select(cluster, F.when(F.col("_rank") <= quota, "discovery").otherwise("validation").alias("split_role"))
+        .select(cluster, F.when(F.col("_total") < 2, _too_few()).when(F.col("_rank") <= quota, "discovery").otherwise("validation").alias("split_role"))
     )
 
 

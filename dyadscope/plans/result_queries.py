@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dyadscope.operators import bootstrap, explore, inference, review, shortlist
@@ -65,12 +66,12 @@ def candidate_tiers(spark, sf):
 
 
 @query("ranked_candidates", sql(TOP, """
-SELECT restart_id, candidate_id, candidate_tier, round(q_value_validation, 9) AS q_value_validation, score_validation FROM top WHERE restart_id = 1
-ORDER BY CASE candidate_tier WHEN 'validated_candidate' THEN 0 WHEN 'support_candidate' THEN 1 ELSE 2 END, q_value_validation ASC NULLS LAST, score_validation DESC NULLS LAST, candidate_id LIMIT 50"""))
+SELECT restart_id, candidate_id, candidate_tier, round(q_value_validation, 9) AS q_value_validation, score_validation, CAST(row_number() OVER (PARTITION BY restart_id
+ORDER BY CASE candidate_tier WHEN 'validated_candidate' THEN 0 WHEN 'support_candidate' THEN 1 ELSE 2 END, q_value_validation ASC NULLS LAST, score_validation DESC NULLS LAST, candidate_id) AS INTEGER) AS position FROM top"""))
 def ranked_candidates(spark, sf):
-    top = w.top_rows(spark, sf).where("restart_id = 1")
-    return inference.rank_candidates(top).limit(50).select(
-        "restart_id", "candidate_id", "candidate_tier", F.round("q_value_validation", 9).alias("q_value_validation"), "score_validation"
+    place = F.row_number().over(Window.partitionBy("restart_id").orderBy(*inference.rank_order()))
+    return w.top_rows(spark, sf).select(
+        "restart_id", "candidate_id", "candidate_tier", F.round("q_value_validation", 9).alias("q_value_validation"), "score_validation", place.alias("position")
     )
 
 
@@ -163,9 +164,9 @@ def restart_summary(spark, sf):
 
 @query("top_validated", sql(TOP, """
 SELECT restart_id, candidate_id, round(q_value_validation, 9) AS q_value_validation, round(p_boot_validation, 9) AS p_boot_validation FROM top
-WHERE candidate_tier = 'validated_candidate' AND restart_id = 2 ORDER BY q_value_validation, p_boot_validation, candidate_id LIMIT 10"""))
+WHERE candidate_tier = 'validated_candidate' ORDER BY q_value_validation, p_boot_validation, candidate_id, restart_id LIMIT 10"""))
 def top_validated(spark, sf):
-    out = inference.top_validated(w.top_rows(spark, sf).where("restart_id = 2"), 10)
+    out = inference.top_validated(w.top_rows(spark, sf), 10)
     return out.select("restart_id", "candidate_id", F.round("q_value_validation", 9).alias("q_value_validation"), F.round("p_boot_validation", 9).alias("p_boot_validation"))
 
 
@@ -276,7 +277,7 @@ def probability_histogram(spark, sf):
 
 
 STRONG = INFERENCE + """,
-strong AS (SELECT DISTINCT run_id, key_factor FROM fitted WHERE q <= 0.0005),
+strong AS (SELECT DISTINCT run_id, key_factor FROM fitted WHERE q <= 0.10::DOUBLE),
 base AS (SELECT count(DISTINCT run_id) AS n FROM strong),
 sup AS (SELECT key_factor, count(*) AS n FROM strong GROUP BY 1),
 co AS (SELECT a.key_factor AS fa, b.key_factor AS fb, count(*) AS co_runs FROM strong a JOIN strong b ON a.run_id = b.run_id AND a.key_factor < b.key_factor GROUP BY ALL),
@@ -287,7 +288,7 @@ pairs AS (SELECT fa, fb, co_runs, x.n AS sa, y.n AS sb, base.n AS base, co_runs:
 SELECT fa AS key_factor_a, fb AS key_factor_b, co_runs, round(co_runs::DOUBLE / base, 9) AS run_share, round(jaccard, 9) AS jaccard,
    round(CAST(co_runs * base AS DOUBLE) / (sa * sb), 9) AS lift, sa AS support_a_runs, sb AS support_b_runs, base AS base_runs FROM pairs"""))
 def affinity_pairs(spark, sf):
-    out = explore.affinity_pairs(explore.strong_factors(_rows(spark, sf, 0.0005)))
+    out = explore.affinity_pairs(explore.strong_factors(_rows(spark, sf)))
     return _round(out, "run_share", "jaccard", "lift", digits=9)
 
 
@@ -301,7 +302,7 @@ lists AS (SELECT c, count(*) AS n_factors, list(key_factor ORDER BY n DESC, key_
 supp AS (SELECT c, count(DISTINCT run_id) AS run_support FROM strong s JOIN comp ON s.key_factor = node GROUP BY 1)
 SELECT array_to_string(fs[1:3], ' | ') AS cluster_signature, n_factors, run_support, array_to_string(fs, '|') AS factors FROM lists JOIN supp USING (c)""")[4:])
 def factor_clusters(spark, sf):
-    strong = explore.strong_factors(_rows(spark, sf, 0.0005))
+    strong = explore.strong_factors(_rows(spark, sf))
     return explore.factor_clusters(strong, explore.affinity_pairs(strong))
 
 
@@ -503,11 +504,11 @@ def composite_scores(spark, sf):
 
 
 @query("ordered_inference", sql(TOP, """
-SELECT candidate_id, restart_id, candidate_tier FROM top WHERE restart_id = 3
-ORDER BY CASE candidate_tier WHEN 'validated_candidate' THEN 0 WHEN 'support_candidate' THEN 1 ELSE 2 END, q_value_validation ASC NULLS LAST, p_boot_validation ASC NULLS LAST, abs(coalesce(beta_validation, 0)) DESC, candidate_id LIMIT 30"""))
+SELECT candidate_id, restart_id, candidate_tier, CAST(row_number() OVER (PARTITION BY restart_id
+ORDER BY CASE candidate_tier WHEN 'validated_candidate' THEN 0 WHEN 'support_candidate' THEN 1 ELSE 2 END, q_value_validation ASC NULLS LAST, p_boot_validation ASC NULLS LAST, abs(coalesce(beta_validation, 0)) DESC, candidate_id) AS INTEGER) AS position FROM top"""))
 def ordered_inference(spark, sf):
-    top = w.top_rows(spark, sf).where("restart_id = 3")
-    return inference.order_inference(top).limit(30).select("candidate_id", "restart_id", "candidate_tier")
+    place = F.row_number().over(Window.partitionBy("restart_id").orderBy(*inference.inference_order()))
+    return w.top_rows(spark, sf).select("candidate_id", "restart_id", "candidate_tier", place.alias("position"))
 
 
 @query("ordered_stability", sql(TOP, """
@@ -515,10 +516,12 @@ def ordered_inference(spark, sf):
    count(*) FILTER (candidate_tier = 'exploratory') AS ne, count(*) FILTER (beta_validation > 0) AS vp, count(*) FILTER (beta_validation < 0) AS vn, count(*) FILTER (beta_discovery > 0) AS dp, count(*) FILTER (beta_discovery < 0) AS dn FROM top GROUP BY 1),
 r AS (SELECT candidate_id, nv, round(0.35::DOUBLE * (np / 5.0::DOUBLE) + 0.35::DOUBLE * (ns / 5.0::DOUBLE) + 0.20::DOUBLE * (greatest(nv, ns - nv, ne)::DOUBLE / n)
    + 0.10::DOUBLE * greatest(CASE WHEN vp + vn > 0 THEN greatest(vp, vn)::DOUBLE / (vp + vn) ELSE 1 END, CASE WHEN dp + dn > 0 THEN greatest(dp, dn)::DOUBLE / (dp + dn) ELSE 1 END), 6) AS s, round(ns / 5.0::DOUBLE, 6) AS sr FROM a)
-SELECT candidate_id, s AS stability_score FROM r ORDER BY s DESC, round(nv / 5.0::DOUBLE, 6) DESC, sr DESC, candidate_id LIMIT 20"""))
+SELECT candidate_id, s AS stability_score, CAST(row_number() OVER (ORDER BY s DESC, round(nv / 5.0::DOUBLE, 6) DESC, sr DESC, candidate_id) AS INTEGER) AS position FROM r"""))
 def ordered_stability(spark, sf):
     out = inference.restart_stability(w.top_rows(spark, sf), n_restarts=5)
-    return inference.order_stability(out).limit(20).select("candidate_id", "stability_score")
+    # One row a candidate of the plan.
+    place = F.row_number().over(Window.orderBy(*inference.stability_order()))
+    return out.select("candidate_id", "stability_score", place.alias("position"))
 
 
 @query("distribution_summary", sql(INFERENCE, """
@@ -535,20 +538,20 @@ def explorer_top_runs(spark, sf):
 @query("explorer_top_pairs", sql(STRONG, """
 SELECT fa AS key_factor_a, fb AS key_factor_b, co_runs FROM pairs ORDER BY co_runs DESC, jaccard DESC, CAST(co_runs * base AS DOUBLE) / (sa * sb) DESC, fa, fb LIMIT 15"""))
 def explorer_top_pairs(spark, sf):
-    out = explore.affinity_pairs(explore.strong_factors(_rows(spark, sf, 0.0005)))
+    out = explore.affinity_pairs(explore.strong_factors(_rows(spark, sf)))
     return explore.order_pairs(out, 15).select("key_factor_a", "key_factor_b", "co_runs")
 
 
 @query("cluster_search")
 def cluster_search(spark, sf):
-    strong = explore.strong_factors(_rows(spark, sf, 0.0005))
+    strong = explore.strong_factors(_rows(spark, sf))
     clusters = explore.factor_clusters(strong, explore.affinity_pairs(strong))
     return explore.search_clusters(clusters, "pa__", min_support=1, sort="factors_desc", n=10)
 
 
 @query("consensus_written_back", sql(CONSENSUS, """
-SELECT s.restart_id, s.candidate_id, s.split_role, c.candidate_tier FROM scan s JOIN consensus c USING (restart_id, candidate_id) WHERE s.restart_id <= 2"""))
+SELECT s.restart_id, s.candidate_id, s.split_role, c.candidate_tier FROM scan s JOIN consensus c USING (restart_id, candidate_id)"""))
 def consensus_written_back(spark, sf):
     tiers = _consensus(spark, sf).select("restart_id", "candidate_id", "candidate_tier")
-    scan = w.scan_rows(spark, sf).where("restart_id <= 2").select("restart_id", "candidate_id", "split_role")
+    scan = w.scan_rows(spark, sf).select("restart_id", "candidate_id", "split_role")
     return scan.join(tiers, ["restart_id", "candidate_id"])

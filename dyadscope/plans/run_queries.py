@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -25,12 +25,7 @@ def _entries(spark, sf):
 
 def _scratch(spark) -> str:
     """A new folder beside the checkpoints, which every executor can reach."""
-    base = checkpoint_dir(spark)
-    if base.startswith(("/", "file:")):
-        return tempfile.mkdtemp(prefix="rows-", dir=base.removeprefix("file:"))
-    import uuid
-
-    return f"{base}/rows-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark)}/rows-{uuid.uuid4().hex}"
 
 
 @query("run_history", sql(RUNS, "SELECT run_id, mode, state, updated_at, has_result FROM entries"))
@@ -51,7 +46,7 @@ def run_counters(spark, sf):
     return runs.run_counters(_entries(spark, sf))
 
 
-@query("actionable_runs", sql(RUNS, "SELECT run_id, state FROM entries WHERE state IN ('failed', 'cancelled', 'running', 'queued') ORDER BY updated_at DESC, run_id LIMIT 20"))
+@query("actionable_runs", sql(RUNS, "SELECT run_id, state FROM entries WHERE state IN ('failed', 'cancelled', 'running', 'queued')"))
 def actionable_runs(spark, sf):
     return runs.actionable(_entries(spark, sf)).select("run_id", "state")
 
@@ -136,7 +131,7 @@ def pending_ladder_jobs(spark, sf):
 WITH e AS (SELECT CAST(user_id AS VARCHAR) AS run_id, max(event_id) AS m FROM events GROUP BY 1),
 a AS (SELECT run_id, lpad(CAST(m AS VARCHAR), 12, '0') AS updated_at, CASE WHEN m % 2 = 0 THEN 'scan_' || run_id END AS s, 'inf_' || run_id AS i FROM e)
 SELECT run_id, updated_at, CASE WHEN s IS NOT NULL AND CAST(run_id AS INTEGER) % 3 = 0 THEN 'scan_runs_csv' WHEN CAST(run_id AS INTEGER) % 5 = 0 THEN 'top_models_inference_csv' WHEN s IS NOT NULL THEN 'scan_runs_csv' ELSE 'top_models_inference_csv' END AS artifact_key,
-   CAST((s IS NOT NULL AND CAST(run_id AS INTEGER) % 3 = 0) OR CAST(run_id AS INTEGER) % 5 = 0 AS INTEGER) AS "exists" FROM a ORDER BY updated_at DESC, run_id LIMIT 30""")
+   CAST((s IS NOT NULL AND CAST(run_id AS INTEGER) % 3 = 0) OR CAST(run_id AS INTEGER) % 5 = 0 AS INTEGER) AS "exists" FROM a""")
 def dataset_candidates(spark, sf):
     per = w.table(spark, sf, "events").groupBy(F.col("user_id").cast("string").alias("run_id")).agg(F.max("event_id").alias("m"))
     entries = per.select(

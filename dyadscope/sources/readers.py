@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+import hashlib
+import re
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote, unquote, urlparse
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -149,23 +154,67 @@ def read_run_history(spark: SparkSession, patterns: Sequence[tuple[str, str]]) -
     return latest_per_run(entries)
 
 
-def read_inference(spark: SparkSession, runs: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """Inference rows of many runs, tagged (run_id, mode), from (run_id, mode, path); lacking columns are null."""
-    wanted = ("candidate_id", "track", "context_scope", "y_col", "spec_id", "key_factor", "status_validation", "candidate_tier",
-              "p_boot_validation", "q_value_validation", "validated_rate_restart")
-    paths = [p for _, _, p in runs]
-    df = read_table(spark, paths)
-    # Old outputs use other names for p and q.
-    if "p_boot_validation" not in df.columns and "p_value_validation" in df.columns:
-        df = df.withColumnRenamed("p_value_validation", "p_boot_validation")
-    if "q_value_validation" not in df.columns and "q_value" in df.columns:
-        df = df.withColumnRenamed("q_value", "q_value_validation")
-    tags = spark.createDataFrame([(r, m, p.rsplit("/", 1)[-1]) for r, m, p in runs], "run_id string, mode string, _name string")
-    named = df.select(
-        F.col("_metadata.file_name").alias("_name"),
-        *[(F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in wanted],
+INFERENCE_COLUMNS = (
+    "candidate_id", "track", "context_scope", "y_col", "spec_id", "key_factor", "status_validation", "candidate_tier",
+    "p_boot_validation", "q_value_validation", "validated_rate_restart",
+)
+# Old outputs use other names for p and q.
+OLD_NAMES = {"p_boot_validation": "p_value_validation", "q_value_validation": "q_value"}
+
+
+def _path_part(path: str) -> str:
+    """A path without scheme and host, decoded: file paths in Spark's metadata are URIs."""
+    return unquote(urlparse(path).path) if "://" in path or path.startswith("file:") else path
+
+
+def _headers(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, str]]:
+    """(file, header line) of every CSV file, in one job; a file begins with the block at 0."""
+    lines = spark.read.text(list(paths)).where("_metadata.file_block_start = 0").select(
+        F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at")
     )
-    return named.join(F.broadcast(tags), "_name").drop("_name")  # one row per run
+    return [tuple(r) for r in lines.groupBy("file").agg(F.min_by("value", "at").alias("header")).collect()]
+
+
+def read_inference(spark: SparkSession, runs: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """Inference rows of many runs, tagged (run_id, mode), from (run_id, mode, path); lacking columns are null.
+
+    Columns go by the name in each file's own header: files are read in groups of equal headers.
+    Rows belong to the run whose full path is theirs, or a folder above it.
+    """
+    owners: dict[str, list[tuple[str, str]]] = {}
+    for run_id, mode, path in runs:
+        owners.setdefault(_path_part(path).rstrip("/"), []).append((run_id, mode))
+    paths = list(dict.fromkeys(p for _, _, p in runs))
+    columnar = [p for p in paths if p.rstrip("/").endswith((".parquet", ".pq"))]
+    groups: dict[str, list[str]] = {}
+    for file, header in _headers(spark, [p for p in paths if p not in columnar]) if len(columnar) < len(paths) else []:
+        groups.setdefault(header, []).append(file)
+    tables = [spark.read.parquet(p) for p in columnar]
+    for header, files in groups.items():
+        names = next(csv.reader([header.lstrip("\ufeff")]), [])
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        tables.append(spark.read.csv([unquote(f) for f in files], header=True, schema=schema, multiLine=False, escape='"', enforceSchema=True))
+    parts = []
+    for df in tables:
+        columns = []
+        for c in INFERENCE_COLUMNS:
+            source = c if c in df.columns else OLD_NAMES.get(c, "")
+            columns.append((F.col(source).cast("string") if source in df.columns else F.lit(None).cast("string")).alias(c))
+        parts.append(df.select(F.col("_metadata.file_path").alias("_file"), *columns))
+    if not parts:
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in ("run_id", "mode", *INFERENCE_COLUMNS)))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    # One row a file: its path names the run, itself or by a folder above it.
+    tags = []
+    for (file,) in rows.select("_file").distinct().collect():
+        at = _path_part(file)
+        while at and at not in owners:
+            at = at.rpartition("/")[0]
+        tags += [(file, *owner) for owner in owners.get(at, [])]
+    named = rows.join(F.broadcast(spark.createDataFrame(tags, "_file string, run_id string, mode string")), "_file")
+    return named.select("run_id", "mode", *INFERENCE_COLUMNS)
 
 
 def head_rows(df: DataFrame, n: int | None) -> DataFrame:
@@ -198,6 +247,33 @@ def resolve_input(spark: SparkSession, locked: str, pattern: str) -> tuple[str,
 
 
 def file_manifest(spark: SparkSession, pattern: str) -> DataFrame:
-    """Path, size and sha256 per file; files are hashed where they are read."""
-    files = spark.read.format("binaryFile").load(pattern)
-    return files.select("path", F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+    """Path, size and sha256 per file.
+
+    Files of up to `WHOLE_FILE` bytes are hashed by Spark where they are read. Larger ones do not fit a
+    cell: they are listed only, and streamed piece by piece inside a task from the file system that
+    their path names.
+    """
+    small = spark.read.format("binaryFile").load(pattern).where(F.col("length") <= WHOLE_FILE)
+    large = file_listing(spark, pattern).where(F.col("n_bytes") > WHOLE_FILE).select("path", "n_bytes")
+    hashed = small.select("path", F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+    return hashed.unionByName(large.mapInPandas(_stream_hashes, "path string, n_bytes bigint, sha256 string"))
+
+
+#: Largest file that is read as one value.
+WHOLE_FILE = 1 << 30
+
+
+def _stream_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
+    for batch in batches:
+        found = []
+        for path in batch["path"]:
+            uri = re.sub("^file:/+", "file:///", path)
+            store, name = fs.FileSystem.from_uri(quote(uri, safe=":/@%"))
+            digest = hashlib.sha256()
+            with store.open_input_stream(name, compression=None) as stream:
+                while piece := stream.read(1 << 22):
+                    digest.update(piece)
+            found.append(digest.hexdigest())
+        yield batch.assign(sha256=found)

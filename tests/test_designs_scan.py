@@ -176,7 +176,7 @@ def test_second_passes(spark):
     top = run_scan(df, ["x_feat", "anchor"], settings).top
     again = passes.refine(df, top, settings, n_bootstrap=9, max_features=1)
     assert {r.key_factor for r in again.top.collect()} == {"x_feat"}
-    assert passes.escalate(df, top, settings, p_margin=0.0, q_margin=0.0) is None
+    assert passes.escalate(df, top, settings, p_margin=0.0, q_margin=0.0, max_candidates=8) is None
 
 
 def test_gate_and_control_settings():

@@ -163,3 +163,12 @@ def test_modes_states_and_pairs(spark):
     assert [r.m for r in got] == ["singlex_hypothesis_panel", "nooption_baseline", "openexplore_autorefine", "nooption_baseline"]
     assert got[0].p.nooption == "A__nooption_hypothesis_panel" and got[3].p.singlex == "plain__singlex"
     assert spark.range(1).select(runs.infer_state(F.lit("Partial_Failure"))).first()[0] == "failed"
+
+
+def test_bh_of_a_family_with_half_its_p_missing(spark):
+    rows = [(i, "f", None if i % 2 else (i % 10) / 20 + 0.01) for i in range(2000)] + [(5000, None, 0.2), (5001, " ", 0.2)]
+    got = {r.id: r.q_value for r in inference.bh_qvalues(spark.createDataFrame(rows, "id int, fam string, p double"), "p", "fam").collect()}
+    assert len(got) == len(rows) and all(got[i] is None for i, _, p in rows if p is None or i >= 5000)
+    ps = sorted(p for i, _, p in rows if p is not None and i < 5000)
+    for i, _, p in rows[:40:2]:
+        assert got[i] == pytest.approx(min(q * len(ps) / sum(x <= q for x in ps) for q in set(ps) if q >= p))

@@ -8,6 +8,8 @@ from dyadscope.plans.catalog import ORACLES, QUERIES
 from tests.oracle_check import compare, connect
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
+#: Queries whose answer has no rows on the smallest tables.
+EMPTY_HERE: set[str] = set()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test data")
 
 
@@ -19,7 +21,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_agrees_with_sql(spark, con, name):
     verdict = compare(spark, con, name, QUERIES[name], ORACLES[name], SF_DIR)
-    assert verdict in ("", "both sides are empty"), verdict
+    assert verdict in ("", "both sides are empty") if name in EMPTY_HERE else verdict == "", verdict
 
 
 def test_entry_has_rows(spark):

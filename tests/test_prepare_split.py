@@ -94,3 +94,16 @@ def test_overlapping_roles_raise(spark):
     df = spark.createDataFrame([("d1", "discovery"), ("d1", "validation")], "policy_document_id string, split_role string")
     with pytest.raises(ValueError, match="split integrity failure"):
         split.check_split_integrity(df)
+
+
+@pytest.mark.parametrize("holdout", [split.hash_holdout, split.random_holdout])
+def test_one_cluster_cannot_be_split(spark, holdout):
+    df = spark.createDataFrame([("a", 1), ("a", 2)], "policy_document_id string, x int")
+    with pytest.raises(Exception, match="at least two clusters"):
+        holdout(df).collect()
+
+
+def test_fingerprint_sums_do_not_overflow(spark):
+    from dyadscope.functions.hashing import table_fingerprint
+
+    assert str(table_fingerprint(spark.createDataFrame([(1,)], "x int")).schema["hash_sum"].dataType) == "DecimalType(38,0)"

@@ -53,6 +53,30 @@ def test_inference_scan_tags_runs_and_fills_columns(spark, tmp_path):
     assert {(r.run_id, r.candidate_id, r.q_value_validation) for r in out.collect()} == {("r1", "c1", None), ("r2", "c2", None)}
 
 
+def test_inference_scan_goes_by_header_names_and_full_paths(spark, tmp_path):
+    """Two runs with one base name, columns in another order, old names of p and q, and a folder of parts."""
+    for d in ("one", "two", "three"):
+        (tmp_path / d).mkdir()
+    (tmp_path / "one/top.csv").write_text("candidate_id,track,p_boot_validation,q_value_validation\nc1,t,0.1,0.2\n")
+    (tmp_path / "two/top.csv").write_text("q_value,candidate_id,p_value_validation,track\n0.4,c2,0.3,t\n")
+    (tmp_path / "three/part-0.csv").write_text('candidate_id,key_factor\nc3,"a,b"\n')
+    (tmp_path / "three/part-1.csv").write_text("key_factor,candidate_id\nf,c4\n")
+    runs = [("r1", "m1", str(tmp_path / "one/top.csv")), ("r2", "m2", f"file://{tmp_path}/two/top.csv"), ("r3", "m3", str(tmp_path / "three"))]
+    got = sorted(tuple(r[c] for c in ("run_id", "mode", "candidate_id", "track", "p_boot_validation", "q_value_validation", "key_factor")) for r in readers.read_inference(spark, runs).collect())
+    assert got == [("r1", "m1", "c1", "t", "0.1", "0.2", None), ("r2", "m2", "c2", "t", "0.3", "0.4", None),
+                   ("r3", "m3", "c3", None, None, None, "a,b"), ("r3", "m3", "c4", None, None, None, "f")]
+
+
+def test_files_over_the_bound_are_hashed_in_pieces(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    (tmp_path / "big one.bin").write_bytes(b"x" * 5_000_000)
+    (tmp_path / "small.bin").write_bytes(b"y")
+    monkeypatch.setattr(readers, "WHOLE_FILE", 1000)
+    got = {r.n_bytes: r.sha256 for r in readers.file_manifest(spark, f"{tmp_path}/*.bin").collect()}
+    assert got == {5_000_000: hashlib.sha256(b"x" * 5_000_000).hexdigest(), 1: hashlib.sha256(b"y").hexdigest()}
+
+
 def test_files_and_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, ["a", "b"])], "x int, tags array<string>")
     sinks.write_rows(df, str(tmp_path / "out"), ["tags", "x", "gone"], format="csv")
