@@ -469,7 +469,8 @@ e AS (SELECT event_id, sign(q)*ln(1+abs(q)) AS e0, q*q AS e1, sign(t)*ln(1+abs(t
 two AS (SELECT event_id, """ + ", ".join(f"count(e{i}) AS k{i}, min(e{i}) AS a{i}, max(e{i}) AS b{i}" for i in range(9)) + """ FROM e GROUP BY event_id HAVING count(*) = 2),
 rows_ AS (""" + " UNION ALL ".join(
     f"SELECT '{n}' AS feature_name, (SELECT count(e{i}) FROM e) AS nonmissing_count, count(*) FILTER (k{i} = 2 AND a{i} <> b{i}) AS n_events_with_variation, "
-    f"round(count(*) FILTER (k{i} = 2)::DOUBLE / count(*), 6) AS share_events_nonmissing FROM two"
+    f"round(count(*) FILTER (k{i} = 2)::DOUBLE / count(*), 6) AS share_events_nonmissing, (SELECT round(sum(e{i}), 4) FROM e) AS value_sum, "
+    f"(SELECT round(min(e{i}), 9) FROM e) AS value_min, (SELECT round(max(e{i}), 6) FROM e) AS value_max FROM two"
     for i, n in enumerate(("expr__slog1p__l_quantity", "expr__sq__l_quantity", "expr__slog1p__l_tax", "expr__sq__l_tax",
                            "expr__ratio__l_quantity__over__l_tax", "expr__diff__l_quantity__minus__l_tax", "expr__mul__l_quantity__x__l_tax",
                            "expr__ratio__l_quantity__over__pa__p_size", "expr__diff__l_tax__minus__pa__p_size"))
@@ -483,8 +484,15 @@ def expression_features(spark, sf):
     chosen = {n: plan[n] for n in wanted}
     counts = derive.vector_stats(df, chosen, F.xxhash64("event_id")).select("feature_name", "nonmissing_count")
     metrics = registry.variation_metrics(df, chosen)
-    return counts.join(metrics, "feature_name").select(
-        "feature_name", "nonmissing_count", "n_events_with_variation", F.round("share_nonmissing", 6).alias("share_events_nonmissing")
+    values = derive.add_expressions(df, [e for e in derive.plan_expressions(EXPR_BASES, "ms_benchmark_lite") if e.name in chosen]).agg(
+        F.array(*[
+            F.struct(F.lit(n).alias("feature_name"), F.round(F.sum(n), 4).alias("value_sum"), F.round(F.min(n), 9).alias("value_min"), F.round(F.max(n), 6).alias("value_max"))
+            for n in chosen
+        ]).alias("cells")
+    ).select(F.inline("cells"))
+    return counts.join(metrics, "feature_name").join(values, "feature_name").select(
+        "feature_name", "nonmissing_count", "n_events_with_variation", F.round("share_nonmissing", 6).alias("share_events_nonmissing"),
+        "value_sum", "value_min", "value_max",
     )
 
 

@@ -203,3 +203,24 @@ def idempotent_submissions(spark, sf):
         F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("idempotency_key"), F.col("event_id").cast("string").alias("run_id"), "ts"
     )
     return run_events.submissions(requests).select("run_id", "effective_run_id", "is_new")
+
+
+@query("inference_scan", """
+WITH l AS (SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS c, l_returnflag AS t, CAST(l_quantity AS INTEGER) AS p, CAST(l_linenumber AS INTEGER) AS q, l_shipdate FROM lineitem)
+SELECT 'first' AS run_id, 'single' AS mode, c AS candidate_id, t AS track, CAST(p AS VARCHAR) AS p_boot_validation, CAST(q AS VARCHAR) AS q_value_validation, NULL::VARCHAR AS key_factor FROM l
+UNION ALL SELECT 'second', 'paired', c, t, CAST(p AS VARCHAR), CAST(q AS VARCHAR), t || ', "' || c FROM l WHERE l_shipdate >= DATE '1995-01-01'""")
+def inference_scan(spark, sf):
+    """Two runs with one base name: other column order, other names of p and q, a quoted text with commas."""
+    lines = w.table(spark, sf, "lineitem").select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("candidate_id"), F.col("l_returnflag").alias("track"),
+        F.col("l_quantity").cast("int").alias("p_boot_validation"), F.col("l_linenumber").cast("int").alias("q_value_validation"), "l_shipdate",
+    )
+    folder = _scratch(spark)
+    lines.drop("l_shipdate").write.csv(f"{folder}/one/top.csv", header=True, escape='"')
+    late = lines.where("l_shipdate >= DATE '1995-01-01'")
+    late.select(
+        F.col("q_value_validation").alias("q_value"), F.concat(F.col("track"), F.lit(', "'), F.col("candidate_id")).alias("key_factor"), "track",
+        F.col("p_boot_validation").alias("p_value_validation"), "candidate_id",
+    ).write.csv(f"{folder}/two/top.csv", header=True, escape='"')
+    found = readers.read_inference(spark, [("first", "single", f"{folder}/one/top.csv"), ("second", "paired", f"{folder}/two/top.csv")])
+    return found.select("run_id", "mode", "candidate_id", "track", "p_boot_validation", "q_value_validation", "key_factor")
