@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dyadscope.operators import equation, events, inference, profile
-from dyadscope.plans import passes
+from dyadscope.plans import passes, search
 from dyadscope.plans import workload as w
 from dyadscope.plans.oracle import CHOICES, sql
 from dyadscope.plans.registry_of_queries import query
@@ -311,3 +311,16 @@ def head_sample(spark, sf):
 @query("all_track_slice", sql(CHOICES, "SELECT split_role, count(*) AS n FROM choices WHERE split_role = 'discovery' GROUP BY 1"))
 def all_track_slice(spark, sf):
     return events.slice_rows(w.choices(spark, sf), "any", "discovery").groupBy("split_role").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("full_search")
+def full_search(spark, sf):
+    """The composed search with windows, expressions and levels, all features, over two restarts."""
+    settings = _settings(n_restarts=2, min_events_validated=100, min_docs_validated=30)
+    options = search.SearchOptions(windows=(3,), expression_mode="ms_benchmark_lite", expression_bases=("l_quantity", "l_tax", "pa__p_size"), categories=("pa__p_type",))
+    row_id = F.xxhash64("event_id", "l_extendedprice", "l_discount", "recency_years_alt", "pa__p_retailprice", "ext__s_acctbal")
+    done = search.run_search(w.choices(spark, sf), w.FEATURES, settings, options, row_id=row_id)
+    return done.scan.select(
+        "restart_id", "track", "context_scope", "split_role", "key_factor", "n_choice_situations_total", "n_single_choice_informative", "status", "reason_code",
+        "beta", "p_boot", "q_value", "candidate_tier", "data_hash", "config_hash", "feature_registry_hash",
+    )

@@ -16,9 +16,9 @@ from dyadscope.plans.scan import ScanResult, run_scan
 from dyadscope.settings import ScanSettings
 
 
-def run_restarts(df: DataFrame, features: Sequence[str], settings: ScanSettings, *, anchor_track: str = "primary_strict", enforce_consensus: bool = True, confirmatory_y: Sequence[str] = ()) -> tuple[ScanResult, DataFrame, DataFrame]:
+def run_restarts(df: DataFrame, features: Sequence[str], settings: ScanSettings, *, anchor_track: str = "primary_strict", enforce_consensus: bool = True, confirmatory_y: Sequence[str] = (), penalty: float | None = None) -> tuple[ScanResult, DataFrame, DataFrame]:
     """Scan over all restart seeds, then consensus, inference over restarts, and stability."""
-    result = run_scan(df, features, settings)
+    result = run_scan(df, features, settings, penalty=penalty)
     top = track_consensus(result.top, anchor_track=anchor_track, enforce=enforce_consensus)
     changed = top.select("restart_id", "candidate_id", F.col("candidate_tier").alias("_tier"), "track_consensus_status", "track_consensus_demoted")
     scan = result.scan.join(changed, ["restart_id", "candidate_id"], "left").withColumn("candidate_tier", F.coalesce("_tier", "candidate_tier")).drop("_tier")
