@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,12 +47,35 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_owners: list[list[str]] = []
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Owner of the tables that `cut_lineage` writes inside the block: they are deleted at its end.
+
+    Whatever reads them must have been written out by then.
+    """
+    owned: list[str] = []
+    _owners.append(owned)
+    try:
+        yield
+    finally:
+        _owners.remove(owned)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in owned:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write once into the shared folder and go on from the files.
 
     Lost executors cost no recomputation, and later steps read only the columns they use.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    for owned in _owners:
+        owned.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

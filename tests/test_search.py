@@ -54,3 +54,15 @@ def test_no_feature_left_is_an_error(spark):
     df = frame(spark, 40)
     with pytest.raises(ValueError, match="no feature passed"):
         search.run_search(df.withColumn("flat", F.lit(1.0)), ["flat"], small(contexts=(("all_contexts", "y_all"),)))
+
+
+def test_scratch_tables_are_dropped_by_their_owner(spark):
+    from dyadscope.session import cut_lineage, scratch_tables
+
+    with scratch_tables(spark):
+        inside = cut_lineage(spark.range(5))
+        assert inside.count() == 5
+    outside = cut_lineage(spark.range(3))
+    with pytest.raises(Exception):
+        inside.count()
+    assert outside.count() == 3
