@@ -9,9 +9,10 @@ scored by its matched clauses: a weight per kind, fitted to labels around the gr
 
 Insults are stems (a word, or the first letters of a word). Seed stems are given; more are learnt from
 labelled training rows, where a stem must be in so many more toxic documents than their share that
-chance would do it for less than one of all stems tried. Stem counts combine in Spark and only those that pass reach the
-driver, at most `max_stems`. The weights are fitted on at most `max_fit_rows` training rows, taken in
-the order of a hash of the id; every document is scored over its whole text.
+chance would do it for less than one of all stems tried. Stem counts combine in Spark and only those
+that pass reach the driver, at most `max_stems`. Stems and weights are learnt from at most
+`max_fit_rows` labelled training rows, the first by a hash of the id; every document is scored over its
+whole text.
 
 Defined cases: null and empty texts have no clause and get the score of no match; a null id is in fold
 0 without label; several labels of an id count as toxic if their mean is at least one half; without
@@ -36,7 +37,8 @@ from pyspark.sql import functions as F
 from dyadscope.llm.common import crc_fold, cut_lineage, ship_package, text_key
 
 MAX_STEMS = 2000
-MAX_FIT_ROWS = 50_000
+#: Labelled training rows that the stems and weights are learnt from.
+MAX_FIT_ROWS = 30_000
 STEM_LETTERS = (4, 5, 6)
 LEAST_LETTERS = 4
 NEGATION_REACH = 3
@@ -247,17 +249,19 @@ def fit_weights(x: np.ndarray, y: np.ndarray, pull: float = 1.0, steps: int = 50
 def fit(docs: DataFrame, labels: DataFrame, folds: int, held_out_fold: int, label: str = "toxic",
         max_stems: int = MAX_STEMS, max_fit_rows: int = MAX_FIT_ROWS) -> Model:
     y = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("_id")).agg((F.avg(label) >= 0.5).cast("int").alias("toxic"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = texts.where(crc_fold(F.col("doc_id"), folds) != held_out_fold).join(y, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
+    # At most max_fit_rows ids and labels: a proven size, so no text is shuffled to meet its label.
+    sample = y.where(crc_fold(F.col("_id"), folds) != held_out_fold).orderBy(F.xxhash64("_id"), "_id").limit(max_fit_rows)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("_doc"), F.col("text").cast("string").alias("text"))
+    known = texts.join(F.broadcast(cut_lineage(sample)), F.col("_doc") == F.col("_id")).select("text", "toxic")
     known = cut_lineage(known)
-    lexicon = Lexicon({s: 1.0 for s in INSULTS} | learn_stems(known, max_stems))
+    # Copies of one text are one witness: else all its rare words would pass for marks.
+    lexicon = Lexicon({s: 1.0 for s in INSULTS} | learn_stems(cut_lineage(known.dropDuplicates(["text"])), max_stems))
 
     def measure(batches):
         for b in batches:
             yield pd.DataFrame({"x": [document_events(t, lexicon)[:-1] for t in b["text"]], "y": b["toxic"]})
 
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit_rows).select("text", "toxic") if known.count() > max_fit_rows else known.select("text", "toxic")
-    rows = sample.mapInPandas(measure, "x array<double>, y int").groupBy("x", "y").count().collect()
+    rows = known.mapInPandas(measure, "x array<double>, y int").groupBy("x", "y").count().collect()
     if not rows:
         return Model(lexicon, _prior(), -3.0)
     x = np.repeat(np.array([r["x"] for r in rows], float), [r["count"] for r in rows], axis=0)
