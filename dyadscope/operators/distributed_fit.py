@@ -38,7 +38,7 @@ def fit_rows(events: DataFrame, sparse_pairs: DataFrame | None, keys: Sequence[s
     def narrow(df: DataFrame, only: Column) -> DataFrame:
         names = [F.col(k) for k in keys] + [F.lit("")] * (2 - len(keys))
         return df.select(
-            names[0].alias("track"), names[1].alias("split_role"), only.cast("int").alias("only"), F.xxhash64("boot").alias("cluster_hash"),
+            names[0].alias("track"), names[1].alias("split_role"), only.cast("int").alias("only"), kernel.cluster_hash(F.col("boot")).alias("cluster_hash"),
             *[F.col(f"{side}.{part}").alias(f"{side}_{part}") for side in ("lo", "hi") for part in ("ys", "xs", "place")],
         )
 

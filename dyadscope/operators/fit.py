@@ -9,12 +9,14 @@ optimiser steps from here and only sums elsewhere.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-import xxhash
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from dyadscope.settings import AdamSettings
 
@@ -179,11 +181,16 @@ def poisson_weights(cluster_hash: np.ndarray, seed: int, replicates: np.ndarray)
     return np.searchsorted(POISSON_CDF, u.ravel(), side="right").reshape(u.shape).astype(np.float64)
 
 
+def cluster_hash(ids: Column) -> Column:
+    """First 60 bits of the sha256 of a cluster id; 0 for a null."""
+    return F.coalesce(F.conv(F.substring(F.sha2(ids.cast("string"), 256), 1, 15), 16, 10).cast("bigint"), F.lit(0).cast("bigint"))
+
+
 def cluster_hashes(clusters: np.ndarray) -> np.ndarray:
-    """xxhash64 of each cluster id, as Spark gives it for the same text; each different id is hashed once."""
+    """The same of an array; each different id is hashed once."""
     ids, codes = np.unique(np.array(["" if c is None else str(c) for c in clusters], dtype=str), return_inverse=True)
-    found = np.array([xxhash.xxh64_intdigest(str(i).encode(), 42) for i in ids], dtype=np.uint64).view(np.int64)[codes]
-    found[[c is None for c in clusters]] = 42  # what Spark returns for a null
+    found = np.array([int(hashlib.sha256(str(i).encode()).hexdigest()[:15], 16) for i in ids], dtype=np.int64)[codes]
+    found[[c is None for c in clusters]] = 0
     return found
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dyadscope.operators import equation, events, inference, profile
+from dyadscope.operators.fit import POISSON_CDF
 from dyadscope.plans import passes, search
 from dyadscope.plans import workload as w
 from dyadscope.plans.oracle import CHOICES, sql
@@ -79,10 +80,80 @@ def logit_fit_key_only(spark, sf):
     )
 
 
-@query("cluster_bootstrap")
+_MOD = "18446744073709551616::UHUGEINT"
+
+
+def _mix64_sql(x: str, name: str) -> str:
+    """Lateral columns `name`_0.. and `name`: the finaliser that the replicate weights use, on 64-bit numbers."""
+    return (
+        f"((({x})::UHUGEINT + {0x9E3779B97F4A7C15}::UHUGEINT) % {_MOD})::UBIGINT AS {name}_0, "
+        f"((xor({name}_0, {name}_0 >> 30)::UHUGEINT * {0xBF58476D1CE4E5B9}::UHUGEINT) % {_MOD})::UBIGINT AS {name}_1, "
+        f"((xor({name}_1, {name}_1 >> 27)::UHUGEINT * {0x94D049BB133111EB}::UHUGEINT) % {_MOD})::UBIGINT AS {name}_2, xor({name}_2, {name}_2 >> 31) AS {name}"
+    )
+
+
+def _bootstrap_sql(features, n_boot: int, steps: int = 12) -> str:
+    """Views up to `fitted` (per sample and replicate, -1 the point fit) and `found` (the summary of a sample)."""
+    pairs = " UNION ALL ".join(
+        f"SELECT '{f}' AS key_factor, track, split_role, event_id, any_value(policy_document_id) AS doc, max({f}) FILTER (y_all = 1) AS xp, max({f}) FILTER (y_all = 0) AS xn "
+        f"FROM choices WHERE {f} IS NOT NULL GROUP BY track, split_role, event_id HAVING count(*) = 2 AND sum(y_all) = 1 AND min({f}) <> max({f})"
+        for f in features
+    )
+    cdf = ", ".join(f"{c!r}::DOUBLE" for c in POISSON_CDF.tolist())
+    views = [
+        f"pairs AS ({pairs})",
+        "per_doc AS (SELECT key_factor, track, split_role, doc, count(*) AS n FROM pairs GROUP BY ALL)",
+        "size AS (SELECT key_factor, track, split_role, sum(n) AS n_events, count(*) AS n_docs, max(n) / sum(n) AS top1 FROM per_doc GROUP BY ALL)",
+        "levels AS (SELECT key_factor, track, split_role, xp AS x FROM pairs UNION ALL SELECT key_factor, track, split_role, xn FROM pairs)",
+        "spread AS (SELECT key_factor, track, split_role, CASE WHEN count(DISTINCT x) > 2 THEN stddev_pop(x) ELSE 1.0::DOUBLE END AS sd FROM levels GROUP BY ALL)",
+        "z AS (SELECT key_factor, track, split_role, doc, (xp - xn) / sd AS d FROM pairs JOIN spread USING (key_factor, track, split_role))",
+        "ids AS (SELECT key_factor, track, split_role, track || '|all_contexts|y_all|clogit_key_only|' || key_factor AS candidate_id, "
+        "20260219 + CAST(('0x' || substr(sha256(track || '|all_contexts|y_all|clogit_key_only|' || key_factor || '|' || split_role), 1, 8))::BIGINT % 1000000 AS BIGINT) AS seed FROM size)",
+        f"streams AS (SELECT *, {_mix64_sql('seed', 's')}, {_mix64_sql('xor(s, r::UBIGINT)', 't')} FROM ids, (SELECT unnest(range({n_boot})) AS r))",
+        "docs AS (SELECT DISTINCT doc, ('0x' || substr(sha256(doc), 1, 15))::UBIGINT AS h FROM z)",
+        f"drawn AS (SELECT key_factor, track, split_role, r, doc, {_mix64_sql('xor(h, t)', 'b')}, (b >> 11)::DOUBLE / 9007199254740992.0::DOUBLE AS u "
+        "FROM streams JOIN (SELECT key_factor, track, split_role, doc FROM per_doc) USING (key_factor, track, split_role) JOIN docs USING (doc))",
+        f"weighed AS (SELECT key_factor, track, split_role, r, doc, len(list_filter([{cdf}], lambda c: c <= u)) AS w FROM drawn)",
+        "zw AS (SELECT key_factor, track, split_role, r, d, w FROM z JOIN weighed USING (key_factor, track, split_role, doc) WHERE w > 0 "
+        "UNION ALL SELECT key_factor, track, split_role, -1, d, 1 FROM z)",
+        "b0 AS (SELECT DISTINCT key_factor, track, split_role, r, 0.0::DOUBLE AS beta FROM zw)",
+    ]
+    for i in range(steps):
+        views.append(
+            f"b{i + 1} AS (SELECT key_factor, track, split_role, r, any_value(beta) + sum(w * d / (1 + exp(beta * d))) / sum(w * d * d / ((1 + exp(beta * d)) * (1 + exp(-beta * d)))) AS beta "
+            f"FROM zw JOIN b{i} USING (key_factor, track, split_role, r) GROUP BY ALL)"
+        )
+    views += [
+        # A gradient that vanishes at 0 leaves the coefficient at 0; sums in another order leave dust.
+        f"fitted AS (SELECT key_factor, track, split_role, r, CASE WHEN abs(beta) < 1e-9 THEN 0 ELSE beta END AS beta FROM b{steps})",
+        "boot AS (SELECT key_factor, track, split_role, count(*) AS n, coalesce(stddev_samp(beta), 0) AS se, quantile_cont(beta, 0.025) AS lo, quantile_cont(beta, 0.975) AS hi, "
+        "least(1.0, 2.0 * least((count(*) FILTER (beta <= 0) + 1)::DOUBLE / (count(*) + 1), (count(*) FILTER (beta >= 0) + 1)::DOUBLE / (count(*) + 1))) AS p FROM fitted WHERE r >= 0 GROUP BY ALL)",
+        "found AS (SELECT candidate_id, split_role, track, key_factor, n_events, beta, se, lo, hi, p, n, n_events >= 60 AND n_docs >= 5 AND top1 <= 0.2 AS ok "
+        "FROM size JOIN ids USING (key_factor, track, split_role) JOIN (SELECT * FROM fitted WHERE r = -1) USING (key_factor, track, split_role) LEFT JOIN boot USING (key_factor, track, split_role))",
+    ]
+    return CHOICES + ", " + ", ".join(views)
+
+
+BOOT_FEATURES = ("l_quantity", "l_tax", "x_nullable")
+#: Smaller samples have replicates that a regressor separates; their coefficients end nowhere in particular.
+BOOT_GATES = {"min_events_estimable": 60, "min_events_validated": 60}
+
+
+def _boot_columns(scan):
+    """Values to 5 digits: both sides stop their iterations somewhere."""
+    near = [(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("beta", "se_boot", "ci95_lower", "ci95_upper", "p_boot")]
+    return scan.select("candidate_id", "split_role", *near, "bootstrap_success", "bootstrap_attempted")
+
+
+def _boot_answer(n_boot: int) -> str:
+    near = ", ".join(f"CASE WHEN ok THEN round({c}, 5) + 0.0::DOUBLE END AS {name}" for c, name in (
+        ("beta", "beta"), ("se", "se_boot"), ("lo", "ci95_lower"), ("hi", "ci95_upper"), ("p", "p_boot")))
+    return f" SELECT candidate_id, split_role, {near}, CASE WHEN ok THEN n ELSE 0 END::INT AS bootstrap_success, CASE WHEN ok THEN {n_boot} ELSE 0 END AS bootstrap_attempted FROM found"
+
+
+@query("cluster_bootstrap", "WITH " + (_bootstrap_sql(BOOT_FEATURES, 99) + _boot_answer(99)).strip())
 def cluster_bootstrap(spark, sf):
-    scan = run_scan(w.choices(spark, sf), ("l_quantity", "l_tax", "x_nullable"), _settings(n_bootstrap=99)).scan
-    return scan.select("candidate_id", "split_role", "beta", "se_boot", "ci95_lower", "ci95_upper", "p_boot", "bootstrap_success", "bootstrap_attempted")
+    return _boot_columns(run_scan(w.choices(spark, sf), BOOT_FEATURES, _settings(n_bootstrap=99, **BOOT_GATES)).scan)
 
 
 @query("adam_fit")
@@ -91,11 +162,10 @@ def adam_fit(spark, sf):
     return scan.select("candidate_id", "split_role", "status", "beta", "score")
 
 
-@query("distributed_fit")
+@query("distributed_fit", "WITH " + (_bootstrap_sql(w.FEATURES, 19) + _boot_answer(19)).strip())
 def distributed_fit(spark, sf):
     """The same fits with every sample sent through the distributed sums."""
-    scan = run_scan(w.choices(spark, sf), ("l_quantity", "l_tax"), _settings(n_bootstrap=19, grouped_fit_max_events=0)).scan
-    return scan.select("candidate_id", "split_role", "status", "beta", "score", "p_boot")
+    return _boot_columns(run_scan(w.choices(spark, sf), w.FEATURES, _settings(n_bootstrap=19, grouped_fit_max_events=0, **BOOT_GATES)).scan)
 
 
 @query("anchored_scan")
