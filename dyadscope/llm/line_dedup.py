@@ -109,7 +109,8 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int = GRAM_WO
         F.col("doc").alias("_dedup_doc"), F.col("key").alias("_dedup_key"), F.col("runs").alias("_dedup_runs")
     )
     own = (F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NO_ID)) == F.col("_dedup_doc")) & (text_key(docs["text"]) == F.col("_dedup_key"))
-    rows = docs.drop("removed_runs", "removed_lines").join(runs, own, "left").drop("_dedup_doc", "_dedup_key")
+    # The runs are hashed, the wide rows are not sorted; said here, so that the plan is the same at every size.
+    rows = docs.drop("removed_runs", "removed_lines").join(runs.hint("shuffle_hash"), own, "left").drop("_dedup_doc", "_dedup_key")
     all_lines = F.split("text", "\n")
     stays = F.filter(all_lines, lambda x, i: ~F.exists("_dedup_runs", lambda r: (i >= r["first"]) & (i <= r["last"])))
     rows = rows.withColumn("_dedup_text", F.when(F.col("_dedup_runs").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n")))
