@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dyadscope.operators import equation, events, inference, profile
+from dyadscope.operators.candidates import KEY_ONLY, PLUS_BASE, anchor_token
 from dyadscope.operators.fit import POISSON_CDF
 from dyadscope.plans import passes, search
 from dyadscope.plans import workload as w
@@ -12,6 +13,7 @@ from dyadscope.plans.oracle import CHOICES, sql
 from dyadscope.plans.registry_of_queries import query
 from dyadscope.plans.scan import run_scan
 from dyadscope.settings import ScanSettings
+from dyadscope.sources import readers
 
 ONE_CONTEXT = (("all_contexts", "y_all"),)
 
@@ -34,10 +36,50 @@ def key_factor_scan(spark, sf):
     )
 
 
-@query("logit_fit")
+def _two_newton_sql(designs, steps: int = 12) -> str:
+    """Fits of (spec id, key, second regressor or none) with a 2x2 solve a step; rows of 60 events and more are ok."""
+    pairs = " UNION ALL ".join(
+        f"SELECT '{spec}' AS spec, '{key}' AS key_factor, {int(second is not None)} AS two, track, split_role, any_value(policy_document_id) AS doc, "
+        f"max({key}) FILTER (y_all = 1) AS xp, max({key}) FILTER (y_all = 0) AS xn, {f'max({second}) FILTER (y_all = 1)' if second else '0.0::DOUBLE'} AS cp, "
+        f"{f'max({second}) FILTER (y_all = 0)' if second else '0.0::DOUBLE'} AS cn FROM choices GROUP BY track, split_role, event_id "
+        f"HAVING count(*) = 2 AND sum(y_all) = 1 AND min({key}) <> max({key})"
+        for spec, key, second in designs
+    )
+    keys = "spec, key_factor, track, split_role"
+    views = [
+        f"pairs AS ({pairs})",
+        f"per_doc AS (SELECT {keys}, doc, count(*) AS n FROM pairs GROUP BY ALL)",
+        f"size AS (SELECT {keys}, sum(n) AS n_events, count(*) AS n_docs, max(n) / sum(n) AS top1 FROM per_doc GROUP BY ALL)",
+        f"levels AS (SELECT {keys}, xp AS x, cp AS c FROM pairs UNION ALL SELECT {keys}, xn, cn FROM pairs)",
+        f"spread AS (SELECT {keys}, CASE WHEN count(DISTINCT x) > 2 THEN stddev_pop(x) ELSE 1.0::DOUBLE END AS sx, CASE WHEN count(DISTINCT c) > 2 THEN stddev_pop(c) ELSE 1.0::DOUBLE END AS sc FROM levels GROUP BY ALL)",
+        f"z AS (SELECT {keys}, two, (xp - xn) / sx AS d, (cp - cn) / sc AS e FROM pairs JOIN spread USING ({keys}))",
+        f"b0 AS (SELECT DISTINCT {keys}, 0.0::DOUBLE AS b, 0.0::DOUBLE AS g FROM z)",
+    ]
+    for i in range(steps):
+        views.append(
+            f"h{i} AS (SELECT {keys}, any_value(b) AS b, any_value(g) AS g, sum(q * d) AS g1, sum(q * e) AS g2, sum(q * (1 - q) * d * d) AS h11, sum(q * (1 - q) * d * e) AS h12, "
+            f"CASE WHEN max(two) = 1 THEN sum(q * (1 - q) * e * e) ELSE 1.0 END AS h22 FROM (SELECT z.*, b, g, 1 / (1 + exp(b * d + g * e)) AS q FROM z JOIN b{i} USING ({keys})) GROUP BY {keys})"
+        )
+        views.append(f"b{i + 1} AS (SELECT {keys}, b + (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12) AS b, g + (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) AS g FROM h{i})")
+    views.append(
+        f"fit AS (SELECT {keys}, track || '|all_contexts|y_all|' || spec || '|' || key_factor AS candidate_id, n_events, n_events >= 60 AND n_docs >= 5 AND top1 <= 0.2 AS ok, "
+        f"b, any_value(two) + 1 AS k, sum(-ln(1 + exp(-b * d - g * e))) AS llf FROM z JOIN b{steps} USING ({keys}) JOIN size USING ({keys}) GROUP BY {keys}, n_events, n_docs, top1, b)"
+    )
+    return CHOICES + ", " + ", ".join(views)
+
+
+LOGIT_DESIGNS = [(KEY_ONLY, f, None) for f in w.FEATURES] + [(PLUS_BASE, f, "recency_years_alt") for f in w.FEATURES if f != "recency_years_alt"]
+
+
+@query("logit_fit", "WITH " + (_two_newton_sql(LOGIT_DESIGNS) + """
+SELECT candidate_id, split_role, ok AS fitted, CASE WHEN ok THEN round(b, 5) + 0.0::DOUBLE END AS beta, CASE WHEN ok THEN round(llf - 0.01::DOUBLE * k, 4) END AS score, n_events AS n_single_choice_informative FROM fit""").strip())
 def logit_fit(spark, sf):
-    scan = run_scan(w.choices(spark, sf), w.FEATURES, _settings(control_spec_mode="both", n_bootstrap=0, bootstrap_success_min_ratio=0.0)).scan
-    return scan.select("candidate_id", "split_role", "status", "beta", "score", "n_single_choice_informative")
+    settings = _settings(control_spec_mode="both", n_bootstrap=0, bootstrap_success_min_ratio=0.0, min_events_estimable=60, min_events_validated=60)
+    scan = run_scan(w.choices(spark, sf), w.FEATURES, settings).scan
+    return scan.select(
+        "candidate_id", "split_role", (F.col("status") == "ok").alias("fitted"), (F.round("beta", 5) + F.lit(0.0)).alias("beta"), F.round("score", 4).alias("score"),
+        "n_single_choice_informative",
+    )
 
 
 FIT_FEATURES = ("l_quantity", "l_tax", "l_extendedprice", "pa__p_size")
@@ -168,10 +210,15 @@ def distributed_fit(spark, sf):
     return _boot_columns(run_scan(w.choices(spark, sf), w.FEATURES, _settings(n_bootstrap=19, grouped_fit_max_events=0, **BOOT_GATES)).scan)
 
 
-@query("anchored_scan")
+ANCHORED = f"{KEY_ONLY}__{anchor_token(['l_discount'])}"
+
+
+@query("anchored_scan", "WITH " + (_two_newton_sql([(ANCHORED, f, "l_discount") for f in ("l_quantity", "l_tax", "pa__p_size")]) + """
+SELECT candidate_id, spec AS spec_id, key_factor || '+l_discount' AS control_set, split_role, ok AS fitted, CASE WHEN ok THEN round(b, 5) + 0.0::DOUBLE END AS beta FROM fit""").strip())
 def anchored_scan(spark, sf):
-    scan = run_scan(w.choices(spark, sf), ("l_quantity", "l_tax"), _settings(fixed_regressors=("l_discount",), n_bootstrap=19)).scan
-    return scan.select("candidate_id", "spec_id", "control_set", "split_role", "status", "beta")
+    settings = _settings(fixed_regressors=("l_discount",), n_bootstrap=0, bootstrap_success_min_ratio=0.0, min_events_estimable=60, min_events_validated=60)
+    scan = run_scan(w.choices(spark, sf), ("l_quantity", "l_tax", "pa__p_size"), settings).scan
+    return scan.select("candidate_id", "spec_id", "control_set", "split_role", (F.col("status") == "ok").alias("fitted"), (F.round("beta", 5) + F.lit(0.0)).alias("beta"))
 
 
 @query("search_log")
@@ -371,11 +418,12 @@ def profile_report(spark, sf):
     return profile.profile_highlights(out["columns"], out["question_seeds"])
 
 
-@query("head_sample")
+@query("head_sample", sql(PROFILE_SQL, ", head AS (SELECT * FROM base ORDER BY o_orderkey LIMIT 1200) " + " UNION ALL ".join(
+    f"SELECT '{c}' AS name, count({c}) AS nonmissing_count, count(DISTINCT {c}) AS unique_count FROM head" for c in PROFILE_COLUMNS)))
 def head_sample(spark, sf):
-    from dyadscope.sources.readers import head_rows
-
-    return profile.column_profile(head_rows(_orders(spark, sf), 20000)).select("name", "nonmissing_count", "unique_count")
+    """A profile of the first rows by key: the head is the feature."""
+    head = readers.head_rows(_orders(spark, sf), 1200, ["o_orderkey"])
+    return profile.column_profile(head).select("name", "nonmissing_count", "unique_count")
 
 
 @query("all_track_slice", sql(CHOICES, "SELECT split_role, count(*) AS n FROM choices WHERE split_role = 'discovery' GROUP BY 1"))

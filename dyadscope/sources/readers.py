@@ -217,9 +217,11 @@ def read_inference(spark: SparkSession, runs: Sequence[tuple[str, str, str]]) ->
     return named.select("run_id", "mode", *INFERENCE_COLUMNS)
 
 
-def head_rows(df: DataFrame, n: int | None) -> DataFrame:
-    """First n rows for a quick profile; the whole table when n is not given."""
-    return df if n is None else df.limit(max(1, int(n)))
+def head_rows(df: DataFrame, n: int | None, order: Sequence[str] = ()) -> DataFrame:
+    """First n rows for a quick profile, by the order columns if given; the whole table when n is not given."""
+    if n is None:
+        return df
+    return (df.orderBy(*order) if order else df).limit(max(1, int(n)))
 
 
 def file_listing(spark: SparkSession, pattern: str) -> DataFrame:
