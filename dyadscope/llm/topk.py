@@ -81,25 +81,24 @@ def _exact(dtype_bound: int) -> type:
 
 
 class Best:
-    """The k best (score, -id) so far of one query."""
+    """The k best (score, then smaller id) so far of one query."""
 
     def __init__(self, k: int) -> None:
-        self.k, self.ids, self.scores = k, np.empty(0, np.int64), np.empty(0, object)
+        self.k, self.ids, self.scores = k, np.empty(0, np.int64), np.empty(0, np.int64)
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        ids = np.concatenate([self.ids, ids])
-        scores = np.concatenate([self.scores, scores.astype(object) if scores.dtype == object else scores.astype(np.int64)])
-        order = sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[: self.k] if len(ids) < 64 else self._cut(ids, scores)
+        if len(self.ids) == self.k:
+            able = scores >= self.scores[-1]
+            ids, scores = ids[able], scores[able]
+        if not len(ids):
+            return
+        ids, scores = np.concatenate([self.ids, ids]), np.concatenate([self.scores, scores])
+        if scores.dtype == object:
+            order = sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[: self.k]
+        else:
+            order = np.lexsort((ids, -scores))[: self.k]
         self.ids, self.scores = ids[order], scores[order]
 
-    def _cut(self, ids: np.ndarray, scores: np.ndarray) -> list[int]:
-        order = np.lexsort((ids, -scores.astype(float))) if self._small(scores) else sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))
-        return list(order[: self.k])
-
-    @staticmethod
-    def _small(scores: np.ndarray) -> bool:
-        return all(abs(int(s)) < 1 << 53 for s in (max(scores), min(scores)))
-
     def beats(self, bound: int) -> bool:
         return len(self.ids) == self.k and self.scores[-1] > bound
 
