@@ -175,12 +175,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def cut(text: str, runs: list[dict]) -> str:
-    """The runs of words (from, to) of a text, joined by line ends; spacing inside a run stays."""
+def cut(text: str, parts: list[dict]) -> str:
+    """The parts (words from, to; in order) of a text: neighbours keep the spacing between them, others are joined by line ends."""
     spans = [m.span() for m in _WORDS.finditer(text)]
-    if len(runs) == 1 and runs[0]["lo"] == 0 and runs[0]["hi"] == len(spans):
+    runs: list[list[int]] = []
+    for p in parts:
+        if runs and runs[-1][1] == p["lo"]:
+            runs[-1][1] = p["hi"]
+        else:
+            runs.append([p["lo"], p["hi"]])
+    if runs == [[0, len(spans)]]:
         return text
-    return "\n".join(text[spans[r["lo"]][0] : spans[r["hi"] - 1][1]] for r in runs)
+    return "\n".join(text[spans[lo][0] : spans[hi - 1][1]] for lo, hi in runs)
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,12 +205,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     runs = taken.groupBy("doc_id", "text_key", "number", "start", "pass").agg(
         F.array_sort(F.collect_list(F.struct((F.col("lo") - F.col("start")).alias("lo"), (F.col("hi") - F.col("start")).alias("hi")))).alias("runs")
     )
-    # Neighbouring parts become one run of words.
-    joined = F.aggregate("runs", F.array().cast("array<struct<lo:bigint,hi:bigint>>"), lambda acc, r: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))["hi"] == r["lo"]),
-        F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))["lo"].alias("lo"), r["hi"].alias("hi")))),
-    ).otherwise(F.concat(acc, F.array(r))))
-    runs = runs.select(F.col("doc_id").alias("_mix_id"), F.col("text_key").alias("_mix_key"), joined.alias("_mix_runs"))
+    runs = runs.select(F.col("doc_id").alias("_mix_id"), F.col("text_key").alias("_mix_key"), F.col("runs").alias("_mix_runs"))
     # Copies (equal id and text) all have runs of their own; their text is needed once.
     key = text_key(F.col("text"))
     copies = cut_lineage(docs.groupBy(F.col("doc_id").cast("bigint").alias("_id"), key.alias("_key")).count().where("count > 1").select("_id", "_key"))
