@@ -122,28 +122,34 @@ def links(prints: DataFrame, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
     return found.select(F.col("fp").alias("u"), F.col("other_fp").alias("v"))
 
 
-def near_duplicates(docs: DataFrame, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
-    """(doc_id, text_key, fp, component_id) of every row; component_id is the smallest doc_id reachable."""
+def _rooted(docs: DataFrame, pair_bucket: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, fp) of every row, and (fp, root, component_id) of every different fingerprint."""
     rows = cut_lineage(fingerprints(docs))
     classes = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = components(links(classes.select("fp"), pair_bucket))
     least = linked.join(classes, linked["node"] == classes["fp"]).groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = linked.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    known = classes.join(of_print, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(cut_lineage(known), "fp", "left").select("doc_id", "text_key", "fp", "component_id")
+    of_print = linked.join(least, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    known = classes.join(of_print, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    return rows, cut_lineage(known)
+
+
+def near_duplicates(docs: DataFrame, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
+    """(doc_id, text_key, fp, component_id) of every row; component_id is the smallest doc_id reachable."""
+    rows, known = _rooted(docs, pair_bucket)
+    return rows.join(known, "fp", "left").select("doc_id", "text_key", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
-    """One document of each component: the row whose doc_id is the component's; same columns as `docs`.
+    """One document of each component: the row of smallest (doc_id, text key), rows without doc_id last; same columns as `docs`.
 
-    Repeated rows of that doc_id are folded to one. Rows without doc_id stay, as nothing names them.
+    Components are told apart by their root, so unlike texts under one doc_id stay. Repeated rows are folded to one.
     """
-    marked = near_duplicates(docs, pair_bucket)
-    kept = marked.where("doc_id = component_id").groupBy("doc_id").agg(
-        F.min("text_key").alias("_kept_key"), F.count(F.lit(1)).alias("_kept_n")
-    ).withColumnRenamed("doc_id", "_kept_id")
-    kept = cut_lineage(kept)
-    hit = (docs["doc_id"].cast("bigint") == F.col("_kept_id")) & (text_key(docs["text"]) == F.col("_kept_key"))
+    rows, known = _rooted(docs, pair_bucket)
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    each = rows.join(known, "fp").groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    kept = each.groupBy("root").agg(F.min_by("n", row).alias("_kept_n"), F.min(row).alias("row"))
+    kept = cut_lineage(kept.select(F.col("row.doc_id").alias("_kept_id"), F.col("row.text_key").alias("_kept_key"), "_kept_n"))
+    hit = docs["doc_id"].cast("bigint").eqNullSafe(F.col("_kept_id")) & (text_key(docs["text"]) == F.col("_kept_key"))
     once = docs.join(kept.where("_kept_n = 1"), hit, "left_semi")
-    again = docs.join(kept.where("_kept_n > 1"), hit, "left_semi").dropDuplicates(["doc_id"])
-    return once.union(again).union(docs.where(docs["doc_id"].isNull()))
+    again = docs.join(kept.where("_kept_n > 1"), hit, "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.union(again)

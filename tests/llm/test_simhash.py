@@ -51,3 +51,11 @@ def test_components_of_paths_stars_and_nothing(spark):
 def test_empty_table(spark, odd_docs):
     assert simhash.near_duplicates(odd_docs.limit(0)).count() == 0
     assert simhash.keep_one(odd_docs.limit(0)).count() == 0
+
+
+def test_one_row_of_each_component_whatever_the_ids(spark):
+    """Unlike texts under one id are components of their own; copies without id are copies."""
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    rows = [(5, texts[0]), (5, texts[1]), (7, texts[1]), (9, texts[1]), (None, texts[2]), (None, texts[2]), (8, texts[0]), (5, texts[0])]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(5, texts[0]), (5, texts[1]), (0, texts[2])])
