@@ -15,8 +15,10 @@ where all terms of an item stand within a span of words, in any order.
 Terms are XXH64 values of lower-cased words, so a false match needs equal 64-bit values.
 
 Defined cases: a null or wordless text has no words, no hits and is not contaminated; items without
-words match nothing; equal items are all reported; rows with equal ids are judged one by one; empty
-tables give no rows, an empty benchmark gives no hits; other columns are not read.
+words match nothing; equal items are all reported; items without id hit like others, together count
+as one in `n_items` and are not named in `items` of `contamination` (`matches` has one null for them);
+rows with equal ids are judged one by one; empty tables give no rows, an empty benchmark gives no hits;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -165,7 +167,7 @@ def _union(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], top[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(start) - 1]])]
 
 
-def _hits(item_ids: list[str], tokens: list[np.ndarray], window: int, slop: int | None):
+def _hits(item_ids: list[str | None], tokens: list[np.ndarray], window: int, slop: int | None):
     """Task that searches one block of items in each segment."""
     groups: dict[int, dict[tuple, list[int]]] = {}
     if slop is None:
@@ -199,7 +201,7 @@ def _hits(item_ids: list[str], tokens: list[np.ndarray], window: int, slop: int
                 for part in np.split(order, np.flatnonzero(np.diff(doc[order])) + 1):
                     d = int(doc[part[0]])
                     lo, hi = _union(start[part], end[part])
-                    ids = sorted({item_ids[i] for p in part for i in owner[p]})
+                    ids = sorted({item_ids[i] for p in part for i in owner[p]}, key=lambda x: (x is None, x or ""))
                     out.append((row["segment"], d, [{"start": int(a), "end": int(b)} for a, b in zip(lo - seg.firsts[d], hi - seg.firsts[d], strict=True)], ids))
                 yield pd.DataFrame(out, columns=["segment", "number", "spans", "items"])
 
@@ -214,7 +216,7 @@ def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_bytes(F.col("text")).alias("raw")).where("raw is not null and item_id is not null")
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_bytes(F.col("text")).alias("raw")).where("raw is not null")
 
 
 def _vocabulary(benchmark: DataFrame, limit: int) -> dict[bytes, int] | None:
@@ -279,7 +281,7 @@ def _of_documents(index: DataFrame, hits: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, hit_share: int = HIT_SHARE,
                   max_vocabulary: int = MAX_VOCABULARY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: doc_id, text_key, n_words, n_hit, items, contaminated (n_hit > 0 and hit_share * n_hit >= n_words)."""
+    """Per document: doc_id, text_key, n_words, n_hit, n_items, items, contaminated (n_hit > 0 and hit_share * n_hit >= n_words)."""
     found = matches(build_index(docs, benchmark, max_vocabulary), benchmark, window, block_bytes)
     covered = F.aggregate(
         "spans", F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("upto")),
@@ -290,7 +292,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, h
         lambda acc: acc["n"],
     )
     return found.withColumn("n_hit", covered).select(
-        "doc_id", "text_key", "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (F.col("n_hit") * hit_share >= F.col("n_words"))).alias("contaminated")
+        "doc_id", "text_key", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.filter("items", F.isnotnull).alias("items"),
+        ((F.col("n_hit") > 0) & (F.col("n_hit") * hit_share >= F.col("n_words"))).alias("contaminated")
     )
 
 

@@ -1,5 +1,8 @@
+import pytest
+
 from dyadscope.llm import decontam, queries
 from tests.llm import brute
+from tests.oracle_check import compare
 
 
 def _rows(df):
@@ -43,3 +46,19 @@ def test_proximity_finds_words_in_any_order(spark):
     found = decontam.proximity(decontam.build_index(docs, items), items, slop=2)
     assert sorted(r["doc_id"] for r in found.where("size(items) > 0").collect()) == [1]
     assert sorted(r["doc_id"] for r in decontam.proximity(decontam.build_index(docs), items, slop=0).where("size(items) > 0").collect()) == [2]
+
+
+def test_items_without_id_agree_with_the_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    docs = [(1, "a red fox ran"), (2, "a blue fox ran"), (3, "nothing here"), (4, "red fox and blue fox")]
+    items = [(None, "red fox"), (None, "ran"), (7, "blue fox"), (8, None)]
+    con = duckdb.connect()
+    for name, rows, schema in (("documents", docs, "doc_id bigint, text string"), ("benchmark", items, "item_id bigint, text string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    query = queries.QUERIES["op3_decontamination"]
+    assert compare(spark, con, "op3_decontamination", query, queries.ORACLES["op3_decontamination"], str(tmp_path)) == ""
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in query(spark, str(tmp_path)).collect()}
+    assert got == {1: (3, 1, True), 2: (3, 2, True), 3: (0, 0, False), 4: (4, 2, True)}
+    kept = decontam.clean(*(spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("documents", "benchmark")))
+    assert [r["doc_id"] for r in kept.collect()] == [3]
