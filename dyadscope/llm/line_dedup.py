@@ -6,13 +6,17 @@ window is the lines that begin within `gram_words` words; its smallest gram hash
 last) is a fingerprint. Two runs of lines that are equal and have `2 * gram_words` words or more have
 a fingerprint in common, as they share a whole window with all its grams.
 
-Each fingerprint is joined with its first position only (smallest doc_id, then text key, then line), so
-a group of copies gives one match a position and never its pairs. Matches of a document and a first
-document on one diagonal are extended both ways as far as lines agree; runs of at least `min_words`
-words are deleted in the later place. What is deleted always has an equal line at an earlier place, so
-the first occurrence of every line stays.
-
-Only DataFrame operations. What is shuffled is line hashes and fingerprints; texts meet their runs once.
+Documents that hold a fingerprint with a second place are looked at further, both the first and the
+later ones. There every line starts a run, the shortest from it on with `min_words` words, and ends
+one, the shortest up to it; a run whose hash has an earlier place (smallest doc_id, then text key, then
+line) is deleted. Equal runs of `min_words` words or more consist of such runs, each of which is compared
+with its own first place, so nothing depends on where other runs begin. Deleted runs that touch on one
+diagonal of a document and a first document are put together. What is deleted always has an equal line
+at an earlier place, so the first occurrence of every line stays. A group of copies gives one match a run
+and never its pairs.
+
+Only DataFrame operations. What is shuffled is line hashes and fingerprints, and the runs' hashes of
+documents with repeats; texts meet their runs once.
 
 Defined cases: null and empty texts have no lines and stay as they are; lines without words never
 match, and go only if they stand inside a deleted run; rows with equal id and text count as one
@@ -22,7 +26,7 @@ other; an empty table gives an empty result; other columns are kept under their
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dyadscope.llm.common import cut_lineage, text_key
@@ -46,50 +50,60 @@ def line_table(docs: DataFrame) -> DataFrame:
     return rows.where(F.size("lines") > 0).dropDuplicates(["doc", "key"])
 
 
+def _positions(lines: DataFrame) -> DataFrame:
+    """(doc, key, seq, h, n, at, start) of every line with words; start counts the words before it."""
+    rows = lines.select("doc", "key", F.posexplode("lines").alias("seq", "x")).select("doc", "key", (F.col("seq") + 1).alias("seq"), "x.h", "x.n", "x.at")
+    own = Window.partitionBy("doc", "key")
+    begun = own.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("start", F.coalesce(F.sum("n").over(begun), F.lit(0).cast("bigint")))
+
+
 def fingerprints(lines: DataFrame, gram_words: int = GRAM_WORDS) -> DataFrame:
     """(gram, doc, key, seq) of the windows' minima; seq counts lines with words from 1."""
     own = Window.partitionBy("doc", "key")
-    rows = lines.select("doc", "key", F.posexplode("lines").alias("seq", "x")).select("doc", "key", (F.col("seq") + 1).alias("seq"), "x.h", "x.n")
-    begun = own.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("start", F.coalesce(F.sum("n").over(begun), F.lit(0).cast("bigint")))
+    rows = _positions(lines)
     reach = own.orderBy("start").rangeBetween(0, gram_words - 1)
     rows = rows.withColumn("gram", F.when(F.sum("n").over(reach) >= gram_words, F.xxhash64(F.collect_list("h").over(reach))))
     least = F.min(F.when(F.col("gram").isNotNull(), F.struct("gram", (-F.col("seq")).alias("back")))).over(reach)
     return rows.select("doc", "key", least.alias("least")).where("least is not null").select("least.gram", "doc", "key", (-F.col("least.back")).alias("seq")).distinct()
 
 
-def diagonals(prints: DataFrame) -> DataFrame:
-    """(doc, key, first_doc, first_key, shift): where a document may repeat the first place of a fingerprint."""
-    place = F.struct("doc", "key", "seq")
-    first = cut_lineage(prints.groupBy("gram").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "first"))
-    return prints.join(first, "gram").where(place != F.col("first")).select(
-        "doc", "key", F.col("first.doc").alias("first_doc"), F.col("first.key").alias("first_key"), (F.col("seq") - F.col("first.seq")).alias("shift")
-    ).distinct()
+def with_repeats(lines: DataFrame, prints: DataFrame) -> DataFrame:
+    """Rows of `lines` that hold a fingerprint with more than one place."""
+    again = cut_lineage(prints.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
+    return lines.join(prints.join(again, "gram").select("doc", "key").distinct(), ["doc", "key"], "left_semi")
 
 
-def _runs(min_words: int):
-    """Maximal runs of equal lines on the diagonal with enough words, as line numbers of the text."""
-    lo, none = F.greatest(F.lit(0), F.col("shift")), F.lit(None).cast("int")
-    n = F.greatest(F.lit(0), F.least(F.size("lines") - lo, F.size("first_lines") - (lo - F.col("shift"))))
-    both = F.zip_with(
-        F.slice("lines", lo + 1, n), F.slice("first_lines", lo - F.col("shift") + 1, n),
-        lambda a, b: F.struct((a["h"] == b["h"]).alias("same"), a["n"].cast("bigint").alias("n"), a["at"].alias("at"), b["at"].alias("from_at")),
-    )
-    ended = F.array(F.struct(F.lit(False).alias("same"), F.lit(0).cast("bigint").alias("n"), none.alias("at"), none.alias("from_at")))
-    zero = F.struct(
-        F.array().cast(RUNS).alias("runs"), none.alias("first"), none.alias("last"), F.lit(0).cast("bigint").alias("words"), none.alias("from_line"),
-    )
+def shortest_runs(lines: DataFrame, min_words: int) -> DataFrame:
+    """(run, doc, key, seq, at, last, start, end): from each line on and up to each line; at and last are lines of the text."""
+    own = Window.partitionBy("doc", "key")
+    rows = _positions(lines).withColumn("end", F.col("start") + F.col("n"))
+    sides = own.orderBy("start").rangeBetween(0, min_words - 1), own.orderBy("end").rangeBetween(1 - min_words, 0)
+    runs = [F.when(F.sum("n").over(side) >= min_words, F.struct(
+        F.xxhash64(F.collect_list("h").over(side)).alias("run"), F.min("seq").over(side).alias("seq"), F.min("at").over(side).alias("at"),
+        F.max("at").over(side).alias("last"), F.min("start").over(side).alias("start"), F.max("end").over(side).alias("end"),
+    )) for side in sides]
+    return rows.select("doc", "key", *[r.alias(f"r{i}") for i, r in enumerate(runs)]).select("doc", "key", F.explode(F.array_distinct(F.array("r0", "r1"))).alias("x")).where(
+        "x is not null"
+    ).select("x.run", "doc", "key", "x.seq", "x.at", "x.last", "x.start", "x.end")
+
+
+def _merged() -> Column:
+    """Runs of one diagonal, in order, put together where they touch."""
+    none = F.lit(None)
+    ended = F.array(F.struct(F.lit((1 << 63) - 1).alias("start"), none.cast("bigint").alias("end"), none.cast("int").alias("at"), none.cast("int").alias("last"), none.cast("int").alias("from_line")))
+    zero = F.struct(F.array().cast(RUNS).alias("runs"), F.element_at("parts", 1).alias("now"))
 
     def step(acc, x):
-        run = F.struct(acc["first"].alias("first"), acc["last"].alias("last"), acc["words"].alias("words"), F.col("first_doc").alias("from_doc"), acc["from_line"].alias("from_line"))
-        return F.struct(
-            F.when(~x["same"] & (acc["words"] >= min_words), F.concat(acc["runs"], F.array(run))).otherwise(acc["runs"]).alias("runs"),
-            F.when(x["same"], F.coalesce(acc["first"], x["at"])).alias("first"), F.when(x["same"], x["at"]).alias("last"),
-            F.when(x["same"], acc["words"] + x["n"]).otherwise(F.lit(0).cast("bigint")).alias("words"),
-            F.when(x["same"], F.coalesce(acc["from_line"], x["from_at"])).alias("from_line"),
+        now, touch = acc["now"], x["start"] <= acc["now"]["end"]
+        run = F.struct(now["at"].alias("first"), now["last"].alias("last"), (now["end"] - now["start"]).alias("words"), F.col("from_doc").alias("from_doc"), now["from_line"].alias("from_line"))
+        more = F.struct(
+            now["start"].alias("start"), F.greatest(now["end"], x["end"]).alias("end"), now["at"].alias("at"), F.greatest(now["last"], x["last"]).alias("last"),
+            now["from_line"].alias("from_line"),
         )
+        return F.struct(F.when(touch, acc["runs"]).otherwise(F.concat(acc["runs"], F.array(run))).alias("runs"), F.when(touch, more).otherwise(x).alias("now"))
 
-    return F.aggregate(F.concat(both, ended), zero, step, lambda acc: acc["runs"])
+    return F.aggregate(F.concat("parts", ended), zero, step, lambda acc: acc["runs"])
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
@@ -97,9 +111,13 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int =
     if min_words < 2 * gram_words:
         raise ValueError("runs of min_words are found for sure only if they have two grams")
     lines = cut_lineage(line_table(docs))
-    where = cut_lineage(diagonals(cut_lineage(fingerprints(lines, gram_words))))
-    first = lines.select(F.col("doc").alias("first_doc"), F.col("key").alias("first_key"), F.col("lines").alias("first_lines"))
-    found = where.join(lines, ["doc", "key"]).join(first, ["first_doc", "first_key"]).select("doc", "key", _runs(min_words).alias("runs")).where(F.size("runs") > 0)
+    runs = cut_lineage(shortest_runs(with_repeats(lines, cut_lineage(fingerprints(lines, gram_words))), min_words))
+    place = F.struct("doc", "key", "seq", "at")
+    first = cut_lineage(runs.groupBy("run").agg(F.min(place).alias("from"), F.max(place).alias("to")).where("from <> to").select("run", "from"))
+    parts = F.array_sort(F.collect_set(F.struct("start", "end", "at", "last", F.col("from.at").alias("from_line")))).alias("parts")
+    found = runs.join(first, "run").where(place != F.col("from")).groupBy(
+        "doc", "key", F.col("from.doc").alias("from_doc"), F.col("from.key").alias("from_key"), (F.col("seq") - F.col("from.seq")).alias("shift")
+    ).agg(parts).select("doc", "key", _merged().alias("runs"))
     return found.groupBy("doc", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs"))
 
 

@@ -63,3 +63,36 @@ def test_odd_rows(spark, odd_docs):
 def test_only_dataframe_operations(spark, odd_docs):
     plan = line_dedup.dedup(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_runs_whose_parts_begin_earlier_in_different_contexts(spark):
+    """Two lines of thirty words that occur first apart: the run of both repeats only a later place."""
+    one, two = (" ".join(f"{c}{i}" for i in range(30)) for c in "xy")
+    docs = [(1, f"{one}\na b c"), (2, f"d e f\n{two}"), (3, f"g\n{one}\n{two}\nh"), (4, f"{one}\n{two}\ni"), (5, f"j k\n{one}\n{two}")]
+    texts = dict(docs)
+    got = _gone(line_dedup.dedup(spark.createDataFrame(docs, "doc_id bigint, text string")), texts)
+    assert got == brute.repeated_lines(docs) and [len(got[d]) for d in texts] == [0, 0, 0, 2, 2]
+
+
+def test_equals_brute_force_where_passages_are_cut_anywhere(spark):
+    docs = []
+    for seed in range(5, 11):
+        rng = random.Random(seed)
+        line = lambda: " ".join(f"{seed}w{rng.randrange(300)}" for _ in range(rng.choice((1, 3, 8, 15, 30))))  # noqa: E731, B023
+        passages = [[line() for _ in range(rng.randint(2, 14))] for _ in range(6)]
+        passages.append([line()] * 12)
+        for d in range(60):
+            lines = [line() for _ in range(rng.randint(0, 3))]
+            for _ in range(rng.randint(0, 4)):
+                p = rng.choice(passages)
+                cut = sorted((rng.randint(0, len(p)), rng.randint(0, len(p))))
+                lines += (p[cut[0] : cut[1]] or p) + [line() for _ in range(rng.randint(0, 1))]
+            docs.append((100 * seed + d, "\n".join(lines)))
+    want = brute.repeated_lines(docs)
+    rows = line_dedup.dedup(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert _gone(rows, dict(docs)) == want and sum(map(len, want.values())) > 500
+    lines = {d: t.split("\n") for d, t in docs}
+    for r in rows.collect():
+        for x in r["removed_runs"]:
+            own = lines[r["doc_id"]][x["first"] : x["last"] + 1]
+            assert own == lines[x["from_doc"]][x["from_line"] : x["from_line"] + len(own)] and sum(len(y.split()) for y in own) == x["words"] >= 50
