@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dyadscope.llm import near_copies
 from dyadscope.llm.common import ascii_words, cut_lineage, ship_package, text_bytes, text_key
 from dyadscope.llm.graph import components
 
@@ -139,12 +140,12 @@ def near_duplicates(docs: DataFrame, pair_bucket: int = PAIR_BUCKET) -> DataFram
     return rows.join(known, "fp", "left").select("doc_id", "text_key", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
-    """One document of each component: the row of smallest (doc_id, text key), rows without doc_id last; same columns as `docs`.
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each component of near copies (`near_copies`, not the rule of fingerprints): the row of smallest (doc_id, text key), rows without doc_id last; same columns as `docs`.
 
     Components are told apart by their root, so unlike texts under one doc_id stay. Repeated rows are folded to one.
     """
-    rows, known = _rooted(docs, pair_bucket)
+    rows, known = near_copies.rooted(docs)
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     each = rows.join(known, "fp").groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
     kept = each.groupBy("root").agg(F.min_by("n", row).alias("_kept_n"), F.min(row).alias("row"))
