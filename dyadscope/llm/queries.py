@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadscope.llm import decontam, line_dedup, mixing, quality, sharding, simhash, topk, toxicity, url_reputation, warc
+from dyadscope.llm import decontam, lexical, line_dedup, merkle, mixing, perfect_hash, quality, sharding, simhash, topk, toxicity, url_reputation, warc
 from dyadscope.llm.common import crc_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,71 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors.where("vec_id % 100 = 0"), vectors)
+
+
+@query("op11_lexical_search", f"""
+WITH i AS (SELECT row_number() OVER () AS item, item_id, list_distinct({_TOKENS}) AS terms FROM benchmark),
+d AS (SELECT row_number() OVER () AS row, doc_id, {_TOKENS} AS terms FROM documents),
+n AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS words FROM d WHERE len(terms) > 0),
+held AS (SELECT row, doc_id, len(terms)::BIGINT AS n, term, count(*)::BIGINT AS tf FROM d, unnest(terms) AS u(term) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM held, n GROUP BY term, docs),
+hit AS (SELECT row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * held.n * docs) // words))) AS s FROM held JOIN w USING (term), n),
+s AS (SELECT item, item_id, row, doc_id, sum(s)::BIGINT AS score FROM (SELECT item, item_id, unnest(terms) AS term FROM i) JOIN hit USING (term) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+@query("op12_exact_dedup", """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the rows are the history whose digests are indexed, the others are looked up."""
+    found = perfect_hash.dedup(table(spark, sf_dir, "documents"), perfect_hash.earlier_delivery())
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({value} AS VARCHAR))) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return f"sha256({' || '.join(map(_field_sql, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+#: Parity of the CRC-32 of a decimal number: bytes, then eight shifts a byte.
+_CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: ascii(ch)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+
+@query("op13_merkle_manifest", f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, source, {_leaf_sql('text')} AS leaf,
+    CASE WHEN {_CRC_SQL} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql('text')} END AS start FROM documents),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d),
+t AS (SELECT source, 0 AS lvl, pos, n, leaf AS node FROM p
+      UNION ALL SELECT source, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(node, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY source, lvl, pos // 3, n),
+sub AS MATERIALIZED (SELECT source, node AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+r AS (SELECT 0 AS lvl, pos, n, subroot AS node FROM sub
+      UNION ALL SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(node, '' ORDER BY pos)) FROM r WHERE n > 1 GROUP BY lvl, pos // 3, n),
+own AS (SELECT row, lvl, t.pos, p.pos // (3 ** lvl)::BIGINT AS here, node FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source AND t.n > 1 AND t.pos // 3 = p.pos // (3 ** (lvl + 1))::BIGINT
+        UNION ALL SELECT row, 100 + lvl, r.pos, s.pos // (3 ** lvl)::BIGINT AS here, node
+        FROM p JOIN sub s ON p.source IS NOT DISTINCT FROM s.source JOIN r ON r.n > 1 AND r.pos // 3 = s.pos // (3 ** (lvl + 1))::BIGINT),
+seg AS (SELECT row, lvl, coalesce(string_agg(node, '' ORDER BY pos) FILTER (WHERE pos < here), '') AS l, coalesce(string_agg(node, '' ORDER BY pos) FILTER (WHERE pos > here), '') AS r FROM own GROUP BY row, lvl),
+path AS (SELECT row, list(l || '|' || r ORDER BY lvl) AS segs FROM seg GROUP BY row),
+o AS (SELECT doc_id, leaf, subroot, (SELECT node FROM r WHERE n = 1) AS root, coalesce(segs, []) AS segs, start
+      FROM p JOIN sub ON p.source IS NOT DISTINCT FROM sub.source LEFT JOIN path USING (row)),
+f AS (SELECT *, list_reduce(list_prepend(start, segs), lambda a, s: sha256(split_part(s, '|', 1) || a || split_part(s, '|', 2))) AS folded_root FROM o)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(segs, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM f
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tampered leaf is worked out where the text is read and folded with the siblings of the untampered manifest."""
+    tampered = F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id"), 2) == 0)
+    start = F.when(tampered, merkle.leaf_digest({"text": F.translate("text", "\n", "")})).otherwise(merkle.leaf_digest())
+    found = merkle.manifest(table(spark, sf_dir, "documents"), {"start": start})
+    folded = merkle.fold(F.col("start"), F.col("siblings"))
+    rows = found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings_text(F.col("siblings")), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
