@@ -81,11 +81,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch for Python workers; rows can be long texts.
+ARROW_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per application."""
+    """Make this package importable in Python workers, once per application; bound their batches where the session does not."""
     app = spark.sparkContext.applicationId
+    if spark.sparkContext.getConf().get(ARROW_BYTES[0]) is None:
+        spark.conf.set(*ARROW_BYTES)
     if app in _shipped:
         return
     root = Path(__file__).resolve().parent
