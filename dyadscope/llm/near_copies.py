@@ -1,16 +1,28 @@
-"""Near copies by exact Jaccard similarity of five-word shingles: the rule of the pipeline's stage.
+"""Near copies by Jaccard similarity of five-word shingles, pruned by SimHash chains: the pipeline's stage.
 
 Two texts are near copies if their shingle sets are equal or have a Jaccard similarity of 0.8 or more.
 A text of fewer words is one shingle; texts without words have the empty set. Equal sets are one class.
 
 Candidates: with the shingles of all classes in one order, two sets of that similarity share one among
-the first n - ceil(0.8 n) + 1 of each. The order puts shingles that are frequent in a sample last, so
-the sample changes only how many candidates there are. Classes that share such a shingle are compared
-first with one of them, in `ROUNDS` rounds; then, for shingles whose classes are still in several
-components, all pairs across components are. So every component is whole, and a group of near copies
-costs a comparison a member and not its pairs. Every candidate is checked by its whole sets.
-
-Shingles and sets are told apart by 64-bit hashes.
+the first n - ceil(0.8 n) + 1 of each. Only shingles of several classes are looked at. In `ROUNDS` rounds
+every class meets one class of each of its shingles, so a group of near copies costs a comparison a
+member and not its pairs; then the classes that are still in different components meet in pairs, if a
+shingle has at most `FULL` of them. Shingles with more are put last in the order and the beginnings are
+cut again (at most `PASSES` times; what is left then, texts made of such shingles only, meets in pairs).
+The first order puts last what is frequent in a sample. The order changes the work, never the answer.
+
+Pruning: a candidate pair goes on if the sizes allow the similarity and the 64-bit SimHash values of the
+sets form a pigeonring chain within `RADIUS` bits: from one of four 16-bit segments on, the first l differ
+in at most RADIUS l / 4 bits for every l. At a similarity of 0.8 fingerprints differ in about 10 bits with
+a deviation of 3, unlike texts in 32, so a chain within 26 bits is missed by fewer than one pair in a million.
+Sets of at most `SMALL` shingles, whose fingerprints vary more, are not pruned.
+
+Every pair that is left is checked by its whole sets. Those are made again from the texts of the classes in
+such pairs, where the texts are read: no text is shuffled to find them, only the sets of candidates are.
+
+Defined cases: null, empty and wordless texts are one class; rows without id take part like others; equal
+rows have one class; an empty table gives no rows; columns other than doc_id and text are not read.
+Shingles, sets and texts are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -20,17 +32,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dyadscope.llm.common import ascii_words, cut_lineage, ship_package, text_bytes, text_key
 from dyadscope.llm.graph import components
+from dyadscope.llm.key_bits import key_bits, may_hold
 
 SHINGLE = 5
 SEED = 42
 ROUNDS = 2
-#: Classes in the sample, count from which a shingle is frequent there, and most shingles in the list.
-SAMPLE, FREQUENT, MOST = 5000, 3, 50_000
+RADIUS, SMALL = 26, 16
+#: Classes of different components in a shingle up to which they meet in pairs, and times the beginnings are cut.
+FULL, PASSES = 128, 3
+#: Classes in the sample, count from which a shingle is frequent there, and most shingles that are put last.
+SAMPLE, FREQUENT, MOST = 5000, 3, 1_000_000
+#: Bytes of sets that a worker gives back at once.
+OUT_BYTES = 4 << 20
 
 
 def shingles(raw: bytes | None) -> np.ndarray:
@@ -46,55 +64,125 @@ def shingles(raw: bytes | None) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 
-def _name(own: np.ndarray) -> int:
-    value = xxhash.xxh64_intdigest(own.tobytes(), SEED)
+def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fp, shingles) of texts in the first column."""
-    for batch in batches:
-        sets = [shingles(x.as_py()) for x in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["fp", "shingles"])
+def _name(own: np.ndarray) -> int:
+    return _signed(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+
+
+def simhash(own: np.ndarray, step: int = 1 << 16) -> int:
+    """Fingerprint of a set: a bit is set if it is in more than half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(own), step):
+        ones += np.unpackbits(own[at : at + step].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return _signed(sum(1 << int(b) for b in np.flatnonzero(2 * ones > len(own))))
+
+
+def chained(a: Column, b: Column, radius: int = RADIUS) -> Column:
+    """Whether some chain of 16-bit segments of the ring stays within its budgets, the whole distance being the last."""
+    x = a.bitwiseXOR(b)
+    starts = []
+    for i in range(4):
+        ring = F.shiftleft(x, 64 - 16 * i).bitwiseOR(F.shiftrightunsigned(x, 16 * i)) if i else x
+        links = [F.bit_count(ring.bitwiseAND(F.lit((1 << 16 * n) - 1)) if n < 4 else ring) <= radius * n // 4 for n in (1, 2, 3, 4)]
+        starts.append(links[0] & links[1] & links[2] & links[3])
+    return starts[0] | starts[1] | starts[2] | starts[3]
+
+
+BEGUN = "doc_id bigint, text_key bigint, fp bigint, n bigint, sim bigint, first binary"
 
 
 def _beginnings(last: np.ndarray):
-    """(doc_id, text_key, fp, n, first): what near copies must share one of, shingles in `last` put last."""
+    """What near copies must share one of, shingles in `last` put last."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, sizes, first = [], [], []
+            names, sizes, sims, first = [], [], [], []
             for x in batch.column(2):
                 own = shingles(x.as_py())
                 late = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own if len(last) else np.zeros(len(own), bool)
                 names.append(_name(own))
                 sizes.append(len(own))
+                sims.append(simhash(own))
                 first.append(np.concatenate([own[~late], own[late]])[: len(own) - (4 * len(own) + 4) // 5 + 1].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(first, pa.binary())], ["doc_id", "text_key", "fp", "n", "first"])
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sims, pa.int64()), pa.array(first, pa.binary())
+            ], ["doc_id", "text_key", "fp", "n", "sim", "first"])
+
+    return rows
+
+
+TOKENS = "token bigint, fp bigint, n bigint, sim bigint"
+
+
+def _tokens(bits: np.ndarray | None):
+    """A row for each shingle of (fp, n, sim, first) that may be in `bits`; each class once a task."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for big in batches:
+            for at in range(0, big.num_rows, 500):
+                batch = big.slice(at, 500)
+                own, tokens = [], []
+                for i, fp in enumerate(batch.column(0).to_pylist()):
+                    if fp not in seen:
+                        seen.add(fp)
+                        own.append(i)
+                        token = np.frombuffer(batch.column(3)[i].as_py(), np.int64)
+                        tokens.append(token if bits is None else token[may_hold(bits, token)])
+                n = np.array([len(t) for t in tokens], np.int64)
+                if n.sum():
+                    other = [np.repeat(batch.column(c).to_numpy()[own], n) for c in range(3)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(tokens), *other)], ["token", "fp", "n", "sim"])
 
     return rows
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, fp, n) of the 64-bit numbers in the third column."""
-    for big in batches:
-        for at in range(0, big.num_rows, 500):
-            batch = big.slice(at, 500)
-            tokens = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(2)]
-            n = np.array([len(t) for t in tokens])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(tokens)), pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(np.repeat(batch.column(1).to_numpy(), n))], ["token", "fp", "n"])
+def _wanted(bits: np.ndarray):
+    """(fp, shingles) of the texts (key, raw) that may be wanted, each once a task."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            sets, held = [], 0
+            keys = batch.column(0).to_numpy()
+            for i in np.flatnonzero(may_hold(bits, keys)):
+                if (key := int(keys[i])) in seen:
+                    continue
+                seen.add(key)
+                sets.append(shingles(batch.column(1)[int(i)].as_py()))
+                held += sets[-1].nbytes
+                if held >= OUT_BYTES:
+                    yield _set_rows(sets)
+                    sets, held = [], 0
+            if sets:
+                yield _set_rows(sets)
 
+    return rows
 
-TOKENS = "token bigint, fp bigint, n bigint"
+
+def _set_rows(sets: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([_name(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["fp", "shingles"])
 
 
 def _frequent(rows: DataFrame) -> np.ndarray:
-    """Shingles found often in a sample of the texts; the list has a fixed most."""
+    """Shingles found often in a sample of the texts."""
     n = rows.agg(F.approx_count_distinct("text_key")).first()[0]
-    some = rows.where(F.pmod(F.xxhash64("text_key"), F.lit(max(1, n // SAMPLE))) == 0).select("raw").distinct()
-    counts = some.mapInArrow(_sets, "fp bigint, shingles binary").select("fp", F.lit(0).cast("bigint").alias("n"), "shingles").mapInArrow(_tokens, TOKENS)
-    top = counts.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MOST).select("token").toPandas()
+    some = rows.where(F.pmod(F.xxhash64("text_key"), F.lit(max(1, n // SAMPLE))) == 0)
+
+    def all_tokens(batches):
+        for batch in batches:
+            sets = [shingles(x.as_py()) for x in batch.column(1)]
+            sizes = [len(x) for x in sets]
+            if sum(sizes):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), sizes))], ["token", "text_key"])
+
+    counts = some.select("text_key", "raw").mapInArrow(all_tokens, "token bigint, text_key bigint").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return _listed(counts.where(F.col("n") >= FREQUENT))
+
+
+def _listed(counts: DataFrame) -> np.ndarray:
+    """The most frequent tokens of (token, n), `MOST` of them, sorted."""
+    top = counts.orderBy(F.desc("n"), "token").limit(MOST).select("token").toPandas()
     return np.sort(top["token"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -108,51 +196,79 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets are alike."""
-    pairs = cut_lineage(pairs.distinct())
-    wide = pairs.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v")
-    return cut_lineage(wide.select("u", "v", "a", "b").mapInArrow(_alike, "u bigint, v bigint"))
+class _Corpus:
+    """Texts (text_key, raw) and the classes' names with one text each: where whole sets come from."""
+
+    def __init__(self, texts: DataFrame, begun: DataFrame) -> None:
+        self.texts = texts
+        self.classes = cut_lineage(begun.groupBy("fp").agg(F.min("text_key").alias("text_key")))
+
+    def checked(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) whose whole sets are alike."""
+        pairs = cut_lineage(pairs.select("u", "v").distinct())
+        need = cut_lineage(pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct().join(self.classes, "fp"))
+        made = self.texts.mapInArrow(_wanted(key_bits(need, "text_key")), "fp bigint, shingles binary")
+        sets = cut_lineage(made.join(need.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]))
+        wide = pairs.join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v").join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u")
+        return cut_lineage(wide.select("u", "v", "a", "b").mapInArrow(_alike, "u bigint, v bigint"))
+
+
+def token_index(begun: DataFrame) -> DataFrame:
+    """(token, fp, n, sim) of the beginnings' shingles that several classes have."""
+    firsts = begun.select("fp", "n", "sim", "first")
+    counted = firsts.mapInArrow(_tokens(None), TOKENS).groupBy("token").agg(F.min("fp").alias("a"), F.max("fp").alias("b"))
+    several = cut_lineage(counted.where("a <> b").select("token"))
+    rows = firsts.mapInArrow(_tokens(key_bits(several, "token")), TOKENS)
+    return cut_lineage(rows.join(several, "token", "left_semi").distinct())
 
 
 def _placed(index: DataFrame, found: DataFrame | None) -> DataFrame:
     """The index with each class's component, without shingles whose classes are all in one component."""
     rooted = index.withColumn("root", F.col("fp")) if found is None else index.join(
-        components(found), F.col("fp") == F.col("node"), "left").select("token", "fp", "n", F.coalesce("root", "fp").alias("root"))
-    several = rooted.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token")
-    return cut_lineage(rooted.join(several, "token", "left_semi"))
+        components(found), F.col("fp") == F.col("node"), "left").select("token", "fp", "n", "sim", F.coalesce("root", "fp").alias("root"))
+    several = rooted.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("held")).where("a <> b").select("token", "held")
+    return cut_lineage(rooted.join(several, "token"))
 
 
-def links(index: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v) of classes that are near copies: enough of them for every component to be whole."""
-    size = F.least("n", "m") * 5 >= F.greatest("n", "m") * 4
-    found = None
+def _able(n: str, m: str, a: str, b: str) -> Column:
+    return (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (chained(F.col(a), F.col(b)) | (F.least(n, m) <= SMALL))
+
+
+def star_links(index: DataFrame, corpus: _Corpus, found: DataFrame | None) -> DataFrame | None:
+    """`found` and the links of each class to one class of each of its shingles, in `ROUNDS` rounds."""
     for k in range(ROUNDS):
-        index = index.withColumn("root", F.col("fp")) if found is None else _placed(index.select("token", "fp", "n"), found)
-        head = index.groupBy("token").agg(F.min_by(F.struct("fp", "n", "root"), F.xxhash64("fp", F.lit(k))).alias("head"))
-        star = index.join(head, "token").where("root <> head.root").select(F.col("head.fp").alias("u"), F.col("fp").alias("v"), "n", F.col("head.n").alias("m"))
-        new = _checked(star.where(size).select("u", "v"), sets)
-        found = new if found is None else found.union(new)
-    rest = _placed(index.select("token", "fp", "n"), found)
-    other = rest.select("token", F.col("fp").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"))
-    across = rest.join(other, "token").where((F.col("fp") < F.col("v")) & (F.col("root") != F.col("other")) & size)
-    return found.union(_checked(across.select(F.col("fp").alias("u"), "v"), sets))
+        placed = _placed(index, found)
+        head = placed.groupBy("token").agg(F.min_by(F.struct("fp", "n", "sim", "root"), F.xxhash64("fp", F.lit(k))).alias("h"))
+        star = placed.join(head, "token").where("root <> h.root").select(F.col("h.fp").alias("u"), F.col("fp").alias("v"), "n", F.col("h.n").alias("m"), "sim", F.col("h.sim").alias("other"))
+        new = corpus.checked(star.where(_able("n", "m", "sim", "other")))
+        found = new if found is None else cut_lineage(found.union(new))
+    return found
+
+
+def pair_links(placed: DataFrame, corpus: _Corpus) -> DataFrame:
+    """Links between classes of different components that share a shingle."""
+    other = placed.select("token", F.col("fp").alias("v"), F.col("n").alias("m"), F.col("sim").alias("other"), F.col("root").alias("other_root"))
+    across = placed.join(other, "token").where((F.col("fp") < F.col("v")) & (F.col("root") != F.col("other_root")) & _able("n", "m", "sim", "other"))
+    return corpus.checked(across.select(F.col("fp").alias("u"), "v"))
 
 
 def rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_key, fp) of every row, fp naming its shingle set, and (fp, root) of every different set."""
     ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(F.col("text")).alias("text_key"), text_bytes(F.col("text")).alias("raw"))
-    begun = cut_lineage(rows.mapInArrow(_beginnings(_frequent(rows)), "doc_id bigint, text_key bigint, fp bigint, n bigint, first binary"))
-    # Only shingles of several classes go on, and whole sets only of the classes that have them.
-    tokens = begun.select("fp", "n", "first").mapInArrow(_tokens, TOKENS)
-    several = cut_lineage(tokens.groupBy("token").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("token"))
-    index = cut_lineage(tokens.join(several, "token", "left_semi").distinct())
-    need = index.select("fp").distinct()
-    one = begun.join(need, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "text_key")).alias("row")).select("row.*")
-    text = rows.join(cut_lineage(one.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left_semi")
-    sets = cut_lineage(text.select("raw").mapInArrow(_sets, "fp bigint, shingles binary").dropDuplicates(["fp"]))
-    linked = components(links(index, sets))
-    classes = begun.select("fp").distinct()
-    known = classes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    last, found, corpus = _frequent(rows), None, None
+    for left in reversed(range(PASSES)):
+        begun = cut_lineage(rows.mapInArrow(_beginnings(last), BEGUN))
+        corpus = corpus or _Corpus(rows.select("text_key", "raw"), begun)
+        index = token_index(begun)
+        found = star_links(index, corpus, found)
+        placed = _placed(index, found)
+        full = placed.where(F.col("held") > FULL).select("token", F.col("held").alias("n")).distinct()
+        more = np.setdiff1d(_listed(full), last) if left else last[:0]
+        found = cut_lineage(found.union(pair_links(placed.where(F.col("held") <= FULL) if len(more) else placed, corpus)))
+        if not len(more):
+            break
+        last = np.union1d(last, more)
+    linked = components(found)
+    known = corpus.classes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
     return begun.select("doc_id", "text_key", "fp"), cut_lineage(known)

@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from dyadscope.llm import near_copies
 from dyadscope.llm.common import ascii_words, cut_lineage, ship_package, text_bytes, text_key
 from dyadscope.llm.graph import components
+from dyadscope.llm.key_bits import key_bits, may_hold
 
 SHINGLE = 3
 SEED = 42
@@ -141,16 +143,27 @@ def near_duplicates(docs: DataFrame, pair_bucket: int = PAIR_BUCKET) -> DataFram
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component of near copies (`near_copies`, not the rule of fingerprints): the row of smallest (doc_id, text key), rows without doc_id last; same columns as `docs`.
+    """One document of each component of near copies (`near_copies`: five words, similarity 0.8): the row of smallest (doc_id, text key), rows without doc_id last; same columns as `docs`.
 
-    Components are told apart by their root, so unlike texts under one doc_id stay. Repeated rows are folded to one.
+    Components are told apart by their root, so unlike texts under one doc_id stay. Repeated rows are folded to
+    one. Only texts whose key may be that of a row to drop or to fold are shuffled; the others stay where they are read.
     """
     rows, known = near_copies.rooted(docs)
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     each = rows.join(known, "fp").groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
-    kept = each.groupBy("root").agg(F.min_by("n", row).alias("_kept_n"), F.min(row).alias("row"))
-    kept = cut_lineage(kept.select(F.col("row.doc_id").alias("_kept_id"), F.col("row.text_key").alias("_kept_key"), "_kept_n"))
-    hit = docs["doc_id"].cast("bigint").eqNullSafe(F.col("_kept_id")) & (text_key(docs["text"]) == F.col("_kept_key"))
-    once = docs.join(kept.where("_kept_n = 1"), hit, "left_semi")
-    again = docs.join(kept.where("_kept_n > 1"), hit, "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.union(again)
+    kept = each.groupBy("root").agg(F.min(row).alias("row"))
+    all_rows = each.join(kept, "root").select("doc_id", "text_key", "n", (row == F.col("row")).alias("stays"))
+    special = cut_lineage(all_rows.where("not stays or n > 1").select(
+        F.col("doc_id").alias("_near_id"), F.col("text_key").alias("_near_key"), F.col("stays").alias("_near_stays")))
+    bits = key_bits(special, "_near_key")
+
+    @F.pandas_udf("boolean")
+    def may_go(key: pd.Series) -> pd.Series:
+        return pd.Series(may_hold(bits, key.to_numpy()))
+
+    key = text_key(docs["text"])
+    hit = docs["doc_id"].cast("bigint").eqNullSafe(F.col("_near_id")) & (key == F.col("_near_key"))
+    unclear = docs.where(may_go(key)).join(special, hit, "left").where("coalesce(_near_stays, true)").drop("_near_id", "_near_key")
+    unclear = cut_lineage(unclear)
+    folded = unclear.where("_near_stays is not null").dropDuplicates(["doc_id", "text"])
+    return docs.where(~may_go(key)).union(unclear.where("_near_stays is null").drop("_near_stays")).union(folded.drop("_near_stays"))

@@ -1,27 +1,16 @@
 import random
-import re
-
-from dyadscope.llm import near_copies, simhash
-from tests.llm import brute
-
-
-def _shingles(text):
-    words = re.findall(brute.SPACE, brute.lower_ascii(text or ""))
-    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)} - {()}
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-def _kept(docs):
-    """Smallest id of each component, by comparing all pairs."""
-    sets, comp = [_shingles(t) for _, t in docs], [d for d, _ in docs]
-    alike = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and 5 * len(a & b) >= 4 * len(a | b)]
-    while any(comp[j] < comp[i] for i, j in alike):
-        for i, j in alike:
-            comp[i] = min(comp[i], comp[j])
-    return sorted(set(comp)), alike
+from dyadscope.llm import key_bits, near_copies, simhash
+from tests.llm import brute
 
 
-def test_planted_copies_equal_brute_force(spark, monkeypatch):
-    """Copies with edits around the limit, chains, and lines that many texts share."""
+@pytest.mark.parametrize(("rounds", "full", "sample"), [(1, 128, 5000), (1, 2, 1)])
+def test_planted_copies_equal_brute_force(spark, monkeypatch, rounds, full, sample):
+    """Copies with edits around the limit, chains, and lines that many texts share; also where nearly every shingle counts as full."""
     rng = random.Random(11)
     common = " ".join(f"common{i}" for i in range(30))
     docs = []
@@ -35,9 +24,66 @@ def test_planted_copies_equal_brute_force(spark, monkeypatch):
             for _ in range(rng.randint(0, max(1, len(words) // 60))):
                 words[rng.randrange(len(words))] = f"edit{rng.randrange(10**6)}"
     rng.shuffle(docs)
-    want, alike = _kept(docs)
+    comp, alike = brute.near_copy_components(docs)
+    want = sorted(set(comp))
     far = [(i, j) for i, j in alike if (brute.simhash(docs[i][1]) ^ brute.simhash(docs[j][1])).bit_count() > 3]
     assert far and len(want) < len(docs)
     table = spark.createDataFrame(docs, "doc_id bigint, text string")
-    monkeypatch.setattr(near_copies, "ROUNDS", 1)
+    for name, value in (("ROUNDS", rounds), ("FULL", full), ("SAMPLE", sample)):
+        monkeypatch.setattr(near_copies, name, value)
     assert sorted(r["doc_id"] for r in simhash.keep_one(table).collect()) == want
+
+
+def test_pairs_of_the_limit_pass_the_chain():
+    """Fingerprints of sets at a similarity of 0.8 stay within the radius, those of unlike sets mostly do not."""
+    rng = np.random.default_rng(7)
+    near, far = [], []
+    for n in (20, 100, 1000):
+        for _ in range(300):
+            own = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n, dtype=np.uint64)
+            other = own.copy()
+            other[: n // 9] = rng.integers(0, 1 << 63, n // 9, dtype=np.uint64) * np.uint64(2)
+            near.append(((near_copies.simhash(own) ^ near_copies.simhash(other)) & (1 << 64) - 1).bit_count())
+            fresh = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+            far.append(((near_copies.simhash(own) ^ near_copies.simhash(fresh)) & (1 << 64) - 1).bit_count())
+    assert max(near) <= near_copies.RADIUS and sum(d > near_copies.RADIUS for d in far) > 0.8 * len(far)
+
+
+def test_chain_is_the_whole_distance_within_its_budgets(spark):
+    rng = random.Random(5)
+    pairs = [(a := rng.getrandbits(63), a ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, 40)))) for _ in range(400)]
+    table = spark.createDataFrame(pairs, "a bigint, b bigint")
+    for a, b, ok in table.select("a", "b", near_copies.chained(F.col("a"), F.col("b"))).collect():
+        assert ok == ((a ^ b).bit_count() <= near_copies.RADIUS)
+
+
+def test_key_bits_lose_no_key(spark, monkeypatch):
+    rng = random.Random(3)
+    keys = [rng.randint(-(1 << 63), (1 << 63) - 1) for _ in range(3000)]
+    table = spark.createDataFrame([(k,) for k in keys], "k bigint")
+    for most in (1 << 27, 1 << 15):
+        monkeypatch.setattr(key_bits, "MAX_BITS", most)
+        bits = key_bits.key_bits(table, "k")
+        assert key_bits.may_hold(bits, np.array(keys)).all() and len(bits) * 8 <= max(most, 1 << 17)
+        others = np.array([rng.randint(-(1 << 63), (1 << 63) - 1) for _ in range(3000)])
+        assert key_bits.may_hold(bits, others).mean() < (0.1 if most > 1 << 20 else 0.2)
+
+
+def test_odd_rows(spark, odd_docs):
+    rows, known = near_copies.rooted(odd_docs)
+    roots = {r["fp"]: r["root"] for r in known.collect()}
+    by_row = {}
+    for r in rows.collect():
+        by_row.setdefault(r["doc_id"], set()).add(roots[r["fp"]])
+    assert rows.count() == odd_docs.count() and len(by_row[1] | by_row[2] | by_row[3] | by_row[10]) == 1
+    assert by_row[4] == by_row[5] and by_row[6] == by_row[7] and by_row[8] == by_row[9] and not by_row[4] & by_row[6]
+    kept = simhash.keep_one(odd_docs)
+    assert kept.columns == odd_docs.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 6, 8]
+    empty = odd_docs.where("false")
+    assert near_copies.rooted(empty)[0].count() == 0 and simhash.keep_one(empty).count() == 0
+
+
+def test_a_hot_repeated_row_and_one_id_with_unlike_texts(spark):
+    docs = [(5, "alpha beta gamma delta epsilon zeta")] * 40 + [(5, "other words that have nothing in common"), (7, "other words that have nothing in common"), (None, None), (None, None)]
+    kept = simhash.keep_one(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [(0, ""), (5, docs[0][1]), (5, docs[40][1])]
