@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from dyadscope.functions.numeric import as_number
 from dyadscope.operators.events import DOC, KEYS, one_chosen
+from dyadscope.session import cut_lineage
 
 DESIGN_SCHEMA = "array<struct<design_id int, y int, exog array<int>>>"
 PAIR_COLUMNS = ("doc", "boot", "lo", "hi")
@@ -231,6 +232,88 @@ def design_pairs(
     return out.where(known)
 
 
+#: Designs of one bitmap word.
+WORD = 64
+
+
+def _usable(y: int, exog: Sequence[int], require_variation: bool) -> Column:
+    """Whether the two rows of an event can be used for a design."""
+    lo, hi = (lambda c: F.get("lo.xs", F.lit(c))), (lambda c: F.get("hi.xs", F.lit(c)))
+    ok = one_chosen(F.get("lo.ys", F.lit(y)) + F.get("hi.ys", F.lit(y)))
+    for c in exog:
+        ok = ok & lo(c).isNotNull() & hi(c).isNotNull()
+    return ok & (lo(exog[0]) != hi(exog[0])) if require_variation else ok
+
+
+def _mask(i: int) -> int:
+    """Bit of the i-th design in its word, as a signed number."""
+    return 1 << i % WORD if i % WORD < WORD - 1 else -(1 << WORD - 1)
+
+
+def design_bits(
+    rows: DataFrame, events: DataFrame, designs: DesignSet, *, keys: Sequence[str] = KEYS, require_variation: bool = True, sparse: bool | None = None,
+) -> DataFrame:
+    """(keys, doc, w0, w1, ...): of every event a bitmap of the designs, by position, that it is usable for."""
+    index = list(designs.indexed().values())
+    words = range(-(-len(index) // WORD))
+
+    def bits(word: int, only: Column | None = None) -> Column:
+        held = F.lit(0).cast("bigint")
+        for i in range(word * WORD, min((word + 1) * WORD, len(index))):
+            able = _usable(*index[i], require_variation)
+            held = held.bitwiseOR(F.when(able if only is None else able & (only == designs.designs[i].design_id), F.lit(_mask(i)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+        return held.alias(f"w{word}")
+
+    out = events.where("n = 2").select(*keys, "doc", *map(bits, words))
+    if has_sparse_events(events) if sparse is None else sparse:
+        more = sparse_pairs(rows, events, designs, designs.as_column(), keys)
+        found = more.select(*keys, "event_id", "doc", *[bits(w, F.col("design.design_id")) for w in words])
+        out = out.unionByName(found.groupBy(*keys, "event_id", "doc").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in words]).drop("event_id"))
+    return out
+
+
+def design_counts(bits: DataFrame, n_designs: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, n, docs, top): arrays by position of a design's events, documents, and events of its largest document.
+
+    Bits are counted by (keys, document) and then by keys, both combined on the map side, a word of designs at a time;
+    there is never a row for an event and a design.
+    """
+    out = None
+    bits = bits if n_designs <= WORD else cut_lineage(bits)
+    for word in range(-(-n_designs // WORD)):
+        own = range(min(WORD, n_designs - word * WORD))
+        counted = bits.where(F.col(f"w{word}") != 0).groupBy(*keys, "doc").agg(
+            *[F.sum(F.shiftrightunsigned(f"w{word}", i).bitwiseAND(F.lit(1).cast("bigint"))).alias(f"b{i}") for i in own])
+        part = counted.groupBy(*keys).agg(
+            F.array(*[F.sum(f"b{i}") for i in own]).alias("n"), F.array(*[F.count_if(F.col(f"b{i}") > 0) for i in own]).alias("docs"),
+            F.array(*[F.max(f"b{i}") for i in own]).alias("top"))
+        if out is None:
+            out = part
+        else:
+            none = F.transform(F.sequence(F.lit(1), F.lit(word * WORD)), lambda _: F.lit(0).cast("bigint"))
+            rest = F.array(*[F.lit(0).cast("bigint") for _ in own])
+            names = ("n", "docs", "top")
+            later = part.select(*keys, *[F.col(c).alias(f"{c}_more") for c in names])
+            out = out.join(later, [*keys], "full").select(*keys, *[F.concat(F.coalesce(c, none), F.coalesce(f"{c}_more", rest)).alias(c) for c in names])
+    return out
+
+
+def at_design(counts: DataFrame, position: Column) -> DataFrame:
+    """`counts` (n, docs, top) joined to rows that name a design: its n_informative, n_docs and top1_share; null where it has no event."""
+    n, docs, top = (F.get(c, position) for c in ("n", "docs", "top"))
+    some = n > 0
+    return counts.withColumns({
+        "n_informative": F.when(some, n), "n_docs": F.when(some, docs), "top1_share": F.when(some, top / n)}).drop("n", "docs", "top")
+
+
+def gate_stats(rows: DataFrame, events: DataFrame, designs: DesignSet, *, keys: Sequence[str] = KEYS, sparse: bool | None = None) -> DataFrame:
+    """Per (keys, design) with any event: n_informative, n_docs, top1_share. Rows appear only here, one for each design of a sample."""
+    counts = design_counts(design_bits(rows, events, designs, keys=keys, sparse=sparse), len(designs.designs), keys)
+    ids = F.array(*[F.struct(F.lit(d.design_id).alias("design_id"), F.lit(i).alias("_at")) for i, d in enumerate(designs.designs)])
+    each = counts.select("*", F.inline(ids))
+    return at_design(each, F.col("_at")).drop("_at").where("n_informative > 0")
+
+
 def sample_totals(events: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Two-alternative events, documents and pairs of every (track, split)."""
     return events.groupBy(*keys).agg(

@@ -1,9 +1,10 @@
 """Conditional logit and bootstrap for samples too large for one task.
 
 The event table stays partitioned as it is, and is never multiplied by designs: a task derives the
-differences of each design from the two rows of its events, batch by batch. Every pass sends the current coefficients out (designs x
-replicates x regressors numbers, set by the plan) and brings back summed gradients and curvatures
-of the same size; rows never move. Replicate weights are Poisson(1) draws computed from
+differences of each design from the two rows of its events, batch by batch. Coefficients and step state are a written table, a row for each slot (sample, bootstrap,
+replicate). A pass reads the active slots in the tasks, adds up gradients and curvatures by slot, joins them
+to the state and writes the moved slots on; the driver gets their number, and rows of events never move.
+Replicate weights are Poisson(1) draws computed from
 (seed, replicate, cluster hash) wherever the row happens to be, so clusters need no shuffle and a
 cluster holding a third of the rows is spread over as many tasks as its rows are. Weights, rank
 rule, mode check and optimiser steps are those of operators.fit: the size of a sample decides where
@@ -13,18 +14,27 @@ its sums run, not what they are.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyarrow import dataset
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from dyadscope.operators import fit as kernel
+from dyadscope.session import cut_lineage, read_in_task, shared_path
 from dyadscope.settings import AdamSettings
 
 KEY = ("track", "split_role", "design_id")
 PARTIAL_SCHEMA = "track string, split_role string, design_id int, slot int, pos int, value double"
+SUMS_SCHEMA = "track string, split_role string, design_id int, slot int, sums array<double>"
+STATE_SCHEMA = (
+    "track string, split_role string, design_id int, k int, slot int, task int, seed bigint, rep int, scale array<double>, beta array<double>, "
+    "step array<double>, first array<double>, second array<double>, llf double, mean_grad double, halvings int, steps int, weight double, hits double, active boolean"
+)
+STATE_COLUMNS = [f.split()[0] for f in STATE_SCHEMA.split(", ")]
 ALL_DESIGNS = -1
 
 
@@ -88,52 +98,6 @@ def batch_pairs(batch: pd.DataFrame, plan: dict[tuple, list[tuple[int, int, list
             yield (track, role, design_id), Pairs(pos, neg, h[use], np.where(high, gap >= 0, gap <= 0))
 
 
-@dataclass
-class DesignState:
-    """Coefficients and progress of one sample: slot 0 is the point fit, then the replicates."""
-
-    k: int
-    tasks: list[tuple[int, int]]  # (fit_id, seed)
-    n_boot: int
-    scale: np.ndarray
-    beta: np.ndarray = field(init=False)
-    llf: np.ndarray = field(init=False)
-    step: np.ndarray = field(init=False)
-    mean_grad: np.ndarray = field(init=False)
-    active: np.ndarray = field(init=False)
-    moments: tuple[np.ndarray, np.ndarray] = field(init=False)
-    halvings: np.ndarray = field(init=False)
-    weight: np.ndarray = field(init=False)
-    hits: np.ndarray = field(init=False)
-    steps: np.ndarray = field(init=False)
-
-    def __post_init__(self) -> None:
-        slots = 1 + self.n_boot * len(self.tasks)
-        self.beta = np.zeros((slots, self.k))
-        self.step = np.zeros((slots, self.k))
-        self.llf = np.full(slots, -np.inf)
-        self.mean_grad = np.full(slots, np.inf)
-        self.active = np.ones(slots, dtype=bool)
-        self.moments = (np.zeros((slots, self.k)), np.zeros((slots, self.k)))
-        self.halvings = np.zeros(slots, dtype=int)
-        self.weight, self.hits = np.ones(slots), np.zeros(slots)
-        self.steps = np.zeros(slots, dtype=int)
-
-    def settled(self) -> np.ndarray:
-        """Slots with a finite, converged fit on a sample that has any weight."""
-        finite = np.isfinite(self.beta).all(axis=1) & np.isfinite(self.llf)
-        return finite & (self.mean_grad <= kernel.ACCEPT_TOL) & (self.weight > 0)
-
-    def weights(self, cluster_hash: np.ndarray, slots: np.ndarray) -> np.ndarray:
-        out = np.ones((len(cluster_hash), len(slots)))
-        for t, (_, seed) in enumerate(self.tasks):
-            first = 1 + t * self.n_boot
-            here = np.flatnonzero((slots >= first) & (slots < first + self.n_boot))
-            if len(here):
-                out[:, here] = kernel.poisson_weights(cluster_hash, seed, slots[here] - first)
-        return out
-
-
 @dataclass(frozen=True)
 class Sample:
     """Where the rows are and which designs each (track, split) has."""
@@ -175,70 +139,174 @@ class Sample:
         return out
 
 
-def _replicate_sums(states: dict[tuple, DesignState], curvature: bool) -> Callable[[tuple, Pairs], np.ndarray | None]:
-    """Per active replicate: weight, log-likelihood, hits, gradient, and the curvature when asked for."""
-
-    def sums(key: tuple, pairs: Pairs) -> np.ndarray | None:
-        state = states.get(key)
-        if state is None or not state.active.any():
-            return None
-        slots = np.flatnonzero(state.active)
-        d = pairs.d / state.scale
-        products = np.einsum("ni,nj->nij", d, d).reshape(len(d), -1)
-        block = max(1, kernel.CELLS_PER_BLOCK // max(len(d), 1))
-        parts = []
-        for s in range(0, len(slots), block):
-            part = slots[s : s + block]
-            w = state.weights(pairs.cluster_hash, part)
-            ll = kernel.log_sigmoid(d @ state.beta[part].T)
-            p = np.exp(ll)
-            hit = np.where(p == 0.5, pairs.chosen_first[:, None], p > 0.5)
-            cols = [x.sum(axis=0)[:, None] for x in (w, w * ll, w * hit)] + [(w * (1 - p)).T @ d]
-            if curvature:
-                cols.append((w * p * (1 - p)).T @ products)
-            parts.append(np.hstack(cols))
-        return np.vstack(parts)
-
-    return sums
-
-
-def _newton_update(state: DesignState, sums: np.ndarray) -> None:
-    k, slots = state.k, np.flatnonzero(state.active)
+@dataclass(frozen=True)
+class Coefficients:
+    """Active slots of one sample, as a task reads them from the state table."""
+
+    slots: np.ndarray
+    seeds: np.ndarray
+    reps: np.ndarray
+    beta: np.ndarray
+    scale: np.ndarray
+
+    def weights(self, cluster_hash: np.ndarray, part: np.ndarray) -> np.ndarray:
+        out = np.ones((len(cluster_hash), len(part)))
+        drawn = self.reps[part] >= 0
+        for seed in np.unique(self.seeds[part][drawn]):
+            here = np.flatnonzero(drawn & (self.seeds[part] == seed))
+            out[:, here] = kernel.poisson_weights(cluster_hash, int(seed), self.reps[part][here])
+        return out
+
+
+def _coefficients(path: str) -> dict[tuple, Coefficients]:
+    columns = [*KEY, "slot", "seed", "rep", "beta", "scale"]
+    rows = read_in_task(path, [*columns, "active"], dataset.field("active")).to_pandas()
+    return {
+        (key[0], key[1], int(key[2])): Coefficients(
+            p["slot"].to_numpy(), p["seed"].to_numpy(np.int64), p["rep"].to_numpy(), np.vstack(p["beta"].to_numpy()), np.asarray(p["scale"].iloc[0], float))
+        for key, p in rows.groupby(list(KEY), sort=False)
+    }
+
+
+def _replicate_sums(own: Coefficients, pairs: Pairs, curvature: bool) -> np.ndarray:
+    """Per active slot: weight, log-likelihood, hits, gradient, and the curvature when asked for."""
+    d = pairs.d / own.scale
+    products = np.einsum("ni,nj->nij", d, d).reshape(len(d), -1)
+    block = max(1, kernel.CELLS_PER_BLOCK // max(len(d), 1))
+    parts = []
+    for s in range(0, len(own.slots), block):
+        part = np.arange(s, min(s + block, len(own.slots)))
+        w = own.weights(pairs.cluster_hash, part)
+        ll = kernel.log_sigmoid(d @ own.beta[part].T)
+        p = np.exp(ll)
+        hit = np.where(p == 0.5, pairs.chosen_first[:, None], p > 0.5)
+        cols = [x.sum(axis=0)[:, None] for x in (w, w * ll, w * hit)] + [(w * (1 - p)).T @ d]
+        if curvature:
+            cols.append((w * p * (1 - p)).T @ products)
+        parts.append(np.hstack(cols))
+    return np.vstack(parts)
+
+
+def slot_sums(sample: Sample, path: str, curvature: bool) -> DataFrame:
+    """(key, slot, sums) of the active slots of the state table at `path`, added up over all events."""
+    plan, vary = sample.plan, sample.vary
+    width = max(3 + len(x) + curvature * len(x) ** 2 for designs in plan.values() for _, _, x in designs)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        states = _coefficients(path)
+        live = {(t, r): [d for d in designs if (t, r, d[0]) in states] for (t, r), designs in plan.items()}
+        acc: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for key, pairs in batch_pairs(batch, live, vary):
+                part = _replicate_sums(states[key], pairs, curvature)
+                acc[key] = acc[key] + part if key in acc else part
+        for (track, role, design_id), arr in acc.items():
+            yield pd.DataFrame({"track": track, "split_role": role, "design_id": design_id, "slot": states[(track, role, design_id)].slots, "sums": list(arr)})
+
+    state = sample.rows.sparkSession.read.parquet(path)
+    wanted = F.broadcast(state.where("active").select("track", "split_role").distinct())  # as many as the plan has
+    parts = sample.rows.join(wanted, ["track", "split_role"], "left_semi").mapInPandas(run, SUMS_SCHEMA)
+    return parts.groupBy(*KEY, "slot").agg(F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(width)]).alias("sums"))
+
+
+def _rows_matrix(column: pd.Series) -> np.ndarray:
+    return np.vstack(column.to_numpy()).astype(float)
+
+
+def newton_update(s: pd.DataFrame) -> pd.DataFrame:
+    """State after one pass of slots that have the same number of regressors."""
+    k = int(s["k"].iloc[0])
+    beta, step, sums = (_rows_matrix(s[c]) for c in ("beta", "step", "sums"))
+    old, halvings, steps, active = (s[c].to_numpy().copy() for c in ("llf", "halvings", "steps", "active"))
     weight, llf, grad = sums[:, 0], sums[:, 1], sums[:, 3 : 3 + k]
+    mean_grad, kept_weight, hits = (s[c].to_numpy().copy() for c in ("mean_grad", "weight", "hits"))
     # A step that lowered the likelihood is taken back half-way.
-    worse = (llf < state.llf[slots] - 1e-12 * np.abs(state.llf[slots])) & (state.halvings[slots] < 30)
-    back = slots[worse]
-    state.step[back] *= 0.5
-    state.beta[back] -= state.step[back]
-    state.halvings[back] += 1
+    worse = (llf < old - 1e-12 * np.abs(np.where(np.isfinite(old), old, 0.0))) & (halvings < 30)
+    step[worse] *= 0.5
+    beta[worse] -= step[worse]
+    halvings[worse] += 1
     go = ~worse
-    idx = slots[go]
-    mean_grad = np.abs(grad[go]).max(axis=1) / np.maximum(weight[go], 1.0)
-    gain = llf[go] - state.llf[idx]
-    state.llf[idx], state.mean_grad[idx], state.halvings[idx] = llf[go], mean_grad, 0
-    state.weight[idx], state.hits[idx] = weight[go], sums[go][:, 2]
-    done = (mean_grad <= kernel.GRAD_TOL) | ((gain <= 0) & (mean_grad <= kernel.ACCEPT_TOL))
-    state.active[idx[done]] = False
-    idx, keep = idx[~done], ~done
-    if len(idx):
-        gram = sums[go][keep][:, 3 + k :].reshape(-1, k, k)
-        state.step[idx] = kernel.solve_newton(gram, grad[go][keep])
-        state.beta[idx] += state.step[idx]
-        state.steps[idx] += 1
-        state.active[idx[state.steps[idx] > kernel.MAX_NEWTON]] = False
-
-
-def _adam_update(state: DesignState, sums: np.ndarray, t: int, opts: AdamSettings) -> None:
-    k, slots = state.k, np.flatnonzero(state.active)
-    m, v = state.moments
-    grad = opts.l2 * state.beta[slots] - sums[:, 3 : 3 + k]
-    m[slots], v[slots], step = kernel.adam_step(m[slots], v[slots], grad, t, opts)
-    state.beta[slots] -= step
-    state.weight[slots] = sums[:, 0]
+    gain = llf - old
+    size = np.abs(grad).max(axis=1) / np.maximum(weight, 1.0)
+    old[go], mean_grad[go], halvings[go], kept_weight[go], hits[go] = llf[go], size[go], 0, weight[go], sums[go, 2]
+    done = go & ((size <= kernel.GRAD_TOL) | ((gain <= 0) & (size <= kernel.ACCEPT_TOL)))
+    active[done] = False
+    on = np.flatnonzero(go & ~done)
+    if len(on):
+        step[on] = kernel.solve_newton(sums[on, 3 + k : 3 + k + k * k].reshape(-1, k, k), grad[on])
+        beta[on] += step[on]
+        steps[on] += 1
+        active[on[steps[on] > kernel.MAX_NEWTON]] = False
+    return s.assign(beta=list(beta), step=list(step), llf=old, mean_grad=mean_grad, halvings=halvings, steps=steps, weight=kept_weight, hits=hits, active=active)
+
+
+def adam_update(s: pd.DataFrame, t: int, opts: AdamSettings) -> pd.DataFrame:
+    k = int(s["k"].iloc[0])
+    beta, m, v, sums = (_rows_matrix(s[c]) for c in ("beta", "first", "second", "sums"))
+    grad = opts.l2 * beta - sums[:, 3 : 3 + k]
+    m, v, step = kernel.adam_step(m, v, grad, t, opts)
     norm = np.linalg.norm(step, axis=1)
-    state.mean_grad[slots] = np.where(np.isfinite(norm), 0.0, np.inf)
-    if t >= opts.min_iter:
-        state.active[slots[norm <= opts.tol]] = False
+    # A replicate's likelihood is not asked for; that of the point fit is summed once at the end.
+    return s.assign(
+        beta=list(beta - step), first=list(m), second=list(v), weight=sums[:, 0], llf=0.0, mean_grad=np.where(np.isfinite(norm), 0.0, np.inf),
+        active=(norm > opts.tol) if t >= opts.min_iter else True,
+    )
+
+
+def _updated(update: Callable[[pd.DataFrame], pd.DataFrame]):
+    """Task that moves each slot on by its sums; a slot without events ends."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lost = batch["sums"].isna()
+            if lost.any():
+                yield batch[lost].assign(active=False, mean_grad=np.inf)[STATE_COLUMNS]
+            for _, part in batch[~lost].groupby("k", sort=False):
+                yield update(part)[STATE_COLUMNS]
+
+    return run
+
+
+def initial_state(sample: Sample, tasks: dict[tuple, list[kernel.Task]], scales: dict[tuple, np.ndarray], n_boot: int) -> DataFrame:
+    """A row for each slot: the point fit of each sample that needs it, and the replicates of its tasks."""
+    spark = sample.rows.sparkSession
+    points = [(*key, -1, 0, -1, -1, scales[key].tolist()) for key, jobs in tasks.items() if not all(t.known for t in jobs)]
+    boots = [(*key, i, t.seed, t.start, n_boot - 1, scales[key].tolist()) for key, jobs in tasks.items() for i, t in enumerate(jobs) if t.start < n_boot]
+    rows = spark.createDataFrame(points + boots, "track string, split_role string, design_id int, task int, seed bigint, lo int, hi int, scale array<double>")
+    zero = F.transform("scale", lambda x: F.lit(0.0))
+    return rows.select("*", F.explode(F.sequence("lo", "hi")).alias("rep")).select(
+        *KEY, F.size("scale").alias("k"), F.when(F.col("task") < 0, 0).otherwise(1 + F.col("task") * n_boot + F.col("rep")).alias("slot"), "task", "seed", "rep", "scale",
+        zero.alias("beta"), zero.alias("step"), zero.alias("first"), zero.alias("second"), F.lit(float("-inf")).alias("llf"), F.lit(float("inf")).alias("mean_grad"),
+        F.lit(0).alias("halvings"), F.lit(0).alias("steps"), F.lit(1.0).alias("weight"), F.lit(0.0).alias("hits"), F.lit(True).alias("active"),
+    )
+
+
+def iterate(sample: Sample, state: DataFrame, adam: AdamSettings | None = None) -> DataFrame:
+    """Last state of every slot, by passes over the events until all have settled.
+
+    A pass reads the slots that are still active, joins their summed gradients and writes them on as a table
+    of its own; what has settled stays in the table of its pass. The driver gets the number of active slots. A Newton
+    step that is taken back costs a pass but no step of the slot's budget.
+    """
+    spark = state.sparkSession
+    paths = [shared_path(spark)]
+    state.write.parquet(paths[0])
+    t, left = 0, 1
+    while left and (adam is None or t < adam.max_iter):
+        t += 1
+        moved = spark.read.schema(STATE_SCHEMA).parquet(paths[-1]).where("active").join(slot_sums(sample, paths[-1], adam is None), [*KEY, "slot"], "left")
+        update = newton_update if adam is None else partial(adam_update, t=t, opts=adam)
+        seen = Observation()
+        paths.append(shared_path(spark))
+        moved.mapInPandas(_updated(update), STATE_SCHEMA).observe(seen, F.count_if("active").alias("active")).write.parquet(paths[-1])
+        left = seen.get["active"]
+    settled = spark.read.schema(STATE_SCHEMA).parquet(*paths).where("not active")
+    return settled.unionByName(spark.read.schema(STATE_SCHEMA).parquet(paths[-1]).where("active")) if left else settled
+
+
+def _settled() -> Column:
+    """Slots with a finite, converged fit on a sample that has any weight."""
+    finite = F.forall("beta", lambda x: F.abs(x) < float("inf")) & (F.abs("llf") < float("inf"))
+    return finite & (F.col("mean_grad") <= kernel.ACCEPT_TOL) & (F.col("weight") > 0)
 
 
 @dataclass
@@ -281,87 +349,58 @@ def sample_moments(sample: Sample) -> dict[tuple, Moments]:
     return out
 
 
-def _iterate(sample: Sample, states: dict[tuple, DesignState], adam: AdamSettings | None = None) -> None:
-    """Passes over the data until every replicate of every sample has settled.
-
-    A Newton step that is taken back costs a pass of its own but no step of the replicate's budget.
-    """
-    t = 0
-    while any(s.active.any() for s in states.values()) and (adam is None or t < adam.max_iter):
-        t += 1
-        for key, sums in sample.totals(_replicate_sums(states, curvature=adam is None)).items():
-            if adam:
-                _adam_update(states[key], sums, t, adam)
-            else:
-                _newton_update(states[key], sums)
-
-
-def distributed_fit(
-    sample: Sample,
-    tasks: dict[tuple, list[tuple[int, int]]],
-    n_boot: int,
-    mode: str,
-    opts: AdamSettings,
-) -> list[dict]:
+def distributed_fit(sample: Sample, tasks: dict[tuple, list[tuple]], n_boot: int, mode: str, opts: AdamSettings) -> DataFrame:
     """Same result rows as the grouped fit, for every sample key in `tasks`.
 
     The sample's rows should be materialised (a checkpoint or a written table): they are read
     once per pass.
     """
+    spark = sample.rows.sparkSession
+    jobs = {key: [kernel.Task(*t) for t in own] for key, own in tasks.items()}
     moments = sample_moments(sample)
-    states: dict[tuple, DesignState] = {}
-    results: list[dict] = []
-    for key, jobs in tasks.items():
-        m = moments[key]
-        if m.rank < len(m.scale):
-            results += [_result(key, i, rank=m.rank) for i, _ in jobs]
-        elif kernel.optimizer(mode) is None:
-            results += [_result(key, i, rank=m.rank, error=kernel.unsupported(mode)) for i, _ in jobs]
-        else:
-            states[key] = DesignState(len(m.scale), list(jobs), n_boot, m.scale)
-
-    use_adam = kernel.optimizer(mode) == "adam"
-    _iterate(sample, states, kernel.clamped(opts) if use_adam else None)
-    if use_adam:
-        for s in states.values():
-            s.active[:] = False
-            s.active[0] = True
-            s.llf[1:] = 0.0  # only the point fit's likelihood is asked for
-        for key, sums in sample.totals(_replicate_sums(states, curvature=False)).items():
-            states[key].llf[0] = sums[0, 1]
-
-    for key, s in states.items():
-        ok = s.settled()
-        for i, (fit_id, _) in enumerate(s.tasks):
-            if not ok[0]:
-                finite = np.isfinite(s.beta[0]).all() and np.isfinite(s.llf[0])
-                results.append(_result(key, fit_id, rank=s.k, error=f"fit_failed:{'non_converged' if finite else 'non_finite_estimate'}"))
-                continue
-            span = slice(1 + i * n_boot, 1 + (i + 1) * n_boot)
-            betas = s.beta[span, 0][ok[span]].tolist()
-            results.append(_result(key, fit_id, rank=s.k, beta=float(s.beta[0, 0]), llf=float(s.llf[0]), betas=betas, attempted=max(n_boot, 0)))
-    return results
-
-
-def _result(key, fit_id, *, rank, beta=None, llf=None, error=None, betas=(), attempted=0) -> dict:
-    return {
-        "track": key[0], "split_role": key[1], "design_id": int(key[2]), "fit_id": int(fit_id),
-        "beta": beta, "llf": llf, "design_rank": int(rank), "fit_error": error,
-        "boot_betas": list(betas), "boot_attempted": int(attempted),
-    }
-
-
-def distributed_metrics(sample: Sample, seeds: dict[tuple, int], n_boot: int) -> list[tuple]:
+    known = kernel.optimizer(mode)
+    error = None if known else kernel.unsupported(mode)
+    full = {key: m.rank == len(m.scale) for key, m in moments.items()}
+    fitted = {key: own for key, own in jobs.items() if full[key] and known}
+    scales = {key: moments[key].scale for key in fitted}
+    out = spark.createDataFrame(
+        [(*key, i, t.fit_id, t.start, t.known, moments[key].rank, error if full[key] else None) for key, own in jobs.items() for i, t in enumerate(own)],
+        "track string, split_role string, design_id int, task int, fit_id int, start int, known boolean, design_rank int, error string",
+    )
+    state = initial_state(sample, fitted, scales, n_boot)
+    last = cut_lineage(iterate(sample, state, kernel.clamped(opts) if known == "adam" else None))
+    if known == "adam":
+        last = cut_lineage(_with_point_likelihood(sample, last))
+    ok = _settled()
+    finite = F.forall("beta", lambda x: F.abs(x) < float("inf")) & (F.abs("llf") < float("inf"))
+    point = last.where("rep < 0").select(*KEY, ok.alias("ok"), finite.alias("finite"), F.get("beta", F.lit(0)).alias("beta"), "llf")
+    drawn = last.where("rep >= 0").where(ok).groupBy(*KEY, "task").agg(F.array_sort(F.collect_list(F.struct("rep", F.get("beta", F.lit(0)).alias("beta")))).alias("boot"))
+    rows = out.join(point, [*KEY], "left").join(drawn, [*KEY, "task"], "left")
+    good = F.col("error").isNull() & (F.col("known") | F.coalesce("ok", F.lit(False)))
+    failed = F.when(~F.col("known") & F.col("ok").isNotNull() & ~F.col("ok"), F.concat(F.lit("fit_failed:"), F.when(F.col("finite"), "non_converged").otherwise("non_finite_estimate")))
+    boot = F.when(good & F.col("boot").isNotNull(), F.col("boot")).otherwise(F.array().cast("array<struct<rep:int,beta:double>>"))
+    return cut_lineage(rows.select(
+        *KEY, "fit_id", F.when(good, F.col("beta")).alias("beta"), F.when(good, F.col("llf")).alias("llf"), "design_rank", F.coalesce("error", failed).alias("fit_error"),
+        boot["rep"].alias("boot_reps"), boot["beta"].alias("boot_betas"),
+        F.when(good & F.col("error").isNull() & (F.col("ok").isNotNull() | F.col("known")), F.greatest(F.lit(n_boot) - F.col("start"), F.lit(0))).otherwise(0).alias("boot_attempted"),
+        F.col("ok").isNotNull().alias("point_fitted"),
+    ))
+
+
+def _with_point_likelihood(sample: Sample, last: DataFrame) -> DataFrame:
+    path = shared_path(last.sparkSession)
+    last.where("rep < 0").withColumn("active", F.lit(True)).write.parquet(path)
+    found = slot_sums(sample, path, False).select(*KEY, "slot", F.get("sums", F.lit(1)).alias("found"))
+    return last.join(found, [*KEY, "slot"], "left").withColumn("llf", F.coalesce("found", "llf")).select(*STATE_COLUMNS)
+
+
+def distributed_metrics(sample: Sample, seeds: dict[tuple, int], n_boot: int) -> DataFrame:
     """(design, replicate, status, accuracy, log-likelihood per event) for steps over the size bound."""
     moments = sample_moments(sample)
-    states = {key: DesignState(len(moments[key].scale), [(key[2], seed)], n_boot, moments[key].scale) for key, seed in seeds.items()}
-    _iterate(sample, states)
-    out = []
-    for (_, _, design_id), s in states.items():
-        ok = s.settled()
-        for slot in range(len(ok)):
-            if ok[slot]:
-                out.append((design_id, slot - 1, "ok", float(s.hits[slot] / s.weight[slot]), float(s.llf[slot] / s.weight[slot])))
-            else:
-                out.append((design_id, slot - 1, "fit_failed", None, None))
-    return out
+    tasks = {key: [kernel.Task(key[2], seed)] for key, seed in seeds.items()}
+    last = iterate(sample, initial_state(sample, tasks, {key: moments[key].scale for key in tasks}, n_boot))
+    ok = _settled()
+    return cut_lineage(last.select(
+        "design_id", F.col("rep").alias("replicate"), F.when(ok, "ok").otherwise("fit_failed").alias("status"),
+        F.when(ok, F.col("hits") / F.col("weight")).alias("accuracy"), F.when(ok, F.col("llf") / F.col("weight")).alias("llf_per_event"),
+    ))

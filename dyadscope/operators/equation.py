@@ -137,7 +137,7 @@ def equation_steps(
         more = cut_lineage(sparse_pairs(rows, events, designs, designs.as_column(large), keys)) if sparse else None
         sample = Sample(fit_rows(events, more, keys), {("all", ""): [(i, *index[i]) for i in large]}, vary=False)
         seeds = {("all", "", i): seed + numbers[i] * STEP_SEED_STRIDE for i in large}
-        parts.append(spark.createDataFrame(distributed_metrics(sample, seeds, n_bootstrap), METRIC_SCHEMA))
+        parts.append(distributed_metrics(sample, seeds, n_bootstrap))
     metrics = cut_lineage(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
 
     plan = spark.createDataFrame(

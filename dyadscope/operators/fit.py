@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -27,10 +28,19 @@ CELLS_PER_BLOCK = 4_000_000  # events x replicates held at once
 
 FIT_SCHEMA = (
     "track string, split_role string, design_id int, fit_id int, beta double, llf double, "
-    "design_rank int, fit_error string, boot_betas array<double>, boot_attempted int"
+    "design_rank int, fit_error string, boot_reps array<int>, boot_betas array<double>, boot_attempted int, point_fitted boolean"
 )
 
 
+class Task(NamedTuple):
+    """One bootstrap of a sample: its replicates from `start` on; `known` where the point fit is there already."""
+
+    fit_id: int
+    seed: int
+    start: int = 0
+    known: bool = False
+
+
 def log_sigmoid(z: np.ndarray) -> np.ndarray:
     return -np.logaddexp(0.0, -z)
 
@@ -203,79 +213,80 @@ def draw_multiplicities(codes: np.ndarray, n_clusters: int, n_draws: int, rng: n
     return out
 
 
-def replicate_weights(clusters: np.ndarray, n_boot: int, seed: int, resampling: str, block: int) -> Iterator[np.ndarray]:
-    """Event weights of the replicates, `block` columns at a time.
+def replicate_weights(clusters: np.ndarray, n_boot: int, seed: int, resampling: str, block: int, start: int = 0) -> Iterator[np.ndarray]:
+    """Event weights of the replicates from `start` on, `block` columns at a time.
 
-    poisson: hash draws per cluster, equal at every sample size. fixed_size: as many clusters as
-    there are, drawn in sequence from a seeded generator; for samples that fit one task only.
+    poisson: hash draws per cluster, equal at every sample size, each replicate on its own. fixed_size: as many
+    clusters as there are, drawn in sequence from a seeded generator; for samples that fit one task only.
     """
     if resampling == "poisson":
         hashes = cluster_hashes(clusters)
-        for start in range(0, n_boot, block):
-            yield poisson_weights(hashes, int(seed), np.arange(start, min(start + block, n_boot)))
+        for at in range(start, n_boot, block):
+            yield poisson_weights(hashes, int(seed), np.arange(at, min(at + block, n_boot)))
         return
+    if start:
+        raise ValueError("draws in sequence have no replicates to go on from")
     ids, codes = np.unique(clusters.astype(str), return_inverse=True)
     rng = np.random.default_rng(int(seed))
     for start in range(0, n_boot, block):
         yield draw_multiplicities(codes, len(ids), min(block, n_boot - start), rng)
 
 
-def bootstrap_key(d: np.ndarray, clusters: np.ndarray, n_boot: int, seed: int, fit: Callable, resampling: str = "poisson") -> list[float]:
-    """Key coefficient of every replicate that converged."""
+def bootstrap_key(d: np.ndarray, clusters: np.ndarray, n_boot: int, seed: int, fit: Callable, resampling: str = "poisson", start: int = 0) -> tuple[list[int], list[float]]:
+    """Replicates from `start` on that converged, and their key coefficients."""
+    reps: list[int] = []
     betas: list[float] = []
-    for w in replicate_weights(clusters, n_boot, seed, resampling, max(1, CELLS_PER_BLOCK // max(len(d), 1))):
+    at = start
+    for w in replicate_weights(clusters, n_boot, seed, resampling, max(1, CELLS_PER_BLOCK // max(len(d), 1)), start):
         beta, _, ok = fit(d, w)
+        reps.extend((at + np.flatnonzero(ok)).tolist())
         betas.extend(beta[ok, 0].tolist())
-    return betas
+        at += w.shape[1]
+    return reps, betas
 
 
 def fit_sample(
     chosen: np.ndarray,
     other: np.ndarray,
     clusters: np.ndarray,
-    tasks: Sequence[tuple[int, int]],
+    tasks: Sequence[tuple],
     n_boot: int,
     mode: str,
     opts: AdamSettings,
     resampling: str = "poisson",
 ) -> list[dict]:
-    """Point fit once, then one bootstrap per (fit_id, seed) task."""
+    """Point fit once, unless every task knows it, then the bootstrap of every task (fields of `Task`)."""
+    tasks = [Task(*t) for t in tasks]
     k = chosen.shape[1]
-    empty = {"beta": None, "llf": None, "boot_betas": [], "boot_attempted": 0}
+    empty = {"beta": None, "llf": None, "boot_reps": [], "boot_betas": [], "boot_attempted": 0, "point_fitted": False}
     levels = np.vstack([chosen, other])
     shift, scale = standardise(levels)
     centred = (levels - shift) / scale
     rank = gram_rank(centred.T @ centred)
     base = {**empty, "design_rank": rank, "fit_error": None}
     if rank < k:
-        return [{**base, "fit_id": i} for i, _ in tasks]
+        return [{**base, "fit_id": t.fit_id} for t in tasks]
     fit = solver(mode, opts)
     if fit is None:
-        return [{**base, "fit_id": i, "fit_error": unsupported(mode)} for i, _ in tasks]
+        return [{**base, "fit_id": t.fit_id, "fit_error": unsupported(mode)} for t in tasks]
     d = (chosen - other) / scale
-    beta, llf, ok = fit(d, np.ones((len(d), 1)))
-    if not ok[0]:
-        finite = np.isfinite(beta[0]).all() and np.isfinite(llf[0])
-        reason = "non_converged" if finite else "non_finite_estimate"
-        return [{**base, "fit_id": i, "fit_error": f"fit_failed:{reason}"} for i, _ in tasks]
+    point = {}
+    if not all(t.known for t in tasks):
+        beta, llf, ok = fit(d, np.ones((len(d), 1)))
+        if not ok[0]:
+            finite = np.isfinite(beta[0]).all() and np.isfinite(llf[0])
+            reason = "non_converged" if finite else "non_finite_estimate"
+            return [{**base, "fit_id": t.fit_id, "fit_error": f"fit_failed:{reason}", "point_fitted": True} for t in tasks]
+        point = {"beta": float(beta[0, 0]), "llf": float(llf[0]), "point_fitted": True}
     out = []
-    for fit_id, seed in tasks:
-        betas = bootstrap_key(d, clusters, n_boot, seed, fit, resampling)
-        out.append(
-            {
-                **base,
-                "fit_id": fit_id,
-                "beta": float(beta[0, 0]),
-                "llf": float(llf[0]),
-                "boot_betas": betas,
-                "boot_attempted": n_boot if n_boot > 0 else 0,
-            }
-        )
+    for t in tasks:
+        reps, betas = bootstrap_key(d, clusters, n_boot, t.seed, fit, resampling, t.start)
+        out.append({**base, **({} if t.known else point), "fit_id": t.fit_id, "boot_reps": reps, "boot_betas": betas, "boot_attempted": max(n_boot - t.start, 0)})
     return out
 
 
 def grouped_fit(n_boot: int, mode: str, opts: AdamSettings, resampling: str = "poisson") -> Callable:
-    """Function for cogroup: the long design rows of one sample with its (fit_id, seed) tasks."""
+    """Function for cogroup: the long design rows of one sample with its tasks."""
 
     def run(rows: pd.DataFrame, tasks: pd.DataFrame) -> pd.DataFrame:
         names = [f.strip().split(" ")[0] for f in FIT_SCHEMA.split(", ")]
@@ -286,7 +297,7 @@ def grouped_fit(n_boot: int, mode: str, opts: AdamSettings, resampling: str = "p
             np.vstack(rows["chosen"].to_numpy()).astype(float),
             np.vstack(rows["other"].to_numpy()).astype(float),
             rows["boot"].to_numpy(),
-            list(tasks[["fit_id", "seed"]].itertuples(index=False, name=None)),
+            list(tasks[["fit_id", "seed", "start", "known"]].itertuples(index=False, name=None)),
             n_boot,
             mode,
             opts,

@@ -11,6 +11,7 @@ from dyadscope.plans import workload as w
 from dyadscope.plans.oracle import CHOICES, WINDOWS, sql
 from dyadscope.plans.registry_of_queries import query
 from dyadscope.plans.scan import discovery_capacity
+from dyadscope.session import cut_lineage
 from dyadscope.settings import ScanSettings
 
 Y_WINDOWS = ("y_all", "y_1y", "y_3y", "y_5y")
@@ -679,8 +680,13 @@ TWO_DESIGNS = designs.DesignSet((designs.Design(0, "y_all", ("l_quantity",)), de
 
 
 def _long(spark, sf):
+    rows, ev = _folded(spark, sf)
+    return designs.design_pairs(rows, ev, TWO_DESIGNS)
+
+
+def _folded(spark, sf):
     rows = designs.row_table(w.choices(spark, sf), TWO_DESIGNS)
-    return designs.design_pairs(rows, designs.event_table(rows, TWO_DESIGNS), TWO_DESIGNS, sparse=True)
+    return rows, cut_lineage(designs.event_table(rows, TWO_DESIGNS))
 
 
 @query("event_differences", sql(DESIGN_VIEWS, """
@@ -696,7 +702,7 @@ def event_differences(spark, sf):
 , per AS (SELECT design_id, track, split_role, doc, count(*) AS n FROM used GROUP BY ALL)
 SELECT design_id, track, split_role, CAST(sum(n) AS BIGINT) AS n_informative, count(*) AS n_docs, round(max(n)::DOUBLE / sum(n)::DOUBLE, 6) AS top1_share FROM per GROUP BY ALL"""))
 def design_statistics(spark, sf):
-    return designs.design_stats(_long(spark, sf)).withColumn("top1_share", F.round("top1_share", 6))
+    return designs.gate_stats(*_folded(spark, sf), TWO_DESIGNS).withColumn("top1_share", F.round("top1_share", 6))
 
 
 @query("gate_cascade", sql(DESIGN_VIEWS, """
@@ -715,10 +721,8 @@ SELECT design_id, track, split_role,
        WHEN top1 > 0.016 THEN printf('%.4f > %.4f', top1, 0.016::DOUBLE) ELSE '' END AS reason_detail
 FROM g"""))
 def gate_cascade(spark, sf):
-    df = w.choices(spark, sf)
-    rows = designs.row_table(df, TWO_DESIGNS)
-    ev = designs.event_table(rows, TWO_DESIGNS)
-    stats = designs.design_stats(designs.design_pairs(rows, ev, TWO_DESIGNS, sparse=True))
+    rows, ev = _folded(spark, sf)
+    stats = designs.gate_stats(rows, ev, TWO_DESIGNS)
     full = stats.join(designs.sample_totals(ev), ["track", "split_role"]).withColumn("y_col", F.lit("y_all"))
     out = gates.gate_cascade(full, ScanSettings(max_top1_doc_share=0.016))
     return out.select("design_id", "track", "split_role", "status", "reason_code", "reason_detail")

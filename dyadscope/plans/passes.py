@@ -13,6 +13,7 @@ from dyadscope.operators.inference import VALIDATED, restart_inference, restart_
 from dyadscope.operators.review import ladder_jobs, pending_jobs
 from dyadscope.operators.shortlist import escalation_shortlist, shortlist
 from dyadscope.plans.scan import ScanResult, run_scan
+from dyadscope.session import cut_lineage
 from dyadscope.settings import ScanSettings
 
 
@@ -26,10 +27,10 @@ def run_restarts(df: DataFrame, features: Sequence[str], settings: ScanSettings,
         top, n_restarts=settings.n_restarts, p_threshold=settings.p_threshold, q_threshold=settings.q_threshold, confirmatory_y=confirmatory_y
     )
     stability = restart_stability(top, n_restarts=settings.n_restarts)
-    return ScanResult(scan, top, result.log), inference, stability
+    return ScanResult(scan, top, result.log, result.fits, result.prepared), inference, stability
 
 
-def _rescan(df: DataFrame, picked: DataFrame, settings: ScanSettings, n_bootstrap: int, suffix: str) -> ScanResult | None:
+def _rescan(df: DataFrame, picked: DataFrame, settings: ScanSettings, n_bootstrap: int, suffix: str, first: ScanResult | None) -> ScanResult | None:
     features = [r["feature_name"] for r in picked.orderBy("shortlist_rank").collect()]  # at most the shortlist cap
     if not features:
         return None
@@ -42,18 +43,22 @@ def _rescan(df: DataFrame, picked: DataFrame, settings: ScanSettings, n_bootstra
         skip_discovery_infeasible_track_y=False,
         auto_disable_base_controls_low_capacity=False,
     )
-    return run_scan(df, features, second)
+    return run_scan(df, features, second, prepared=first.prepared if first else None, prior=first.fits if first else None)
 
 
-def escalate(df: DataFrame, top: DataFrame, settings: ScanSettings, *, n_bootstrap: int = 499, **margins) -> ScanResult | None:
-    """Repeat the features nearest to the thresholds with more replicates."""
+def escalate(df: DataFrame, top: DataFrame, settings: ScanSettings, *, n_bootstrap: int = 499, first: ScanResult | None = None, **margins) -> ScanResult | None:
+    """Repeat the features nearest to the thresholds with more replicates.
+
+    With `first`, the scan that gave `top`, its events, point fits and replicates are used again; only the replicates
+    beyond its number are run.
+    """
     picked = escalation_shortlist(top, p_threshold=settings.p_threshold, q_threshold=settings.q_threshold, **margins)
-    return _rescan(df, picked, settings, n_bootstrap, "escalation")
+    return _rescan(df, picked, settings, n_bootstrap, "escalation", first)
 
 
-def refine(df: DataFrame, top: DataFrame, settings: ScanSettings, *, n_bootstrap: int = 199, **limits) -> ScanResult | None:
-    """Repeat the shortlist of a wide search with more replicates."""
-    return _rescan(df, shortlist(top, **limits), settings, n_bootstrap, "refine")
+def refine(df: DataFrame, top: DataFrame, settings: ScanSettings, *, n_bootstrap: int = 199, first: ScanResult | None = None, **limits) -> ScanResult | None:
+    """Repeat the shortlist of a wide search with more replicates; `first` as in `escalate`."""
+    return _rescan(df, shortlist(top, **limits), settings, n_bootstrap, "refine", first)
 
 
 def run_ladder(
@@ -68,7 +73,9 @@ def run_ladder(
     """One scan per (bootstrap size, seed) that has no finished attempt yet; returns all attempts.
 
     Every attempt is appended to a table as soon as it ends, with the grid it belongs to, so an
-    interrupted ladder goes on where it stopped. A table written by another run or grid is refused.
+    interrupted ladder goes on where it stopped. A table written by another run or grid is refused. All jobs
+    share one fold of the events and one set of point fits; a job takes over the replicates that a smaller
+    one with its seed has run.
     """
     spark = df.sparkSession
     grid = f"seeds={list(seeds)};ladder={list(ladder)}"
@@ -79,16 +86,22 @@ def run_ladder(
         if other:
             raise ValueError(f"resume mismatch: the attempts belong to run {other['run_id']} with {other['grid']}")
         jobs = pending_jobs(jobs, stored)
+    done: ScanResult | None = None
     for job in jobs.orderBy("position").collect():  # the grid is configuration
         step = replace(settings, run_id=f"{settings.run_id}__{job['job_key']}", bootstrap_seed=job["seed"], n_bootstrap=job["n_bootstrap"])
         fitted = F.col("status_validation") == "ok"
-        best = run_scan(df, features, step).top.agg(
+        result = run_scan(df, features, step, prepared=done.prepared if done else None, prior=done.fits if done else None)
+        fits = result.fits if done is None else cut_lineage(done.fits.unionByName(result.fits))
+        done = ScanResult(result.scan, result.top, result.log, fits, result.prepared)
+        ran = result.fits.agg(F.sum("new_attempted").alias("replicates_run"), F.count_if("point_fitted").alias("point_fits_run")).first()
+        best = result.top.agg(
             F.min(F.when(fitted, F.col("q_value_validation"))).alias("best_q_validation"),
             F.min(F.when(fitted, F.col("p_boot_validation"))).alias("best_p_validation"),
             F.max((F.col("candidate_tier") == VALIDATED).cast("int")).alias("gate_pass"),
         )
         labels = {"run_id": settings.run_id, "grid": grid, "job_key": job["job_key"], "status": "ok"}
-        numbers = {"position": job["position"], "seed": job["seed"], "n_bootstrap": job["n_bootstrap"], "returncode": 0}
+        numbers = {"position": job["position"], "seed": job["seed"], "n_bootstrap": job["n_bootstrap"], "returncode": 0,
+                   "replicates_run": int(ran[0] or 0), "point_fits_run": int(ran[1])}
         best.select("*", *[F.lit(v).alias(k) for k, v in {**labels, **numbers}.items()]).write.mode("append").parquet(attempts_path)
     return _attempts(spark, attempts_path)
 

@@ -2,7 +2,7 @@
 
 Stages and what they move:
  1. choice rows -> two rows per event (one shuffle of the narrow rows, materialised);
- 2. events x designs -> per-design counts (combined on the map side) -> gates;
+ 2. a bitmap of usable designs for each event -> counts per design (combined on the map side) -> gates;
  3. only gated samples are fitted: small ones one per task, large ones by distributed sums;
  4. everything after that has one row per candidate, split and restart.
 Restart, replicate and context are columns, so nothing is scheduled in a loop over them.
@@ -22,8 +22,10 @@ from dyadscope.operators.bootstrap import bootstrap_summary
 from dyadscope.operators.designs import (
     Design,
     DesignSet,
+    at_design,
+    design_bits,
+    design_counts,
     design_pairs,
-    design_stats,
     event_table,
     has_sparse_events,
     row_table,
@@ -43,11 +45,35 @@ MAX_FIT_PARTITIONS = 8192
 IDENTITY = ("track", "context_scope", "y_col", "spec_id", "key_factor", "control_set", "fdr_family_id", "equivalence_hash")
 
 
+@dataclass(frozen=True)
+class Prepared:
+    """What choice rows are folded to once: narrow rows and events over the columns of `everything`."""
+
+    everything: DesignSet
+    rows: DataFrame
+    events: DataFrame
+    sparse: bool
+    cluster: str
+
+    def covers(self, outcomes: Sequence[str], columns: Sequence[str], cluster: str) -> bool:
+        return set(outcomes) <= set(self.everything.y_cols) and set(columns) <= set(self.everything.x_cols) and cluster == self.cluster
+
+
+def prepare(df: DataFrame, outcomes: Sequence[str], columns: Sequence[str], cluster: str) -> Prepared:
+    """Fold and write the events of `df`; scans of the same rows with these or fewer columns can share them."""
+    everything = DesignSet(tuple(Design(i, y, tuple(columns)) for i, y in enumerate(dict.fromkeys(outcomes))))
+    rows = row_table(df, everything, cluster=cluster)
+    events = cut_lineage(event_table(rows, everything))
+    return Prepared(everything, rows, events, has_sparse_events(events), cluster)
+
+
 @dataclass
 class ScanResult:
     scan: DataFrame  # one row per candidate, split and restart
     top: DataFrame  # one row per candidate and restart
     log: DataFrame  # governance notes, evaluated rows, skipped items
+    fits: DataFrame | None = None  # point fits and replicates by sample, regressors and seed, for later passes
+    prepared: Prepared | None = None
 
 
 def discovery_capacity(df: DataFrame, y_cols: Sequence[str]) -> DataFrame:
@@ -149,7 +175,7 @@ def _designs(plan: list, everything: DesignSet) -> DesignSet:
 def _fits(
     rows: DataFrame, events: DataFrame, designs: DesignSet, tasks: list[tuple], settings: ScanSettings, sparse: bool
 ) -> DataFrame:
-    """Fit results for every task (sample keys, events, fit_id, seed), whatever the sample size."""
+    """Fit results for every task (sample keys, events, fit_id, seed, start, known), whatever the sample size."""
     spark = rows.sparkSession
     limit = settings.grouped_fit_max_events
     small = [t for t in tasks if t[3] <= limit]
@@ -167,7 +193,7 @@ def _fits(
 
     if small:
         n = min(len({t[:3] for t in small}), MAX_FIT_PARTITIONS)
-        jobs = spark.createDataFrame([(*t[:3], *t[4:]) for t in small], keys_schema + ", fit_id int, seed bigint")
+        jobs = spark.createDataFrame([(*t[:3], *t[4:]) for t in small], keys_schema + ", fit_id int, seed bigint, start int, known boolean")
         # Every group here holds at most `limit` events, checked against the gate counts. The
         # number of partitions is given, or small inputs would be merged into one Python task.
         parts.append(
@@ -180,7 +206,7 @@ def _fits(
         )
     if large:
         # Read from the event table in every pass; the designs are applied inside the tasks.
-        by_sample: dict[tuple, list[tuple[int, int]]] = {}
+        by_sample: dict[tuple, list[tuple]] = {}
         for t in large:
             by_sample.setdefault(t[:3], []).append(t[4:])
         index = designs.indexed()
@@ -192,14 +218,83 @@ def _fits(
             keep = {key[2] for key in by_sample}
             more = cut_lineage(sparse_pairs(rows, events, designs, designs.as_column(keep), KEYS))
         sample = Sample(fit_rows(events, more, KEYS), plan)
-        parts.append(spark.createDataFrame(distributed_fit(sample, by_sample, *opts), FIT_SCHEMA))
+        parts.append(distributed_fit(sample, by_sample, *opts))
     if not parts:
         return spark.createDataFrame([], FIT_SCHEMA)
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def run_scan(df: DataFrame, features: Sequence[str], settings: ScanSettings, *, penalty: float | None = None) -> ScanResult:
-    """Evaluate every candidate on both splits for every restart."""
+def _law(settings: ScanSettings) -> str:
+    """What fits of one table must have in common to be used for each other."""
+    return f"{settings.optimizer_mode}|{settings.adam}|{settings.resampling}|{settings.bootstrap_cluster_unit}"
+
+
+FITS_KEY = ("track", "split_role", "y_col", "exog")
+NO_DRAWS = "array<struct<rep:int,beta:double>>"
+
+
+def _prior_fits(prior: DataFrame | None, settings: ScanSettings, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Point fits by (sample, regressors), and replicates by those and seed, of earlier scans with the same law."""
+    if prior is None:
+        prior = spark.createDataFrame([], FITS_SCHEMA)
+    same = prior.where(F.col("law") == _law(settings))
+    point = same.groupBy(*FITS_KEY).agg(F.first(F.struct("beta", "llf", "design_rank", "fit_error")).alias("point"))
+    drawn = same.where(F.lit(settings.resampling == "poisson")).groupBy(*FITS_KEY, "seed").agg(F.max_by(F.struct("boot", "boot_attempted"), "boot_attempted").alias("drawn"))
+    kept = F.filter("drawn.boot", lambda x: x["rep"] < settings.n_bootstrap)
+    attempted = F.least(F.col("drawn.boot_attempted"), F.lit(settings.n_bootstrap))
+    return point, drawn.select(*FITS_KEY, "seed", kept.alias("old_boot"), attempted.alias("old_attempted"))
+
+
+FITS_SCHEMA = (
+    "track string, split_role string, y_col string, exog array<string>, seed bigint, law string, beta double, llf double, design_rank int, fit_error string, "
+    f"boot {NO_DRAWS}, boot_attempted int, new_attempted int, point_fitted boolean"
+)
+
+
+def _all_fits(prepared: Prepared, designs: DesignSet, gate_rows: list, settings: ScanSettings, prior: DataFrame | None) -> DataFrame:
+    """Fits by fit_id: what earlier scans have of them, and only the rest fitted now.
+
+    Replicates are addressed by (seed, number), so a bootstrap of 199 after one of 49 runs 150; a point fit holds for
+    every seed.
+    """
+    spark = prepared.rows.sparkSession
+    wanted = [(r["track"], r["split_role"], *_named(designs, r["design_id"]), r["seed"], r["fit_id"], r["design_id"], r["n_informative"]) for r in gate_rows if r["status"] == FIT]
+    tasks = spark.createDataFrame(wanted, "track string, split_role string, y_col string, exog array<string>, seed bigint, fit_id int, design_id int, n_informative bigint")
+    point, drawn = _prior_fits(prior, settings, spark)
+    joined = cut_lineage(tasks.join(point, [*FITS_KEY], "left").join(drawn, [*FITS_KEY, "seed"], "left"))
+    lost = F.col("point").isNotNull() & F.col("point.beta").isNull()
+    # A row a fit of the plan; the replicates themselves stay where they are.
+    todo = joined.select(
+        *SAMPLE, "n_informative", "fit_id", "seed", F.when(lost, settings.n_bootstrap).otherwise(F.coalesce("old_attempted", F.lit(0))).alias("start"), F.col("point").isNotNull().alias("known"))
+    jobs = [tuple(r) for r in todo.where(~F.col("known") | (F.col("start") < settings.n_bootstrap)).collect()]
+    new = _fits(prepared.rows, prepared.events, designs, jobs, settings, prepared.sparse)
+    fresh = new.select(
+        "fit_id", F.struct("beta", "llf", "design_rank", "fit_error").alias("fresh"), F.arrays_zip(F.col("boot_reps").alias("rep"), F.col("boot_betas").alias("beta")).cast(NO_DRAWS).alias("new_boot"),
+        F.col("boot_attempted").alias("new_attempted"), "point_fitted")
+    first = F.coalesce("point", "fresh")
+    none = F.array().cast(NO_DRAWS)
+    done = first["beta"].isNotNull()
+    return cut_lineage(joined.join(fresh, "fit_id", "left").select(
+        "fit_id", *FITS_KEY, "seed", F.lit(_law(settings)).alias("law"), *[first[c].alias(c) for c in ("beta", "llf", "design_rank", "fit_error")],
+        F.when(done, F.concat(F.coalesce("old_boot", none), F.coalesce("new_boot", none))).otherwise(none).alias("boot"),
+        F.when(done, F.coalesce("old_attempted", F.lit(0)) + F.coalesce("new_attempted", F.lit(0))).otherwise(0).alias("boot_attempted"),
+        F.coalesce("new_attempted", F.lit(0)).alias("new_attempted"), F.coalesce("point_fitted", F.lit(False)).alias("point_fitted"),
+    ))
+
+
+def _named(designs: DesignSet, design_id: int) -> tuple[str, list[str]]:
+    d = designs.designs[design_id]
+    return d.y_col, list(d.exog)
+
+
+def run_scan(
+    df: DataFrame, features: Sequence[str], settings: ScanSettings, *, penalty: float | None = None, prepared: Prepared | None = None, prior: DataFrame | None = None,
+) -> ScanResult:
+    """Evaluate every candidate on both splits for every restart.
+
+    `prepared` and `prior` are what an earlier scan of the same rows folded and fitted (`ScanResult.prepared`, `.fits`):
+    events are not folded again, and only point fits and replicates that are not there yet are run.
+    """
     settings = settings.checked()
     spark: SparkSession = df.sparkSession
     ship_package(spark)
@@ -212,27 +307,26 @@ def run_scan(df: DataFrame, features: Sequence[str], settings: ScanSettings, *,
         raise ValueError("no valid contexts available for scan")
     if not columns:
         raise ValueError("no features available for scan")
-    everything = DesignSet(tuple(Design(i, y, tuple(columns)) for i, y in enumerate(dict.fromkeys(y for _, y in contexts))))
-    rows = row_table(df, everything, cluster=settings.bootstrap_cluster_unit)
-    events = cut_lineage(event_table(rows, everything))
+    outcomes = [y for _, y in contexts]
+    if prepared is None or not prepared.covers(outcomes, columns, settings.bootstrap_cluster_unit):
+        prepared = prepare(df, outcomes, columns, settings.bootstrap_cluster_unit)
+    rows, events = prepared.rows, prepared.events
 
     tracks = spark.createDataFrame([(r[0],) for r in events.select("track").distinct().collect()], "track string")
     candidates, skipped = plan_candidates(df, features, settings, tracks.where("track is not null"))
     plan = candidates.where("duplicate_of is null").orderBy("plan_order").collect()  # plan-sized
     if not plan:
         raise ValueError("no candidates left to evaluate")
-    designs = _designs(plan, everything)
+    designs = _designs(plan, prepared.everything)
     ids = {(d.y_col, d.exog): d.design_id for d in designs.designs}
     kept = spark.createDataFrame(
         [(*(r[c] for c in ("plan_order", "candidate_id", *IDENTITY)), ids[(r["y_col"], tuple(r["exog_cols"]))], len(r["exog_cols"])) for r in plan],
         "plan_order int, candidate_id string, " + ", ".join(f"{c} string" for c in IDENTITY) + ", design_id int, n_exog int",
     )
 
-    sparse = has_sparse_events(events)
-    stats = design_stats(design_pairs(rows, events, designs, sparse=sparse))
+    counts = design_counts(design_bits(rows, events, designs, sparse=prepared.sparse), len(designs.designs))
     evaluated = (
-        cand.evaluation_order(kept)
-        .join(stats, [*SAMPLE], "left")
+        at_design(cand.evaluation_order(kept).join(counts, ["track", "split_role"], "left"), F.col("design_id"))
         .join(sample_totals(events), ["track", "split_role"], "left")
         .na.fill(0, ["n_informative", "n_docs", "n_choice_situations_total", "n_docs_total", "n_twin_sets"])
     )
@@ -247,15 +341,12 @@ def run_scan(df: DataFrame, features: Sequence[str], settings: ScanSettings, *,
     )
     gate_rows = gated.collect()
     per_restart = spark.createDataFrame(gate_rows, gated.schema)
-    tasks = [
-        (*(r[c] for c in SAMPLE), r["n_informative"], r["fit_id"], r["seed"]) for r in gate_rows if r["status"] == FIT
-    ]
-    fits = cut_lineage(_fits(rows, events, designs, tasks, settings, sparse))
+    fits = _all_fits(prepared, designs, gate_rows, settings, prior)
 
-    draws = fits.select("fit_id", F.explode("boot_betas").alias("beta"))
+    draws = fits.select("fit_id", F.explode("boot.beta").alias("beta"))
     summary = bootstrap_summary(draws, ["fit_id"])
     fitted = fits.select(
-        "fit_id", "beta", "llf", "design_rank", "fit_error", F.size("boot_betas").alias("bootstrap_success"),
+        "fit_id", "beta", "llf", "design_rank", "fit_error", F.size("boot").alias("bootstrap_success"),
         F.col("boot_attempted").alias("bootstrap_attempted"),
     )
     joined = per_restart.join(fitted, "fit_id", "left").join(summary, "fit_id", "left")
@@ -312,7 +403,7 @@ def run_scan(df: DataFrame, features: Sequence[str], settings: ScanSettings, *,
     paired = pair_splits(scan, ("restart_id", "candidate_id"), ("run_id", *IDENTITY, "candidate_pool_size"))
     top = assign_tiers(paired, p_threshold=settings.p_threshold, q_threshold=settings.q_threshold)
     scan = scan.join(top.select("restart_id", "candidate_id", "candidate_tier"), ["restart_id", "candidate_id"])
-    return ScanResult(scan, top, search_log(scan, skipped, len(plan), settings))
+    return ScanResult(scan, top, search_log(scan, skipped, len(plan), settings), fits.drop("fit_id"), prepared)
 
 
 def _verdict(code: str, detail, stage: str):

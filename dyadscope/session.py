@@ -10,6 +10,9 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
+from pyarrow import dataset, fs
+from pyarrow.dataset import Expression
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -73,13 +76,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Lost executors cost no recomputation, and later steps read only the columns they use.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    for owned in _owners:
-        owned.append(path)
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shared_path(spark: SparkSession) -> str:
+    """Path for a new table in the shared folder; the owners of scratch tables delete it."""
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    for owned in _owners:
+        owned.append(path)
+    return path
+
+
+def read_in_task(path: str, columns: list[str], where: Expression | None = None) -> pa.Table:
+    """Columns of a written table, read inside a task: as small as what it would be sent, and not sent by the driver."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    store, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return dataset.dataset(root, filesystem=store, format="parquet").to_table(columns=columns, filter=where)
+
+
 _shipped: set[str] = set()
 #: Bytes of an Arrow batch for Python workers; rows can be long texts.
 ARROW_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")

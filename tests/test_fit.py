@@ -116,7 +116,7 @@ def test_distributed_fit_matches_the_grouped_fit(spark, mode):
     clusters = np.array([f"c{i % 200}" for i in range(600)])
     opts = AdamSettings(max_iter=40, min_iter=40)
     here = fit.fit_sample(chosen, other, clusters, [(1, 3)], 60, mode, opts)[0]
-    there = dist.distributed_fit(event_sample(spark, chosen, other, clusters), {("t", "discovery", 0): [(1, 3)]}, 60, mode, opts)[0]
+    there = dist.distributed_fit(event_sample(spark, chosen, other, clusters), {("t", "discovery", 0): [(1, 3)]}, 60, mode, opts).first()
     assert there["beta"] == pytest.approx(here["beta"], abs=1e-6)
     assert there["llf"] == pytest.approx(here["llf"], abs=1e-6)
     assert len(there["boot_betas"]) == 60
@@ -135,5 +135,5 @@ def test_distributed_rank(spark):
     ship_package(spark)
     chosen, other, clusters = sample(n=60, k=1)
     twice = event_sample(spark, np.hstack([chosen, 3 * chosen]), np.hstack([other, 3 * other]), clusters)
-    out = dist.distributed_fit(twice, {("t", "discovery", 0): [(1, 3)]}, 5, "none", AdamSettings())
+    out = dist.distributed_fit(twice, {("t", "discovery", 0): [(1, 3)]}, 5, "none", AdamSettings()).collect()
     assert out[0]["design_rank"] == 1 and out[0]["beta"] is None
