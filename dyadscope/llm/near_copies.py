@@ -11,13 +11,13 @@ shingle has at most `FULL` of them. Shingles with more are put last in the order
 cut again (at most `PASSES` times; what is left then, texts made of such shingles only, meets in pairs).
 The first order puts last what is frequent in a sample. The order changes the work, never the answer.
 
-Pruning: a candidate pair goes on if the sizes allow the similarity and the 64-bit SimHash values of the
-sets form a pigeonring chain within `RADIUS` bits: from one of four 16-bit segments on, the first l differ
-in at most RADIUS l / 4 bits for every l. At a similarity of 0.8 fingerprints differ in about 10 bits with
-a deviation of 3, unlike texts in 32, so a chain within 26 bits is missed by fewer than one pair in a million.
+Pruning: a candidate pair goes on if the sizes allow the similarity and the 256-bit SimHash values of the
+sets form a pigeonring chain within `RADIUS` bits: from one of four 64-bit segments on, the first l differ
+in at most RADIUS l / 4 bits for every l. At a similarity of 0.8 fingerprints differ in about 39 bits with
+a deviation of 6, unlike texts in 128, so a chain within 70 bits is missed by fewer than one pair in a million.
 Sets of at most `SMALL` shingles, whose fingerprints vary more, are not pruned.
 
-Every pair that is left is checked by its whole sets. Those are made again from the texts of the classes in
+Every pair that is left is checked by its whole sets, once. Those are made again from the texts of the classes in
 such pairs, where the texts are read: no text is shuffled to find them, only the sets of candidates are.
 
 Defined cases: null, empty and wordless texts are one class; rows without id take part like others; equal
@@ -28,6 +28,8 @@ Shingles, sets and texts are told apart by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +40,12 @@ from pyspark.sql import functions as F
 from dyadscope.llm.common import ascii_words, cut_lineage, ship_package, text_bytes, text_key
 from dyadscope.llm.graph import components
 from dyadscope.llm.key_bits import key_bits, may_hold
+from dyadscope.session import scratch_tables, shared_path
 
 SHINGLE = 5
 SEED = 42
 ROUNDS = 2
-RADIUS, SMALL = 26, 16
+RADIUS, SMALL, SEGMENTS = 70, 16, 4
 #: Classes of different components in a shingle up to which they meet in pairs, and times the beginnings are cut.
 FULL, PASSES = 128, 3
 #: Classes in the sample, count from which a shingle is frequent there, and most shingles that are put last.
@@ -72,26 +75,28 @@ def _name(own: np.ndarray) -> int:
     return _signed(xxhash.xxh64_intdigest(own.tobytes(), SEED))
 
 
-def simhash(own: np.ndarray, step: int = 1 << 16) -> int:
-    """Fingerprint of a set: a bit is set if it is in more than half of the hashes."""
-    ones = np.zeros(64, np.int64)
+def simhash(own: np.ndarray, step: int = 1 << 14) -> list[int]:
+    """Segments of the fingerprint of a set: a bit is set if it is in more than half of the hashes; the later segments hash again."""
+    ones = np.zeros((SEGMENTS, 64), np.int64)
     for at in range(0, len(own), step):
-        ones += np.unpackbits(own[at : at + step].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return _signed(sum(1 << int(b) for b in np.flatnonzero(2 * ones > len(own))))
+        part = own[at : at + step].astype("<u8")
+        for k in range(SEGMENTS):
+            mixed = part if not k else (part ^ (part >> np.uint64(29 + k))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
+            mixed = mixed ^ (mixed >> np.uint64(32)) if k else mixed
+            ones[k] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return [_signed(sum(1 << int(b) for b in np.flatnonzero(2 * x > len(own)))) for x in ones]
 
 
-def chained(a: Column, b: Column, radius: int = RADIUS) -> Column:
-    """Whether some chain of 16-bit segments of the ring stays within its budgets, the whole distance being the last."""
-    x = a.bitwiseXOR(b)
-    starts = []
-    for i in range(4):
-        ring = F.shiftleft(x, 64 - 16 * i).bitwiseOR(F.shiftrightunsigned(x, 16 * i)) if i else x
-        links = [F.bit_count(ring.bitwiseAND(F.lit((1 << 16 * n) - 1)) if n < 4 else ring) <= radius * n // 4 for n in (1, 2, 3, 4)]
-        starts.append(links[0] & links[1] & links[2] & links[3])
-    return starts[0] | starts[1] | starts[2] | starts[3]
+def chained(a: list[Column], b: list[Column], radius: int = RADIUS) -> Column:
+    """Whether some chain of segments of the ring stays within its budgets, the whole distance being the last."""
+    d = [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)]
+    n = len(d)
+    starts = [reduce(and_, [sum(d[(i + j) % n] for j in range(links)) <= radius * links // n for links in range(1, n + 1)]) for i in range(n)]
+    return reduce(or_, starts)
 
 
-BEGUN = "doc_id bigint, text_key bigint, fp bigint, n bigint, sim bigint, first binary"
+SIMS = [f"s{i}" for i in range(SEGMENTS)]
+BEGUN = f"doc_id bigint, text_key bigint, fp bigint, n bigint, {', '.join(f'{c} bigint' for c in SIMS)}, first binary"
 
 
 def _beginnings(last: np.ndarray):
@@ -107,17 +112,15 @@ def _beginnings(last: np.ndarray):
                 sims.append(simhash(own))
                 first.append(np.concatenate([own[~late], own[late]])[: len(own) - (4 * len(own) + 4) // 5 + 1].tobytes())
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sims, pa.int64()), pa.array(first, pa.binary())
-            ], ["doc_id", "text_key", "fp", "n", "sim", "first"])
+                batch.column(0), batch.column(1), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()),
+                *(pa.array([x[k] for x in sims], pa.int64()) for k in range(SEGMENTS)), pa.array(first, pa.binary()),
+            ], ["doc_id", "text_key", "fp", "n", *SIMS, "first"])
 
     return rows
 
 
-TOKENS = "token bigint, fp bigint, n bigint, sim bigint"
-
-
-def _tokens(bits: np.ndarray | None):
-    """A row for each shingle of (fp, n, sim, first) that may be in `bits`; each class once a task."""
+def _tokens(columns: list[str], bits: np.ndarray | None):
+    """A row for each shingle of (*columns, first) that may be in `bits`, fp being the first column; each class once a task."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for big in batches:
@@ -128,16 +131,20 @@ def _tokens(bits: np.ndarray | None):
                     if fp not in seen:
                         seen.add(fp)
                         own.append(i)
-                        token = np.frombuffer(batch.column(3)[i].as_py(), np.int64)
+                        token = np.frombuffer(batch.column(len(columns))[i].as_py(), np.int64)
                         tokens.append(token if bits is None else token[may_hold(bits, token)])
                 n = np.array([len(t) for t in tokens], np.int64)
                 if n.sum():
-                    other = [np.repeat(batch.column(c).to_numpy()[own], n) for c in range(3)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(tokens), *other)], ["token", "fp", "n", "sim"])
+                    other = [np.repeat(batch.column(c).to_numpy()[own], n) for c in range(len(columns))]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(tokens), *other)], ["token", *columns])
 
     return rows
 
 
+def _exploded(begun: DataFrame, columns: list[str], bits: np.ndarray | None) -> DataFrame:
+    return begun.select(*columns, "first").mapInArrow(_tokens(columns, bits), ", ".join(f"{c} bigint" for c in ("token", *columns)))
+
+
 def _wanted(bits: np.ndarray):
     """(fp, shingles) of the texts (key, raw) that may be wanted, each once a task."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,56 +207,67 @@ class _Corpus:
     """Texts (text_key, raw) and the classes' names with one text each: where whole sets come from."""
 
     def __init__(self, texts: DataFrame, begun: DataFrame) -> None:
-        self.texts = texts
+        self.texts, self.tried = texts, None
         self.classes = cut_lineage(begun.groupBy("fp").agg(F.min("text_key").alias("text_key")))
 
     def checked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (u, v) whose whole sets are alike."""
-        pairs = cut_lineage(pairs.select("u", "v").distinct())
-        need = cut_lineage(pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct().join(self.classes, "fp"))
-        made = self.texts.mapInArrow(_wanted(key_bits(need, "text_key")), "fp bigint, shingles binary")
-        sets = cut_lineage(made.join(need.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]))
-        wide = pairs.join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v").join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u")
-        return cut_lineage(wide.select("u", "v", "a", "b").mapInArrow(_alike, "u bigint, v bigint"))
+        """The pairs (u, v), u < v, whose whole sets are alike, of those not checked before."""
+        spark = pairs.sparkSession
+        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        pairs = cut_lineage(pairs if self.tried is None else pairs.join(self.tried, ["u", "v"], "left_anti"))
+        self.tried = pairs if self.tried is None else self.tried.union(pairs)
+        path = shared_path(spark)
+        with scratch_tables(spark):  # the sets go when the pairs are told apart
+            need = cut_lineage(pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct().join(self.classes, "fp"))
+            made = self.texts.mapInArrow(_wanted(key_bits(need, "text_key")), "fp bigint, shingles binary")
+            sets = cut_lineage(made.join(need.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]))
+            wide = pairs.join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v").join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u")
+            wide.select("u", "v", "a", "b").mapInArrow(_alike, "u bigint, v bigint").write.parquet(path)
+        return spark.read.schema("u bigint, v bigint").parquet(path)
+
+
+CLASS = ["fp", "n", *SIMS]
 
 
 def token_index(begun: DataFrame) -> DataFrame:
-    """(token, fp, n, sim) of the beginnings' shingles that several classes have."""
-    firsts = begun.select("fp", "n", "sim", "first")
-    counted = firsts.mapInArrow(_tokens(None), TOKENS).groupBy("token").agg(F.min("fp").alias("a"), F.max("fp").alias("b"))
+    """(token, fp, n, s0 ...) of the beginnings' shingles that several classes have."""
+    counted = _exploded(begun, ["fp"], None).groupBy("token").agg(F.min("fp").alias("a"), F.max("fp").alias("b"))
     several = cut_lineage(counted.where("a <> b").select("token"))
-    rows = firsts.mapInArrow(_tokens(key_bits(several, "token")), TOKENS)
+    rows = _exploded(begun, CLASS, key_bits(several, "token"))
     return cut_lineage(rows.join(several, "token", "left_semi").distinct())
 
 
 def _placed(index: DataFrame, found: DataFrame | None) -> DataFrame:
     """The index with each class's component, without shingles whose classes are all in one component."""
     rooted = index.withColumn("root", F.col("fp")) if found is None else index.join(
-        components(found), F.col("fp") == F.col("node"), "left").select("token", "fp", "n", "sim", F.coalesce("root", "fp").alias("root"))
+        components(found), F.col("fp") == F.col("node"), "left").select("token", *CLASS, F.coalesce("root", "fp").alias("root"))
     several = rooted.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("held")).where("a <> b").select("token", "held")
     return cut_lineage(rooted.join(several, "token"))
 
 
-def _able(n: str, m: str, a: str, b: str) -> Column:
-    return (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (chained(F.col(a), F.col(b)) | (F.least(n, m) <= SMALL))
+def _able(x: str, y: str) -> Column:
+    """Whether two classes, structs of `CLASS`, can be near copies by their sizes and fingerprints."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    near = chained([F.col(f"{x}.{s}") for s in SIMS], [F.col(f"{y}.{s}") for s in SIMS])
+    return (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (near | (F.least(n, m) <= SMALL))
 
 
 def star_links(index: DataFrame, corpus: _Corpus, found: DataFrame | None) -> DataFrame | None:
     """`found` and the links of each class to one class of each of its shingles, in `ROUNDS` rounds."""
     for k in range(ROUNDS):
-        placed = _placed(index, found)
-        head = placed.groupBy("token").agg(F.min_by(F.struct("fp", "n", "sim", "root"), F.xxhash64("fp", F.lit(k))).alias("h"))
-        star = placed.join(head, "token").where("root <> h.root").select(F.col("h.fp").alias("u"), F.col("fp").alias("v"), "n", F.col("h.n").alias("m"), "sim", F.col("h.sim").alias("other"))
-        new = corpus.checked(star.where(_able("n", "m", "sim", "other")))
+        placed = _placed(index, found).select("token", F.struct(*CLASS, "root").alias("x"))
+        head = placed.groupBy("token").agg(F.min_by("x", F.xxhash64("x.fp", F.lit(k))).alias("h"))
+        star = placed.join(head, "token").where("x.root <> h.root").where(_able("x", "h"))
+        new = corpus.checked(star.select(F.col("h.fp").alias("u"), F.col("x.fp").alias("v")))
         found = new if found is None else cut_lineage(found.union(new))
     return found
 
 
 def pair_links(placed: DataFrame, corpus: _Corpus) -> DataFrame:
     """Links between classes of different components that share a shingle."""
-    other = placed.select("token", F.col("fp").alias("v"), F.col("n").alias("m"), F.col("sim").alias("other"), F.col("root").alias("other_root"))
-    across = placed.join(other, "token").where((F.col("fp") < F.col("v")) & (F.col("root") != F.col("other_root")) & _able("n", "m", "sim", "other"))
-    return corpus.checked(across.select(F.col("fp").alias("u"), "v"))
+    x = placed.select("token", F.struct(*CLASS, "root").alias("x"))
+    across = x.join(x.select("token", F.col("x").alias("y")), "token").where("x.fp < y.fp and x.root <> y.root").where(_able("x", "y"))
+    return corpus.checked(across.select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v")))
 
 
 def rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

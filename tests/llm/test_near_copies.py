@@ -34,27 +34,36 @@ def test_planted_copies_equal_brute_force(spark, monkeypatch, rounds, full, samp
     assert sorted(r["doc_id"] for r in simhash.keep_one(table).collect()) == want
 
 
+def _apart(x, y):
+    return sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(near_copies.simhash(x), near_copies.simhash(y), strict=True))
+
+
 def test_pairs_of_the_limit_pass_the_chain():
-    """Fingerprints of sets at a similarity of 0.8 stay within the radius, those of unlike sets mostly do not."""
+    """Fingerprints of sets at a similarity of 0.8 stay within the radius, those of unlike sets never come near."""
     rng = np.random.default_rng(7)
+    fresh = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n, dtype=np.uint64)
     near, far = [], []
-    for n in (20, 100, 1000):
+    for n in (18, 20, 100, 1000):
         for _ in range(300):
-            own = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n, dtype=np.uint64)
-            other = own.copy()
-            other[: n // 9] = rng.integers(0, 1 << 63, n // 9, dtype=np.uint64) * np.uint64(2)
-            near.append(((near_copies.simhash(own) ^ near_copies.simhash(other)) & (1 << 64) - 1).bit_count())
-            fresh = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
-            far.append(((near_copies.simhash(own) ^ near_copies.simhash(fresh)) & (1 << 64) - 1).bit_count())
-    assert max(near) <= near_copies.RADIUS and sum(d > near_copies.RADIUS for d in far) > 0.8 * len(far)
+            own = fresh(n)
+            near.append(_apart(own, np.concatenate([fresh(n // 9), own[n // 9 :]])))
+            near.append(_apart(own, own[: -(-4 * n // 5)]))
+            far.append(_apart(own, fresh(n)))
+    assert max(near) <= near_copies.RADIUS - 5 and min(far) > near_copies.RADIUS
 
 
 def test_chain_is_the_whole_distance_within_its_budgets(spark):
     rng = random.Random(5)
-    pairs = [(a := rng.getrandbits(63), a ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, 40)))) for _ in range(400)]
-    table = spark.createDataFrame(pairs, "a bigint, b bigint")
-    for a, b, ok in table.select("a", "b", near_copies.chained(F.col("a"), F.col("b"))).collect():
-        assert ok == ((a ^ b).bit_count() <= near_copies.RADIUS)
+    pairs = []
+    for _ in range(400):
+        bits = set(rng.sample(range(252), rng.randint(0, 100)))
+        own = [rng.getrandbits(63) for _ in range(4)]
+        pairs.append((*own, *(x ^ sum(1 << b for b in range(63) if 63 * k + b in bits) for k, x in enumerate(own)), len(bits)))
+    names = [f"{side}{k}" for side in "ab" for k in range(4)]
+    table = spark.createDataFrame(pairs, ", ".join(f"{c} bigint" for c in (*names, "bits")))
+    ok = near_copies.chained([F.col(c) for c in names[:4]], [F.col(c) for c in names[4:]])
+    for bits, chain in table.select("bits", ok).collect():
+        assert chain == (bits <= near_copies.RADIUS)
 
 
 def test_key_bits_lose_no_key(spark, monkeypatch):
