@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from dyadscope.operators import equation, events, inference, profile
 from dyadscope.operators.candidates import KEY_ONLY, PLUS_BASE, anchor_token
-from dyadscope.operators.fit import POISSON_CDF
 from dyadscope.plans import passes, search
 from dyadscope.plans import workload as w
-from dyadscope.plans.oracle import CHOICES, sql
+from dyadscope.plans.model_sql import draw_views, p_view, sample_views, scan_sql, scan_view
+from dyadscope.plans.oracle import CHOICES, sql, top_views
 from dyadscope.plans.registry_of_queries import query
+from dyadscope.plans.result_queries import CONSENSUS_VIEWS
 from dyadscope.plans.scan import run_scan
 from dyadscope.settings import ScanSettings
 from dyadscope.sources import readers
@@ -21,23 +22,44 @@ ONE_CONTEXT = (("all_contexts", "y_all"),)
 def _settings(**changes) -> ScanSettings:
     base = dict(
         run_id="choices", contexts=ONE_CONTEXT, base_controls=("recency_years_alt",), control_spec_mode="key_only", n_bootstrap=49,
-        min_events_estimable=10, min_docs_estimable=5, min_events_validated=10, min_docs_validated=5,
+        min_events_estimable=GATES[0], min_docs_estimable=GATES[1], min_events_validated=GATES[0], min_docs_validated=GATES[1],
     )
     return ScanSettings(**{**base, **changes})
 
 
-@query("key_factor_scan")
+GATES = (10, 5)
+#: A coefficient beyond this belongs to a sample that its regressor separates: it ends where the iterations end.
+SEPARATED = 8
+
+
+def _beta_sql(c: str, name: str, digits: int = 5) -> str:
+    return f"CASE WHEN abs({c}) < {SEPARATED} THEN round({c}, {digits}) + 0.0::DOUBLE END AS {name}"
+
+
+def _beta(c: str, name: str, digits: int = 5):
+    return F.when(F.abs(c) < SEPARATED, F.round(c, digits) + F.lit(0.0)).alias(name)
+
+
+def _model_sql(n_boot: int, select: str, *, restarts: int = 1, more: str = "", features=w.FEATURES) -> str:
+    views = [scan_sql(features, n_boot, restarts), p_view("boot", n_boot), scan_view("scan", "boot", *GATES)]
+    return f"WITH {', '.join(views).strip()},{top_views()}{more}\n{select.strip()}"
+
+
+@query("key_factor_scan", _model_sql(49, f"""
+SELECT track, key_factor, status_discovery, status_validation, {_beta_sql('beta_discovery', 'beta_discovery')}, {_beta_sql('beta_validation', 'beta_validation')}, round(p_boot_discovery, 9) AS p_boot_discovery,
+       round(p_boot_validation, 9) AS p_boot_validation, round(q_value_validation, 9) AS q_value_validation, round(score_validation, 4) AS score_validation, candidate_tier, candidate_id FROM top"""))
 def key_factor_scan(spark, sf):
     """Which features move the choice, with hold-out and FDR."""
     top = run_scan(w.choices(spark, sf), w.FEATURES, _settings()).top
     return inference.rank_candidates(top).select(
-        "track", "key_factor", "status_discovery", "status_validation", "beta_discovery", "beta_validation", "p_boot_discovery",
-        "p_boot_validation", "q_value_validation", "score_validation", "candidate_tier", "candidate_id",
+        "track", "key_factor", "status_discovery", "status_validation", _beta("beta_discovery", "beta_discovery"), _beta("beta_validation", "beta_validation"),
+        *[F.round(c, 9).alias(c) for c in ("p_boot_discovery", "p_boot_validation", "q_value_validation")], F.round("score_validation", 4).alias("score_validation"),
+        "candidate_tier", "candidate_id",
     )
 
 
 def _two_newton_sql(designs, steps: int = 12) -> str:
-    """Fits of (spec id, key, second regressor or none) with a 2x2 solve a step; rows of 60 events and more are ok."""
+    """Fits of (spec id, key, second regressor or none) with a 2x2 solve a step; rows that pass the gates are ok."""
     pairs = " UNION ALL ".join(
         f"SELECT '{spec}' AS spec, '{key}' AS key_factor, {int(second is not None)} AS two, track, split_role, any_value(policy_document_id) AS doc, "
         f"max({key}) FILTER (y_all = 1) AS xp, max({key}) FILTER (y_all = 0) AS xn, {f'max({second}) FILTER (y_all = 1)' if second else '0.0::DOUBLE'} AS cp, "
@@ -62,7 +84,7 @@ def _two_newton_sql(designs, steps: int = 12) -> str:
         )
         views.append(f"b{i + 1} AS (SELECT {keys}, b + (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12) AS b, g + (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) AS g FROM h{i})")
     views.append(
-        f"fit AS (SELECT {keys}, track || '|all_contexts|y_all|' || spec || '|' || key_factor AS candidate_id, n_events, n_events >= 60 AND n_docs >= 5 AND top1 <= 0.2 AS ok, "
+        f"fit AS (SELECT {keys}, track || '|all_contexts|y_all|' || spec || '|' || key_factor AS candidate_id, n_events, n_events >= 10 AND n_docs >= 5 AND top1 <= 0.2 AS ok, "
         f"b, any_value(two) + 1 AS k, sum(-ln(1 + exp(-b * d - g * e))) AS llf FROM z JOIN b{steps} USING ({keys}) JOIN size USING ({keys}) GROUP BY {keys}, n_events, n_docs, top1, b)"
     )
     return CHOICES + ", " + ", ".join(views)
@@ -72,17 +94,17 @@ LOGIT_DESIGNS = [(KEY_ONLY, f, None) for f in w.FEATURES] + [(PLUS_BASE, f, "rec
 
 
 @query("logit_fit", "WITH " + (_two_newton_sql(LOGIT_DESIGNS) + """
-SELECT candidate_id, split_role, ok AS fitted, CASE WHEN ok THEN round(b, 5) + 0.0::DOUBLE END AS beta, CASE WHEN ok THEN round(llf - 0.01::DOUBLE * k, 4) END AS score, n_events AS n_single_choice_informative FROM fit""").strip())
+SELECT candidate_id, split_role, ok AS fitted, CASE WHEN ok AND abs(b) < 8 THEN round(b, 5) + 0.0::DOUBLE END AS beta, CASE WHEN ok THEN round(llf - 0.01::DOUBLE * k, 4) END AS score, n_events AS n_single_choice_informative FROM fit""").strip())
 def logit_fit(spark, sf):
-    settings = _settings(control_spec_mode="both", n_bootstrap=0, bootstrap_success_min_ratio=0.0, min_events_estimable=60, min_events_validated=60)
+    settings = _settings(control_spec_mode="both", n_bootstrap=0, bootstrap_success_min_ratio=0.0)
     scan = run_scan(w.choices(spark, sf), w.FEATURES, settings).scan
     return scan.select(
-        "candidate_id", "split_role", (F.col("status") == "ok").alias("fitted"), (F.round("beta", 5) + F.lit(0.0)).alias("beta"), F.round("score", 4).alias("score"),
+        "candidate_id", "split_role", (F.col("status") == "ok").alias("fitted"), _beta("beta", "beta"), F.round("score", 4).alias("score"),
         "n_single_choice_informative",
     )
 
 
-FIT_FEATURES = ("l_quantity", "l_tax", "l_extendedprice", "pa__p_size")
+FIT_FEATURES = w.FEATURES
 
 
 def _newton_sql(steps: int = 9) -> str:
@@ -122,40 +144,10 @@ def logit_fit_key_only(spark, sf):
     )
 
 
-_MOD = "18446744073709551616::UHUGEINT"
-
-
-def _mix64_sql(x: str, name: str) -> str:
-    """Lateral columns `name`_0.. and `name`: the finaliser that the replicate weights use, on 64-bit numbers."""
-    return (
-        f"((({x})::UHUGEINT + {0x9E3779B97F4A7C15}::UHUGEINT) % {_MOD})::UBIGINT AS {name}_0, "
-        f"((xor({name}_0, {name}_0 >> 30)::UHUGEINT * {0xBF58476D1CE4E5B9}::UHUGEINT) % {_MOD})::UBIGINT AS {name}_1, "
-        f"((xor({name}_1, {name}_1 >> 27)::UHUGEINT * {0x94D049BB133111EB}::UHUGEINT) % {_MOD})::UBIGINT AS {name}_2, xor({name}_2, {name}_2 >> 31) AS {name}"
-    )
-
-
-def _bootstrap_sql(features, n_boot: int, steps: int = 12) -> str:
+def _bootstrap_sql(features, n_boot: int, steps: int = 16) -> str:
     """Views up to `fitted` (per sample and replicate, -1 the point fit) and `found` (the summary of a sample)."""
-    pairs = " UNION ALL ".join(
-        f"SELECT '{f}' AS key_factor, track, split_role, event_id, any_value(policy_document_id) AS doc, max({f}) FILTER (y_all = 1) AS xp, max({f}) FILTER (y_all = 0) AS xn "
-        f"FROM choices WHERE {f} IS NOT NULL GROUP BY track, split_role, event_id HAVING count(*) = 2 AND sum(y_all) = 1 AND min({f}) <> max({f})"
-        for f in features
-    )
-    cdf = ", ".join(f"{c!r}::DOUBLE" for c in POISSON_CDF.tolist())
     views = [
-        f"pairs AS ({pairs})",
-        "per_doc AS (SELECT key_factor, track, split_role, doc, count(*) AS n FROM pairs GROUP BY ALL)",
-        "size AS (SELECT key_factor, track, split_role, sum(n) AS n_events, count(*) AS n_docs, max(n) / sum(n) AS top1 FROM per_doc GROUP BY ALL)",
-        "levels AS (SELECT key_factor, track, split_role, xp AS x FROM pairs UNION ALL SELECT key_factor, track, split_role, xn FROM pairs)",
-        "spread AS (SELECT key_factor, track, split_role, CASE WHEN count(DISTINCT x) > 2 THEN stddev_pop(x) ELSE 1.0::DOUBLE END AS sd FROM levels GROUP BY ALL)",
-        "z AS (SELECT key_factor, track, split_role, doc, (xp - xn) / sd AS d FROM pairs JOIN spread USING (key_factor, track, split_role))",
-        "ids AS (SELECT key_factor, track, split_role, track || '|all_contexts|y_all|clogit_key_only|' || key_factor AS candidate_id, "
-        "20260219 + CAST(('0x' || substr(sha256(track || '|all_contexts|y_all|clogit_key_only|' || key_factor || '|' || split_role), 1, 8))::BIGINT % 1000000 AS BIGINT) AS seed FROM size)",
-        f"streams AS (SELECT *, {_mix64_sql('seed', 's')}, {_mix64_sql('xor(s, r::UBIGINT)', 't')} FROM ids, (SELECT unnest(range({n_boot})) AS r))",
-        "docs AS (SELECT DISTINCT doc, ('0x' || substr(sha256(doc), 1, 15))::UBIGINT AS h FROM z)",
-        f"drawn AS (SELECT key_factor, track, split_role, r, doc, {_mix64_sql('xor(h, t)', 'b')}, (b >> 11)::DOUBLE / 9007199254740992.0::DOUBLE AS u "
-        "FROM streams JOIN (SELECT key_factor, track, split_role, doc FROM per_doc) USING (key_factor, track, split_role) JOIN docs USING (doc))",
-        f"weighed AS (SELECT key_factor, track, split_role, r, doc, len(list_filter([{cdf}], lambda c: c <= u)) AS w FROM drawn)",
+        *sample_views(features), *draw_views(n_boot),
         "zw AS (SELECT key_factor, track, split_role, r, d, w FROM z JOIN weighed USING (key_factor, track, split_role, doc) WHERE w > 0 "
         "UNION ALL SELECT key_factor, track, split_role, -1, d, 1 FROM z)",
         "b0 AS (SELECT DISTINCT key_factor, track, split_role, r, 0.0::DOUBLE AS beta FROM zw)",
@@ -169,99 +161,135 @@ def _bootstrap_sql(features, n_boot: int, steps: int = 12) -> str:
         # A gradient that vanishes at 0 leaves the coefficient at 0; sums in another order leave dust.
         f"fitted AS (SELECT key_factor, track, split_role, r, CASE WHEN abs(beta) < 1e-9 THEN 0 ELSE beta END AS beta FROM b{steps})",
         "boot AS (SELECT key_factor, track, split_role, count(*) AS n, coalesce(stddev_samp(beta), 0) AS se, quantile_cont(beta, 0.025) AS lo, quantile_cont(beta, 0.975) AS hi, "
+        f"bool_or(abs(beta) >= {SEPARATED}) AS separated, "
         "least(1.0, 2.0 * least((count(*) FILTER (beta <= 0) + 1)::DOUBLE / (count(*) + 1), (count(*) FILTER (beta >= 0) + 1)::DOUBLE / (count(*) + 1))) AS p FROM fitted WHERE r >= 0 GROUP BY ALL)",
-        "found AS (SELECT candidate_id, split_role, track, key_factor, n_events, beta, se, lo, hi, p, n, n_events >= 60 AND n_docs >= 5 AND top1 <= 0.2 AS ok "
+        "found AS (SELECT candidate_id, split_role, track, key_factor, n_events, beta, se, lo, hi, p, n, separated, n_events >= 10 AND n_docs >= 5 AND top1 <= 0.2 AS ok "
         "FROM size JOIN ids USING (key_factor, track, split_role) JOIN (SELECT * FROM fitted WHERE r = -1) USING (key_factor, track, split_role) LEFT JOIN boot USING (key_factor, track, split_role))",
     ]
     return CHOICES + ", " + ", ".join(views)
 
 
-BOOT_FEATURES = ("l_quantity", "l_tax", "x_nullable")
-#: Smaller samples have replicates that a regressor separates; their coefficients end nowhere in particular.
-BOOT_GATES = {"min_events_estimable": 60, "min_events_validated": 60}
-
-
-def _boot_columns(scan):
-    """Values to 5 digits: both sides stop their iterations somewhere."""
-    near = [(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("beta", "se_boot", "ci95_lower", "ci95_upper", "p_boot")]
-    return scan.select("candidate_id", "split_role", *near, "bootstrap_success", "bootstrap_attempted")
+def _boot_columns(result):
+    """Values to 5 digits, as both sides stop their iterations somewhere; no spread where a replicate is separated."""
+    wild = result.fits.groupBy("track", "split_role", F.col("exog")[0].alias("key_factor")).agg(
+        F.max(F.coalesce(F.array_max(F.transform("boot.beta", lambda x: F.abs(x))), F.lit(0.0)) >= SEPARATED).alias("wild"))
+    rows = result.scan.join(wild, ["track", "split_role", "key_factor"], "left")
+    near = {c: (F.round(c, 5) + F.lit(0.0)) for c in ("beta", "se_boot", "ci95_lower", "ci95_upper", "p_boot")}
+    spread = [(F.when(~F.col("wild"), x) if c not in ("beta", "p_boot") else x).alias(c) for c, x in near.items()]
+    return rows.select("candidate_id", "split_role", *spread, "bootstrap_success", "bootstrap_attempted")
 
 
 def _boot_answer(n_boot: int) -> str:
-    near = ", ".join(f"CASE WHEN ok THEN round({c}, 5) + 0.0::DOUBLE END AS {name}" for c, name in (
+    near = ", ".join(f"CASE WHEN ok{' AND NOT separated' if c in ('se', 'lo', 'hi') else ''} THEN round({c}, 5) + 0.0::DOUBLE END AS {name}" for c, name in (
         ("beta", "beta"), ("se", "se_boot"), ("lo", "ci95_lower"), ("hi", "ci95_upper"), ("p", "p_boot")))
     return f" SELECT candidate_id, split_role, {near}, CASE WHEN ok THEN n ELSE 0 END::INT AS bootstrap_success, CASE WHEN ok THEN {n_boot} ELSE 0 END AS bootstrap_attempted FROM found"
 
 
+BOOT_FEATURES = (*w.FEATURES, "x_nullable")
+
+
 @query("cluster_bootstrap", "WITH " + (_bootstrap_sql(BOOT_FEATURES, 99) + _boot_answer(99)).strip())
 def cluster_bootstrap(spark, sf):
-    return _boot_columns(run_scan(w.choices(spark, sf), BOOT_FEATURES, _settings(n_bootstrap=99, **BOOT_GATES)).scan)
+    return _boot_columns(run_scan(w.choices(spark, sf), BOOT_FEATURES, _settings(n_bootstrap=99)))
 
 
 @query("adam_fit")
 def adam_fit(spark, sf):
-    scan = run_scan(w.choices(spark, sf), ("l_quantity", "l_tax"), _settings(optimizer_mode="adam_lite", n_bootstrap=9)).scan
+    scan = run_scan(w.choices(spark, sf), w.FEATURES, _settings(optimizer_mode="adam_lite", n_bootstrap=49)).scan
     return scan.select("candidate_id", "split_role", "status", "beta", "score")
 
 
 @query("distributed_fit", "WITH " + (_bootstrap_sql(w.FEATURES, 19) + _boot_answer(19)).strip())
 def distributed_fit(spark, sf):
     """The same fits with every sample sent through the distributed sums."""
-    return _boot_columns(run_scan(w.choices(spark, sf), w.FEATURES, _settings(n_bootstrap=19, grouped_fit_max_events=0, **BOOT_GATES)).scan)
+    return _boot_columns(run_scan(w.choices(spark, sf), w.FEATURES, _settings(n_bootstrap=19, grouped_fit_max_events=0)))
 
 
 ANCHORED = f"{KEY_ONLY}__{anchor_token(['l_discount'])}"
 
 
-@query("anchored_scan", "WITH " + (_two_newton_sql([(ANCHORED, f, "l_discount") for f in ("l_quantity", "l_tax", "pa__p_size")]) + """
-SELECT candidate_id, spec AS spec_id, key_factor || '+l_discount' AS control_set, split_role, ok AS fitted, CASE WHEN ok THEN round(b, 5) + 0.0::DOUBLE END AS beta FROM fit""").strip())
+ANCHOR_FEATURES = tuple(f for f in w.FEATURES if f != "l_discount")
+
+
+@query("anchored_scan", "WITH " + (_two_newton_sql([(ANCHORED, f, "l_discount") for f in ANCHOR_FEATURES]) + f"""
+SELECT candidate_id, spec AS spec_id, key_factor || '+l_discount' AS control_set, split_role, ok AS fitted, CASE WHEN ok AND abs(b) < {SEPARATED} THEN round(b, 5) + 0.0::DOUBLE END AS beta,
+       CASE WHEN ok THEN 19 ELSE 0 END AS bootstrap_attempted FROM fit""").strip())
 def anchored_scan(spark, sf):
-    settings = _settings(fixed_regressors=("l_discount",), n_bootstrap=0, bootstrap_success_min_ratio=0.0, min_events_estimable=60, min_events_validated=60)
-    scan = run_scan(w.choices(spark, sf), ("l_quantity", "l_tax", "pa__p_size"), settings).scan
-    return scan.select("candidate_id", "spec_id", "control_set", "split_role", (F.col("status") == "ok").alias("fitted"), (F.round("beta", 5) + F.lit(0.0)).alias("beta"))
+    """Point fits agree with the SQL; the replicates' numbers are not compared, only that all are tried."""
+    scan = run_scan(w.choices(spark, sf), ANCHOR_FEATURES, _settings(fixed_regressors=("l_discount",), n_bootstrap=19)).scan
+    return scan.select("candidate_id", "spec_id", "control_set", "split_role", (F.col("status") == "ok").alias("fitted"), _beta("beta", "beta"), "bootstrap_attempted")
 
 
 @query("search_log")
 def search_log(spark, sf):
-    settings = _settings(contexts=(*ONE_CONTEXT, ("missing", "y_none"), ("all_contexts", "y_all")), control_spec_mode="both", n_bootstrap=9)
-    log = run_scan(w.choices(spark, sf), ("l_quantity", "recency_years_alt"), settings).log
+    settings = _settings(contexts=(*ONE_CONTEXT, ("missing", "y_none"), ("all_contexts", "y_all")), control_spec_mode="both")
+    log = run_scan(w.choices(spark, sf), w.FEATURES, settings).log
     return log.groupBy("status", "reason_stage", "reason_code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("multi_restart_inference")
+RESTARTS = 5
+RESTART_SQL = f""",{CONSENSUS_VIEWS},
+agg AS (SELECT candidate_id, min(fdr_family_id) AS fdr_family_id, arg_min(track_consensus_anchor_pass, restart_id) AS anchor_pass, max(CAST(status_discovery = 'ok' AS INTEGER)) AS d_ok,
+   count(*) FILTER (status_validation = 'ok' AND p_boot_validation IS NOT NULL) AS n_ok, median(p_boot_validation) FILTER (status_validation = 'ok') AS p_med, count(DISTINCT restart_id) AS np, count(*) AS n,
+   count(*) FILTER (candidate_tier = 'validated_candidate') AS nv, count(*) FILTER (candidate_tier = 'support_candidate') AS ns, count(*) FILTER (candidate_tier = 'exploratory') AS ne,
+   count(*) FILTER (beta_validation > 0) AS vp, count(*) FILTER (beta_validation < 0) AS vn, count(*) FILTER (beta_discovery > 0) AS dp, count(*) FILTER (beta_discovery < 0) AS dn FROM consensus GROUP BY 1),
+c AS (SELECT * FROM agg WHERE n_ok > 0),
+raws AS (SELECT candidate_id, fdr_family_id, p_med, p_med * count(*) OVER (PARTITION BY fdr_family_id) / count(*) OVER (PARTITION BY fdr_family_id ORDER BY p_med RANGE UNBOUNDED PRECEDING) AS raw FROM c),
+qq AS (SELECT candidate_id, least(1.0::DOUBLE, min(raw) OVER (PARTITION BY fdr_family_id ORDER BY p_med DESC RANGE UNBOUNDED PRECEDING)) AS qm FROM raws),
+j AS (SELECT a.*, qm, CASE WHEN n_ok > 0 AND p_med <= 0.05 AND coalesce(qm <= 0.10, false) THEN 'validated_candidate' WHEN d_ok = 1 THEN 'support_candidate' ELSE 'exploratory' END AS tier FROM agg a LEFT JOIN qq USING (candidate_id))"""
+
+
+@query("multi_restart_inference", _model_sql(49, f"""
+SELECT candidate_id, CASE WHEN anchor_pass = 0 AND tier = 'validated_candidate' THEN 'support_candidate' ELSE tier END AS candidate_tier, round(p_med, 9) AS p_boot_validation, round(qm, 9) AS q_value_validation,
+       np AS n_restarts_present, round(0.35::DOUBLE * (np / {RESTARTS}.0::DOUBLE) + 0.35::DOUBLE * ((nv + ns) / {RESTARTS}.0::DOUBLE) + 0.20::DOUBLE * (greatest(nv, ns, ne)::DOUBLE / n)
+       + 0.10::DOUBLE * greatest(CASE WHEN vp + vn > 0 THEN greatest(vp, vn)::DOUBLE / (vp + vn) ELSE 1 END, CASE WHEN dp + dn > 0 THEN greatest(dp, dn)::DOUBLE / (dp + dn) ELSE 1 END), 6) AS stability_score FROM j""",
+    restarts=RESTARTS, more=RESTART_SQL))
 def multi_restart_inference(spark, sf):
-    _, rows, stability = passes.run_restarts(w.choices(spark, sf), ("l_quantity", "l_tax", "l_discount"), _settings(n_restarts=3, n_bootstrap=19))
+    _, rows, stability = passes.run_restarts(w.choices(spark, sf), w.FEATURES, _settings(n_restarts=RESTARTS))
     joined = rows.join(stability.select("candidate_id", "stability_score"), "candidate_id")
     return inference.order_inference(joined).select(
-        "candidate_id", "candidate_tier", "p_boot_validation", "q_value_validation", "n_restarts_present", "stability_score"
+        "candidate_id", "candidate_tier", *[F.round(c, 9).alias(c) for c in ("p_boot_validation", "q_value_validation")], "n_restarts_present", "stability_score"
     )
 
 
-@query("bootstrap_escalation")
+def _second_pass_sql(n_first: int, n_second: int, picked: str, suffix: str) -> str:
+    """The second scan of the features that `picked` selects from the first, or the first where it selects none."""
+    views = [
+        scan_sql(w.FEATURES, n_second), p_view("boot", n_first), p_view("boot2", n_second), scan_view("scan", "boot", *GATES) + "," + top_views(),
+        f"picked AS ({picked})", scan_view("scan2", "boot2", *GATES, where="key_factor IN (SELECT key_factor FROM picked)") + "," + top_views("scan2", "2"),
+    ]
+    columns = "candidate_id, round(p_boot_validation, 9) AS p_boot_validation, round(q_value_validation, 9) AS q_value_validation, candidate_tier"
+    return f"WITH {', '.join(views).strip()} SELECT 'choices__{suffix}' AS run_id, {columns} FROM top2 UNION ALL SELECT 'choices', {columns} FROM top WHERE (SELECT count(*) FROM picked) = 0"
+
+
+def _second(first, second):
+    chosen = second.top if second is not None else first.top
+    return chosen.select("run_id", "candidate_id", *[F.round(c, 9).alias(c) for c in ("p_boot_validation", "q_value_validation")], "candidate_tier")
+
+
+@query("bootstrap_escalation", _second_pass_sql(49, 199, """
+SELECT DISTINCT key_factor FROM top WHERE status_validation = 'ok' AND candidate_tier <> 'validated_candidate' AND NOT (p_boot_validation <= 0.05 AND q_value_validation <= 0.10)
+  AND p_boot_validation <= 0.05::DOUBLE + 0.4::DOUBLE AND q_value_validation <= 0.10::DOUBLE + 0.6::DOUBLE""", "escalation"))
 def bootstrap_escalation(spark, sf):
-    df = w.choices(spark, sf)
-    settings = _settings(n_bootstrap=9)
-    first = run_scan(df, ("l_quantity", "l_tax", "l_discount"), settings)
-    top = first.top
-    second = passes.escalate(df, top, settings, n_bootstrap=49, p_margin=0.9, q_margin=0.9, max_candidates=2)
-    chosen = second.top if second is not None else top
-    return chosen.select("run_id", "candidate_id", "p_boot_validation", "q_value_validation", "candidate_tier")
+    """Every borderline feature goes from 49 to 199 replicates; only the 150 new ones are run."""
+    df, settings = w.choices(spark, sf), _settings()
+    first = run_scan(df, w.FEATURES, settings)
+    second = passes.escalate(df, first.top, settings, n_bootstrap=199, first=first, p_margin=0.4, q_margin=0.6, max_candidates=len(w.FEATURES), dedupe_mode="feature")
+    return _second(first, second)
 
 
-@query("shortlist_refinement")
+@query("shortlist_refinement", _second_pass_sql(49, 199, "SELECT DISTINCT key_factor FROM top WHERE candidate_tier IN ('validated_candidate', 'support_candidate')", "refine"))
 def shortlist_refinement(spark, sf):
-    df = w.choices(spark, sf)
-    settings = _settings(n_bootstrap=9)
-    top = run_scan(df, ("l_quantity", "l_tax", "pa__p_size"), settings).top
-    second = passes.refine(df, top, settings, n_bootstrap=29, max_features=2)
-    chosen = second.top if second is not None else top
-    return chosen.select("run_id", "candidate_id", "p_boot_validation", "q_value_validation", "candidate_tier")
+    df, settings = w.choices(spark, sf), _settings()
+    first = run_scan(df, w.FEATURES, settings)
+    second = passes.refine(df, first.top, settings, n_bootstrap=199, first=first, max_features=len(w.FEATURES), dedupe_mode="feature")
+    return _second(first, second)
 
 
 @query("equation_path")
 def equation_path(spark, sf):
     return equation.equation_steps(
-        w.choices(spark, sf), ["l_quantity", "l_tax", "pa__p_size", "ext__s_acctbal"], controls=["recency_years_alt"], n_bootstrap=49
+        w.choices(spark, sf), [f for f in w.FEATURES if f != "recency_years_alt"], controls=["recency_years_alt"], n_bootstrap=49
     ).withColumn("contribution_atoms", F.array_join("contribution_atoms", "|"))
 
 

@@ -67,19 +67,21 @@ scan AS (
   FROM folded
 )"""
 
-TOP = f"""{SCAN},
-counted AS (SELECT * FROM scan WHERE split_role = 'validation' AND status = 'ok'),
-ranked AS (
+def top_views(scan: str = "scan", tag: str = "") -> str:
+    """Views from scan rows to `top`: q values, both splits side by side, tiers; `tag` ends their names."""
+    return f"""
+counted{tag} AS (SELECT * FROM {scan} WHERE split_role = 'validation' AND status = 'ok'),
+ranked{tag} AS (
   SELECT *, p_boot * count(*) OVER (PARTITION BY restart_id, fdr_family_id)
             / count(*) OVER (PARTITION BY restart_id, fdr_family_id ORDER BY p_boot RANGE UNBOUNDED PRECEDING) AS raw
-  FROM counted
+  FROM counted{tag}
 ),
-q AS (
+q{tag} AS (
   SELECT restart_id, candidate_id, least(1.0::DOUBLE, min(raw) OVER (
            PARTITION BY restart_id, fdr_family_id ORDER BY p_boot DESC RANGE UNBOUNDED PRECEDING)) AS q_value
-  FROM ranked
+  FROM ranked{tag}
 ),
-paired AS (
+paired{tag} AS (
   SELECT restart_id, candidate_id, min(track) AS track, min(context_scope) AS context_scope, min(y_col) AS y_col,
          min(spec_id) AS spec_id, min(key_factor) AS key_factor, min(control_set) AS control_set,
          min(fdr_family_id) AS fdr_family_id,
@@ -91,20 +93,23 @@ paired AS (
          max(beta) FILTER (split_role = 'validation') AS beta_validation,
          max(score) FILTER (split_role = 'discovery') AS score_discovery,
          max(score) FILTER (split_role = 'validation') AS score_validation
-  FROM scan GROUP BY restart_id, candidate_id
+  FROM {scan} GROUP BY restart_id, candidate_id
 ),
-judged AS (
+judged{tag} AS (
   SELECT p.*, q.q_value AS q_value_validation,
          CAST(coalesce(status_validation = 'ok' AND p_boot_validation <= 0.05, false) AS INTEGER) AS validation_pass_p,
          CAST(coalesce(status_validation = 'ok' AND q.q_value <= 0.10, false) AS INTEGER) AS validation_pass_q
-  FROM paired p LEFT JOIN q USING (restart_id, candidate_id)
+  FROM paired{tag} p LEFT JOIN q{tag} q USING (restart_id, candidate_id)
 ),
-top AS (
+top{tag} AS (
   SELECT *, CASE WHEN validation_pass_p = 1 AND validation_pass_q = 1 THEN 'validated_candidate'
                  WHEN status_discovery = 'ok' THEN 'support_candidate' ELSE 'exploratory' END AS candidate_tier
-  FROM judged
+  FROM judged{tag}
 )"""
 
+
+TOP = f"{SCAN},{top_views()}"
+
 INFERENCE = f"""{LINES},
 inference AS (
   SELECT 'r' || CAST(l_suppkey // 4 AS VARCHAR) || CASE l_suppkey % 4 WHEN 0 THEN '__nooption_baseline' WHEN 1 THEN '__singlex'

@@ -80,13 +80,14 @@ def status_counts(spark, sf):
     return inference.count_by(w.scan_rows(spark, sf), "status")
 
 
-CONSENSUS = TOP + """,
+CONSENSUS_VIEWS = """
 anchored AS (SELECT *, max(candidate_tier) FILTER (track = 'primary_strict') OVER (PARTITION BY restart_id, context_scope, y_col, spec_id, key_factor, control_set) AS anchor FROM top),
 cons AS (SELECT * EXCLUDE (candidate_tier), candidate_tier AS candidate_tier_raw,
    CASE WHEN anchor IS NULL THEN 'no_anchor_track' WHEN anchor IN ('validated_candidate', 'support_candidate') THEN 'pass' ELSE 'anchor_below_threshold' END AS track_consensus_status FROM anchored),
 consensus AS (SELECT *, CAST(track_consensus_status = 'pass' AS INTEGER) AS track_consensus_anchor_pass,
    CAST(candidate_tier_raw = 'validated_candidate' AND track_consensus_status <> 'pass' AS INTEGER) AS track_consensus_demoted,
    CASE WHEN candidate_tier_raw = 'validated_candidate' AND track_consensus_status <> 'pass' THEN 'support_candidate' ELSE candidate_tier_raw END AS candidate_tier FROM cons)"""
+CONSENSUS = f"{TOP},{CONSENSUS_VIEWS}"
 
 
 def _consensus(spark, sf):
