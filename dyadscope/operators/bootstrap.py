@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dyadscope.operators.selection import quantiles
+from dyadscope.session import cut_lineage
+
 
 def two_sided_p(values: Column) -> Column:
     """Finite-sample two-sided p: never exactly zero, at most one."""
@@ -30,12 +33,9 @@ def bootstrap_summary(df: DataFrame, keys: Sequence[str], value: str = "beta") -
 
 
 def distribution_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Count, mean, 95% band and sd of a value per key."""
-    v = F.col(value)
-    return df.groupBy(*keys).agg(
-        F.count(v).alias("n"),
-        F.avg(v).alias("mean"),
-        F.percentile(v, F.lit(0.025)).alias("ci_low"),
-        F.percentile(v, F.lit(0.975)).alias("ci_high"),
-        F.when(F.count(v) > 0, F.coalesce(F.stddev_samp(v), F.lit(0.0))).alias("std"),
-    )
+    """Count, mean, 95% band and sd of a value per key; no key's values are held together."""
+    rows = cut_lineage(df.select(*keys, F.col(value).cast("double").alias("v")))
+    plain = rows.groupBy(*keys).agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.when(F.count("v") > 0, F.coalesce(F.stddev_samp("v"), F.lit(0.0))).alias("std"))
+    band = quantiles(rows, keys, {"v": [0.025, 0.975]})
+    both = plain.join(band, list(keys), "left")
+    return both.select(*keys, "n", "mean", F.get("v_q", F.lit(0)).alias("ci_low"), F.get("v_q", F.lit(1)).alias("ci_high"), "std")

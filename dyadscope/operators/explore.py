@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dyadscope.functions.numeric import as_number
 from dyadscope.operators.inference import SUPPORT, VALIDATED
+from dyadscope.operators.selection import quantiles
 from dyadscope.session import cut_lineage
 
 COMBO = ("track", "context_scope", "y_col", "spec_id", "key_factor")
@@ -55,8 +56,9 @@ def _evidence(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Counts, distinct runs, best values, means and medians per key.
 
     Rows are folded to one per (key, run) first, so distinct runs are a plain count and a key that
-    most rows share is spread over its runs. Medians come from counted distinct values.
+    most rows share is spread over its runs. Medians never hold the values of a large key.
     """
+    rows = cut_lineage(rows.select(*dict.fromkeys([*keys, "run_id", "tier", "p", "q", "restart_rate", "strong"])))
     per_run = rows.groupBy(*keys, "run_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("q").alias("q"),
@@ -78,14 +80,8 @@ def _evidence(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         (F.sum("validated") / n).alias("validated_share"),
         (F.sum("supported") / n).alias("support_or_better_share"),
     )
-    values = rows.select(*keys, F.inline(F.array(*[F.struct(F.lit(i).alias("which"), F.col(c).alias("v")) for i, c in enumerate("qp")])))
-    counted = values.where("v is not null").groupBy(*keys, "which", "v").agg(F.count(F.lit(1)).alias("n"))
-    medians = counted.groupBy(*keys).agg(
-        *[
-            F.percentile(F.when(F.col("which") == i, F.col("v")), F.lit(0.5), F.when(F.col("which") == i, F.col("n")).otherwise(0)).alias(f"{c}_median")
-            for i, c in enumerate("qp")
-        ]
-    )
+    found = quantiles(rows, keys, {"q": [0.5], "p": [0.5]})
+    medians = found.select(*keys, *[F.get(f"{c}_q", F.lit(0)).alias(f"{c}_median") for c in "qp"])
     return stats.join(medians, list(keys), "left")
 
 
