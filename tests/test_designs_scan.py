@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from dyadscope.operators import candidates as cand
-from dyadscope.operators.designs import Design, DesignSet, design_pairs, design_stats, event_table, row_table
+from dyadscope.operators.designs import Design, DesignSet, design_pairs, design_stats, event_table, gate_stats, row_table
 from dyadscope.plans import passes
 from dyadscope.plans.scan import plan_candidates, run_scan
 from dyadscope.settings import AdamSettings, ScanSettings, resolve_base_controls, resolve_stage_gates
@@ -56,6 +56,19 @@ def test_null_rows_are_dropped_before_the_two_row_test(spark, seed):
         assert n == sum(k[:3] == key for k in want)
 
 
+def test_gates_from_bitmaps_equal_gates_from_pairs(spark):
+    """Counts of 130 designs, over three words, with events that only nulls make usable; no row for an event and a design."""
+    rows = random_rows(5, n_events=150)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    regressors = (("a",), ("b",), ("a", "b"), ("b", "a"))
+    designs = DesignSet(tuple(Design(i, "y", regressors[i % 4]) for i in range(130)))
+    table = row_table(df, designs)
+    events = event_table(table, designs)
+    want = {r[:3]: r[3:] for r in map(tuple, design_stats(design_pairs(table, events, designs)).collect())}
+    got = gate_stats(table, events, designs).select("track", "split_role", "design_id", "n_informative", "n_docs", "top1_share")
+    assert {r[:3]: r[3:] for r in map(tuple, got.collect())} == want and len({k[2] for k in want}) == 130
+
+
 def choice_frame(spark, n_events=90, seed=4):
     rng = np.random.default_rng(seed)
     rows = []
@@ -206,6 +219,48 @@ def test_large_path_handles_null_patterns(spark):
         assert (r.beta is None and other.beta is None) or r.beta == pytest.approx(other.beta, abs=1e-6)
 
 
+def _fits(result):
+    return {(r.track, r.split_role, tuple(r.exog), r.seed): r for r in result.fits.collect()}
+
+
+@pytest.mark.parametrize("limit", [0, 100_000])
+def test_escalation_runs_only_the_new_replicates(spark, limit):
+    """From 9 to 25 replicates 16 are run and no point fit; the result is that of a scan of 25."""
+    df = choice_frame(spark)
+    settings = small(n_bootstrap=9, contexts=(("all_contexts", "y_all"),), grouped_fit_max_events=limit)
+    first = run_scan(df, ["x_feat", "anchor"], settings)
+    more = passes.refine(df, first.top, settings, n_bootstrap=25, first=first, max_features=2)
+    fresh = _fits(run_scan(df, ["x_feat", "anchor"], small(contexts=(("all_contexts", "y_all"),), grouped_fit_max_events=limit)))
+    got = _fits(more)
+    assert set(got) == set(fresh) and len(got) == 4
+    assert all(r.new_attempted == 9 and r.point_fitted for r in _fits(first).values())
+    for key, r in got.items():
+        assert (r.new_attempted, r.point_fitted, r.boot_attempted) == (16, False, 25)
+        assert [b.rep for b in r.boot] == [b.rep for b in fresh[key].boot]
+        assert [b.beta for b in r.boot] == pytest.approx([b.beta for b in fresh[key].boot], abs=1e-7)
+        assert (r.beta, r.llf) == pytest.approx((fresh[key].beta, fresh[key].llf), abs=1e-7)
+    less = _fits(run_scan(df, ["x_feat"], small(n_bootstrap=4, contexts=(("all_contexts", "y_all"),), grouped_fit_max_events=limit), prepared=first.prepared, prior=first.fits))
+    assert all((r.new_attempted, r.boot_attempted, len(r.boot)) == (0, 4, 4) for r in less.values())
+
+
+def test_a_ladder_shares_point_fits_and_replicates(spark, tmp_path):
+    settings = small(run_id="night", contexts=(("all_contexts", "y_all"),))
+    done = passes.run_ladder(choice_frame(spark), ["x_feat"], settings, seeds=[1, 2], ladder=[5, 9], attempts_path=str(tmp_path / "attempts"))
+    ran = {r.job_key: (r.replicates_run, r.point_fits_run) for r in done.collect()}
+    assert ran == {"s1_b5": (10, 2), "s2_b5": (10, 0), "s1_b9": (8, 0), "s2_b9": (8, 0)}
+
+
+def test_failed_fits_are_not_tried_again(spark):
+    """Regressors that are copies of each other stay degenerate in a second pass, without a new fit."""
+    df = choice_frame(spark)
+    settings = small(n_bootstrap=5, contexts=(("all_contexts", "y_all"),), fixed_regressors=("copy",))
+    first = run_scan(df, ["anchor", "x_feat"], settings)
+    again = run_scan(df, ["anchor", "x_feat"], small(n_bootstrap=9, contexts=(("all_contexts", "y_all"),), fixed_regressors=("copy",)), prepared=first.prepared, prior=first.fits)
+    status = {(r.key_factor, r.split_role): r.status for r in again.scan.collect()}
+    assert status["anchor", "discovery"] == "not_estimable_degenerate_design_matrix" and status["x_feat", "discovery"] == "ok"
+    assert sum(r.new_attempted for r in _fits(again).values()) == 2 * 4
+
+
 def test_ladder_resumes_and_refuses_other_grids(spark, tmp_path):
     df, path = choice_frame(spark), str(tmp_path / "attempts")
     settings = small(run_id="night", contexts=(("all_contexts", "y_all"),))
