@@ -139,7 +139,8 @@ def manifest(docs: DataFrame, carry: dict[str, Column] | None = None) -> DataFra
     leaves = docs.select(
         tree_key(F.col("source")).alias("tree"), F.col("doc_id"), leaf_digest().alias("node"), *[c.alias(k) for k, c in carry.items()])
     kept = ["doc_id", *carry]
-    blocks, above = _climb(_positions(leaves, ["doc_id", "node"]), kept)
+    # Written first: a range sort reads its input twice, and texts are to be hashed once.
+    blocks, above = _climb(_positions(cut_lineage(leaves), ["doc_id", "node"]), kept)
     above = cut_lineage(above)
     subroots = above.where("block = 0").select("tree", F.col("subroot").alias("node"))
     sources = _positions(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("source"), "node"), ["source"])
