@@ -99,7 +99,7 @@ def read_in_task(path: str, columns: list[str], where: Expression | None = None)
 
 _shipped: set[str] = set()
 #: Bytes of an Arrow batch for Python workers; rows can be long texts.
-ARROW_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+ARROW_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def ship_package(spark: SparkSession) -> None:
