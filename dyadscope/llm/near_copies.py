@@ -6,10 +6,11 @@ A text of fewer words is one shingle; texts without words have the empty set. Eq
 Candidates: with the shingles of all classes in one order, two sets of that similarity share one among
 the first n - ceil(0.8 n) + 1 of each. Only shingles of several classes are looked at. In `ROUNDS` rounds
 every class meets one class of each of its shingles, so a group of near copies costs a comparison a
-member and not its pairs; then the classes that are still in different components meet in pairs, if a
-shingle has at most `FULL` of them. Shingles with more are put last in the order and the beginnings are
-cut again (at most `PASSES` times; what is left then, texts made of such shingles only, meets in pairs).
-The first order puts last what is frequent in a sample. The order changes the work, never the answer.
+member and not its pairs; then the classes that are still in different components meet in pairs. If shingles
+of more than `FULL` classes would make more than `PAIRS` pairs for each row of the index, they are put last in
+the order and the beginnings are cut again (at most `PASSES` times; what is left then, texts made of such
+shingles only, meets in pairs). The first order puts last what is frequent in a sample. The order changes
+the work, never the answer.
 
 Pruning: a candidate pair goes on if the sizes allow the similarity and the 256-bit SimHash values of the
 sets form a pigeonring chain within `RADIUS` bits: from one of four 64-bit segments on, the first l differ
@@ -46,10 +47,10 @@ SHINGLE = 5
 SEED = 42
 ROUNDS = 2
 RADIUS, SMALL, SEGMENTS = 70, 16, 4
-#: Classes of different components in a shingle up to which they meet in pairs, and times the beginnings are cut.
-FULL, PASSES = 128, 3
+#: Classes of a shingle from which it can be put last, times the beginnings are cut, and pairs a row of the index for which they are not cut again.
+FULL, PASSES, PAIRS = 128, 3, 16
 #: Classes in the sample, count from which a shingle is frequent there, and most shingles that are put last.
-SAMPLE, FREQUENT, MOST = 5000, 3, 1_000_000
+SAMPLE, FREQUENT, MOST = 10_000, 3, 1_000_000
 #: Bytes of sets that a worker gives back at once.
 OUT_BYTES = 4 << 20
 
@@ -96,6 +97,7 @@ def chained(a: list[Column], b: list[Column], radius: int = RADIUS) -> Column:
 
 
 SIMS = [f"s{i}" for i in range(SEGMENTS)]
+LINKS = "u bigint, v bigint"
 BEGUN = f"doc_id bigint, text_key bigint, fp bigint, n bigint, {', '.join(f'{c} bigint' for c in SIMS)}, first binary"
 
 
@@ -206,9 +208,8 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Corpus:
     """Texts (text_key, raw) and the classes' names with one text each: where whole sets come from."""
 
-    def __init__(self, texts: DataFrame, begun: DataFrame) -> None:
-        self.texts, self.tried = texts, None
-        self.classes = cut_lineage(begun.groupBy("fp").agg(F.min("text_key").alias("text_key")))
+    def __init__(self, texts: DataFrame, classes: DataFrame) -> None:
+        self.texts, self.classes, self.tried = texts, classes, None
 
     def checked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (u, v), u < v, whose whole sets are alike, of those not checked before."""
@@ -223,7 +224,7 @@ class _Corpus:
             sets = cut_lineage(made.join(need.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]))
             wide = pairs.join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v").join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u")
             wide.select("u", "v", "a", "b").mapInArrow(_alike, "u bigint, v bigint").write.parquet(path)
-        return spark.read.schema("u bigint, v bigint").parquet(path)
+        return spark.read.schema(LINKS).parquet(path)
 
 
 CLASS = ["fp", "n", *SIMS]
@@ -274,19 +275,28 @@ def rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_key, fp) of every row, fp naming its shingle set, and (fp, root) of every different set."""
     ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(F.col("text")).alias("text_key"), text_bytes(F.col("text")).alias("raw"))
-    last, found, corpus = _frequent(rows), None, None
+    spark = docs.sparkSession
+    last, found, corpus, named = _frequent(rows), None, None, shared_path(spark)
     for left in reversed(range(PASSES)):
-        begun = cut_lineage(rows.mapInArrow(_beginnings(last), BEGUN))
-        corpus = corpus or _Corpus(rows.select("text_key", "raw"), begun)
-        index = token_index(begun)
-        found = star_links(index, corpus, found)
-        placed = _placed(index, found)
-        full = placed.where(F.col("held") > FULL).select("token", F.col("held").alias("n")).distinct()
-        more = np.setdiff1d(_listed(full), last) if left else last[:0]
-        found = cut_lineage(found.union(pair_links(placed.where(F.col("held") <= FULL) if len(more) else placed, corpus)))
+        kept, tried, classes = (shared_path(spark) for _ in range(3))
+        with scratch_tables(spark):  # beginnings and index of this order go when its links are found
+            begun = cut_lineage(rows.mapInArrow(_beginnings(last), BEGUN))
+            if corpus is None:
+                begun.select("doc_id", "text_key", "fp").write.parquet(named)
+                begun.groupBy("fp").agg(F.min("text_key").alias("text_key")).write.parquet(classes)
+                corpus = _Corpus(rows.select("text_key", "raw"), spark.read.parquet(classes))
+            index = token_index(begun)
+            found = star_links(index, corpus, found)
+            placed = _placed(index, found)
+            full = placed.where(F.col("held") > FULL).select("token", F.col("held").alias("n")).distinct()
+            pairs = full.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+            more = np.setdiff1d(_listed(full), last) if left and pairs > 2 * PAIRS * index.count() else last[:0]
+            found.union(pair_links(placed.where(F.col("held") <= FULL) if len(more) else placed, corpus)).write.parquet(kept)
+            corpus.tried.write.parquet(tried)
+        found, corpus.tried = spark.read.schema(LINKS).parquet(kept), spark.read.schema(LINKS).parquet(tried)
         if not len(more):
             break
         last = np.union1d(last, more)
     linked = components(found)
     known = corpus.classes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    return begun.select("doc_id", "text_key", "fp"), cut_lineage(known)
+    return spark.read.parquet(named), cut_lineage(known)

@@ -32,6 +32,7 @@ from dyadscope.llm import near_copies
 from dyadscope.llm.common import ascii_words, cut_lineage, ship_package, text_bytes, text_key
 from dyadscope.llm.graph import components
 from dyadscope.llm.key_bits import key_bits, may_hold
+from dyadscope.session import scratch_tables, shared_path
 
 SHINGLE = 3
 SEED = 42
@@ -148,13 +149,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Components are told apart by their root, so unlike texts under one doc_id stay. Repeated rows are folded to
     one. Only texts whose key may be that of a row to drop or to fold are shuffled; the others stay where they are read.
     """
-    rows, known = near_copies.rooted(docs)
-    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    each = rows.join(known, "fp").groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
-    kept = each.groupBy("root").agg(F.min(row).alias("row"))
-    all_rows = each.join(kept, "root").select("doc_id", "text_key", "n", (row == F.col("row")).alias("stays"))
-    special = cut_lineage(all_rows.where("not stays or n > 1").select(
-        F.col("doc_id").alias("_near_id"), F.col("text_key").alias("_near_key"), F.col("stays").alias("_near_stays")))
+    spark = docs.sparkSession
+    special_path, unclear_path = shared_path(spark), shared_path(spark)
+    with scratch_tables(spark):  # only the rows to drop, and those that have to be looked at, are needed later
+        rows, known = near_copies.rooted(docs)
+        row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+        each = rows.join(known, "fp").groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+        kept = each.groupBy("root").agg(F.min(row).alias("row"))
+        all_rows = each.join(kept, "root").select("doc_id", "text_key", "n", (row == F.col("row")).alias("stays"))
+        all_rows.where("not stays or n > 1").select(
+            F.col("doc_id").alias("_near_id"), F.col("text_key").alias("_near_key"), F.col("stays").alias("_near_stays")).write.parquet(special_path)
+    special = spark.read.schema("_near_id bigint, _near_key bigint, _near_stays boolean").parquet(special_path)
     bits = key_bits(special, "_near_key")
 
     @F.pandas_udf("boolean")
@@ -163,7 +168,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     key = text_key(docs["text"])
     hit = docs["doc_id"].cast("bigint").eqNullSafe(F.col("_near_id")) & (key == F.col("_near_key"))
-    unclear = docs.where(may_go(key)).join(special, hit, "left").where("coalesce(_near_stays, true)").drop("_near_id", "_near_key")
-    unclear = cut_lineage(unclear)
+    looked = docs.where(may_go(key)).join(special, hit, "left").where("coalesce(_near_stays, true)").drop("_near_id", "_near_key")
+    looked.write.parquet(unclear_path)
+    unclear = spark.read.schema(looked.schema).parquet(unclear_path)
     folded = unclear.where("_near_stays is not null").dropDuplicates(["doc_id", "text"])
     return docs.where(~may_go(key)).union(unclear.where("_near_stays is null").drop("_near_stays")).union(folded.drop("_near_stays"))
