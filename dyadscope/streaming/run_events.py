@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from dyadscope.operators import explore
+from dyadscope.session import ship_package
 
 EVENT_SCHEMA = "ts timestamp, event_type string, run_id string, mode string, state string, attempt int"
 # Legal state changes.
@@ -26,103 +28,101 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(EVENT_SCHEMA).json(folder)
 
 
-def is_legal(before: Column, after: Column) -> Column:
-    ok = before.isNull() | (before == after)
-    for state, following in TRANSITIONS.items():
-        if following:
-            ok = ok | ((before == state) & after.isin(*following))
-    return ok
+STATUS_SCHEMA = "run_id string, state string, updated_at timestamp, n_events bigint, n_illegal bigint"
+STATE_SCHEMA = "state string, at bigint, n_events bigint, n_illegal bigint"
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def _newest_version(spark: SparkSession, table: str, below: int | None = None) -> DataFrame | None:
-    """The newest stored version of the status table, or the newest before a batch number."""
-    try:
-        stored = spark.read.option("basePath", table).parquet(table)
-    except AnalysisException:  # nothing written yet
-        return None
-    if below is not None:
-        stored = stored.where(F.col("v") < below)
-    newest = stored.agg(F.max("v")).first()[0]
-    return None if newest is None else stored.where(F.col("v") == newest).drop("v")
+def _legal(before: str | None, after: str) -> bool:
+    return before is None or before == after or after in TRANSITIONS.get(before, ())
 
 
-def run_moves(events: DataFrame, *, weight: str | None = None, bucket_seconds: int = 600) -> DataFrame:
-    """Per run: last state and time, events, and moves that were not legal.
+def moved(stored: tuple[str, int, int, int] | None, events: list[tuple[int, int, str]]) -> tuple[str, int, int, int]:
+    """(state, time, events, illegal moves) of a run after its events (time, attempt, state) of a batch.
 
-    Moves are judged inside (run, time bucket) groups and then between the last and first states
-    of neighbouring buckets, so a run that writes most of the log is spread over its buckets.
-    Rows of weight 0 take part in the order but are not counted.
+    Events are judged in order of time. Those older than the stored state are late: they are counted, but neither
+    move nor judge the run.
     """
-    w = F.col(weight) if weight else F.lit(1)
-    cut = F.floor(F.unix_seconds("ts") / bucket_seconds)
-    place = F.struct("ts", "attempt", "state")
-    inside = Window.partitionBy("run_id", "bucket").orderBy("ts", "attempt", "state")
-    rows = events.select("run_id", "ts", "attempt", "state", w.alias("w"), cut.alias("bucket"))
-    judged = rows.withColumn("before", F.lag("state").over(inside))
-    per_bucket = judged.groupBy("run_id", "bucket").agg(
-        F.min_by(F.struct("state", "w"), place).alias("first"),
-        F.max_by("state", place).alias("last"),
-        F.max("ts").alias("ts"),
-        F.sum("w").alias("n"),
-        F.count_if((F.col("w") == 1) & ~is_legal(F.col("before"), F.col("state"))).alias("bad"),
-    )
-    between = Window.partitionBy("run_id").orderBy("bucket")
-    before = F.lag("last").over(between)
-    edge = (F.col("first.w") == 1) & ~is_legal(F.col("before"), F.col("first.state"))
-    return per_bucket.withColumn("before", before).groupBy("run_id").agg(
-        F.max_by("last", "bucket").alias("state"),
-        F.max("ts").alias("updated_at"),
-        F.sum("n").alias("n_events"),
-        (F.sum("bad") + F.count_if(edge)).alias("n_illegal"),
-    )
+    state, at, n, bad = stored or (None, None, 0, 0)
+    n += len(events)
+    start = at
+    for when, _, after in sorted(events):
+        if start is not None and when < start:
+            continue
+        bad += not _legal(state, after)
+        state, at = after, when
+    return state, at, n, bad
+
 
+class RunStatus(StatefulProcessor):
+    """Keyed state of one run: its last state and time, and how many events and illegal moves it has had."""
 
-def fold_status(current: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Current status table plus one batch of events.
+    def __init__(self, keep_ms: int | None = None) -> None:
+        self.keep_ms = keep_ms
 
-    The stored state enters as one more event per run, so a batch is judged against it. Events
-    older than the stored state are late: they are counted, but neither move nor judge the run.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.status = handle.getValueState("status", STATE_SCHEMA, ttlDurationMs=self.keep_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        events: list[tuple[int, int, str]] = []
+        for part in rows:
+            events += zip(part["at"].tolist(), part["attempt"].fillna(0).astype(int).tolist(), part["state"].tolist(), strict=True)
+        stored = tuple(self.status.get()) if self.status.exists() else None
+        now = moved(stored, events)
+        self.status.update(now)
+        yield pd.DataFrame({"run_id": [key[0]], "state": [now[0]], "updated_at": pd.to_datetime([now[1]], unit="us", utc=True), "n_events": [now[2]], "n_illegal": [now[3]]})
+
+    def close(self) -> None:
+        pass
+
+
+def track_runs(events: DataFrame, *, keep_ms: int | None = None) -> DataFrame:
+    """Stream of the runs that a batch touches, each with its state after it.
+
+    The state is kept in the state store, a row a run; `keep_ms` drops runs that have not been touched for so
+    long. The store must keep named state, so the session's provider is set to RocksDB.
     """
-    if current is None:
-        return run_moves(batch)
-    seen = current.select("run_id", F.col("state").alias("old_state"), F.col("updated_at").alias("old_ts"), "n_events", "n_illegal")
-    known = batch.join(seen.select("run_id", "old_ts"), "run_id", "left")
-    late = known.where(F.col("ts") < F.col("old_ts")).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_late"))
-    fresh = known.where(F.col("old_ts").isNull() | (F.col("ts") >= F.col("old_ts"))).select("run_id", "ts", "attempt", "state", F.lit(1).alias("w"))
-    old = seen.join(batch.select("run_id").distinct(), "run_id", "left_semi").select(
-        "run_id", F.col("old_ts").alias("ts"), F.lit(-1).alias("attempt"), F.col("old_state").alias("state"), F.lit(0).alias("w")
-    )
-    change = run_moves(fresh.unionByName(old), weight="w").toDF("run_id", "new_state", "new_ts", "added", "bad")
-    both = seen.join(change, "run_id", "full").join(late, "run_id", "left")
-    zero = F.lit(0).cast("bigint")
-    return both.select(
-        "run_id",
-        F.coalesce("new_state", "old_state").alias("state"),
-        F.coalesce("new_ts", "old_ts").alias("updated_at"),
-        (F.coalesce("n_events", zero) + F.coalesce("added", zero) + F.coalesce("n_late", zero)).alias("n_events"),
-        (F.coalesce("n_illegal", zero) + F.coalesce("bad", zero)).alias("n_illegal"),
-    )
+    ship_package(events.sparkSession)
+    events.sparkSession.conf.set(*ROCKS)
+    narrow = events.where("run_id is not null and ts is not null").select("run_id", F.unix_micros("ts").alias("at"), "attempt", "state")
+    return narrow.groupBy("run_id").transformWithStateInPandas(
+        RunStatus(keep_ms), STATUS_SCHEMA, outputMode="Update", timeMode="ProcessingTime" if keep_ms else "None")
 
 
-def maintain_status(events: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Keep a status table up to date: each micro-batch writes the next version of it.
+def maintain_status(events: DataFrame, table: str, checkpoint: str, *, keep_ms: int | None = None) -> StreamingQuery:
+    """Keep a status table up to date: each micro-batch writes the runs that it touched, under its number.
 
-    A version is named by its batch number and replaced as a whole, so a batch that is run again
-    after a failure starts from the version before it and gives the same table.
+    A batch that is run again after a failure replaces its own rows; the state store goes back with it.
     """
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        current = _newest_version(spark, table, below=batch_id)
-        fold_status(current, batch).write.mode("overwrite").parquet(f"{table}/v={batch_id}")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/v={batch_id}")
 
-    return (
-        events.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    tracked = track_runs(events, keep_ms=keep_ms)
+    return tracked.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _versions(spark: SparkSession, table: str) -> DataFrame | None:
+    try:
+        return spark.read.option("basePath", table).parquet(table)
+    except AnalysisException:  # nothing written yet
+        return None
 
 
 def read_status(spark: SparkSession, table: str) -> DataFrame | None:
-    return _newest_version(spark, table)
+    """The newest row of every run."""
+    stored = _versions(spark, table)
+    if stored is None:
+        return None
+    columns = ["state", "updated_at", "n_events", "n_illegal"]
+    return stored.groupBy("run_id").agg(F.max_by(F.struct(*columns), "v").alias("x")).select("run_id", *[F.col(f"x.{c}").alias(c) for c in columns])
+
+
+def compact_status(spark: SparkSession, table: str, target: str) -> None:
+    """Write the newest row of every run to a table of its own, under the newest batch number."""
+    stored = _versions(spark, table)
+    newest = stored.agg(F.max("v")).first()[0]
+    read_status(spark, table).write.mode("overwrite").parquet(f"{target}/v={newest}")
 
 
 def maintain_explorer(inference: DataFrame, store: str, checkpoint: str, publish: Callable[[DataFrame, DataFrame], None], *, q_threshold: float = 0.10) -> StreamingQuery:

@@ -115,6 +115,17 @@ def test_status_stream_over_several_batches(spark, tmp_path):
     assert got == {"a": ("succeeded", 4, 0), "b": ("succeeded", 2, 1)}
     got = feed("3.json", log_line(9, "a", "running"))
     assert got["a"] == ("running", 5, 1) and got["b"] == ("succeeded", 2, 1)
+    # The last batch touched one run and wrote one run.
+    assert [r.run_id for r in spark.read.parquet(f"{table}/v=2").collect()] == ["a"]
+    run_events.compact_status(spark, table, str(tmp_path / "compact"))
+    assert {r.run_id: r.n_events for r in run_events.read_status(spark, str(tmp_path / "compact")).collect()} == {"a": 5, "b": 2}
+
+
+def test_moves_of_a_run_by_plain_reading():
+    events = [(5, 1, "succeeded"), (1, 1, "queued"), (3, 1, "running")]
+    assert run_events.moved(None, events) == ("succeeded", 5, 3, 0)
+    assert run_events.moved(("succeeded", 5, 3, 0), [(2, 1, "queued")]) == ("succeeded", 5, 4, 0)
+    assert run_events.moved(("succeeded", 5, 3, 0), [(5, 2, "running"), (6, 2, "running")]) == ("running", 6, 5, 1)
 
 
 def test_first_submission_wins_in_a_stream(spark, tmp_path):
