@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dyadscope.functions.hashing import equivalence_hash
-from dyadscope.settings import ScanSettings
+from dyadscope.settings import Controls, ScanSettings
 
 KEY_ONLY = "clogit_key_only"
 PLUS_BASE = "clogit_key_plus_base_controls"
@@ -48,13 +48,13 @@ def anchor_token(fixed: Sequence[str]) -> str:
     return f"anchored_{readable[:24]}_h{digest}"
 
 
-def control_specs(settings: ScanSettings, available: Sequence[str]) -> list[tuple[str, list[str]]]:
+def control_specs(controls: Controls, available: Sequence[str]) -> list[tuple[str, list[str]]]:
     """(spec id, control columns) in evaluation order."""
-    base = [c for c in settings.base_controls if c in available] if settings.include_base_controls else []
-    mode = settings.control_spec_mode
+    base = [c for c in controls.base if c in available] if controls.use_base else []
+    mode = controls.spec_mode
     if mode == "key_plus_base_controls" and not base:
-        raise ValueError("control_spec_mode=key_plus_base_controls needs base controls present in the data")
-    token = anchor_token(settings.fixed_regressors)
+        raise ValueError("spec_mode=key_plus_base_controls needs base controls present in the data")
+    token = anchor_token(controls.fixed)
     suffix = f"__{token}" if token else ""
     specs: list[tuple[str, list[str]]] = []
     if mode in ("both", "key_only"):
@@ -127,10 +127,10 @@ def infeasible_track_outcomes(capacity: DataFrame, min_events: int, min_docs: in
 
 def base_control_needs(settings: ScanSettings, n_controls: int) -> tuple[int, int]:
     """Events and documents the specification with base controls requires."""
-    n_exog = 1 + len(settings.fixed_regressors) + n_controls
+    n_exog = 1 + len(settings.controls.fixed) + n_controls
     return (
-        max(settings.min_events_estimable, n_exog * max(settings.base_controls_min_events_per_exog, 1)),
-        max(settings.min_docs_estimable, n_exog * max(settings.base_controls_min_docs_per_exog, 1)),
+        max(settings.gates.discovery.events, n_exog * max(settings.gates.per_regressor.events, 1)),
+        max(settings.gates.discovery.docs, n_exog * max(settings.gates.per_regressor.docs, 1)),
     )
 
 

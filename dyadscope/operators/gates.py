@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dyadscope.functions.numeric import round_by_mode
 from dyadscope.operators.events import capacity_by_outcome
-from dyadscope.settings import ScanSettings
+from dyadscope.settings import Gates
 
 FIT = "fit"
 # The gate grids of the feasibility frontier.
@@ -24,7 +24,7 @@ def _by_outcome(y: Column, table: dict[str, int], default: int) -> Column:
     return out
 
 
-def gate_cascade(rows: DataFrame, settings: ScanSettings) -> DataFrame:
+def gate_cascade(rows: DataFrame, gates: Gates) -> DataFrame:
     """First failing gate per (candidate, split) as status, reason code, detail and stage.
 
     Needs: split_role, y_col, n_docs_total, n_informative, n_docs, top1_share; optional text
@@ -33,12 +33,12 @@ def gate_cascade(rows: DataFrame, settings: ScanSettings) -> DataFrame:
     val = F.col("split_role") == "validation"
     y = F.col("y_col")
     need_events = F.when(
-        val, _by_outcome(y, settings.validated_events_by_y, settings.min_events_validated)
-    ).otherwise(settings.min_events_estimable)
+        val, _by_outcome(y, {k: n.events for k, n in gates.validation_by_outcome.items()}, gates.validation.events)
+    ).otherwise(gates.discovery.events)
     need_docs = F.when(
-        val, _by_outcome(y, settings.validated_docs_by_y, settings.min_docs_validated)
-    ).otherwise(settings.min_docs_estimable)
-    limit = F.lit(float(settings.max_top1_doc_share))
+        val, _by_outcome(y, {k: n.docs for k, n in gates.validation_by_outcome.items()}, gates.validation.docs)
+    ).otherwise(gates.discovery.docs)
+    limit = F.lit(float(gates.largest_document_share))
     n, docs, top1 = F.col("n_informative"), F.col("n_docs"), F.col("top1_share")
 
     def text(name: str) -> Column:

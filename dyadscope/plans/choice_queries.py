@@ -12,7 +12,7 @@ from dyadscope.plans.oracle import CHOICES, WINDOWS, sql
 from dyadscope.plans.registry_of_queries import query
 from dyadscope.plans.scan import discovery_capacity
 from dyadscope.session import cut_lineage
-from dyadscope.settings import ScanSettings
+from dyadscope.settings import Controls, Draws, Gates, Need, ScanSettings
 
 Y_WINDOWS = ("y_all", "y_1y", "y_3y", "y_5y")
 CHOICE_WINDOWS = CHOICES + "," + WINDOWS
@@ -586,8 +586,8 @@ POOL_FEATURES = ("l_quantity", "l_tax", "recency_years_alt")
 
 def _pool(spark, sf):
     df = w.choices(spark, sf)
-    settings = ScanSettings(base_controls=("recency_years_alt",)).checked()
-    specs = cand.control_specs(settings, df.columns)
+    controls = Controls(base=("recency_years_alt",))
+    specs = cand.control_specs(controls, df.columns)
     return cand.candidate_pool(df.select("track").distinct(), POOL_CONTEXTS, specs, POOL_FEATURES)
 
 
@@ -649,7 +649,7 @@ def infeasible_track_outcomes(spark, sf):
 SELECT track, y_col, 'clogit_key_plus_base_controls' AS spec_id, 'disabled_base_controls_low_discovery_capacity' AS reason_code,
    'events ' || e || ' < 300 or policy_docs ' || d || ' < 150' AS reason_detail FROM cap WHERE e < 300 OR d < 150"""))
 def disabled_control_specs(spark, sf):
-    settings = ScanSettings(base_controls_min_events_per_exog=100, base_controls_min_docs_per_exog=50)
+    settings = ScanSettings.of(per_regressor=Need(100, 50))
     need = cand.base_control_needs(settings, 2)
     return cand.disabled_control_specs(discovery_capacity(w.wide_choices(spark, sf), ("y_all", "y_1y")), cand.PLUS_BASE, *need)
 
@@ -724,7 +724,7 @@ def gate_cascade(spark, sf):
     rows, ev = _folded(spark, sf)
     stats = designs.gate_stats(rows, ev, TWO_DESIGNS)
     full = stats.join(designs.sample_totals(ev), ["track", "split_role"]).withColumn("y_col", F.lit("y_all"))
-    out = gates.gate_cascade(full, ScanSettings(max_top1_doc_share=0.016))
+    out = gates.gate_cascade(full, Gates(largest_document_share=0.016))
     return out.select("design_id", "track", "split_role", "status", "reason_code", "reason_detail")
 
 
@@ -795,7 +795,7 @@ def frequent_levels(spark, sf):
 SELECT CAST(restart_id AS INTEGER) AS restart_id, family || '|' || feature AS candidate_id,
    20260219 + (restart_id - 1) * 1009 + CAST(('0x' || substr(sha256(family || '|' || feature || '|validation'), 1, 8))::BIGINT % 1000000 AS BIGINT) AS seed FROM named, r"""))
 def restart_seeds(spark, sf):
-    pairs = ScanSettings(n_restarts=3).restart_seeds()
+    pairs = Draws(restarts=3).restart_seeds()
     seeds = F.inline(F.array(*[F.struct(F.lit(i).alias("restart_id"), F.lit(b).cast("bigint").alias("base")) for i, b in pairs]))
     rows = _pool(spark, sf).select("candidate_id", seeds)
     return rows.select("restart_id", "candidate_id", hashing.stable_seed(F.col("base"), F.concat_ws("|", "candidate_id", F.lit("validation"))).alias("seed"))

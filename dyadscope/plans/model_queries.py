@@ -13,7 +13,7 @@ from dyadscope.plans.oracle import CHOICES, sql, top_views
 from dyadscope.plans.registry_of_queries import query
 from dyadscope.plans.result_queries import CONSENSUS_VIEWS
 from dyadscope.plans.scan import run_scan
-from dyadscope.settings import ScanSettings
+from dyadscope.settings import Need, ScanSettings
 from dyadscope.sources import readers
 
 ONE_CONTEXT = (("all_contexts", "y_all"),)
@@ -21,10 +21,10 @@ ONE_CONTEXT = (("all_contexts", "y_all"),)
 
 def _settings(**changes) -> ScanSettings:
     base = dict(
-        run_id="choices", contexts=ONE_CONTEXT, base_controls=("recency_years_alt",), control_spec_mode="key_only", n_bootstrap=49,
-        min_events_estimable=GATES[0], min_docs_estimable=GATES[1], min_events_validated=GATES[0], min_docs_validated=GATES[1],
+        run_id="choices", contexts=ONE_CONTEXT, base=("recency_years_alt",), spec_mode="key_only", replicates=49,
+        discovery=Need(*GATES), validation=Need(*GATES),
     )
-    return ScanSettings(**{**base, **changes})
+    return ScanSettings.of(**{**base, **changes})
 
 
 GATES = (10, 5)
@@ -96,7 +96,7 @@ LOGIT_DESIGNS = [(KEY_ONLY, f, None) for f in w.FEATURES] + [(PLUS_BASE, f, "rec
 @query("logit_fit", "WITH " + (_two_newton_sql(LOGIT_DESIGNS) + """
 SELECT candidate_id, split_role, ok AS fitted, CASE WHEN ok AND abs(b) < 8 THEN round(b, 5) + 0.0::DOUBLE END AS beta, CASE WHEN ok THEN round(llf - 0.01::DOUBLE * k, 4) END AS score, n_events AS n_single_choice_informative FROM fit""").strip())
 def logit_fit(spark, sf):
-    settings = _settings(control_spec_mode="both", n_bootstrap=0, bootstrap_success_min_ratio=0.0)
+    settings = _settings(spec_mode="both", replicates=0, converged_share=0.0)
     scan = run_scan(w.choices(spark, sf), w.FEATURES, settings).scan
     return scan.select(
         "candidate_id", "split_role", (F.col("status") == "ok").alias("fitted"), _beta("beta", "beta"), F.round("score", 4).alias("score"),
@@ -135,8 +135,8 @@ def _newton_sql(steps: int = 9) -> str:
 @query("logit_fit_key_only", "WITH " + _newton_sql().strip())
 def logit_fit_key_only(spark, sf):
     settings = _settings(
-        n_bootstrap=0, bootstrap_success_min_ratio=0.0, min_events_estimable=1, min_docs_estimable=1, min_events_validated=1, min_docs_validated=1,
-        max_top1_doc_share=1.0,
+        replicates=0, converged_share=0.0, discovery=Need(1, 1), validation=Need(1, 1),
+        largest_document_share=1.0,
     )
     scan = run_scan(w.choices(spark, sf), FIT_FEATURES, settings).scan
     return scan.select(
@@ -190,19 +190,19 @@ BOOT_FEATURES = (*w.FEATURES, "x_nullable")
 
 @query("cluster_bootstrap", "WITH " + (_bootstrap_sql(BOOT_FEATURES, 99) + _boot_answer(99)).strip())
 def cluster_bootstrap(spark, sf):
-    return _boot_columns(run_scan(w.choices(spark, sf), BOOT_FEATURES, _settings(n_bootstrap=99)))
+    return _boot_columns(run_scan(w.choices(spark, sf), BOOT_FEATURES, _settings(replicates=99)))
 
 
 @query("adam_fit")
 def adam_fit(spark, sf):
-    scan = run_scan(w.choices(spark, sf), w.FEATURES, _settings(optimizer_mode="adam_lite", n_bootstrap=49)).scan
+    scan = run_scan(w.choices(spark, sf), w.FEATURES, _settings(method="adam_lite", replicates=49)).scan
     return scan.select("candidate_id", "split_role", "status", "beta", "score")
 
 
 @query("distributed_fit", "WITH " + (_bootstrap_sql(w.FEATURES, 19) + _boot_answer(19)).strip())
 def distributed_fit(spark, sf):
     """The same fits with every sample sent through the distributed sums."""
-    return _boot_columns(run_scan(w.choices(spark, sf), w.FEATURES, _settings(n_bootstrap=19, grouped_fit_max_events=0)))
+    return _boot_columns(run_scan(w.choices(spark, sf), w.FEATURES, _settings(replicates=19, one_task_events=0)))
 
 
 ANCHORED = f"{KEY_ONLY}__{anchor_token(['l_discount'])}"
@@ -216,13 +216,13 @@ SELECT candidate_id, spec AS spec_id, key_factor || '+l_discount' AS control_set
        CASE WHEN ok THEN 19 ELSE 0 END AS bootstrap_attempted FROM fit""").strip())
 def anchored_scan(spark, sf):
     """Point fits agree with the SQL; the replicates' numbers are not compared, only that all are tried."""
-    scan = run_scan(w.choices(spark, sf), ANCHOR_FEATURES, _settings(fixed_regressors=("l_discount",), n_bootstrap=19)).scan
+    scan = run_scan(w.choices(spark, sf), ANCHOR_FEATURES, _settings(fixed=("l_discount",), replicates=19)).scan
     return scan.select("candidate_id", "spec_id", "control_set", "split_role", (F.col("status") == "ok").alias("fitted"), _beta("beta", "beta"), "bootstrap_attempted")
 
 
 @query("search_log")
 def search_log(spark, sf):
-    settings = _settings(contexts=(*ONE_CONTEXT, ("missing", "y_none"), ("all_contexts", "y_all")), control_spec_mode="both")
+    settings = _settings(contexts=(*ONE_CONTEXT, ("missing", "y_none"), ("all_contexts", "y_all")), spec_mode="both")
     log = run_scan(w.choices(spark, sf), w.FEATURES, settings).log
     return log.groupBy("status", "reason_stage", "reason_code").agg(F.count(F.lit(1)).alias("n"))
 
@@ -245,7 +245,7 @@ SELECT candidate_id, CASE WHEN anchor_pass = 0 AND tier = 'validated_candidate'
        + 0.10::DOUBLE * greatest(CASE WHEN vp + vn > 0 THEN greatest(vp, vn)::DOUBLE / (vp + vn) ELSE 1 END, CASE WHEN dp + dn > 0 THEN greatest(dp, dn)::DOUBLE / (dp + dn) ELSE 1 END), 6) AS stability_score FROM j""",
     restarts=RESTARTS, more=RESTART_SQL))
 def multi_restart_inference(spark, sf):
-    _, rows, stability = passes.run_restarts(w.choices(spark, sf), w.FEATURES, _settings(n_restarts=RESTARTS))
+    _, rows, stability = passes.run_restarts(w.choices(spark, sf), w.FEATURES, _settings(restarts=RESTARTS))
     joined = rows.join(stability.select("candidate_id", "stability_score"), "candidate_id")
     return inference.order_inference(joined).select(
         "candidate_id", "candidate_tier", *[F.round(c, 9).alias(c) for c in ("p_boot_validation", "q_value_validation")], "n_restarts_present", "stability_score"
@@ -462,7 +462,7 @@ def all_track_slice(spark, sf):
 @query("full_search")
 def full_search(spark, sf):
     """The composed search with windows, expressions and levels, all features, over two restarts."""
-    settings = _settings(n_restarts=2, min_events_validated=100, min_docs_validated=30)
+    settings = _settings(restarts=2, validation=Need(100, 30))
     options = search.SearchOptions(windows=(3,), expression_mode="ms_benchmark_lite", expression_bases=("l_quantity", "l_tax", "pa__p_size"), categories=("pa__p_type",))
     row_id = F.xxhash64("event_id", "l_extendedprice", "l_discount", "recency_years_alt", "pa__p_retailprice", "ext__s_acctbal")
     done = search.run_search(w.choices(spark, sf), w.FEATURES, settings, options, row_id=row_id)

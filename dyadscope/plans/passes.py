@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +23,9 @@ def run_restarts(df: DataFrame, features: Sequence[str], settings: ScanSettings,
     changed = top.select("restart_id", "candidate_id", F.col("candidate_tier").alias("_tier"), "track_consensus_status", "track_consensus_demoted")
     scan = result.scan.join(changed, ["restart_id", "candidate_id"], "left").withColumn("candidate_tier", F.coalesce("_tier", "candidate_tier")).drop("_tier")
     inference = restart_inference(
-        top, n_restarts=settings.n_restarts, p_threshold=settings.p_threshold, q_threshold=settings.q_threshold, confirmatory_y=confirmatory_y
+        top, n_restarts=settings.draws.restarts, p_threshold=settings.evidence.p_limit, q_threshold=settings.evidence.q_limit, confirmatory_y=confirmatory_y
     )
-    stability = restart_stability(top, n_restarts=settings.n_restarts)
+    stability = restart_stability(top, n_restarts=settings.draws.restarts)
     return ScanResult(scan, top, result.log, result.fits, result.prepared), inference, stability
 
 
@@ -35,14 +34,7 @@ def _rescan(df: DataFrame, picked: DataFrame, settings: ScanSettings, n_bootstra
     if not features:
         return None
     # A second pass evaluates its features everywhere: capacity skips are back at their defaults.
-    second = replace(
-        settings,
-        run_id=f"{settings.run_id}__{suffix}",
-        n_bootstrap=n_bootstrap,
-        max_features=0,
-        skip_discovery_infeasible_track_y=False,
-        auto_disable_base_controls_low_capacity=False,
-    )
+    second = settings.but(run_id=f"{settings.run_id}__{suffix}", replicates=n_bootstrap, max_features=0, skip_starved_outcomes=False, drop_starved_base=False)
     return run_scan(df, features, second, prepared=first.prepared if first else None, prior=first.fits if first else None)
 
 
@@ -52,7 +44,7 @@ def escalate(df: DataFrame, top: DataFrame, settings: ScanSettings, *, n_bootstr
     With `first`, the scan that gave `top`, its events, point fits and replicates are used again; only the replicates
     beyond its number are run.
     """
-    picked = escalation_shortlist(top, p_threshold=settings.p_threshold, q_threshold=settings.q_threshold, **margins)
+    picked = escalation_shortlist(top, p_threshold=settings.evidence.p_limit, q_threshold=settings.evidence.q_limit, **margins)
     return _rescan(df, picked, settings, n_bootstrap, "escalation", first)
 
 
@@ -88,7 +80,7 @@ def run_ladder(
         jobs = pending_jobs(jobs, stored)
     done: ScanResult | None = None
     for job in jobs.orderBy("position").collect():  # the grid is configuration
-        step = replace(settings, run_id=f"{settings.run_id}__{job['job_key']}", bootstrap_seed=job["seed"], n_bootstrap=job["n_bootstrap"])
+        step = settings.but(run_id=f"{settings.run_id}__{job['job_key']}", seed=job["seed"], replicates=job["n_bootstrap"])
         fitted = F.col("status_validation") == "ok"
         result = run_scan(df, features, step, prepared=done.prepared if done else None, prior=done.fits if done else None)
         fits = result.fits if done is None else cut_lineage(done.fits.unionByName(result.fits))

@@ -115,19 +115,19 @@ def plan_candidates(
         raise ValueError("no valid contexts available for scan")
     usable = list(dict.fromkeys(f.strip() for f in features if f.strip() in df.columns))
     usable = usable[: settings.max_features] if settings.max_features > 0 else usable
-    specs = cand.control_specs(settings, df.columns)
+    specs = cand.control_specs(settings.controls, df.columns)
 
     if tracks is None:
         tracks = df.where(F.col("track").isNotNull()).select(F.col("track").cast("string")).distinct()
-    pool = cand.candidate_pool(tracks, kept, specs, usable, settings.fixed_regressors)
+    pool = cand.candidate_pool(tracks, kept, specs, usable, settings.controls.fixed)
     skipped = checked.where("skip_reason <> ''").select(
         F.lit("skipped_context").alias("status"), "context_scope", "y_col", F.col("skip_reason").alias("reason_code"),
         F.lit("plan").alias("reason_stage"),
     )
     y_cols = list(dict.fromkeys(y for _, y in kept))
-    if settings.skip_discovery_infeasible_track_y:
+    if settings.controls.skip_starved_outcomes:
         capacity = discovery_capacity(df, y_cols)
-        bad = cand.infeasible_track_outcomes(capacity, settings.min_events_estimable, settings.min_docs_estimable)
+        bad = cand.infeasible_track_outcomes(capacity, settings.gates.discovery.events, settings.gates.discovery.docs)
         pool = pool.join(bad.select("track", "y_col"), ["track", "y_col"], "left_anti")
         skipped = skipped.unionByName(
             bad.select(F.lit("skipped_track_context").alias("status"), "track", "y_col", "reason_code", "reason_detail",
@@ -135,7 +135,7 @@ def plan_candidates(
             allowMissingColumns=True,
         )
     with_base = [s for s, controls in specs if controls]
-    if settings.auto_disable_base_controls_low_capacity and with_base and settings.control_spec_mode == "both":
+    if settings.controls.drop_starved_base and with_base and settings.controls.spec_mode == "both":
         controls = next(c for s, c in specs if c)
         need_events, need_docs = cand.base_control_needs(settings, len(controls))
         off = cand.disabled_control_specs(discovery_capacity(df, y_cols), with_base[0], need_events, need_docs)
@@ -156,7 +156,7 @@ def plan_candidates(
 
 
 def _require_fixed(df: DataFrame, settings: ScanSettings) -> None:
-    missing = [c for c in settings.fixed_regressors if c not in df.columns]
+    missing = [c for c in settings.controls.fixed if c not in df.columns]
     if missing:
         raise ValueError(f"fixed regressors missing in data: {missing}")
 
@@ -177,13 +177,13 @@ def _fits(
 ) -> DataFrame:
     """Fit results for every task (sample keys, events, fit_id, seed, start, known), whatever the sample size."""
     spark = rows.sparkSession
-    limit = settings.grouped_fit_max_events
+    limit = settings.draws.one_task_events
     small = [t for t in tasks if t[3] <= limit]
     large = [t for t in tasks if t[3] > limit]
-    if large and settings.resampling != "poisson":
-        raise ValueError("fixed_size resampling needs samples of at most grouped_fit_max_events events")
+    if large and settings.draws.law != "poisson":
+        raise ValueError("fixed_size draws need samples of at most one_task_events events")
     keys_schema = "track string, split_role string, design_id int"
-    opts = (settings.n_bootstrap, settings.optimizer_mode, settings.adam)
+    opts = (settings.draws.replicates, settings.optimiser.method, settings.optimiser.adam)
     parts: list[DataFrame] = []
 
     def samples(chosen: list[tuple]) -> DataFrame:
@@ -202,7 +202,7 @@ def _fits(
             .repartition(n, *SAMPLE)
             .groupBy(*SAMPLE)
             .cogroup(jobs.repartition(n, *SAMPLE).groupBy(*SAMPLE))
-            .applyInPandas(grouped_fit(*opts, settings.resampling), FIT_SCHEMA)
+            .applyInPandas(grouped_fit(*opts, settings.draws.law), FIT_SCHEMA)
         )
     if large:
         # Read from the event table in every pass; the designs are applied inside the tasks.
@@ -226,7 +226,7 @@ def _fits(
 
 def _law(settings: ScanSettings) -> str:
     """What fits of one table must have in common to be used for each other."""
-    return f"{settings.optimizer_mode}|{settings.adam}|{settings.resampling}|{settings.bootstrap_cluster_unit}"
+    return f"{settings.optimiser.method}|{settings.optimiser.adam}|{settings.draws.law}|{settings.draws.unit}"
 
 
 FITS_KEY = ("track", "split_role", "y_col", "exog")
@@ -239,9 +239,9 @@ def _prior_fits(prior: DataFrame | None, settings: ScanSettings, spark: SparkSes
         prior = spark.createDataFrame([], FITS_SCHEMA)
     same = prior.where(F.col("law") == _law(settings))
     point = same.groupBy(*FITS_KEY).agg(F.first(F.struct("beta", "llf", "design_rank", "fit_error")).alias("point"))
-    drawn = same.where(F.lit(settings.resampling == "poisson")).groupBy(*FITS_KEY, "seed").agg(F.max_by(F.struct("boot", "boot_attempted"), "boot_attempted").alias("drawn"))
-    kept = F.filter("drawn.boot", lambda x: x["rep"] < settings.n_bootstrap)
-    attempted = F.least(F.col("drawn.boot_attempted"), F.lit(settings.n_bootstrap))
+    drawn = same.where(F.lit(settings.draws.law == "poisson")).groupBy(*FITS_KEY, "seed").agg(F.max_by(F.struct("boot", "boot_attempted"), "boot_attempted").alias("drawn"))
+    kept = F.filter("drawn.boot", lambda x: x["rep"] < settings.draws.replicates)
+    attempted = F.least(F.col("drawn.boot_attempted"), F.lit(settings.draws.replicates))
     return point, drawn.select(*FITS_KEY, "seed", kept.alias("old_boot"), attempted.alias("old_attempted"))
 
 
@@ -265,8 +265,8 @@ def _all_fits(prepared: Prepared, designs: DesignSet, gate_rows: list, settings:
     lost = F.col("point").isNotNull() & F.col("point.beta").isNull()
     # A row a fit of the plan; the replicates themselves stay where they are.
     todo = joined.select(
-        *SAMPLE, "n_informative", "fit_id", "seed", F.when(lost, settings.n_bootstrap).otherwise(F.coalesce("old_attempted", F.lit(0))).alias("start"), F.col("point").isNotNull().alias("known"))
-    jobs = [tuple(r) for r in todo.where(~F.col("known") | (F.col("start") < settings.n_bootstrap)).collect()]
+        *SAMPLE, "n_informative", "fit_id", "seed", F.when(lost, settings.draws.replicates).otherwise(F.coalesce("old_attempted", F.lit(0))).alias("start"), F.col("point").isNotNull().alias("known"))
+    jobs = [tuple(r) for r in todo.where(~F.col("known") | (F.col("start") < settings.draws.replicates)).collect()]
     new = _fits(prepared.rows, prepared.events, designs, jobs, settings, prepared.sparse)
     fresh = new.select(
         "fit_id", F.struct("beta", "llf", "design_rank", "fit_error").alias("fresh"), F.arrays_zip(F.col("boot_reps").alias("rep"), F.col("boot_betas").alias("beta")).cast(NO_DRAWS).alias("new_boot"),
@@ -301,15 +301,15 @@ def run_scan(
     _require_fixed(df, settings)
     contexts = _valid_contexts(df, settings)
     used = list(dict.fromkeys(f for f in features if f in df.columns))
-    controls = [c for _, cs in cand.control_specs(settings, df.columns) for c in cs]
-    columns = list(dict.fromkeys([*used, *settings.fixed_regressors, *controls]))
+    controls = [c for _, cs in cand.control_specs(settings.controls, df.columns) for c in cs]
+    columns = list(dict.fromkeys([*used, *settings.controls.fixed, *controls]))
     if not contexts:
         raise ValueError("no valid contexts available for scan")
     if not columns:
         raise ValueError("no features available for scan")
     outcomes = [y for _, y in contexts]
-    if prepared is None or not prepared.covers(outcomes, columns, settings.bootstrap_cluster_unit):
-        prepared = prepare(df, outcomes, columns, settings.bootstrap_cluster_unit)
+    if prepared is None or not prepared.covers(outcomes, columns, settings.draws.unit):
+        prepared = prepare(df, outcomes, columns, settings.draws.unit)
     rows, events = prepared.rows, prepared.events
 
     tracks = spark.createDataFrame([(r[0],) for r in events.select("track").distinct().collect()], "track string")
@@ -332,8 +332,8 @@ def run_scan(
     )
     # One row per candidate, split and restart: the size of the plan, whatever the data.
     n_eval = 2 * len(plan)
-    restarts = F.array(*[F.struct(F.lit(i).alias("restart_id"), F.lit(s).cast("bigint").alias("base")) for i, s in settings.restart_seeds()])
-    gated = gate_cascade(evaluated, settings).select("*", F.inline(restarts)).withColumns(
+    restarts = F.array(*[F.struct(F.lit(i).alias("restart_id"), F.lit(s).cast("bigint").alias("base")) for i, s in settings.draws.restart_seeds()])
+    gated = gate_cascade(evaluated, settings.gates).select("*", F.inline(restarts)).withColumns(
         {
             "fit_id": ((F.col("restart_id") - 1) * n_eval + F.col("candidate_eval_order")).cast("int"),
             "seed": stable_seed(F.col("base"), F.concat_ws("|", "candidate_id", "split_role")),
@@ -354,7 +354,7 @@ def run_scan(
     gate = F.col("status") == FIT
     failed = gate & (F.col("fit_error").isNotNull())
     degenerate = gate & (F.col("design_rank") < F.col("n_exog"))
-    starved = gate & bootstrap_gate(F.col("bootstrap_success"), F.col("bootstrap_attempted"), settings.bootstrap_success_min_ratio)
+    starved = gate & bootstrap_gate(F.col("bootstrap_success"), F.col("bootstrap_attempted"), settings.gates.converged_share)
     verdict = (
         F.when(~gate, F.struct("status", "reason_code", "reason_detail", "reason_stage"))
         .when(
@@ -366,13 +366,13 @@ def run_scan(
             starved,
             _verdict(
                 "not_estimable_low_bootstrap_success",
-                F.format_string(f"%d/%d < {settings.bootstrap_success_min_ratio:.3f}", "bootstrap_success", "bootstrap_attempted"),
+                F.format_string(f"%d/%d < {settings.gates.converged_share:.3f}", "bootstrap_success", "bootstrap_attempted"),
                 "bootstrap",
             ),
         )
         .otherwise(_verdict("ok", F.lit(""), "completed"))
     )
-    lam = settings.complexity_penalty if penalty is None else penalty
+    lam = settings.evidence.penalty if penalty is None else penalty
     ok = F.col("_v.status") == "ok"
     scan = joined.withColumn("_v", verdict).select(
         F.lit(settings.run_id).alias("run_id"),
@@ -386,7 +386,7 @@ def run_scan(
         "n_twin_sets",
         *[F.when(ok, F.col(c)).alias(c) for c in ("beta", "ci95_lower", "ci95_upper", "se_boot", "p_boot")],
         F.when(ok, F.col("llf") - F.lit(float(lam)) * F.col("n_exog")).alias("score"),
-        F.lit(settings.bootstrap_cluster_unit).alias("bootstrap_cluster_unit"),
+        F.lit(settings.draws.unit).alias("bootstrap_cluster_unit"),
         F.coalesce("bootstrap_success", F.lit(0)).alias("bootstrap_success"),
         F.coalesce("bootstrap_attempted", F.lit(0)).alias("bootstrap_attempted"),
         "_v.*",
@@ -395,13 +395,13 @@ def run_scan(
         F.lit(len(plan)).alias("candidate_pool_size"),
         F.lit(1).alias("support_only"),
         F.lit(1).alias("not_replacing_confirmatory_claim"),
-        F.lit(int(settings.validation_used_for_search)).alias("validation_used_for_search"),
-        F.lit(int(settings.candidate_pool_locked_pre_validation)).alias("candidate_pool_locked_pre_validation"),
+        F.lit(int(settings.validation_steers)).alias("validation_used_for_search"),
+        F.lit(int(settings.pool_locked)).alias("candidate_pool_locked_pre_validation"),
         F.lit(settings.timestamp).alias("timestamp"),
     )
     scan = attach_validation_q(scan, keys=("restart_id",))
     paired = pair_splits(scan, ("restart_id", "candidate_id"), ("run_id", *IDENTITY, "candidate_pool_size"))
-    top = assign_tiers(paired, p_threshold=settings.p_threshold, q_threshold=settings.q_threshold)
+    top = assign_tiers(paired, p_threshold=settings.evidence.p_limit, q_threshold=settings.evidence.q_limit)
     scan = scan.join(top.select("restart_id", "candidate_id", "candidate_tier"), ["restart_id", "candidate_id"])
     return ScanResult(scan, top, search_log(scan, skipped, len(plan), settings), fits.drop("fit_id"), prepared)
 

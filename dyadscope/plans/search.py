@@ -21,7 +21,7 @@ from dyadscope.operators import derive, gates, precheck, prepare, registry
 from dyadscope.plans import passes
 from dyadscope.plans.scan import ScanResult
 from dyadscope.session import cut_lineage
-from dyadscope.settings import ScanSettings, resolve_base_controls
+from dyadscope.settings import Need, ScanSettings, resolve_base_controls
 from dyadscope.sources import sinks
 
 # The columns of a result row, in the order of the contract.
@@ -142,14 +142,11 @@ def run_search(
 
     # Gates of the validated tier follow what each outcome's validation side can carry.
     gate_map = cut_lineage(gates.outcome_gate_map(
-        df, outcomes, events=settings.min_events_validated, docs=settings.min_docs_validated, auto_scale=options.auto_scale_gates
+        df, outcomes, events=settings.gates.validation.events, docs=settings.gates.validation.docs, auto_scale=options.auto_scale_gates
     ))
     flags |= gates.check_outcome_feasibility(gate_map, options.feasibility_mode)
     by_y = {r["y_col"]: r for r in gate_map.collect()}
-    settings = replace(
-        settings, contexts=tuple(contexts), validated_events_by_y={y: int(r["gate_events"]) for y, r in by_y.items()},
-        validated_docs_by_y={y: int(r["gate_docs"]) for y, r in by_y.items()},
-    )
+    settings = settings.but(contexts=tuple(contexts), validation_by_outcome={y: Need(int(r["gate_events"]), int(r["gate_docs"])) for y, r in by_y.items()})
     frontier = frontier_of(df, outcomes, settings)
 
     # Features: plain columns, then what is derived from them, then one per family.
@@ -164,13 +161,13 @@ def run_search(
     if not chosen:
         raise ValueError("no feature passed the registry")
 
-    used, missing = resolve_base_controls(list(df.columns), include=settings.include_base_controls, override=",".join(settings.base_controls))
+    used, missing = resolve_base_controls(list(df.columns), include=settings.controls.use_base, override=",".join(settings.controls.base))
     flags |= {"missing_base_controls": missing, "confirmatory_outcomes": confirmatory}
-    settings = replace(settings, base_controls=tuple(used))
+    settings = settings.but(base=tuple(used))
     n_events = max([int(r["total_events"] or 0) for r in by_y.values()], default=0)
     pool = cand.pool_size_estimate(len(chosen), 2, len(contexts), bool(used))
     lo, hi = options.penalty_bounds
-    penalty = df.sparkSession.range(1).select(cand.complexity_penalty(F.lit(float(settings.complexity_penalty)), F.lit(pool), F.lit(n_events), lo, hi)).first()[0]
+    penalty = df.sparkSession.range(1).select(cand.complexity_penalty(F.lit(float(settings.evidence.penalty)), F.lit(pool), F.lit(n_events), lo, hi)).first()[0]
 
     result, inference, stability = passes.run_restarts(
         df, chosen, settings, anchor_track=options.anchor_track, confirmatory_y=confirmatory, penalty=float(penalty)
@@ -205,10 +202,10 @@ def frontier_of(df: DataFrame, outcomes: Sequence[str], settings: ScanSettings)
     capacity = gates.capacity_by_outcome(val, outcomes[:1]).select(
         "track", "is_total", F.col("n_docs_informative").alias("n_docs_validation"), F.col("n_informative_events").alias("n_events_validation")
     )
-    y = outcomes[0]
+    used = settings.gates.validation_by_outcome.get(outcomes[0], settings.gates.validation)
     return gates.feasibility_frontier(
-        capacity, docs_requested=settings.min_docs_validated, events_requested=settings.min_events_validated,
-        docs_effective=settings.validated_docs_by_y.get(y, settings.min_docs_validated), events_effective=settings.validated_events_by_y.get(y, settings.min_events_validated),
+        capacity, docs_requested=settings.gates.validation.docs, events_requested=settings.gates.validation.events,
+        docs_effective=used.docs, events_effective=used.events,
     )
 
 

@@ -7,7 +7,7 @@ from dyadscope.operators import candidates as cand
 from dyadscope.operators.designs import Design, DesignSet, design_pairs, design_stats, event_table, gate_stats, row_table
 from dyadscope.plans import passes
 from dyadscope.plans.scan import plan_candidates, run_scan
-from dyadscope.settings import AdamSettings, ScanSettings, resolve_base_controls, resolve_stage_gates
+from dyadscope.settings import AdamSettings, Need, ScanSettings, resolve_base_controls, resolve_stage_gates
 
 SCHEMA = "track string, split_role string, event_id string, pair_id string, policy_document_id string, y int, a double, b double"
 
@@ -87,14 +87,14 @@ def choice_frame(spark, n_events=90, seed=4):
 
 def small(**changes):
     base = dict(
-        n_bootstrap=25, min_events_estimable=5, min_docs_estimable=3, min_events_validated=5, min_docs_validated=3, include_base_controls=False,
-        control_spec_mode="key_only",
+        replicates=25, discovery=Need(5, 3), validation=Need(5, 3), use_base=False,
+        spec_mode="key_only",
     )
-    return ScanSettings(**{**base, **changes})
+    return ScanSettings.of(**{**base, **changes})
 
 
 def test_scan_validates_a_real_effect(spark):
-    result = run_scan(choice_frame(spark), ["x_feat", "anchor"], small(n_bootstrap=99, contexts=(("all_contexts", "y_all"),)))
+    result = run_scan(choice_frame(spark), ["x_feat", "anchor"], small(replicates=99, contexts=(("all_contexts", "y_all"),)))
     top = {r.key_factor: r for r in result.top.collect()}
     assert top["x_feat"].candidate_tier == "validated_candidate" and top["x_feat"].beta_validation > 0
     assert top["anchor"].candidate_tier == "support_candidate"
@@ -115,7 +115,7 @@ def test_contexts_are_checked_and_logged(spark):
 
 
 def test_gates_differ_by_outcome_and_split(spark):
-    settings = small(contexts=(("all", "y_all"), ("evidence", "y_evidence")), validated_events_by_y={"y_evidence": 1000})
+    settings = small(contexts=(("all", "y_all"), ("evidence", "y_evidence")), validation_by_outcome={"y_evidence": Need(1000, 3)})
     rows = {(r.y_col, r.split_role): r for r in run_scan(choice_frame(spark), ["x_feat"], settings).scan.collect()}
     assert rows[("y_all", "validation")].status == "ok"
     blocked = rows[("y_evidence", "validation")]
@@ -125,13 +125,13 @@ def test_gates_differ_by_outcome_and_split(spark):
 
 
 def test_leakage_settings_raise(spark):
-    for bad in ({"validation_used_for_search": True}, {"candidate_pool_locked_pre_validation": False}, {"control_spec_mode": "all"}):
+    for bad in ({"validation_steers": True}, {"pool_locked": False}, {"spec_mode": "all"}):
         with pytest.raises(ValueError):
             run_scan(choice_frame(spark), ["x_feat"], small(**bad))
 
 
 def test_anchored_spec_and_degenerate_design(spark):
-    settings = small(contexts=(("all_contexts", "y_all"),), fixed_regressors=("anchor",))
+    settings = small(contexts=(("all_contexts", "y_all"),), fixed=("anchor",))
     rows = run_scan(choice_frame(spark), ["x_feat", "copy"], settings).scan.where("split_role = 'discovery'").collect()
     by_key = {r.key_factor: r for r in rows}
     import re
@@ -140,12 +140,12 @@ def test_anchored_spec_and_degenerate_design(spark):
     assert by_key["x_feat"].control_set == "x_feat+anchor" and by_key["x_feat"].status == "ok"
     assert by_key["copy"].status == "not_estimable_degenerate_design_matrix"
     with pytest.raises(ValueError, match="fixed regressors missing"):
-        run_scan(choice_frame(spark), ["x_feat"], small(fixed_regressors=("nowhere",)))
+        run_scan(choice_frame(spark), ["x_feat"], small(fixed=("nowhere",)))
 
 
 def test_pool_size_is_the_product_minus_skips(spark):
     df = choice_frame(spark)
-    settings = ScanSettings(contexts=(("all", "y_all"), ("ev", "y_evidence")), base_controls=("anchor",)).checked()
+    settings = ScanSettings.of(contexts=(("all", "y_all"), ("ev", "y_evidence")), base=("anchor",)).checked()
     pool, skipped = plan_candidates(df, ["x_feat", "anchor"], settings)
     assert pool.count() == 1 * 2 * 2 * 2
     # anchor with the base control anchor is the key-only specification again, once per context
@@ -155,10 +155,10 @@ def test_pool_size_is_the_product_minus_skips(spark):
 @pytest.mark.parametrize("mode", ["none", "adam_lite", "sgd"])
 def test_the_answer_does_not_depend_on_where_a_sample_is_fitted(spark, mode):
     df = choice_frame(spark)
-    args = dict(contexts=(("all_contexts", "y_all"),), n_bootstrap=9, optimizer_mode=mode, adam=AdamSettings(max_iter=30, min_iter=10))
+    args = dict(contexts=(("all_contexts", "y_all"),), replicates=9, method=mode, adam=AdamSettings(max_iter=30, min_iter=10))
     names = ("status", "reason_code", "beta", "se_boot", "p_boot", "q_value", "candidate_tier", "bootstrap_success")
     near, far = (
-        {(r.candidate_id, r.split_role): tuple(r[n] for n in names) for r in run_scan(df, ["x_feat", "anchor"], small(**args, grouped_fit_max_events=m)).scan.collect()}
+        {(r.candidate_id, r.split_role): tuple(r[n] for n in names) for r in run_scan(df, ["x_feat", "anchor"], small(**args, one_task_events=m)).scan.collect()}
         for m in (100_000, 0)
     )
     assert near.keys() == far.keys() and {v[0] for v in near.values()} == ({"fit_failed"} if mode == "sgd" else {"ok"})
@@ -168,16 +168,16 @@ def test_the_answer_does_not_depend_on_where_a_sample_is_fitted(spark, mode):
 
 def test_fixed_size_resampling_is_a_choice_and_refused_over_the_bound(spark):
     df = choice_frame(spark)
-    args = dict(contexts=(("all_contexts", "y_all"),), n_bootstrap=9, resampling="fixed_size")
+    args = dict(contexts=(("all_contexts", "y_all"),), replicates=9, law="fixed_size")
     assert {r.status for r in run_scan(df, ["x_feat"], small(**args)).scan.collect()} == {"ok"}
     with pytest.raises(ValueError, match="fixed_size"):
-        run_scan(df, ["x_feat"], small(**args, grouped_fit_max_events=0))
-    with pytest.raises(ValueError, match="unsupported resampling"):
-        run_scan(df, ["x_feat"], small(resampling="other"))
+        run_scan(df, ["x_feat"], small(**args, one_task_events=0))
+    with pytest.raises(ValueError, match="unsupported law"):
+        run_scan(df, ["x_feat"], small(law="other"))
 
 
 def test_restarts_share_fits_and_differ_in_draws(spark):
-    result, rows, stability = passes.run_restarts(choice_frame(spark), ["x_feat"], small(contexts=(("all_contexts", "y_all"),), n_restarts=3))
+    result, rows, stability = passes.run_restarts(choice_frame(spark), ["x_feat"], small(contexts=(("all_contexts", "y_all"),), restarts=3))
     betas = {r.beta for r in result.scan.where("split_role = 'validation'").collect()}
     assert len(betas) == 1
     assert rows.first().n_restarts_present == 3 and stability.first().stability_score == pytest.approx(1.0)
@@ -193,12 +193,14 @@ def test_second_passes(spark):
 
 
 def test_gate_and_control_settings():
-    base = ScanSettings(min_events_validated=100, min_docs_validated=30)
-    plain, source = resolve_stage_gates(base, legacy_events=40, legacy_docs=15)
-    assert (plain.min_events_estimable, plain.min_docs_estimable, plain.min_events_validated, plain.min_docs_validated) == (40, 15, 100, 30)
+    plain, source = resolve_stage_gates(ScanSettings(), events=40, docs=15)
+    assert (plain.gates.discovery, plain.gates.validation) == (Need(40, 15), Need(100, 30))
     assert source == "split_gate_with_legacy_estimable_override"
-    synced, source = resolve_stage_gates(base, legacy_events=40, legacy_docs=15, sync_validation=True)
-    assert (synced.min_events_validated, synced.min_docs_validated) == (40, 15) and source == "legacy_single_gate_synced"
+    synced, source = resolve_stage_gates(ScanSettings(), events=40, docs=15, sync_validation=True)
+    assert synced.gates.validation == Need(40, 15) and source == "legacy_single_gate_synced"
+    assert resolve_stage_gates(ScanSettings()) == (ScanSettings(), "split_gate_explicit")
+    with pytest.raises(TypeError, match="no_such"):
+        ScanSettings.of(no_such=1)
     assert resolve_base_controls(["pub_year_alt"], override="pub_year_alt, x,pub_year_alt") == (["pub_year_alt"], ["x"])
     with pytest.raises(ValueError):
         resolve_base_controls([], strict=True)
@@ -209,9 +211,9 @@ def test_large_path_handles_null_patterns(spark):
     """Samples with rows dropped by nulls give the same fits on both paths."""
     rows = random_rows(3, n_events=400)
     df = spark.createDataFrame(rows, SCHEMA)
-    args = dict(contexts=(("all", "y"),), n_bootstrap=5, fixed_regressors=("b",), bootstrap_success_min_ratio=0.0, max_top1_doc_share=1.0)
+    args = dict(contexts=(("all", "y"),), replicates=5, fixed=("b",), converged_share=0.0, largest_document_share=1.0)
     near = {(r.candidate_id, r.split_role): r for r in run_scan(df, ["a"], small(**args)).scan.collect()}
-    far = run_scan(df, ["a"], small(**args, grouped_fit_max_events=0)).scan.collect()
+    far = run_scan(df, ["a"], small(**args, one_task_events=0)).scan.collect()
     assert any(r.status == "ok" for r in far)
     for r in far:
         other = near[(r.candidate_id, r.split_role)]
@@ -227,10 +229,10 @@ def _fits(result):
 def test_escalation_runs_only_the_new_replicates(spark, limit):
     """From 9 to 25 replicates 16 are run and no point fit; the result is that of a scan of 25."""
     df = choice_frame(spark)
-    settings = small(n_bootstrap=9, contexts=(("all_contexts", "y_all"),), grouped_fit_max_events=limit)
+    settings = small(replicates=9, contexts=(("all_contexts", "y_all"),), one_task_events=limit)
     first = run_scan(df, ["x_feat", "anchor"], settings)
     more = passes.refine(df, first.top, settings, n_bootstrap=25, first=first, max_features=2)
-    fresh = _fits(run_scan(df, ["x_feat", "anchor"], small(contexts=(("all_contexts", "y_all"),), grouped_fit_max_events=limit)))
+    fresh = _fits(run_scan(df, ["x_feat", "anchor"], small(contexts=(("all_contexts", "y_all"),), one_task_events=limit)))
     got = _fits(more)
     assert set(got) == set(fresh) and len(got) == 4
     assert all(r.new_attempted == 9 and r.point_fitted for r in _fits(first).values())
@@ -239,7 +241,7 @@ def test_escalation_runs_only_the_new_replicates(spark, limit):
         assert [b.rep for b in r.boot] == [b.rep for b in fresh[key].boot]
         assert [b.beta for b in r.boot] == pytest.approx([b.beta for b in fresh[key].boot], abs=1e-7)
         assert (r.beta, r.llf) == pytest.approx((fresh[key].beta, fresh[key].llf), abs=1e-7)
-    less = _fits(run_scan(df, ["x_feat"], small(n_bootstrap=4, contexts=(("all_contexts", "y_all"),), grouped_fit_max_events=limit), prepared=first.prepared, prior=first.fits))
+    less = _fits(run_scan(df, ["x_feat"], small(replicates=4, contexts=(("all_contexts", "y_all"),), one_task_events=limit), prepared=first.prepared, prior=first.fits))
     assert all((r.new_attempted, r.boot_attempted, len(r.boot)) == (0, 4, 4) for r in less.values())
 
 
@@ -253,9 +255,9 @@ def test_a_ladder_shares_point_fits_and_replicates(spark, tmp_path):
 def test_failed_fits_are_not_tried_again(spark):
     """Regressors that are copies of each other stay degenerate in a second pass, without a new fit."""
     df = choice_frame(spark)
-    settings = small(n_bootstrap=5, contexts=(("all_contexts", "y_all"),), fixed_regressors=("copy",))
+    settings = small(replicates=5, contexts=(("all_contexts", "y_all"),), fixed=("copy",))
     first = run_scan(df, ["anchor", "x_feat"], settings)
-    again = run_scan(df, ["anchor", "x_feat"], small(n_bootstrap=9, contexts=(("all_contexts", "y_all"),), fixed_regressors=("copy",)), prepared=first.prepared, prior=first.fits)
+    again = run_scan(df, ["anchor", "x_feat"], small(replicates=9, contexts=(("all_contexts", "y_all"),), fixed=("copy",)), prepared=first.prepared, prior=first.fits)
     status = {(r.key_factor, r.split_role): r.status for r in again.scan.collect()}
     assert status["anchor", "discovery"] == "not_estimable_degenerate_design_matrix" and status["x_feat", "discovery"] == "ok"
     assert sum(r.new_attempted for r in _fits(again).values()) == 2 * 4

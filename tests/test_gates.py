@@ -8,7 +8,7 @@ ROWS = "name string, split_role string, y_col string, n_docs_total bigint, n_inf
 
 def verdicts(spark, rows, **settings):
     df = spark.createDataFrame(rows, ROWS)
-    return {r.name: r for r in gates.gate_cascade(df, ScanSettings(**settings)).collect()}
+    return {r.name: r for r in gates.gate_cascade(df, ScanSettings.of(**settings).gates).collect()}
 
 
 def test_first_failing_gate_wins(spark):

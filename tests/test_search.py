@@ -25,7 +25,7 @@ def frame(spark, n=90):
 
 def test_the_chain_fits_derived_features_and_writes(spark, tmp_path):
     df = frame(spark)
-    settings = small(contexts=(("all_contexts", "y_all"),), n_restarts=2, n_bootstrap=9, base_controls=("recency_years_alt",), control_spec_mode="key_only")
+    settings = small(contexts=(("all_contexts", "y_all"),), restarts=2, replicates=9, base=("recency_years_alt",), spec_mode="key_only")
     options = search.SearchOptions(
         windows=(3,), expression_mode="ms_benchmark_lite", expression_bases=("pa__size", "pa__noise"), categories=("kind",), min_level_count=5,
         family_dedupe="none", git_commit="abc", refine_features=1,
