@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dyadscope.llm import decontam, lexical, line_dedup, merkle, mixing, perfect_hash, quality, sharding, simhash, topk, toxicity, url_reputation, warc
@@ -100,10 +100,12 @@ def _rule_sql(then: int) -> str:
     return f"CASE {' '.join(cases)} END"
 
 
+#: A document is named by the last segment of the path, if that is a number of at most 18 digits, with or without a file type.
+NAMED = "/([0-9]{1,18})(?:[.][A-Za-z0-9]*)?\\z"
 _TWO = ", ".join(f"'{x}'" for x in url_reputation.TWO_LABEL_SUFFIXES)
 _OP10 = f"""
 WITH r AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-p AS (SELECT page_id, TRY_CAST(regexp_extract(url, '/([0-9]{{1,18}})', 1) AS BIGINT) AS doc_id, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+p AS (SELECT page_id, TRY_CAST(regexp_extract(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '{NAMED}', 1) AS BIGINT) AS doc_id, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
              translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM r),
 l AS (SELECT doc_id, avg(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 h0 AS (SELECT host, count(good)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS k, regexp_replace(host, ':[0-9]*$', '') AS name FROM p LEFT JOIN l USING (doc_id) GROUP BY host),
@@ -125,11 +127,16 @@ FROM p LEFT JOIN known USING (host)
 """
 
 
+def named_document(url: Column) -> Column:
+    """Id of the document that a url names; null if its path does not end in one."""
+    return F.regexp_extract(url_reputation.host_and_path(url)[1], NAMED, 1).try_cast("bigint")
+
+
 @query("op10_url_reputation", _OP10)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's outcome is the quality label of the document that its url names (the number in its path)."""
+    """A page's outcome is the quality label of the document that its url names."""
     pages = table(spark, sf_dir, "pages")
-    named = pages.select("page_id", F.regexp_extract("url", "/([0-9]{1,18})", 1).try_cast("bigint").alias("doc_id"))
+    named = pages.select("page_id", named_document(F.col("url")).alias("doc_id"))
     marks = table(spark, sf_dir, "labels").where("quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("good"))
     return url_reputation.judge(pages, named.join(marks, "doc_id").select("page_id", "good"), URL_RULES)
 

@@ -155,7 +155,7 @@ class Lexicon:
             begin = end - n + 1
             if begin <= last or (begin and (text[begin - 1].isalpha())):
                 continue
-            left = max(text.rfind(c, 0, begin) for c in ".!?;:\n\r") + 1
+            left = max(max(text.rfind(c, max(last, 0), begin) for c in ".!?;:\n\r") + 1, max(last, 0))
             stop = CLAUSE.search(text, begin)
             last = stop.start() if stop else len(text)
             yield left, last

@@ -41,6 +41,8 @@ from pyspark.sql import functions as F
 
 from dyadscope.llm.common import checkpoint_dir, cut_lineage, ship_package, text_bytes
 
+#: Bytes of an archive, and keys, that one task reads.
+TASK_BYTES, TASK_KEYS = 4 << 20, 512
 BLOCK_LINES = 1000
 #: Bytes after which a task begins another archive file.
 FILE_BYTES = 1 << 30
@@ -190,6 +192,11 @@ class Archive:
 
     folder: str
     ranges: list[tuple[str, str, str]]
+    n_bytes: int = 0
+
+    def tasks(self, n_keys: int) -> int:
+        """Tasks for reading what the keys name: rows are small and stand for much reading, so their bytes say nothing."""
+        return max(1, min(-(-self.n_bytes // TASK_BYTES), -(-n_keys // TASK_KEYS)))
 
 
 def write_archive(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, block_lines: int = BLOCK_LINES, file_bytes: int = FILE_BYTES) -> Archive:
@@ -209,7 +216,8 @@ def write_archive(pages: DataFrame, folder: str | None = None, least_bytes: int
     by_key = captures.withColumn("page_id", F.col("page_id").cast("string"))
     by_key = by_key.repartitionByRange("key", "file", "offset").sortWithinPartitions("key", "file", "offset")
     ranges = cut_lineage(by_key.mapInPandas(_indexer(folder, block_lines), "file string, first_key string, last_key string, blocks int"))
-    return Archive(folder, sorted((r["first_key"], r["last_key"], r["file"]) for r in ranges.collect()))
+    n_bytes = captures.agg(F.sum("length")).first()[0] or 0
+    return Archive(folder, sorted((r["first_key"], r["last_key"], r["file"]) for r in ranges.collect()), int(n_bytes))
 
 
 def _find_blocks(archive: Archive):
@@ -268,12 +276,14 @@ def _read_records(folder: str, with_payload: bool):
 
 def lookup(archive: Archive, keys: DataFrame, with_payload: bool = False) -> DataFrame:
     """Records of all captures of the keys (column key, as `url_key` makes them)."""
-    wanted = keys.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key")
+    named = cut_lineage(keys.select("key").distinct())
+    tasks = archive.tasks(named.count())
+    wanted = named.repartitionByRange("key").sortWithinPartitions("key")
     blocks = wanted.mapInPandas(_find_blocks(archive), "key string, file string, offset bigint, length bigint")
-    blocks = blocks.repartition("file", "offset").sortWithinPartitions("file", "offset", "key")
+    blocks = blocks.repartition(tasks, "file", "offset").sortWithinPartitions("file", "offset", "key")
     captures = blocks.mapInPandas(_find_captures(archive.folder), "key string, file string, offset bigint, length bigint")
-    # Neighbouring records of a file, 8 MB at a time, are one task's reads.
-    near = captures.withColumn("piece", F.expr("offset div 8388608")).repartition("file", "piece").sortWithinPartitions("file", "offset").drop("piece")
+    # Neighbouring records of a file are one task's reads.
+    near = captures.withColumn("piece", F.expr(f"offset div {TASK_BYTES}L")).repartition(tasks, "file", "piece").sortWithinPartitions("file", "offset").drop("piece")
     return near.mapInPandas(_read_records(archive.folder, with_payload), RECORD + (", payload binary" if with_payload else ""))
 
 

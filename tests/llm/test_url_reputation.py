@@ -50,3 +50,14 @@ def test_odd_rows(spark):
     assert len(rows) == 5 and {r["verdict"] for r in rows} == {"allow"}
     none = spark.createDataFrame([], "page_id bigint, good int")
     assert url_reputation.judge(pages, none).count() == 5 and url_reputation.judge(pages.limit(0), none).count() == 0
+
+
+def test_a_page_names_the_document_at_the_end_of_its_path(spark):
+    from dyadscope.llm.queries import named_document
+
+    urls = {
+        "http://1.2.3.4/fr/77": 77, "https://9news.com/en/5": 5, "http://a.org/2024/07/123.html?x=/9": 123, "http://a.org/en/7#top/8": 7, "http://a.org/12/about": None,
+        "http://a.org/1234567890123456789": None, "http://a.org": None, "no url/5": None, "http://a.org/x5": None, "http://a.org/5x": None, None: None, "": None,
+    }
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select("url", named_document(F.col("url")).alias("d")).collect()
+    assert {r["url"]: r["d"] for r in rows} == urls
