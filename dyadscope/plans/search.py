@@ -178,8 +178,8 @@ def run_search(
     }
     scan = audited(result.scan, audit, df)
     top = cut_lineage(result.top)
-    escalation = passes.escalate(df, top, settings, max_candidates=options.escalate_candidates) if options.escalate_candidates else None
-    refinement = passes.refine(df, top, settings, max_features=options.refine_features) if options.refine_features else None
+    escalation = passes.escalate(df, top, settings, first=result, max_candidates=options.escalate_candidates) if options.escalate_candidates else None
+    refinement = passes.refine(df, top, settings, first=result, max_features=options.refine_features) if options.refine_features else None
     done = SearchResult(scan, top, inference, stability, found, gate_map, frontier, result.log, flags, escalation, refinement)
     if out:
         for name, rows in done.tables().items():
