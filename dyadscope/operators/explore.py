@@ -52,14 +52,9 @@ def usable_rows(rows: DataFrame, *, q_threshold: float = 0.10) -> DataFrame:
     )
 
 
-def _evidence(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Counts, distinct runs, best values, means and medians per key.
-
-    Rows are folded to one per (key, run) first, so distinct runs are a plain count and a key that
-    most rows share is spread over its runs. Medians never hold the values of a large key.
-    """
-    rows = cut_lineage(rows.select(*dict.fromkeys([*keys, "run_id", "tier", "p", "q", "restart_rate", "strong"])))
-    per_run = rows.groupBy(*keys, "run_id").agg(
+def run_parts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mergeable statistics of a key, a row for each run: rows of one (key, run) from several tables add up."""
+    return rows.groupBy(*keys, "run_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("q").alias("q"),
         F.min("p").alias("p"),
@@ -69,8 +64,39 @@ def _evidence(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.count_if(F.col("tier") == VALIDATED).alias("validated"),
         F.count_if(F.col("tier").isin(VALIDATED, SUPPORT)).alias("supported"),
     )
+
+
+def merged_parts(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    sums = [F.sum(c).alias(c) for c in ("n", "rate", "rated", "strong", "validated", "supported")]
+    return parts.groupBy(*keys, "run_id").agg(*sums, F.min("q").alias("q"), F.min("p").alias("p"))
+
+
+def value_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, which, v, n): how often a key has each value of q and p; counts of several tables add up."""
+    both = F.array(*[F.struct(F.lit(c).alias("which"), F.col(c).alias("v")) for c in "qp"])
+    return rows.select(*keys, F.inline(both)).where("v is not null").groupBy(*keys, "which", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
+def medians_of_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    found = quantiles(counts.select(*keys, "n", *[F.when(F.col("which") == c, F.col("v")).alias(c) for c in "qp"]), keys, {"q": [0.5], "p": [0.5]}, weight="n")
+    return found.select(*keys, *[F.get(f"{c}_q", F.lit(0)).alias(f"{c}_median") for c in "qp"])
+
+
+def _evidence(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Counts, distinct runs, best values, means and medians per key.
+
+    Rows are folded to one per (key, run) first, so distinct runs are a plain count and a key that
+    most rows share is spread over its runs. Medians never hold the values of a large key.
+    """
+    rows = cut_lineage(rows.select(*dict.fromkeys([*keys, "run_id", "tier", "p", "q", "restart_rate", "strong"])))
+    found = quantiles(rows, keys, {"q": [0.5], "p": [0.5]})
+    return evidence(run_parts(rows, keys), found.select(*keys, *[F.get(f"{c}_q", F.lit(0)).alias(f"{c}_median") for c in "qp"]), keys)
+
+
+def evidence(parts: DataFrame, medians: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Statistics of a key from its parts, one for each run, and its medians."""
     n = F.sum("n")
-    stats = per_run.groupBy(*keys).agg(
+    stats = parts.groupBy(*keys).agg(
         n.alias("n_rows"),
         F.count(F.lit(1)).alias("n_runs"),
         F.min("q").alias("q_best"),
@@ -80,22 +106,31 @@ def _evidence(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         (F.sum("validated") / n).alias("validated_share"),
         (F.sum("supported") / n).alias("support_or_better_share"),
     )
-    found = quantiles(rows, keys, {"q": [0.5], "p": [0.5]})
-    medians = found.select(*keys, *[F.get(f"{c}_q", F.lit(0)).alias(f"{c}_median") for c in "qp"])
     return stats.join(medians, list(keys), "left")
 
 
 def combinations(rows: DataFrame) -> DataFrame:
     """Evidence per (track, context, outcome, spec, factor) over all runs."""
-    dashed = rows.withColumns({c: F.when(F.col(c) == "", "-").otherwise(F.col(c)) for c in COMBO})
-    return _evidence(dashed, COMBO).select(
+    return combination_table(_evidence(dashed(rows), COMBO))
+
+
+def dashed(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.when(F.col(c) == "", "-").otherwise(F.col(c)) for c in COMBO})
+
+
+def combination_table(stats: DataFrame) -> DataFrame:
+    return stats.select(
         F.concat_ws("|", *COMBO).alias("combo_id"), *COMBO, "n_rows", "n_runs", "q_best", "q_median", "p_best", "p_median", "restart_mean",
         "strong_share_q", "validated_share", "support_or_better_share",
     )
 
 
 def factors(rows: DataFrame) -> DataFrame:
-    return _evidence(rows.where("key_factor <> ''"), ("key_factor",)).select(
+    return factor_table(_evidence(rows.where("key_factor <> ''"), ("key_factor",)))
+
+
+def factor_table(stats: DataFrame) -> DataFrame:
+    return stats.select(
         "key_factor", "n_rows", "n_runs", "q_best", "q_median", "p_best", "strong_share_q", "validated_share"
     )
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dyadscope.session import cut_lineage
@@ -21,12 +21,16 @@ GRID = 256
 INF = float("inf")
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], columns: dict[str, Sequence[float]], *, limit: int = LIMIT, grid: int = GRID) -> DataFrame:
+def quantiles(
+    df: DataFrame, keys: Sequence[str], columns: dict[str, Sequence[float]], *, weight: str | None = None, limit: int = LIMIT, grid: int = GRID,
+) -> DataFrame:
     """(keys, {column}_q: array of its quantiles), interpolated between neighbours; nulls do not count, a key without values has nulls.
 
-    `df` should be a written table: it is read a few times.
+    `df` should be a written table: it is read a few times. `weight` names a column of whole numbers that says how often
+    each row counts.
     """
-    held = {c: F.count(c).alias(f"_n_{c}") for c in columns}
+    w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    held = {c: F.coalesce(F.sum(F.when(F.col(c).isNotNull(), w)), F.lit(0)).alias(f"_n_{c}") for c in columns}
     sizes = df.groupBy(*keys).agg(*held.values())
     most = sizes.agg(*[F.max(f"_n_{c}") for c in columns]).first()
     out = None
@@ -34,11 +38,11 @@ def quantiles(df: DataFrame, keys: Sequence[str], columns: dict[str, Sequence[fl
         name = f"{c}_q"
         if (n or 0) <= limit:
             continue
-        found = _large(df, sizes.withColumnRenamed(f"_n_{c}", "_n"), keys, c, probs, limit, grid).withColumnRenamed("_q", name)
+        found = _large(df, sizes.withColumnRenamed(f"_n_{c}", "_n"), keys, c, probs, w, limit, grid).withColumnRenamed("_q", name)
         out = found if out is None else _matched(out, found, keys)
     plain = [c for c, n in zip(columns, most, strict=True) if (n or 0) <= limit]
     if plain:
-        direct = df.groupBy(*keys).agg(*[F.array(*[F.percentile(c, F.lit(float(p))) for p in columns[c]]).alias(f"{c}_q") for c in plain])
+        direct = df.groupBy(*keys).agg(*[F.array(*[F.percentile(c, F.lit(float(p)), w) for p in columns[c]]).alias(f"{c}_q") for c in plain])
         out = direct if out is None else _matched(direct, out, keys)
     return out
 
@@ -52,8 +56,8 @@ def _matched(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     return a.join(other, on, "left").drop(*[f"_{k}" for k in keys])
 
 
-def _large(df: DataFrame, sizes: DataFrame, keys: Sequence[str], c: str, probs: Sequence[float], limit: int, grid: int) -> DataFrame:
-    values = df.where(F.col(c).isNotNull()).select(*keys, F.col(c).cast("double").alias("v"))
+def _large(df: DataFrame, sizes: DataFrame, keys: Sequence[str], c: str, probs: Sequence[float], w: Column, limit: int, grid: int) -> DataFrame:
+    values = df.where(F.col(c).isNotNull()).select(*keys, F.col(c).cast("double").alias("v"), w.alias("w"))
     place = [(F.col("_n") - 1) * F.lit(float(p)) for p in probs]
     ranks = F.array_distinct(F.array(*[f(x).cast("bigint") for x in place for f in (F.floor, F.ceil)]))
     # A row for each range that holds wanted ranks: values from lo to hi, `below` of them smaller, `inside` in it.
@@ -72,13 +76,18 @@ def _large(df: DataFrame, sizes: DataFrame, keys: Sequence[str], c: str, probs:
         # Cells by number: 2 i holds values between the cuts i - 1 and i, 2 i + 1 those equal to cut i.
         at = F.size(F.filter("cuts", lambda x: x < F.col("v")))
         cell = 2 * at + F.coalesce(F.get("cuts", at) == F.col("v"), F.lit(False)).cast("int")
-        counted = _inside(values, cuts, keys, "cuts").groupBy(*keys, "lo", "hi", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+        counted = _inside(values, cuts, keys, "cuts").groupBy(*keys, "lo", "hi", cell.alias("cell")).agg(F.sum("w").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
         cells = counted.groupBy(*keys, "lo", "hi").agg(F.array_sort(F.collect_list(F.struct("cell", "n", "least", "most"))).alias("cells"))  # at most 2 GRID + 3
         open_ = cut_lineage(_next(_matched(big, cells, [*keys, "lo", "hi"]), keys))
     single = settled.where(F.col("lo") >= F.col("hi")).select(*keys, F.explode("ranks").alias("rank"), F.col("lo").alias("v"))
     few = settled.where(F.col("lo") < F.col("hi"))
-    lists = _inside(values, few, keys, "below", "ranks").groupBy(*keys, "lo", "hi").agg(F.first("below").alias("below"), F.first("ranks").alias("ranks"), F.array_sort(F.collect_list("v")).alias("vs"))
-    picked = lists.select(*keys, F.explode("ranks").alias("rank"), "below", "vs").select(*keys, "rank", F.get("vs", (F.col("rank") - F.col("below")).cast("int")).alias("v"))
+    lists = _inside(values, few, keys, "below", "ranks").groupBy(*keys, "lo", "hi").agg(F.first("below").alias("below"), F.first("ranks").alias("ranks"), F.array_sort(F.collect_list(F.struct("v", "w"))).alias("vs"))
+    # The first value up to which more than `rank` values count.
+    reached = F.aggregate(
+        "vs", F.struct(F.col("below").alias("at"), F.lit(None).cast("double").alias("v")),
+        lambda acc, x: F.struct((acc["at"] + x["w"]).alias("at"), F.when((acc["at"] <= F.col("rank")) & (acc["at"] + x["w"] > F.col("rank")), x["v"]).otherwise(acc["v"]).alias("v")),
+        lambda acc: acc["v"])
+    picked = lists.select(*keys, F.explode("ranks").alias("rank"), "below", "vs").select(*keys, "rank", reached.alias("v"))
     by_rank = single.unionByName(picked).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("_at"))
 
     def between(x):

@@ -10,6 +10,7 @@ from dyadscope.operators import review, runs
 from dyadscope.plans import workload as w
 from dyadscope.plans.oracle import RUNS, sql
 from dyadscope.plans.registry_of_queries import query
+from dyadscope.plans.result_queries import COMBO_NUMBERS, COMBO_SQL
 from dyadscope.session import checkpoint_dir
 from dyadscope.sources import readers, sinks
 from dyadscope.streaming import run_events
@@ -194,6 +195,18 @@ def status_stream(spark, sf):
     return run_events.read_status(spark, f"{folder}/status").select("run_id", "state", "n_events", "n_illegal")
 
 
+@query("explorer_stream", sql(COMBO_SQL, "SELECT combo_id, n_rows, n_runs, " + ", ".join(f"round({c}, 9) AS {c}" for c in COMBO_NUMBERS) + " FROM combos"))
+def explorer_stream(spark, sf):
+    """Inference rows in three batches; the view is kept from what each batch adds."""
+    folder = _scratch(spark)
+    rows = w.inference_rows(spark, sf)
+    rows.repartition(3).write.parquet(f"{folder}/rows")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/rows")
+    run_events.maintain_explorer(stream, f"{folder}/store", f"{folder}/ckpt").awaitTermination()
+    view = run_events.read_view(spark, f"{folder}/store", "combinations")
+    return view.select("combo_id", "n_rows", "n_runs", *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in COMBO_NUMBERS])
+
+
 @query("idempotent_submissions", """
 WITH r AS (SELECT 'k' || CAST(user_id AS VARCHAR) AS idempotency_key, CAST(event_id AS VARCHAR) AS run_id, ts FROM events),
 f AS (SELECT idempotency_key, first(run_id ORDER BY ts, run_id) AS effective_run_id FROM r GROUP BY 1)

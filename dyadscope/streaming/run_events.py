@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from dyadscope.operators import explore
-from dyadscope.session import ship_package
+from dyadscope.session import cut_lineage, ship_package
 
 EVENT_SCHEMA = "ts timestamp, event_type string, run_id string, mode string, state string, attempt int"
 # Legal state changes.
@@ -125,24 +125,66 @@ def compact_status(spark: SparkSession, table: str, target: str) -> None:
     read_status(spark, table).write.mode("overwrite").parquet(f"{target}/v={newest}")
 
 
-def maintain_explorer(inference: DataFrame, store: str, checkpoint: str, publish: Callable[[DataFrame, DataFrame], None], *, q_threshold: float = 0.10) -> StreamingQuery:
-    """Append new inference rows to a store and republish combination and factor statistics.
+#: Parts of the explorer's statistics; a batch reads the parts of its keys only.
+VIEW_BUCKETS = 16
+VIEWS = {
+    "combinations": (explore.COMBO, explore.dashed, explore.combination_table),
+    "factors": (("key_factor",), lambda rows: rows.where("key_factor <> ''"), explore.factor_table),
+}
+
+
+def _append_parts(rows: DataFrame, keys: tuple[str, ...], folder: str, batch_id: int) -> DataFrame:
+    """Write what a batch adds to the statistics of its keys; the keys it touches, with their buckets."""
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(VIEW_BUCKETS)).cast("int").alias("bucket")
+    for name, part in (("runs", explore.run_parts(rows, keys)), ("values", explore.value_counts(rows, keys))):
+        part.select("*", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/{name}/batch={batch_id}")
+    return rows.select(*keys, bucket).distinct()
+
+
+def _touched_stats(touched: DataFrame, keys: tuple[str, ...], folder: str) -> DataFrame:
+    """Statistics of the touched keys over all batches so far, merged from their parts."""
+    spark = touched.sparkSession
+    buckets = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # at most VIEW_BUCKETS
+
+    def stored(name: str) -> DataFrame:
+        rows = spark.read.option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}").where(F.col("bucket").isin(buckets))
+        return rows.join(touched.select(*keys), list(keys), "left_semi")
+
+    counts = cut_lineage(stored("values").groupBy(*keys, "which", "v").agg(F.sum("n").alias("n")))
+    return explore.evidence(explore.merged_parts(stored("runs"), keys), explore.medians_of_counts(counts, keys), keys)
 
-    Distinct run counts and medians need all rows, so they are recomputed from the store (a plain
-    batch aggregate) rather than kept as stream state. Batches are stored under their number.
+
+def maintain_explorer(inference: DataFrame, store: str, checkpoint: str, *, q_threshold: float = 0.10) -> StreamingQuery:
+    """Keep combination and factor statistics up to date with new inference rows.
+
+    A batch is folded to mergeable parts (a row for each key and run, counts of values), which are written under its
+    number. Then only the keys that it touches are merged over their parts and written on to the view; no row of
+    an earlier batch is read again. A batch that is run again replaces what it wrote.
     """
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-        rows = explore.usable_rows(spark.read.option("basePath", store).parquet(store), q_threshold=q_threshold)
-        publish(explore.combinations(rows), explore.factors(rows))
+        rows = cut_lineage(explore.usable_rows(batch, q_threshold=q_threshold))
+        for name, (keys, prepare, table) in VIEWS.items():
+            folder = f"{store}/{name}"
+            touched = cut_lineage(_append_parts(prepare(rows), keys, folder, batch_id))
+            table(_touched_stats(touched, keys, folder)).write.mode("overwrite").parquet(f"{folder}/view/v={batch_id}")
 
     return (
         inference.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+def read_view(spark: SparkSession, store: str, name: str) -> DataFrame | None:
+    """The newest statistics of every key of a view."""
+    stored = _versions(spark, f"{store}/{name}/view")
+    if stored is None:
+        return None
+    keys = VIEWS[name][0]
+    columns = [c for c in stored.columns if c not in (*keys, "v")]
+    newest = stored.groupBy(*keys).agg(F.max_by(F.struct(*columns), "v").alias("x"))
+    return newest.select(*[F.col(c) if c in keys else F.col(f"x.{c}").alias(c) for c in stored.columns if c != "v"])
+
+
 def first_submissions(requests: DataFrame, *, delay: str = "1 day") -> DataFrame:
     """The first request per idempotency key, with state dropped once the key is older than the delay."""
     return requests.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["idempotency_key"])

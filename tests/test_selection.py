@@ -40,3 +40,14 @@ def test_many_keys_ties_nulls_and_null_keys(spark):
 def test_rounds_do_not_depend_on_the_spread_of_values(spark):
     rows = [("a", 1e300, None), ("a", -1e300, None)] + [("a", 1.0 + i * 1e-15, None) for i in range(500)]
     _check(spark, rows, limit=3, grid=4)
+
+
+def test_weights_count_like_repeated_rows(spark):
+    rng = random.Random(3)
+    rows = [(f"k{i % 3}", rng.choice([1.0, 2.0, 5.5, 9.0, 9.5]) + rng.randrange(3), rng.randrange(4)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, v double, n int").cache()
+    for limit in (5, 10**6):
+        got = {r["k"]: r["v_q"] for r in quantiles(df, ["k"], {"v": PROBS}, weight="n", limit=limit, grid=4).collect()}
+        for k in got:
+            assert got[k] == pytest.approx(np.quantile([v for key, v, n in rows if key == k for _ in range(n)], PROBS).tolist())
+    df.unpersist()

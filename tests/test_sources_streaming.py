@@ -141,20 +141,30 @@ def test_first_submission_wins_in_a_stream(spark, tmp_path):
     assert {r.run_id: r.effective_run_id for r in run_events.submissions(batch).collect()} == {"r1": "r1", "r2": "r1", "r3": "r3"}
 
 
-def test_explorer_refresh_sees_all_batches(spark, tmp_path):
-    schema = "run_id string, mode string, track string, context_scope string, y_col string, spec_id string, key_factor string, status_validation string, candidate_tier string, p_boot_validation double, q_value_validation double, validated_rate_restart double"
-    (tmp_path / "in").mkdir()
-    seen = []
+def test_explorer_view_equals_the_full_result_after_every_batch(spark, tmp_path):
+    import random
 
-    def feed(name, run):
-        row = dict(run_id=run, mode="m", track="t", context_scope="c", y_col="y", spec_id="s", key_factor="f", status_validation="ok", candidate_tier="support_candidate", p_boot_validation=0.1, q_value_validation=0.05)
-        (tmp_path / "in" / name).write_text(json.dumps(row))
-        stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
-        run_events.maintain_explorer(stream, str(tmp_path / "store"), str(tmp_path / "ck"), lambda combos, factors: seen.append(factors.first().n_runs)).awaitTermination()
+    from dyadscope.operators import explore
 
-    feed("1.json", "r1")
-    feed("2.json", "r2")
-    assert seen == [1, 2]
+    schema = "run_id string, mode string, track string, context_scope string, y_col string, spec_id string, key_factor string, status_validation string, candidate_tier string, p_boot_validation double, q_value_validation double, validated_rate_restart double"
+    (tmp_path / "in").mkdir()
+    rng, everything, store = random.Random(4), [], str(tmp_path / "store")
+    for batch in range(3):
+        rows = [dict(
+            run_id=f"r{rng.randrange(6)}", mode="m", track=f"t{rng.randrange(2)}", context_scope="c", y_col=rng.choice(["y", ""]), spec_id="s", key_factor=rng.choice(["f", "g", f"only{batch}", ""]),
+            status_validation=rng.choice(["ok", "failed", ""]), candidate_tier=rng.choice(["support_candidate", "validated_candidate"]), p_boot_validation=rng.choice([None, rng.random()]),
+            q_value_validation=rng.choice([None, 0.05, rng.random()]), validated_rate_restart=rng.choice([None, 0.5]),
+        ) for _ in range(60)]
+        everything += rows
+        (tmp_path / "in" / f"{batch}.json").write_text("\n".join(json.dumps(r) for r in rows))
+        run_events.maintain_explorer(spark.readStream.schema(schema).json(str(tmp_path / "in")), store, str(tmp_path / "ck")).awaitTermination()
+        full = explore.usable_rows(spark.createDataFrame([tuple(r.values()) for r in everything], schema))
+        for name, want in (("combinations", explore.combinations(full)), ("factors", explore.factors(full))):
+            view = run_events.read_view(spark, store, name).select(*want.columns)
+            rounded = lambda df: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.collect())
+            assert rounded(view) == rounded(want)
+    # The last batch wrote the factors it touched, not those of the first batch alone.
+    assert "only0" not in {r.key_factor for r in spark.read.parquet(f"{store}/factors/view/v=2").collect()}
 
 
 def test_equation_path_gains_from_the_right_factor(spark):
