@@ -94,12 +94,12 @@ LOGIT_DESIGNS = [(KEY_ONLY, f, None) for f in w.FEATURES] + [(PLUS_BASE, f, "rec
 
 
 @query("logit_fit", "WITH " + (_two_newton_sql(LOGIT_DESIGNS) + """
-SELECT candidate_id, split_role, ok AS fitted, CASE WHEN ok AND abs(b) < 8 THEN round(b, 5) + 0.0::DOUBLE END AS beta, CASE WHEN ok THEN round(llf - 0.01::DOUBLE * k, 4) END AS score, n_events AS n_single_choice_informative FROM fit""").strip())
+SELECT candidate_id, split_role, ok AS fitted, CASE WHEN ok AND abs(b) < 8 THEN round(b, 5) + 0.0::DOUBLE END AS beta, CASE WHEN ok AND abs(b) < 8 THEN round(llf - 0.01::DOUBLE * k, 4) END AS score, n_events AS n_single_choice_informative FROM fit""").strip())
 def logit_fit(spark, sf):
     settings = _settings(spec_mode="both", replicates=0, converged_share=0.0)
     scan = run_scan(w.choices(spark, sf), w.FEATURES, settings).scan
     return scan.select(
-        "candidate_id", "split_role", (F.col("status") == "ok").alias("fitted"), _beta("beta", "beta"), F.round("score", 4).alias("score"),
+        "candidate_id", "split_role", (F.col("status") == "ok").alias("fitted"), _beta("beta", "beta"), F.when(F.abs("beta") < SEPARATED, F.round("score", 4)).alias("score"),
         "n_single_choice_informative",
     )
 
