@@ -12,7 +12,11 @@ the order and the beginnings are cut again (at most `PASSES` times; what is left
 shingles only, meets in pairs). The first order puts last what is frequent in a sample. The order changes
 the work, never the answer.
 
-Pruning: a candidate pair goes on if the sizes allow the similarity and the 256-bit SimHash values of the
+A pair meets at the first shingle that both have in the order: what follows there must be enough for the
+similarity. At a later one it does not meet again if one of the two indexed shingles before it is shared as well.
+
+Pruning: a candidate pair goes on if the sizes allow the similarity, if the sets can differ in few enough elements (by
+256 parities, bits that the difference of two sets must explain) and if the 256-bit SimHash values of the
 sets form a pigeonring chain within `RADIUS` bits: from one of four 64-bit segments on, the first l differ
 in at most RADIUS l / 4 bits for every l. At a similarity of 0.8 fingerprints differ in about 39 bits with
 a deviation of 6, unlike texts in 128, so a chain within 70 bits is missed by fewer than one pair in a million.
@@ -88,6 +92,12 @@ def simhash(own: np.ndarray, step: int = 1 << 14) -> list[int]:
     return [_signed(sum(1 << int(b) for b in np.flatnonzero(2 * x > len(own)))) for x in ones]
 
 
+def parities(own: np.ndarray) -> list[int]:
+    """Which of the 256 top bytes occur an odd number of times in a set: two sets differ in at least as many elements as these bits."""
+    odd = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=64 * SEGMENTS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def chained(a: list[Column], b: list[Column], radius: int = RADIUS) -> Column:
     """Whether some chain of segments of the ring stays within its budgets, the whole distance being the last."""
     d = [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)]
@@ -97,54 +107,71 @@ def chained(a: list[Column], b: list[Column], radius: int = RADIUS) -> Column:
 
 
 SIMS = [f"s{i}" for i in range(SEGMENTS)]
+ODD = [f"b{i}" for i in range(SEGMENTS)]
+PLACE = ["at", "p1", "p2"]
 LINKS = "u bigint, v bigint"
-BEGUN = f"doc_id bigint, text_key bigint, fp bigint, n bigint, {', '.join(f'{c} bigint' for c in SIMS)}, first binary"
+BEGUN = f"doc_id bigint, text_key bigint, fp bigint, n bigint, {', '.join(f'{c} bigint' for c in SIMS + ODD)}, first binary"
 
 
 def _beginnings(last: np.ndarray):
     """What near copies must share one of, shingles in `last` put last."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, sizes, sims, first = [], [], [], []
+            names, sizes, sims, odd, first = [], [], [], [], []
             for x in batch.column(2):
                 own = shingles(x.as_py())
                 late = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own if len(last) else np.zeros(len(own), bool)
                 names.append(_name(own))
                 sizes.append(len(own))
                 sims.append(simhash(own))
+                odd.append(parities(own))
                 first.append(np.concatenate([own[~late], own[late]])[: len(own) - (4 * len(own) + 4) // 5 + 1].tobytes())
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()),
-                *(pa.array([x[k] for x in sims], pa.int64()) for k in range(SEGMENTS)), pa.array(first, pa.binary()),
-            ], ["doc_id", "text_key", "fp", "n", *SIMS, "first"])
+                *(pa.array([x[k] for x in of], pa.int64()) for of in (sims, odd) for k in range(SEGMENTS)), pa.array(first, pa.binary()),
+            ], ["doc_id", "text_key", "fp", "n", *SIMS, *ODD, "first"])
 
     return rows
 
 
 def _tokens(columns: list[str], bits: np.ndarray | None):
-    """A row for each shingle of (*columns, first) that may be in `bits`, fp being the first column; each class once a task."""
+    """A row for each shingle of (*columns, first), fp being the first column; each class once a task.
+
+    With `bits`, of the shingles that may be there: with its place `at` in the set's order, and in `p1` and `p2` those before it (null where none).
+    """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for big in batches:
             for at in range(0, big.num_rows, 500):
                 batch = big.slice(at, 500)
-                own, tokens = [], []
+                own, tokens, more = [], [], [[], [], []]
                 for i, fp in enumerate(batch.column(0).to_pylist()):
                     if fp not in seen:
                         seen.add(fp)
                         own.append(i)
                         token = np.frombuffer(batch.column(len(columns))[i].as_py(), np.int64)
-                        tokens.append(token if bits is None else token[may_hold(bits, token)])
+                        if bits is not None:
+                            at = np.flatnonzero(may_hold(bits, token))
+                            token = token[at]
+                            for column, x in zip(more, (at, *(np.concatenate([token[:0], np.zeros(min(k, len(token)), np.int64), token[: max(0, len(token) - k)]]) for k in (1, 2))), strict=True):
+                                column.append(x)
+                        tokens.append(token)
                 n = np.array([len(t) for t in tokens], np.int64)
                 if n.sum():
                     other = [np.repeat(batch.column(c).to_numpy()[own], n) for c in range(len(columns))]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(tokens), *other)], ["token", *columns])
+                    arrays = [pa.array(x) for x in (np.concatenate(tokens), *other)]
+                    if bits is not None:
+                        nth = np.concatenate([np.arange(k) for k in n])
+                        at, *before = (np.concatenate(x) for x in more)
+                        arrays += [pa.array(at), *(pa.array(x, mask=nth < k) for k, x in enumerate(before, 1))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["token", *columns, *(PLACE if bits is not None else [])])
 
     return rows
 
 
 def _exploded(begun: DataFrame, columns: list[str], bits: np.ndarray | None) -> DataFrame:
-    return begun.select(*columns, "first").mapInArrow(_tokens(columns, bits), ", ".join(f"{c} bigint" for c in ("token", *columns)))
+    made = ["token", *columns, *(PLACE if bits is not None else [])]
+    return begun.select(*columns, "first").mapInArrow(_tokens(columns, bits), ", ".join(f"{c} bigint" for c in made))
 
 
 def _wanted(bits: np.ndarray):
@@ -227,11 +254,11 @@ class _Corpus:
         return spark.read.schema(LINKS).parquet(path)
 
 
-CLASS = ["fp", "n", *SIMS]
+CLASS = ["fp", "n", *SIMS, *ODD]
 
 
 def token_index(begun: DataFrame) -> DataFrame:
-    """(token, fp, n, s0 ...) of the beginnings' shingles that several classes have."""
+    """(token, fp, n, s0 ..., b0 ..., at, p1, p2) of the beginnings' shingles that several classes have."""
     counted = _exploded(begun, ["fp"], None).groupBy("token").agg(F.min("fp").alias("a"), F.max("fp").alias("b"))
     several = cut_lineage(counted.where("a <> b").select("token"))
     rows = _exploded(begun, CLASS, key_bits(several, "token"))
@@ -241,16 +268,25 @@ def token_index(begun: DataFrame) -> DataFrame:
 def _placed(index: DataFrame, found: DataFrame | None) -> DataFrame:
     """The index with each class's component, without shingles whose classes are all in one component."""
     rooted = index.withColumn("root", F.col("fp")) if found is None else index.join(
-        components(found), F.col("fp") == F.col("node"), "left").select("token", *CLASS, F.coalesce("root", "fp").alias("root"))
+        components(found), F.col("fp") == F.col("node"), "left").select("token", *CLASS, *PLACE, F.coalesce("root", "fp").alias("root"))
     several = rooted.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("held")).where("a <> b").select("token", "held")
     return cut_lineage(rooted.join(several, "token"))
 
 
 def _able(x: str, y: str) -> Column:
-    """Whether two classes, structs of `CLASS`, can be near copies by their sizes and fingerprints."""
+    """Whether two classes, structs of `CLASS`, can be near copies by their sizes, parities and fingerprints."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     near = chained([F.col(f"{x}.{s}") for s in SIMS], [F.col(f"{y}.{s}") for s in SIMS])
-    return (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (near | (F.least(n, m) <= SMALL))
+    differ = sum(F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in ODD)
+    return (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (differ * 9 <= n + m) & (near | (F.least(n, m) <= SMALL))
+
+
+def _first_shared(x: str, y: str) -> Column:
+    """Whether the shingle can be the first one that two classes share: no earlier one is seen, and what follows it is enough for the similarity."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    enough = F.least(n - F.col(f"{x}.at"), m - F.col(f"{y}.at")) * 9 >= (n + m) * 4
+    earlier = reduce(or_, [F.col(f"{x}.{a}").eqNullSafe(F.col(f"{y}.{b}")) & F.col(f"{x}.{a}").isNotNull() for a in PLACE[1:] for b in PLACE[1:]])
+    return enough & ~earlier
 
 
 def star_links(index: DataFrame, corpus: _Corpus, found: DataFrame | None) -> DataFrame | None:
@@ -265,9 +301,9 @@ def star_links(index: DataFrame, corpus: _Corpus, found: DataFrame | None) -> Da
 
 
 def pair_links(placed: DataFrame, corpus: _Corpus) -> DataFrame:
-    """Links between classes of different components that share a shingle."""
-    x = placed.select("token", F.struct(*CLASS, "root").alias("x"))
-    across = x.join(x.select("token", F.col("x").alias("y")), "token").where("x.fp < y.fp and x.root <> y.root").where(_able("x", "y"))
+    """Links between classes of different components that share a shingle; a pair meets at the first one, and at later ones only where that is not seen."""
+    x = placed.select("token", F.struct(*CLASS, *PLACE, "root").alias("x"))
+    across = x.join(x.select("token", F.col("x").alias("y")), "token").where("x.fp < y.fp and x.root <> y.root").where(_first_shared("x", "y") & _able("x", "y"))
     return corpus.checked(across.select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v")))
 
 

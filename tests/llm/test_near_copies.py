@@ -96,3 +96,34 @@ def test_a_hot_repeated_row_and_one_id_with_unlike_texts(spark):
     docs = [(5, "alpha beta gamma delta epsilon zeta")] * 40 + [(5, "other words that have nothing in common"), (7, "other words that have nothing in common"), (None, None), (None, None)]
     kept = simhash.keep_one(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [(0, ""), (5, docs[0][1]), (5, docs[40][1])]
+
+
+def test_parities_never_differ_in_more_bits_than_the_sets_in_elements():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        own = np.unique(rng.integers(0, 1 << 63, rng.integers(0, 400), dtype=np.uint64) * np.uint64(2))
+        other = np.union1d(own[rng.random(len(own)) < 0.9], rng.integers(0, 1 << 63, rng.integers(0, 40), dtype=np.uint64))
+        bits = sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(near_copies.parities(own), near_copies.parities(other), strict=True))
+        assert bits <= len(np.setxor1d(own, other))
+
+
+def test_every_near_copy_meets_at_the_first_shared_shingle(spark):
+    """Without star rounds: all pairs of brute force meet, in fewer rows than they share shingles."""
+    rng = random.Random(17)
+    docs = []
+    for g in range(12):
+        words = [f"g{g}w{rng.randrange(400)}" for _ in range(rng.choice((12, 60, 200)))]
+        for _ in range(6):
+            docs.append((len(docs), " ".join(words)))
+            words = list(words)
+            words[rng.randrange(len(words))] = f"edit{rng.randrange(10**6)}"
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    rows = table.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("raw"))
+    begun = rows.mapInArrow(near_copies._beginnings(np.empty(0, np.uint64)), near_copies.BEGUN)
+    names = {r["doc_id"]: r["fp"] for r in begun.collect()}
+    x = near_copies.token_index(begun).select("token", F.struct(*near_copies.CLASS, *near_copies.PLACE).alias("x"))
+    met = x.join(x.select("token", F.col("x").alias("y")), "token").where("x.fp < y.fp")
+    first = met.where(near_copies._first_shared("x", "y") & near_copies._able("x", "y")).select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v"))
+    got = [tuple(r) for r in first.collect()]
+    want = {tuple(sorted((names[i], names[j]))) for i, j in brute.near_copy_components(docs)[1] if names[i] != names[j]}
+    assert want and want <= set(got) and len(got) * 3 < met.count()
