@@ -686,7 +686,8 @@ def _long(spark, sf):
 
 def _folded(spark, sf):
     rows = designs.row_table(w.choices(spark, sf), TWO_DESIGNS)
-    return rows, cut_lineage(designs.event_table(rows, TWO_DESIGNS))
+    events = cut_lineage(designs.event_table(rows, TWO_DESIGNS))
+    return cut_lineage(designs.pattern_table(rows, TWO_DESIGNS)), events
 
 
 @query("event_differences", sql(DESIGN_VIEWS, """

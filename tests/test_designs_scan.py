@@ -271,3 +271,30 @@ def test_ladder_resumes_and_refuses_other_grids(spark, tmp_path):
     assert passes.run_ladder(df, ["x_feat"], **args).count() == 2
     with pytest.raises(ValueError, match="resume mismatch"):
         passes.run_ladder(df, ["x_feat"], **{**args, "ladder": [9, 19]})
+
+
+def test_pattern_table_stands_for_the_rows(spark):
+    """Null patterns written once give the sparse pairs of the rows themselves, and hold only events that need them."""
+    from dyadscope.operators import designs as d
+
+    rows = [("t", "discovery", f"e{i}", f"d{i % 3}", int(j == i % 3), None if (i + j) % 3 == 0 else float(i * j), float(j)) for i in range(30) for j in range(2 + i % 3)]
+    df = spark.createDataFrame(rows, "track string, split_role string, event_id string, policy_document_id string, y int, a double, b double")
+    two = DesignSet((Design(0, "y", ("a",)), Design(1, "y", ("b", "a"))))
+    table = row_table(df, two)
+    events = event_table(table, two)
+    patterns = d.pattern_table(table, two)
+    keys = ("track", "split_role")
+    own, other = (sorted(map(str, d.sparse_pairs(x, events, two, two.as_column(), keys).select("event_id", "design", "doc", "lo", "hi").collect())) for x in (table, patterns))
+    assert own and own == other
+    needed = {r[0] for r in events.where("n > 2 and n_full <= 2").select("event_id").collect()}
+    assert {r[0] for r in patterns.select("event_id").collect()} == needed
+
+
+def test_folding_choices_by_event_moves_nothing(spark):
+    """The lines of an event meet in the last join of the view: its fold needs no exchange of its own."""
+    from dyadscope.plans import workload as w
+
+    one = DesignSet((Design(0, "y_all", ("l_quantity",)),))
+    plan = event_table(row_table(w.choices(spark, "/root/testdata/sf0.001"), one), one)._jdf.queryExecution().executedPlan().toString()
+    top = plan[: plan.index("SortMergeJoin")]
+    assert "HashAggregate" in top and "Exchange" not in top
