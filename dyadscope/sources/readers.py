@@ -167,12 +167,17 @@ def _path_part(path: str) -> str:
     return unquote(urlparse(path).path) if "://" in path or path.startswith("file:") else path
 
 
-def _headers(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, str]]:
-    """(file, header line) of every CSV file, in one job; a file begins with the block at 0."""
-    lines = spark.read.text(list(paths)).where("_metadata.file_block_start = 0").select(
-        F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at")
+def first_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(file, value) of the first line of every text file; a file begins with the block at 0.
+
+    The number of a file's first line is found first: a minimum of numbers is a hash aggregate, of texts it would
+    sort all lines of a block.
+    """
+    lines = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value", F.monotonically_increasing_id().alias("at")
     )
-    return [tuple(r) for r in lines.groupBy("file").agg(F.min_by("value", "at").alias("header")).collect()]
+    heads = lines.where("start = 0").groupBy("file").agg(F.min("at").alias("at"))  # a row a file
+    return lines.join(F.broadcast(heads), ["file", "at"]).select("file", "value")
 
 
 def read_inference(spark: SparkSession, runs: Sequence[tuple[str, str, str]]) -> DataFrame:
@@ -187,7 +192,7 @@ def read_inference(spark: SparkSession, runs: Sequence[tuple[str, str, str]]) ->
     paths = list(dict.fromkeys(p for _, _, p in runs))
     columnar = [p for p in paths if p.rstrip("/").endswith((".parquet", ".pq"))]
     groups: dict[str, list[str]] = {}
-    for file, header in _headers(spark, [p for p in paths if p not in columnar]) if len(columnar) < len(paths) else []:
+    for file, header in first_lines(spark, [p for p in paths if p not in columnar]).collect() if len(columnar) < len(paths) else []:
         groups.setdefault(header, []).append(file)
     tables = [spark.read.parquet(p) for p in columnar]
     for header, files in groups.items():

@@ -187,3 +187,24 @@ def test_equation_path_gains_from_the_right_factor(spark):
 def test_accuracy_ties_follow_the_first_row(spark):
     df = spark.createDataFrame([(True, 0.0), (False, 0.0), (True, 1.0), (True, -1.0)], "chosen_first boolean, z double")
     assert equation.event_accuracy(df, F.col("z")).first().accuracy == 0.5
+
+
+def test_first_lines_need_no_sort(spark, tmp_path):
+    """Headers are found by a minimum of line numbers, whatever the size of a block of lines."""
+    from dyadscope.sources.readers import first_lines
+
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text(f"{name},x\n" + "1,2\n" * 50)
+    found = first_lines(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
+    assert sorted(r["value"] for r in found.collect()) == ["a,x", "b,x"]
+    assert "Sort" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_batch_is_many_files(spark, tmp_path):
+    """Batches of a stream grow by files, not by the size of one file."""
+    from dyadscope.plans.run_queries import _deal
+
+    per_batch = _deal(spark.range(0, 8000, 1, 8), str(tmp_path / "rows"), 3)
+    files = spark.read.parquet(str(tmp_path / "rows")).inputFiles()
+    assert per_batch == 8 and len(files) == 24
+    assert max(spark.read.parquet(f).count() for f in files) <= 1000
