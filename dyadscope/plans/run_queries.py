@@ -195,13 +195,19 @@ def status_stream(spark, sf):
     return run_events.read_status(spark, f"{folder}/status").select("run_id", "state", "n_events", "n_illegal")
 
 
+def _deal(rows, folder, n_batches):
+    """Write rows as files, `n_batches` from every task, for a stream of that many batches; the files of a batch."""
+    rows.withColumn("part", F.pmod(F.xxhash64(*rows.columns), F.lit(n_batches))).write.partitionBy("part").parquet(folder)
+    return -(-len(rows.sparkSession.read.parquet(folder).inputFiles()) // n_batches)
+
+
 @query("explorer_stream", sql(COMBO_SQL, "SELECT combo_id, n_rows, n_runs, " + ", ".join(f"round({c}, 9) AS {c}" for c in COMBO_NUMBERS) + " FROM combos"))
 def explorer_stream(spark, sf):
     """Inference rows in three batches; the view is kept from what each batch adds."""
     folder = _scratch(spark)
     rows = w.inference_rows(spark, sf)
-    rows.repartition(3).write.parquet(f"{folder}/rows")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/rows")
+    per_batch = _deal(rows, f"{folder}/rows", 3)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", per_batch).parquet(f"{folder}/rows").select(*rows.columns)
     run_events.maintain_explorer(stream, f"{folder}/store", f"{folder}/ckpt").awaitTermination()
     view = run_events.read_view(spark, f"{folder}/store", "combinations")
     return view.select("combo_id", "n_rows", "n_runs", *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in COMBO_NUMBERS])
