@@ -367,7 +367,9 @@ stab AS (SELECT run_id, candidate_id, avg(restart_rate) AS vr, max(restart_rate)
 
 
 def _stability(spark, sf):
-    return w.inference_rows(spark, sf).groupBy("run_id", "candidate_id").agg(
+    # Nearly every line is a candidate of its own in its run: little combines before the shuffle, so the fold comes after it.
+    rows = w.spread(w.inference_rows(spark, sf).select("run_id", "candidate_id", "validated_rate_restart"), w.n_lines(spark, sf), "run_id", "candidate_id")
+    return rows.groupBy("run_id", "candidate_id").agg(
         F.round(F.avg("validated_rate_restart"), 9).alias("validated_rate"), F.round(F.max("validated_rate_restart"), 9).alias("support_or_better_rate")
     )
 

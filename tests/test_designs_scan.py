@@ -298,3 +298,14 @@ def test_folding_choices_by_event_moves_nothing(spark):
     plan = event_table(row_table(w.choices(spark, "/root/testdata/sf0.001"), one), one)._jdf.queryExecution().executedPlan().toString()
     top = plan[: plan.index("SortMergeJoin")]
     assert "HashAggregate" in top and "Exchange" not in top
+
+
+def test_rows_of_a_task_are_bounded(spark, monkeypatch):
+    """A fact table is dealt to more tasks as it grows; a small one stays with the session's number."""
+    from dyadscope.plans import workload as w
+
+    rows = spark.range(0, 4000, 1, 2)
+    monkeypatch.setattr(w, "ROWS_PER_TASK", 100)
+    assert w.spread(rows, 4000, "id").rdd.getNumPartitions() == 41
+    monkeypatch.setattr(w, "ROWS_PER_TASK", 5000)
+    assert w.spread(rows, 4000, "id").rdd.getNumPartitions() == 2
