@@ -103,6 +103,15 @@ def value_extent(df: DataFrame, features: dict[str, Column]) -> DataFrame:
     return _union(parts)
 
 
+def known_counts(df: DataFrame, features: dict[str, Column]) -> DataFrame:
+    """(feature_name, nonmissing_count), in one pass over the table."""
+    parts = []
+    for chunk in _chunks(list(features)):
+        total = df.agg(*[F.count(as_number(features[f])).alias(f"k{i}") for i, f in enumerate(chunk)])
+        parts.append(_rows(total, {"nonmissing_count": lambda i: F.col(f"k{i}")}, chunk))
+    return _union(parts)
+
+
 def column_metrics(df: DataFrame, columns: Sequence[str], event: str = "event_id") -> DataFrame:
     """Variation metrics and value extent together, in two passes over the table.
 
@@ -209,8 +218,7 @@ def filter_by_data(registry: DataFrame, df: DataFrame, features: Sequence[str])
     present = {c: F.col(c) for c in features if c in df.columns}
     reasons = F.coalesce("block_reasons", F.array().cast("array<string>"))
     if present:
-        known = value_extent(df, present).select("feature_name", "nonmissing_count")
-        joined = registry.join(known, "feature_name", "left")
+        joined = registry.join(known_counts(df, present), "feature_name", "left")
     else:
         joined = registry.withColumn("nonmissing_count", F.lit(None).cast("bigint"))
     added = F.array_compact(

@@ -20,6 +20,7 @@ from dyadscope.operators import candidates as cand
 from dyadscope.operators import derive, gates, precheck, prepare, registry
 from dyadscope.plans import passes
 from dyadscope.plans.scan import ScanResult
+from dyadscope.plans.workload import spread
 from dyadscope.session import cut_lineage
 from dyadscope.settings import Need, ScanSettings, resolve_base_controls
 from dyadscope.sources import sinks
@@ -121,6 +122,9 @@ def run_search(
     """
     settings = settings.checked()
     row_id = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]) if row_id is None else row_id
+    # Some twenty steps read the rows: they are made once, and a step reads the columns it uses.
+    df = cut_lineage(df)
+    n_rows = df.count()  # from the files' footers
     data_hash = _hash_of(df)
 
     # Outcomes: windows become contexts of their own.
@@ -169,6 +173,7 @@ def run_search(
     lo, hi = options.penalty_bounds
     penalty = df.sparkSession.range(1).select(cand.complexity_penalty(F.lit(float(settings.evidence.penalty)), F.lit(pool), F.lit(n_events), lo, hi)).first()[0]
 
+    df = spread(df, n_rows, "event_id")
     result, inference, stability = passes.run_restarts(
         df, chosen, settings, anchor_track=options.anchor_track, confirmatory_y=confirmatory, penalty=float(penalty)
     )

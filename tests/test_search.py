@@ -66,3 +66,27 @@ def test_scratch_tables_are_dropped_by_their_owner(spark):
     with pytest.raises(Exception):
         inside.count()
     assert outside.count() == 3
+
+
+def test_rows_are_made_once(spark):
+    """However many steps read them, what makes the rows runs once."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double", useArrow=False)
+    def counted(x):
+        made.add(1)
+        return x
+
+    df = frame(spark).withColumn("pa__size", counted.asNondeterministic()("pa__size"))
+    settings = small(contexts=(("all_contexts", "y_all"),), replicates=3, spec_mode="key_only")
+    search.run_search(df, ["pa__size", "pa__noise"], settings).scan.collect()
+    assert made.value == 180
+
+
+def test_known_values_are_counted_in_one_pass(spark):
+    from dyadscope.operators import registry
+
+    df = spark.createDataFrame([(1.0, "2"), (None, "x"), (float("nan"), "3")], "a double, b string")
+    found = registry.known_counts(df, {"a": F.col("a"), "b": F.col("b")})
+    assert {r.feature_name: r.nonmissing_count for r in found.collect()} == {"a": 1, "b": 2}
+    assert "Subquery" not in found._jdf.queryExecution().toString()
