@@ -61,3 +61,29 @@ def test_slots_of_a_pass_are_bounded():
     n = 8 * folding.cells(4.0) * folding.NODES
     assert all(wide not in t and n * (t[key][1] - t[key][0]) <= dist.FOLD_BYTES for t in turns)
     assert [t[key][0] for t in turns][1:] == [t[key][1] for t in turns][:-1] and turns[-1][key][1] == 1 + 40 * 499
+
+
+def test_points_are_added_up_as_they_come():
+    """Rows of many folding tasks: what is held is a row for each slot, and the fits are those of the sums."""
+    import tracemalloc
+
+    import pandas as pd
+
+    n_points, n_slots, n_tasks = folding.cells(4.0) * folding.NODES, 4, 400
+    rng = np.random.default_rng(1)
+    total = np.zeros((n_slots, n_points))
+
+    def batches():
+        for _ in range(n_tasks):
+            own = rng.uniform(0, 1, size=(n_slots, n_points))
+            total[:] += own
+            yield pd.DataFrame({"track": "t", "split_role": "discovery", "design_id": 0, "slot": np.arange(n_slots), "part": 0, "sums": list(own)})
+
+    run = dist._point_fits("none", AdamSettings())
+    tracemalloc.start()
+    found = pd.concat(run(batches()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    beta, _, _ = fit.newton(folding.points(n_points // folding.NODES)[:, None], total.T)
+    assert found["f_beta"].to_numpy() == pytest.approx(beta[:, 0], abs=1e-10) and found["slot"].tolist() == list(range(n_slots))
+    assert peak < n_tasks * n_slots * n_points * 8 / 4
