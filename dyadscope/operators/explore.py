@@ -86,11 +86,11 @@ def _evidence(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Counts, distinct runs, best values, means and medians per key.
 
     Rows are folded to one per (key, run) first, so distinct runs are a plain count and a key that
-    most rows share is spread over its runs. Medians never hold the values of a large key.
+    most rows share is spread over its runs. Medians are found among the different values with their counts, which combine
+    before the shuffle, and never hold the values of a large key.
     """
     rows = cut_lineage(rows.select(*dict.fromkeys([*keys, "run_id", "tier", "p", "q", "restart_rate", "strong"])))
-    found = quantiles(rows, keys, {"q": [0.5], "p": [0.5]})
-    return evidence(run_parts(rows, keys), found.select(*keys, *[F.get(f"{c}_q", F.lit(0)).alias(f"{c}_median") for c in "qp"]), keys)
+    return evidence(run_parts(rows, keys), medians_of_counts(cut_lineage(value_counts(rows, keys)), keys), keys)
 
 
 def evidence(parts: DataFrame, medians: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -32,7 +32,9 @@ def quantiles(
     w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
     held = {c: F.coalesce(F.sum(F.when(F.col(c).isNotNull(), w)), F.lit(0)).alias(f"_n_{c}") for c in columns}
     sizes = df.groupBy(*keys).agg(*held.values())
-    most = sizes.agg(*[F.max(f"_n_{c}") for c in columns]).first()
+    # A plain percentile holds different values with their counts: rows count here, not weights.
+    rows = df.groupBy(*keys).agg(*[F.count(c).alias(f"_rows_{c}") for c in columns])
+    most = rows.agg(*[F.max(f"_rows_{c}") for c in columns]).first()
     out = None
     for (c, probs), n in zip(columns.items(), most, strict=True):
         name = f"{c}_q"

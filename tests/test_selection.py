@@ -51,3 +51,16 @@ def test_weights_count_like_repeated_rows(spark):
         for k in got:
             assert got[k] == pytest.approx(np.quantile([v for key, v, n in rows if key == k for _ in range(n)], PROBS).tolist())
     df.unpersist()
+
+
+def test_few_values_with_large_counts_are_a_plain_percentile(spark, monkeypatch):
+    """What a percentile holds is bounded by different values: weights alone need no refinement."""
+    from dyadscope.operators import selection
+
+    def refined(*_):
+        raise AssertionError("refined, though a key has few values")
+
+    monkeypatch.setattr(selection, "_large", refined)
+    df = spark.createDataFrame([("k", 1.0, 500), ("k", 2.0, 499), ("k", 4.0, 1)], "k string, v double, n bigint")
+    found = selection.quantiles(df, ["k"], {"v": [0.5, 1.0]}, weight="n", limit=100).first()
+    assert list(found["v_q"]) == [1.5, 4.0]
