@@ -87,3 +87,16 @@ def test_points_are_added_up_as_they_come():
     beta, _, _ = fit.newton(folding.points(n_points // folding.NODES)[:, None], total.T)
     assert found["f_beta"].to_numpy() == pytest.approx(beta[:, 0], abs=1e-10) and found["slot"].tolist() == list(range(n_slots))
     assert peak < n_tasks * n_slots * n_points * 8 / 4
+
+
+def test_moments_are_found_once_for_the_same_rows(spark, monkeypatch):
+    from dyadscope.session import ship_package
+
+    ship_package(spark)
+    chosen, other, _ = sample(n=400, k=2)
+    one, seen = event_sample(spark, chosen, other, np.array([f"c{i % 40}" for i in range(400)])), {}
+    found = dist.sample_moments(one, seen)[("t", "discovery", 0)]
+    x = np.vstack([chosen, other])
+    assert found.n_events == 400 and found.scale == pytest.approx(x.std(axis=0)) and found.reach == pytest.approx(np.abs(chosen - other).max(axis=0) / found.scale)
+    monkeypatch.setattr(dist, "_moments", lambda *_: pytest.fail("read again"))
+    assert dist.sample_moments(one, seen)[("t", "discovery", 0)] is found
