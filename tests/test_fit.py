@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +174,36 @@ def test_settled_slots_leave_the_state(spark):
     assert state.count() == last.count() == 21 and last.select("slot").distinct().count() == 21 and last.where("active").count() == 0
     known = dist.initial_state(one, {("t", "discovery", 0): [fit.Task(1, 3, 15, True)]}, {("t", "discovery", 0): np.ones(2)}, 20)
     assert sorted(r["rep"] for r in known.collect()) == [15, 16, 17, 18, 19]
+
+
+@pytest.mark.parametrize("hashed", [True, False])
+def test_grouped_fit_costs_a_samples_numbers_only(hashed):
+    """The task takes Arrow columns as they are: no object for an event, and the values of the plain fit."""
+    chosen, other, clusters = sample(n=40_000)
+    at = np.random.default_rng(3).permutation(len(chosen))
+    ids = np.array([f"e{i:06d}" for i in range(len(chosen))], dtype=object)
+    boot = fit.cluster_hashes(clusters) if hashed else clusters.astype(object)
+    lists = pa.list_(pa.float64())
+    rows = pa.table({
+        "track": ["t"] * len(at), "split_role": ["discovery"] * len(at), "design_id": pa.array([7] * len(at), pa.int32()), "event_id": ids[at], "boot": boot[at],
+        "chosen": pa.array(list(chosen[at]), lists), "other": pa.array(list(other[at]), lists)})
+    tasks = pa.table({"fit_id": pa.array([5], pa.int32()), "seed": [11], "start": pa.array([0], pa.int32()), "known": [False]})
+    run = fit.grouped_fit(3, "none", AdamSettings())
+    tracemalloc.start()
+    out = run(rows, tasks)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = fit.fit_sample(chosen, other, clusters, [(5, 11)], 3, "none", AdamSettings())[0]
+    got = out.to_pylist()[0]
+    assert {k: got[k] for k in want} == want and (got["track"], got["split_role"], got["design_id"]) == ("t", "discovery", 7)
+    if hashed:
+        assert peak < 400 * len(at)
+
+
+def test_batches_of_passes_are_arrow_columns():
+    """A pass takes Arrow batches as they come; a null regressor leaves the designs that need it only."""
+    batch = pa.RecordBatch.from_pydict({
+        "track": ["t", "t", "u"], "split_role": ["d", "d", "d"], "only": [-1, -1, -1], "cluster_hash": [1, 2, 3], "lo_ys": [[1.0], [0.0], [1.0]], "hi_ys": [[0.0], [1.0], [0.0]],
+        "lo_xs": [[1.0, None], [2.0, 5.0], [0.0, 0.0]], "hi_xs": [[3.0, 4.0], [1.0, 6.0], [1.0, 1.0]], "lo_place": [0.0, 0.0, 0.0], "hi_place": [0.0, 0.0, 0.0]})
+    found = {key: (pairs.chosen.tolist(), pairs.other.tolist(), pairs.cluster_hash.tolist()) for key, pairs in dist.batch_pairs(batch, {("t", "d"): [(0, 0, [0]), (1, 0, [0, 1])]}, True)}
+    assert found == {("t", "d", 0): ([[1.0], [1.0]], [[3.0], [2.0]], [1, 2]), ("t", "d", 1): ([[1.0, 6.0]], [[2.0, 5.0]], [2])}
