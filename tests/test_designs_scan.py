@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from dyadscope.operators import candidates as cand
-from dyadscope.operators.designs import Design, DesignSet, design_pairs, design_stats, event_table, gate_stats, row_table
+from dyadscope.operators.designs import Design, DesignSet, design_bits, design_counts, design_pairs, design_stats, event_table, gate_stats, row_table
 from dyadscope.plans import passes
 from dyadscope.plans.scan import plan_candidates, run_scan
 from dyadscope.settings import AdamSettings, Need, ScanSettings, resolve_base_controls, resolve_stage_gates
@@ -309,3 +309,34 @@ def test_rows_of_a_task_are_bounded(spark, monkeypatch):
     assert w.spread(rows, 4000, "id").rdd.getNumPartitions() == 41
     monkeypatch.setattr(w, "ROWS_PER_TASK", 5000)
     assert w.spread(rows, 4000, "id").rdd.getNumPartitions() == 2
+
+
+def test_counts_of_many_designs_stay_small_methods(spark):
+    """The JVM compiles no method of 8,000 bytes or more: it would run step by step for every event."""
+    features = [f"f{i}" for i in range(8)]
+    schema = "track string, split_role string, event_id string, pair_id string, policy_document_id string, y int, " + ", ".join(f"{f} double" for f in features)
+    rows = [("t", "discovery", f"e{e}", f"p{e}", f"d{e}", k, *[float(e * k + i) for i in range(8)]) for e in range(6) for k in range(2)]
+    designs = DesignSet(tuple(Design(i, "y", tuple(x)) for i, x in enumerate([(f,) for f in features] + [(f, features[0]) for f in features[1:]])))
+    table = row_table(spark.createDataFrame(rows, schema), designs)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        counts = design_counts(design_bits(table, event_table(table, designs), designs, sparse=False), len(designs.designs))
+        made = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(counts._jdf.queryExecution().executedPlan())
+        assert 0 < max(made.apply(i)._3().maxMethodCodeSize() for i in range(made.length())) < 8000
+        assert counts.first()["n"] == [5] * 15  # the rows of the first event do not differ
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_passes_read_narrow_rows_written_once(spark, monkeypatch):
+    """Rows of large samples are read from their own table, not made from the events again in every pass."""
+    from dyadscope.plans import scan
+
+    seen = []
+    fit = scan.distributed_fit
+    monkeypatch.setattr(scan, "distributed_fit", lambda sample, *args: seen.append(sample.rows) or fit(sample, *args))
+    df = spark.createDataFrame(random_rows(5, 200), SCHEMA)
+    run_scan(df, ["a", "b"], ScanSettings.of(
+        contexts=(("all", "y"),), replicates=3, spec_mode="key_only", one_task_events=0, discovery=Need(5, 2), validation=Need(5, 2), largest_document_share=1.0)).scan.collect()
+    assert len(seen) == 1 and seen[0]._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
