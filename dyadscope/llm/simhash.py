@@ -113,15 +113,16 @@ def links(prints: DataFrame, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
     full = cut_lineage(full)
     home = keyed.select("start", "key", F.col("ring").alias("other"), F.col("fp").alias("other_fp"))
     differ = F.col("fp") != F.col("other_fp")
+    # Spark takes what an explode makes for as large as what it is made of. Such rows are merged: a broadcast would hold them all on the driver.
     if full.isEmpty():
-        light, heavy = _within(probe.join(home, ["start", "key"]).where(differ)), None
+        light, heavy = _within(probe.hint("merge").join(home, ["start", "key"]).where(differ)), None
     else:
-        light = _within(probe.join(home.join(full, ["start", "key"], "left_anti"), ["start", "key"]).where(differ))
+        light = _within(probe.hint("merge").join(home.join(full, ["start", "key"], "left_anti"), ["start", "key"]).where(differ))
         # The third segment joins the key: the probing side writes out its values with up to two bits flipped.
         third = F.shiftrightunsigned("ring", 32).bitwiseAND(F.lit(0xFFFF))
         near = probe.join(full, ["start", "key"], "left_semi").withColumn("mask", F.explode(_masks(0, 2))).withColumn("third", third.bitwiseXOR(F.col("mask")))
         there = home.join(full, ["start", "key"], "left_semi").withColumn("third", F.shiftrightunsigned("other", 32).bitwiseAND(F.lit(0xFFFF)))
-        heavy = _within(near.join(there, ["start", "key", "third"]).where(differ))
+        heavy = _within(near.hint("merge").join(there, ["start", "key", "third"]).where(differ))
     found = light if heavy is None else light.select("fp", "other_fp").union(heavy.select("fp", "other_fp"))
     return found.select(F.col("fp").alias("u"), F.col("other_fp").alias("v"))
 

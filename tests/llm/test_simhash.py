@@ -1,4 +1,5 @@
 import random
+import re
 
 from dyadscope.llm import queries, simhash
 from dyadscope.llm.graph import components
@@ -41,6 +42,31 @@ def test_links_equal_all_pairs_for_full_and_light_buckets(spark):
         assert got == want
 
 
+def _under_broadcasts(df):
+    """Plan lines below broadcasts, as planned or as run."""
+    found, at = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = re.match(r"[\s:+-]*", line).end()
+        at = None if at is not None and depth <= at else at
+        if at is not None:
+            found.append(line)
+        elif "BroadcastExchange" in line:
+            at = depth
+    return found
+
+
+def test_exploded_rows_are_not_broadcast(spark):
+    """Spark takes them for as large as what they are made of, so the driver would get all of them."""
+    rng = random.Random(5)
+    pairs = [(s, s ^ 1 << rng.randrange(30) ^ 1 << rng.randrange(30, 63)) for s in (rng.getrandbits(63) for _ in range(200))]
+    table = spark.createDataFrame([(p,) for pair in pairs for p in pair], "fp bigint")
+    for bucket in (1000, 1):
+        found = simhash.links(table, bucket)
+        planned = _under_broadcasts(found)
+        assert {(min(r), max(r)) for r in map(tuple, found.collect())} == {(min(p), max(p)) for p in pairs}
+        assert not [x for x in planned + _under_broadcasts(found) if "Generate explode" in x]
+
+
 def test_components_of_paths_stars_and_nothing(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()))
