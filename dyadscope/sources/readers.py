@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from dyadscope.functions.names import slug
 from dyadscope.operators.prepare import GROUP_MODES, REQUIRED_COLUMNS, require_columns
 from dyadscope.operators.runs import first_timestamp, infer_mode, infer_state, latest_per_run
+from dyadscope.session import ship_package
 
 ORDER_COLUMNS = ("_file", "_block", "_line")
 
@@ -256,30 +257,55 @@ def resolve_input(spark: SparkSession, locked: str, pattern: str) -> tuple[str,
 def file_manifest(spark: SparkSession, pattern: str) -> DataFrame:
     """Path, size and sha256 per file.
 
-    Files of up to `WHOLE_FILE` bytes are hashed by Spark where they are read. Larger ones do not fit a
-    cell: they are listed only, and streamed piece by piece inside a task from the file system that
-    their path names.
+    Files of up to `WHOLE_FILE` bytes are hashed by Spark where they are read. A task holds such a file
+    several times over, so larger ones are listed only, and streamed piece by piece inside a task from
+    the file system that their path names. Where Spark alone can open that, files of up to
+    `WHOLE_ONLY` bytes are whole values too.
     """
-    small = spark.read.format("binaryFile").load(pattern).where(F.col("length") <= WHOLE_FILE)
-    large = file_listing(spark, pattern).where(F.col("n_bytes") > WHOLE_FILE).select("path", "n_bytes")
+    ship_package(spark)
+    listed = file_listing(spark, pattern).select("path", "n_bytes")
+    tried = listed.where(F.col("n_bytes") > WHOLE_FILE).limit(1).mapInPandas(_try_stream, "opens boolean").first()
+    most = WHOLE_FILE if tried is None or tried["opens"] else WHOLE_ONLY
+    small = spark.read.format("binaryFile").load(pattern).where(F.col("length") <= most)
+    large = listed.where(F.col("n_bytes") > most)
     hashed = small.select("path", F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
     return hashed.unionByName(large.mapInPandas(_stream_hashes, "path string, n_bytes bigint, sha256 string"))
 
 
-#: Largest file that is read as one value.
-WHOLE_FILE = 1 << 30
+#: Largest file that is read as one value; the same where pyarrow does not open the file system.
+WHOLE_FILE, WHOLE_ONLY = 1 << 24, 1 << 30
 
 
-def _stream_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _open_stream(path: str):
+    """Bytes of a file by the path Spark gives it, as they are stored."""
     from pyarrow import fs
 
+    uri = re.sub("^file:/+", "file:///", path)
+    store, name = fs.FileSystem.from_uri(quote(uri, safe=":/@"))
+    return store.open_input_stream(name, compression=None)
+
+
+def _try_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whether pyarrow opens a file inside a task; Spark knows more file systems."""
+    import pyarrow as pa
+
+    for batch in batches:
+        found = []
+        for path in batch["path"]:
+            try:
+                _open_stream(path).close()
+                found.append(True)
+            except (OSError, pa.ArrowException):
+                found.append(False)
+        yield pd.DataFrame({"opens": found})
+
+
+def _stream_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = []
         for path in batch["path"]:
-            uri = re.sub("^file:/+", "file:///", path)
-            store, name = fs.FileSystem.from_uri(quote(uri, safe=":/@%"))
             digest = hashlib.sha256()
-            with store.open_input_stream(name, compression=None) as stream:
+            with _open_stream(path) as stream:
                 while piece := stream.read(1 << 22):
                     digest.update(piece)
             found.append(digest.hexdigest())

@@ -77,6 +77,23 @@ def test_files_over_the_bound_are_hashed_in_pieces(spark, tmp_path, monkeypatch)
     assert got == {5_000_000: hashlib.sha256(b"x" * 5_000_000).hexdigest(), 1: hashlib.sha256(b"y").hexdigest()}
 
 
+def test_only_small_files_are_whole_values(spark, tmp_path):
+    """A task holds a whole value several times over: none is larger than 32 MB, but where only Spark opens the file system."""
+    import hashlib
+
+    data = {n: bytes(range(256)) * (n // 256) for n in (1024, 40 << 20)}
+    for n, content in data.items():
+        (tmp_path / f"of%20 {n}.bin").write_bytes(content)
+    want = {n: hashlib.sha256(content).hexdigest() for n, content in data.items()}
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", str(32 << 20))
+    try:
+        assert {r.n_bytes: r.sha256 for r in readers.file_manifest(spark, f"{tmp_path}/*.bin").collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.manifest.link./in", f"file://{tmp_path}")
+    assert {r.n_bytes: r.sha256 for r in readers.file_manifest(spark, "viewfs://manifest/in/*.bin").collect()} == want
+
+
 def test_files_and_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, ["a", "b"])], "x int, tags array<string>")
     sinks.write_rows(df, str(tmp_path / "out"), ["tags", "x", "gone"], format="csv")
